@@ -61,3 +61,35 @@ daily_raw AS (
          ELSE CAST(product_id_encoded AS VARCHAR) END AS product_id_encoded
   FROM d1s_fmt)
 """
+
+RETAIL_PRODUCTS = """
+d2_sales AS (
+  SELECT l_partkey, SUM(l_quantity) AS qty,
+         CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS ext,
+         CAST(SUM(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS disc,
+         COUNT(*) AS lines, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS returns,
+         MAX(l_shipdate) AS last
+  FROM lineitem GROUP BY l_partkey),
+d2_type AS (
+  SELECT p_type, CAST(SUM(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS competitor_price
+  FROM part GROUP BY p_type),
+retail_products AS (
+  SELECT 'P' || LPAD(CAST(p_partkey AS VARCHAR), 6, '0') AS product_id,
+         p_type AS category,
+         string_split(p_name, ' ')[2] AS subcategory,
+         p_brand AS brand,
+         string_split(p_name, ' ')[1] AS color,
+         CAST(p_size AS VARCHAR) AS size,
+         CASE WHEN month(CAST(last AS DATE)) IN (12, 1, 2) THEN 'Winter'
+              WHEN month(CAST(last AS DATE)) IN (3, 4, 5) THEN 'Spring'
+              WHEN month(CAST(last AS DATE)) IN (6, 7, 8) THEN 'Summer'
+              WHEN month(CAST(last AS DATE)) IN (9, 10, 11) THEN 'Fall' END AS season,
+         p_retailprice AS original_price,
+         competitor_price,
+         (disc / lines) * 100 AS discount_percentage,
+         CAST(last AS DATE) AS date,
+         CAST(returns AS DOUBLE) / lines AS return_rate,
+         (ext / qty) * (CAST(1.0 AS DOUBLE) - disc / lines) AS current_price,
+         CAST(qty AS BIGINT) AS units_sold
+  FROM part LEFT JOIN d2_sales ON p_partkey = l_partkey JOIN d2_type USING (p_type))
+"""

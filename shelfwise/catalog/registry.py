@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily
+from . import daily, products
 
-_MODULES = [daily]
+_MODULES = [daily, products]
 
 
 def queries():

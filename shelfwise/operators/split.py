@@ -64,17 +64,21 @@ def apply_time_split(df: DataFrame, cutoffs: TimeCutoffs, date_col: str = "date"
     return df.withColumn(name, cutoffs.label(F.col(date_col)))
 
 
-def hash_fraction(key: Column, seed: int) -> Column:
-    """A reproducible number in [0, 1) per key: first 4 hex digits of md5(key|seed)."""
-    h = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 4)
-    return F.conv(h, 16, 10).cast("double") / F.lit(65536.0)
+def hash_bucket(key: Column, seed: int) -> Column:
+    """Four hex digits of md5(key|seed): a reproducible, uniform bucket per key."""
+    return F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 4)
+
+
+def share_threshold(share: float) -> str:
+    """The hex bucket below which a row falls with probability ~``share``."""
+    return f"{int(share * 65536):04x}"
 
 
 def hash_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42,
                name: str = "split") -> DataFrame:
     """~``test_share`` of rows to 'test', by hash of ``key`` (row-stable)."""
-    return df.withColumn(name, F.when(hash_fraction(F.col(key), seed) < F.lit(test_share), F.lit("test"))
-                         .otherwise(F.lit("train")))
+    is_test = hash_bucket(F.col(key), seed) < F.lit(share_threshold(test_share))
+    return df.withColumn(name, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def stratified_hash_split(df: DataFrame, key: str, label: str, test_share: float = 0.2,
@@ -84,5 +88,6 @@ def stratified_hash_split(df: DataFrame, key: str, label: str, test_share: float
     An exact per-class share would need a rank inside each class, which puts
     a whole class (possibly a third of the data) into one window task.
     """
-    frac = hash_fraction(F.concat_ws("|", F.col(label).cast("string"), F.col(key).cast("string")), seed)
-    return df.withColumn(name, F.when(frac < F.lit(test_share), F.lit("test")).otherwise(F.lit("train")))
+    k = F.concat_ws("|", F.col(label).cast("string"), F.col(key).cast("string"))
+    is_test = hash_bucket(k, seed) < F.lit(share_threshold(test_share))
+    return df.withColumn(name, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))

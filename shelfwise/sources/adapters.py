@@ -139,9 +139,9 @@ def retail_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("product_id"),
         F.col("p_type").alias("category"),
-        F.element_at(words, 2).alias("subcategory"),
+        F.try_element_at(words, F.lit(2)).alias("subcategory"),
         F.col("p_brand").alias("brand"),
-        F.element_at(words, 1).alias("color"),
+        F.try_element_at(words, F.lit(1)).alias("color"),
         F.col("p_size").cast("string").alias("size"),
         season_of(F.month(last)).alias("season"),
         F.col("p_retailprice").alias("original_price"),
