@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, products
+from . import daily, products, scoring
 
-_MODULES = [daily, products]
+_MODULES = [daily, products, scoring]
 
 
 def queries():

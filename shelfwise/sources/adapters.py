@@ -55,6 +55,13 @@ def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact.join(codes, "product_id").select(*DAILY_COLUMNS)
 
 
+def money_text(c):
+    """Price as 'dollars.cents' text, rendered from integer cents (engine-independent)."""
+    cents = F.round(c * 100).cast("long")
+    return F.concat((cents / 100).cast("long").cast("string"), F.lit("."),
+                    F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1s: D1 as strings, with dirt chosen deterministically per row.
 
