@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, products, scoring
+from . import daily, metrics, products, scoring
 
-_MODULES = [daily, products, scoring]
+_MODULES = [daily, products, scoring, metrics]
 
 
 def queries():

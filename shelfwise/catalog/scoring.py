@@ -191,12 +191,11 @@ def q_demand_batch_summary(spark, sf_dir):
     s = q_demand_batch(spark, sf_dir)
     p = F.col("predicted_units_sold")
     n, ok = F.count(F.lit(1)), F.count(p)
-    exact_sum = F.sum(p.cast("decimal(38,9)")).cast("double")
     return s.agg(n.alias("total_rows"), ok.alias("successful"), (n - ok).alias("failed"),
                  (ok / n * 100).alias("success_rate"),
-                 F.try_divide(exact_sum, ok).alias("mean_forecast"),
+                 REP.metric(F.avg(p)).alias("mean_forecast"),
                  F.min(p).alias("min_forecast"), F.max(p).alias("max_forecast"),
-                 F.coalesce(exact_sum, F.lit(0.0)).alias("total_forecast"))
+                 REP.metric(F.coalesce(F.sum(p), F.lit(0.0))).alias("total_forecast"))
 
 
 QUERIES = {
@@ -301,8 +300,8 @@ FROM rounded""",
 SELECT count(*) AS total_rows, count(predicted_units_sold) AS successful,
        count(*) - count(predicted_units_sold) AS failed,
        count(predicted_units_sold) / count(*) * 100 AS success_rate,
-       CAST(sum(CAST(predicted_units_sold AS DECIMAL(38,9))) AS DOUBLE) / count(predicted_units_sold) AS mean_forecast,
+       round(avg(predicted_units_sold), 6) AS mean_forecast,
        min(predicted_units_sold) AS min_forecast, max(predicted_units_sold) AS max_forecast,
-       coalesce(CAST(sum(CAST(predicted_units_sold AS DECIMAL(38,9))) AS DOUBLE), 0.0) AS total_forecast
+       round(coalesce(sum(predicted_units_sold), 0.0), 6) AS total_forecast
 FROM rounded""",
 }

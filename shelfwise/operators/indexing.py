@@ -44,3 +44,28 @@ def dense_code(df: DataFrame, key: str, name: str) -> DataFrame:
     """Dimension ``(key, name)``: code = position of ``key`` among its sorted distinct values."""
     distinct = df.select(key).where(F.col(key).isNotNull()).distinct()
     return index_by_order(distinct, [key], name).withColumn(name, F.col(name).cast("int"))
+
+
+def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """Append inclusive running sums of ``sums`` along ``order`` (a unique key).
+
+    Each range partition sums its own rows in order (a window per partition id,
+    so one task per partition); partition totals, one row per partition,
+    supply the offsets.
+    """
+    ranked = (df.select("*", *[c.alias(f"__v_{n}") for n, c in sums.items()])
+              .orderBy(*order)
+              .withColumn(_PID, F.spark_partition_id())
+              .withColumn(_MID, F.monotonically_increasing_id()))
+    checkpoint_dir(df.sparkSession)
+    ranked = ranked.checkpoint(eager=True)
+    totals = ranked.groupBy(_PID).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_PID, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}")
+                                    for n in sums])
+    within = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranked.join(F.broadcast(offsets), _PID)
+    for n in sums:
+        out = out.withColumn(n, F.col(f"__o_{n}") + F.sum(f"__v_{n}").over(within))
+    drop = [_PID, _MID] + [f"__{p}_{n}" for n in sums for p in ("v", "o")]
+    return out.drop(*drop)

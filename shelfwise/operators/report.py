@@ -40,6 +40,19 @@ def money_sum(c: Column) -> Column:
     return F.coalesce(F.sum(c.cast("decimal(38,2)")), F.lit(0).cast("decimal(38,2)")).cast("double")
 
 
+METRIC_DIGITS = 6
+
+
+def metric(c: Column) -> Column:
+    """A reported statistic of doubles, to 1e-6.
+
+    Double sums depend on the summation order (partitioning) in their last
+    bits; reporting at 1e-6 makes the figure reproducible across runs and
+    engines without changing what is computed.
+    """
+    return F.round(c, METRIC_DIGITS)
+
+
 def top_k(df: DataFrame, by: str, k: int, tie: str, columns: list[str]) -> DataFrame:
     """The k rows with the largest ``by`` (ties by ``tie``); the limit is the feature.
 
