@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, metrics, products, scoring
+from . import daily, metrics, products, scoring, text
 
-_MODULES = [daily, products, scoring, metrics]
+_MODULES = [daily, products, scoring, metrics, text]
 
 
 def queries():
