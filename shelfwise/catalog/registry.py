@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, metrics, products, scoring, text
+from . import daily, metrics, models, products, scoring, text
 
-_MODULES = [daily, products, scoring, metrics, text]
+_MODULES = [daily, products, scoring, metrics, text, models]
 
 
 def queries():
