@@ -149,7 +149,7 @@ _repairs = " UNION ALL ".join(
 
 _gate_cols = ",\n    ".join(
     [f"count(*) FILTER (WHERE {c} IS NULL) AS {c}_null, "
-     f"count(*) FILTER (WHERE {c}__raw IS NOT NULL AND {c} IS NULL) AS {c}_lost" for c in Q.DAILY_NUMERIC])
+     f"count(*) FILTER (WHERE {c}__raw IS NOT NULL AND {c}__trim <> '' AND {c} IS NULL) AS {c}_lost" for c in Q.DAILY_NUMERIC])
 _rep_sum = " + ".join(f"count(*) FILTER (WHERE {c}__rep)" for c in Q.DAILY_NUMERIC)
 
 GATES = f"""

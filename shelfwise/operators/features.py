@@ -222,9 +222,14 @@ def prepare(df: DataFrame, state: PriceFeatureState) -> DataFrame:
 # ---------------------------------------------------------------- batch page input
 
 
-def add_defaults(df: DataFrame, defaults: dict = BATCH_DEFAULTS) -> DataFrame:
-    """P5: add every absent column with its constant default."""
+def add_defaults(df: DataFrame, defaults: dict = BATCH_DEFAULTS, today: bool = False) -> DataFrame:
+    """P5: add every absent column with its constant default.
+
+    B15: with ``today`` an absent ``date`` becomes the current date.
+    """
     missing = {c: F.lit(v) for c, v in defaults.items() if c not in df.columns}
+    if today and "date" not in df.columns:
+        missing["date"] = F.current_date()
     return df.withColumns(missing) if missing else df
 
 

@@ -120,12 +120,13 @@ def daily_gates(parsed: DataFrame) -> DataFrame:
     """V4-V8 and A16 as one aggregate; one row with counts and a status.
 
     ``*_null`` counts every NULL after coercion (what the reference reports),
-    ``*_lost`` only values that were present but did not parse.
+    ``*_lost`` only values that were present (not NULL, not blank) but did not parse.
     """
     aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("date").isNull()).alias("bad_dates")]
     for c in DAILY_NUMERIC:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}_null"))
-        aggs.append(F.count_if(F.col(f"{c}__raw").isNotNull() & F.col(c).isNull()).alias(f"{c}_lost"))
+        present = F.col(f"{c}__raw").isNotNull() & (F.col(f"{c}__trim") != "")
+        aggs.append(F.count_if(present & F.col(c).isNull()).alias(f"{c}_lost"))
     aggs += [
         sum_expr([F.count_if(F.col(f"{c}__rep")) for c in DAILY_NUMERIC]).alias("repairs"),
         F.count_if(F.col("units_sold") < 0).alias("neg_units"),

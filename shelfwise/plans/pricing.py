@@ -77,7 +77,7 @@ class PriceUnitsModel:
     def _raw_scores(self, df: DataFrame) -> DataFrame:
         kept = df.select(*[F.col(c).alias(_KEEP + c) for c in df.columns], *df.columns)
         data = FE.add_defaults(kept, {k: v for k, v in FE.BATCH_DEFAULTS.items()
-                                      if k not in ("product_id", "units_sold")})
+                                      if k not in ("product_id", "units_sold")}, today=True)
         prepared = FE.prepare(data, self.state)
         p = self.price.transform(prepared)
         p = p.withColumn("predicted_price", F.greatest(F.col("predicted_price"), F.lit(0.0)))   # clamp (G2)

@@ -75,7 +75,7 @@ def read_text_csv(spark: SparkSession, path: str, text_column: str) -> DataFrame
 
 def read_encoder_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object ``{product_id: code}`` as a table (product_id, product_id_encoded)."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.IntegerType()))
     return raw.select(F.explode(m).alias("product_id", "product_id_encoded"))
 
