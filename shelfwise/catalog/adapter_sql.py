@@ -21,7 +21,7 @@ d1_lagged AS (
     ON e.product_id = t.product_id AND CAST(e.date + INTERVAL 7 DAY AS DATE) = t.date),
 d1_codes AS (
   SELECT product_id, CAST(ROW_NUMBER() OVER (ORDER BY product_id) - 1 AS INTEGER) AS product_id_encoded
-  FROM (SELECT DISTINCT product_id FROM d1_lagged)),
+  FROM (SELECT DISTINCT p_brand AS product_id FROM part)),
 daily_sales AS (
   SELECT date, product_id, units_sold, sale_price, is_promo, lag_7, product_id_encoded
   FROM d1_lagged JOIN d1_codes USING (product_id))

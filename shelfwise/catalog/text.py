@@ -18,7 +18,8 @@ TEST_SHARE = 0.2
 
 def clean_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.select("doc_id", X.drop_stop_words(X.letter_tokens(F.col("text"))).alias("tokens"))
+    raw = docs.select("doc_id", X.letter_tokens(F.col("text")).alias("raw_tokens"))
+    return X.remove_stop_words(raw, "raw_tokens", "tokens").drop("raw_tokens")
 
 
 def q_document_tokens(spark, sf_dir):
@@ -61,9 +62,9 @@ def q_review_majority_accuracy(spark, sf_dir):
 
 def q_review_stems(spark, sf_dir):
     """X1 + X2 + X3 + X4: stemmed content per labelled review (rows-only check)."""
-    r = labelled(spark, sf_dir)
-    toks = stem_tokens(X.drop_stop_words(X.letter_tokens(F.col("text"))))
-    return r.select("doc_id", "target", "split", X.join_tokens(toks).alias("stemmed_content"))
+    r = labelled(spark, sf_dir).withColumn("raw_tokens", X.letter_tokens(F.col("text")))
+    kept = X.remove_stop_words(r, "raw_tokens", "tokens")
+    return kept.select("doc_id", "target", "split", X.join_tokens(stem_tokens(F.col("tokens"))).alias("stemmed_content"))
 
 
 def q_document_tfidf(spark, sf_dir):

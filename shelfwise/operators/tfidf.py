@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 from .report import metric
 
 
-def term_counts(docs: DataFrame, doc_key: str, terms: Column, keep: list[str] = ()) -> DataFrame:
-    """(doc, term, tf) long form."""
+MIN_TERM_LENGTH = 2
+
+
+def term_counts(docs: DataFrame, doc_key: str, terms: Column, keep: list[str] = (),
+                min_length: int = MIN_TERM_LENGTH) -> DataFrame:
+    """(doc, term, tf) long form; terms shorter than ``min_length`` are skipped."""
     exploded = docs.select(doc_key, *keep, F.explode(terms).alias("term"))
+    exploded = exploded.where(F.length("term") >= min_length)
     return exploded.groupBy(doc_key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -31,10 +31,10 @@ def prepare_text(df: DataFrame, text_col: str = "text", preprocess: bool = True,
     """X1-X4 (+X6): ``content`` = cleaned, optionally stemmed text."""
     if not preprocess:
         return df.withColumn("content", X.as_text(F.col(text_col)))
-    toks = X.drop_stop_words(X.letter_tokens(F.col(text_col)))
-    if stem:
-        toks = stem_tokens(toks)
-    return df.withColumn("content", X.join_tokens(toks))
+    kept = X.remove_stop_words(df.withColumn("__raw_tokens", X.letter_tokens(F.col(text_col))),
+                               "__raw_tokens", "__tokens")
+    toks = stem_tokens(F.col("__tokens")) if stem else F.col("__tokens")
+    return kept.withColumn("content", X.join_tokens(toks)).drop("__raw_tokens", "__tokens")
 
 
 def fit(train: DataFrame, label: str = "target", max_iter: int = MAX_ITER,

@@ -63,3 +63,11 @@ def test_stratified_split_has_both_classes(spark):
     s = stratified_hash_split(df, "id", "y")
     got = {(r["split"], r["y"]) for r in s.select("split", "y").distinct().collect()}
     assert got == {("train", 0), ("train", 1), ("test", 0), ("test", 1)}
+
+
+def test_time_split_ranked_fallback_agrees(spark):
+    import datetime as dt
+    from shelfwise.operators.split import _fit_time_split_ranked
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d),) for d in range(0, 400, 3)]
+    df = spark.createDataFrame(rows, "date date")
+    assert fit_time_split(df) == _fit_time_split_ranked(df.distinct(), "date", 0.70, 0.85)
