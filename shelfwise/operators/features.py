@@ -262,6 +262,21 @@ def coerce_batch(df: DataFrame) -> DataFrame:
     return out
 
 
-def single_record(spark, record: dict, schema: T.StructType) -> DataFrame:
-    """One literal record as a one-row table, scored by the batch path."""
-    return spark.createDataFrame([tuple(record.get(f.name) for f in schema.fields)], schema)
+def hand_entered(spark, record: dict) -> DataFrame:
+    """A hand-entered product as a one-row table with the console profile.
+
+    Absent fields take ``SINGLE_DEFAULTS`` (days_since_launch 10, not 30), a
+    blank subcategory becomes 'General', the date defaults to today (B15),
+    and a non-numeric price is rejected.
+    """
+    from ..sources.readers import one_record
+
+    price = record.get("original_price")
+    try:
+        float(price)
+    except (TypeError, ValueError):
+        raise ValueError(f"original_price must be a number, got {price!r}") from None
+    rec = {**record, "original_price": float(price)}
+    df = add_defaults(one_record(spark, rec), SINGLE_DEFAULTS, today=True)
+    return df.withColumn("subcategory", F.coalesce(F.nullif(F.trim(F.col("subcategory")), F.lit("")),
+                                                   F.lit("General")))

@@ -79,3 +79,22 @@ def summary(scored: DataFrame) -> DataFrame:
                       (ok / n * 100).alias("success_rate"), metric(F.avg(p)).alias("mean_forecast"),
                       F.min(p).alias("min_forecast"), F.max(p).alias("max_forecast"),
                       metric(F.coalesce(F.sum(p), F.lit(0.0))).alias("total_forecast"))
+
+
+def single_forecast(spark, model: PipelineModel, encoder: DataFrame, product_id: str,
+                    lag_7: float, sale_price: float, is_promo: int) -> dict:
+    """Single daily forecast (J5 + S7 + B2-B6): a one-row request through the batch path.
+
+    An unknown product is rejected, as the single-forecast page does.
+    """
+    known = encoder.where(F.col("product_id") == product_id).limit(1).count() > 0     # J5
+    if not known:
+        raise Q.ValidationError(f"unknown product {product_id!r}")
+    req = spark.createDataFrame([(product_id, str(lag_7), str(sale_price), str(is_promo))],
+                                "sku string, units_last_week string, price string, promo string")
+    row = score_requests(model, req, encoder, check=False).withColumns({
+        "price_text": R.price_text(F.col("sale_price")),                                  # B6
+        "promo_text": R.promo_text(F.col("is_promo")),
+        "confidence_text": R.confidence_text(F.col("confidence")),
+    }).first()
+    return row.asDict()

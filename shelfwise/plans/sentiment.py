@@ -39,7 +39,11 @@ def prepare_text(df: DataFrame, text_col: str = "text", preprocess: bool = True,
 
 def fit(train: DataFrame, label: str = "target", max_iter: int = MAX_ITER,
         reg_param: float | None = None) -> PipelineModel:
-    """TF-IDF + logistic regression (L2, C = 1 -> regParam = 1 / n)."""
+    """TF-IDF + logistic regression (L2, C = 1 -> regParam = 1 / n).
+
+    Rows without a label cannot be fitted and are skipped.
+    """
+    train = train.where(F.col(label).isNotNull())
     tok = RegexTokenizer(inputCol="content", outputCol="terms", pattern=r"\s+",
                          minTokenLength=X.MIN_TERM_LENGTH, toLowercase=True)
     cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=VOCAB_SIZE, minDF=1.0)
@@ -70,3 +74,26 @@ def accuracy(scored: DataFrame, label: str = "target", by: str | None = None) ->
     pos = (F.avg((F.col("prediction") == 1).cast("double")) * 100).alias("positive_pct")
     n = F.count(F.lit(1)).alias("rows")
     return scored.groupBy(by).agg(n, acc, pos) if by else scored.agg(n, acc, pos)
+
+
+def score_file(spark, path: str, text_column: str, model: PipelineModel, out_dir: str,
+               preprocess: bool = False) -> dict:
+    """The review-scoring page: S4 -> V3 -> X6/X7 -> G9 -> B7 -> A1/A8 -> K1.
+
+    ``preprocess=False`` is the reference's serving path (no stemming or
+    stop-word removal); ``True`` scores the same tokens the model was fitted on.
+    """
+    from ..operators import quality as Q
+    from ..sources import readers, sinks
+
+    df = readers.read_text_csv(spark, path, text_column)
+    if Q.is_empty(df):
+        raise Q.ValidationError("the uploaded file has no rows")
+    scored = score(model, prepare_text(df, text_column, preprocess=preprocess))
+    keep = [c for c in df.columns] + ["sentiment"]
+    written = sinks.write_csv(scored.select(*keep), sinks.timestamped(out_dir, "sentiment"))
+    result = spark.read.option("header", True).csv(written)
+    counts = {r["sentiment"]: r["count"] for r in result.groupBy("sentiment").count().collect()}   # A1
+    total = sum(counts.values())
+    return {"path": written, "counts": counts,
+            "positive_pct": (100.0 * counts.get("Positive", 0) / total) if total else 0.0}      # A8

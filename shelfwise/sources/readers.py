@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from ..operators.quality import DAILY_COLUMNS
 
 # File contracts.
+RESULT_FIELDS = [T.StructField("Recommended_Price", T.DoubleType()),
+                 T.StructField("Predicted_Units_Sold", T.LongType()),
+                 T.StructField("Predicted_Revenue", T.DoubleType())]
 PRODUCT_SCHEMA = T.StructType([
     T.StructField("product_id", T.StringType()), T.StructField("category", T.StringType()),
     T.StructField("subcategory", T.StringType()), T.StructField("brand", T.StringType()),
@@ -44,7 +47,7 @@ def read_products_csv(spark: SparkSession, path: str, schema: T.StructType = PRO
     can tell absent columns from empty ones.
     """
     header = spark.read.option("header", True).csv(path).columns
-    fields = {f.name: f for f in schema.fields}
+    fields = {f.name: f for f in list(schema.fields) + RESULT_FIELDS}
     present = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in header])
     return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(present).csv(path)
 
