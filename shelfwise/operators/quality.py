@@ -72,17 +72,29 @@ def drop_leakage(df: DataFrame) -> DataFrame:
 def parse_daily(raw: DataFrame) -> DataFrame:
     """C1-C7 over the string fact, keeping what the repair log and gates need.
 
-    Adds for every numeric column ``c``: ``c`` (parsed double), ``c__trim``
-    (trimmed text) and ``c__rep`` (bracket repair happened); ``date`` becomes
-    a DATE (NULL when unparseable) and ``date_raw`` keeps the text.
+    Adds for every numeric column ``c``: ``c`` (parsed double), ``c__raw``,
+    ``c__trim`` (trimmed text) and ``c__rep`` (bracket repair happened);
+    ``date`` becomes a DATE (NULL when unparseable), ``date_raw`` keeps the text.
+
+    Each cleaning step is its own projection over the previous step's
+    columns, so a step that reads its input several times (the bracket rule
+    reads the trimmed text three times) refers to a computed column rather
+    than repeating the expression.
     """
-    cols = [F.col("date").alias("date_raw"), C.to_date_or_null(F.col("date")).alias("date"),
-            F.col("product_id")]
-    for c in DAILY_NUMERIC:
-        trimmed = C.strip_all(F.col(c))
-        cols += [F.col(c).alias(f"{c}__raw"), trimmed.alias(f"{c}__trim"),
-                 C.is_repaired(trimmed).alias(f"{c}__rep"), C.clean_number(F.col(c)).alias(c)]
-    return raw.select(*cols)
+    n = DAILY_NUMERIC
+    df = raw.select(F.col("date").alias("date_raw"), C.to_date_or_null(F.col("date")).alias("date"),
+                    F.col("product_id"), *[F.col(c).alias(f"{c}__raw") for c in n])
+    df = df.select("*", *[C.strip_all(F.col(f"{c}__raw")).alias(f"{c}__trim") for c in n])
+    df = df.select("*", *[C.bracket_number(F.col(f"{c}__trim")).alias(f"{c}__num") for c in n])
+    df = df.select("*", *[(C.is_bracketed(F.col(f"{c}__trim")) & (F.col(f"{c}__num") != ""))
+                          .alias(f"{c}__rep") for c in n])
+    df = df.select("*", *[C.drop_currency(F.when(F.col(f"{c}__rep"), F.col(f"{c}__num"))
+                                          .otherwise(F.col(f"{c}__trim"))).alias(f"{c}__cur") for c in n])
+    df = df.select("*", *[C.strip_all(C.fix_separators(F.col(f"{c}__cur"))).alias(f"{c}__sep") for c in n])
+    parsed = [F.when(F.col(f"{c}__sep").rlike(C.NUMERIC_PATTERN), F.col(f"{c}__sep").try_cast("double"))
+              .alias(c) for c in n]
+    keep = [x for c in n for x in (f"{c}__raw", f"{c}__trim", f"{c}__rep")]
+    return df.select("date_raw", "date", "product_id", *keep, *parsed)
 
 
 def cleaned_daily(parsed: DataFrame) -> DataFrame:
