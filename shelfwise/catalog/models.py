@@ -33,7 +33,10 @@ def _memo(spark, key, build):
 
 
 def daily_matrix(spark, sf_dir):
-    return DJ.model_matrix(D.split_daily(spark, sf_dir))
+    """Model matrix, persisted once per session: the fit, its evaluation and the
+    prediction report all read it (a lost block is recomputed from lineage)."""
+    return _memo(spark, ("daily_matrix", sf_dir),
+                 lambda: DJ.model_matrix(D.split_daily(spark, sf_dir)).persist())
 
 
 def daily_model(spark, sf_dir):
@@ -83,7 +86,9 @@ def q_price_model_scored(spark, sf_dir):
 
 
 def sentiment_data(spark, sf_dir):
-    return SJ.prepare_text(labelled(spark, sf_dir))
+    """Cleaned and stemmed reviews, persisted once per session (fit + scoring)."""
+    return _memo(spark, ("sentiment_data", sf_dir),
+                 lambda: SJ.prepare_text(labelled(spark, sf_dir)).persist())
 
 
 def sentiment_model(spark, sf_dir):

@@ -207,10 +207,16 @@ def fit_price_features(df: DataFrame, luxury: list[str] = LUXURY_BRANDS,
     and one number per numeric column.
     """
     state = PriceFeatureState(list(luxury))
-    for r in vocabulary_frame(df, luxury).collect():
-        state.vocab.setdefault(r["column"], {})[r["value"]] = r["id"]
-    encoded = encode(_pre_encode(df, luxury), state.vocab)
-    state.medians = {r["column"]: r["median"] for r in medians_frame(encoded, approx_median).collect()}
+    cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+    data = df if cached else df.persist()      # two passes over the same input
+    try:
+        for r in vocabulary_frame(data, luxury).collect():
+            state.vocab.setdefault(r["column"], {})[r["value"]] = r["id"]
+        encoded = encode(_pre_encode(data, luxury), state.vocab)
+        state.medians = {r["column"]: r["median"] for r in medians_frame(encoded, approx_median).collect()}
+    finally:
+        if not cached:
+            data.unpersist()
     return state
 
 

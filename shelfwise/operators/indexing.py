@@ -40,10 +40,32 @@ def index_by_order(df: DataFrame, order: list[str | Column], name: str = "idx")
     return out.withColumn(name, F.col(_OFF) + F.col(_MID)).drop(_PID, _MID, _OFF)
 
 
+def fit_code(df: DataFrame, key: str, name: str):
+    """E2 fitted with MLlib: code = position of a value among the sorted distinct values.
+
+    ``StringIndexer(alphabetAsc)`` finds the distinct values in one
+    aggregation job and applies them as an in-memory lookup inside the
+    projection (no join, no shuffle); its label list is the encoder, bounded
+    by the catalog's cardinality. Values it never saw get NULL.
+    """
+    from pyspark.ml.feature import StringIndexer
+
+    model = StringIndexer(inputCol=key, outputCol="__code", stringOrderType="alphabetAsc",
+                          handleInvalid="keep").fit(df.select(key).where(F.col(key).isNotNull()))
+    n = len(model.labels)
+
+    def apply(target: DataFrame) -> DataFrame:
+        coded = model.transform(target)
+        code = F.when(F.col("__code") < n, F.col("__code").cast("int"))
+        return coded.withColumn(name, code).drop("__code")
+
+    return apply
+
+
 def dense_code(df: DataFrame, key: str, name: str) -> DataFrame:
     """Dimension ``(key, name)``: code = position of ``key`` among its sorted distinct values."""
     distinct = df.select(key).where(F.col(key).isNotNull()).distinct()
-    return index_by_order(distinct, [key], name).withColumn(name, F.col(name).cast("int"))
+    return fit_code(df, key, name)(distinct)
 
 
 def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
