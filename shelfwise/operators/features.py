@@ -143,12 +143,31 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
 
 
-def fit_medians(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
-    """A3: exact median of every column (NULL skipped), one aggregate, long form."""
+# Exact median keeps one buffer entry per distinct value and merges them in a
+# single task for a global aggregate; above this many distinct values (HLL
+# estimate) a column switches to ``percentile_approx``.
+MAX_EXACT_MEDIAN_DISTINCT = 2_000_000
+APPROX_ACCURACY = 100_000      # rank error <= 1 / accuracy of the row count
+
+
+def fit_medians(df: DataFrame, columns: list[str], approx: bool | None = None) -> DataFrame:
+    """A3: median of every column (NULL skipped), one aggregate, long form.
+
+    ``approx=None`` decides per column: exact (average of the two middle
+    values) unless the column has more than ``MAX_EXACT_MEDIAN_DISTINCT``
+    distinct values, which costs one extra HLL pass over the input.
+    """
+    if approx is None:
+        est = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+        use_approx = {c: est[c] > MAX_EXACT_MEDIAN_DISTINCT for c in columns}
+    else:
+        use_approx = {c: approx for c in columns}
+
     def agg(c):
-        return F.percentile_approx(c, 0.5) if approx else F.median(c)
+        x = F.col(c).cast("double")
+        return F.percentile_approx(x, 0.5, APPROX_ACCURACY) if use_approx[c] else F.median(x)
 
-    row = df.agg(*[agg(F.col(c).cast("double")).alias(c) for c in columns])
+    row = df.agg(*[agg(c).alias(c) for c in columns])
     return row.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("median")) for c in columns])).alias("m")
     ).select("m.column", "m.median")
@@ -195,12 +214,12 @@ def vocabulary_frame(df: DataFrame, luxury: list[str]) -> DataFrame:
     return fit_vocabulary(pre, [c for c in CATEGORICAL if c in pre.columns], luxury)
 
 
-def medians_frame(encoded: DataFrame, approx: bool = False) -> DataFrame:
+def medians_frame(encoded: DataFrame, approx: bool | None = None) -> DataFrame:
     return fit_medians(encoded, numeric_columns(encoded), approx)
 
 
 def fit_price_features(df: DataFrame, luxury: list[str] = LUXURY_BRANDS,
-                       approx_median: bool = False) -> PriceFeatureState:
+                       approx_median: bool | None = None) -> PriceFeatureState:
     """E9 (fit): vocabularies, then medians of the encoded frame.
 
     Two jobs; what reaches the driver is bounded by (columns x (top + luxury + 2))

@@ -53,6 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                               "(a machine-local temporary folder does not survive on a cluster)")
         path = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

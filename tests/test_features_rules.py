@@ -96,3 +96,11 @@ def test_relabel_and_label(spark):
     df = spark.createDataFrame([(0,), (4,)], "t int")
     r = df.select(R.relabel(F.col("t")).alias("y")).select("y", R.sentiment_label(F.col("y")).alias("s")).collect()
     assert [(x["y"], x["s"]) for x in r] == [(0, "Negative"), (1, "Positive")]
+
+
+def test_median_switches_to_approx_when_forced(spark):
+    df = spark.range(0, 1001).selectExpr("cast(id as double) as v")
+    exact = FE.fit_medians(df, ["v"], approx=False).first()["median"]
+    approx = FE.fit_medians(df, ["v"], approx=True).first()["median"]
+    auto = FE.fit_medians(df, ["v"]).first()["median"]
+    assert exact == 500.0 and auto == 500.0 and abs(approx - 500.0) <= 1.0
