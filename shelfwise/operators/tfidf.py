@@ -4,11 +4,13 @@ tf = raw count of a term in a document; idf fitted on the training
 documents: ``ln((1 + n) / (1 + df)) + 1``; each document's vector L2-
 normalised; terms unseen at fit are dropped.
 
-Plan: explode -> (doc, term) counts (map-side combined) -> document
-frequency by term (partial aggregation, so a term in a third of all
-documents is still one partial row per task) -> join on term (AQE broadcasts
-the vocabulary only when its measured size allows, otherwise a shuffle join
-with skew splitting) -> per-document norm by a window on the document key.
+Plan: token arrays hash-partitioned by document (one shuffle) -> explode ->
+(doc, term) counts, local to the partition -> document frequency by term
+(partial aggregation, so a term in a third of all documents is still one
+partial row per task) -> join on term (AQE broadcasts the vocabulary only when
+its measured size allows, otherwise a shuffle join with skew splitting) ->
+per-document norm by a window on the document key, local again when the
+vocabulary was broadcast.
 """
 
 from __future__ import annotations
@@ -46,6 +48,13 @@ def apply_idf(tf: DataFrame, idf: DataFrame, doc_key: str) -> DataFrame:
 
 def tfidf(docs: DataFrame, doc_key: str, terms: Column, split_col: str = "split",
           train_value: str = "train") -> DataFrame:
+    """Fit on the training documents and apply to all.
+
+    The token arrays are hash-partitioned by document once; the per-document
+    steps (term counts, norm) then need no further shuffle, and a document is
+    bounded by its own length, so no key is hot.
+    """
+    docs = docs.repartition(doc_key)
     tf = term_counts(docs, doc_key, terms, keep=[split_col])
     train = tf.where(F.col(split_col) == train_value)
     n_docs = docs.where(F.col(split_col) == train_value).count()

@@ -141,9 +141,12 @@ def run(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: DailyConfig | No
         sinks.write_parquet(pred.where(F.col("split") == "test"), f"{out_dir}/predictions")  # K5
         metrics = {r["split"]: r.asDict() for r in evaluate(pred).collect()}            # A11, A13
         ks = ks_two_sample(matrix, "target", "split", "train", "val").first().asDict()  # A14
+        imp = importance(model)
+        sinks.write_json_rows(spark.createDataFrame(imp, "feature string, importance double"),
+                              f"{out_dir}/importance")                                  # K6
         summary.update({
-            "status": "PASS", "metrics": metrics, "drift_ks": ks,
-            "importance": importance(model),                                            # G7
+            "status": "PASS", "metrics": metrics, "drift_ks": ks, "feature_names": FEATURES,
+            "importance": imp,                                                          # G7
             "n_trees": model.stages[-1].getNumTrees,                                    # G11
             "split": {"n_dates": cut.n_dates, "first_val_date": str(cut.first_val_date),
                       "first_test_date": str(cut.first_test_date)},

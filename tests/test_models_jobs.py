@@ -63,7 +63,8 @@ def test_daily_job_end_to_end(spark, tmp_dir):
     assert summ["status"] == "PASS" and summ["encoder_mismatches"] == 0
     assert set(summ["metrics"]) == {"val", "test"} and summ["n_trees"] >= 1
     assert len(summ["config_sha256"]) == 64
-    for part in ("cleaned", "splits/split=train", "predictions", "model", "label_encoder", "repairs"):
+    for part in ("cleaned", "splits/split=train", "predictions", "model", "label_encoder", "repairs",
+                 "importance"):
         assert os.path.exists(f"{out}/{part}"), part
     doc = json.loads(spark.read.text(f"{out}/summary").first()["value"])
     assert doc["status"] == "PASS"
