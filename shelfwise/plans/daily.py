@@ -24,6 +24,7 @@ from ..operators.drift import ks_two_sample
 from ..operators.indexing import dense_code
 from ..operators.report import metric
 from ..operators.split import apply_time_split, fit_time_split
+from ..session import checkpoint_dir
 from ..sources import sinks
 
 FEATURES = ["lag_7", "sale_price", "is_promo", "product_id_encoded"]
@@ -57,13 +58,15 @@ def fit_daily_model(matrix: DataFrame, cfg: DailyConfig) -> PipelineModel:
 
     Rows with a NULL feature are dropped: MLlib trees reject missing values.
     """
+    checkpoint_dir(matrix.sparkSession)     # GBT checkpoints its lineage every 10 rounds
     data = (matrix.where(F.col("split").isin("train", "val"))
             .na.drop(subset=FEATURES + ["target"])
             .withColumn("is_val", F.col("split") == "val"))
     gbt = GBTRegressor(featuresCol="features", labelCol="target", predictionCol="prediction",
                        maxIter=cfg.max_iter, maxDepth=cfg.max_depth, stepSize=cfg.step_size,
                        lossType="squared", validationIndicatorCol="is_val",
-                       validationTol=cfg.validation_tol, seed=cfg.seed, maxBins=cfg.max_bins)
+                       validationTol=cfg.validation_tol, seed=cfg.seed, maxBins=cfg.max_bins,
+                       checkpointInterval=10, cacheNodeIds=True)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
     return Pipeline(stages=[assembler, gbt]).fit(data)
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import features as FE
 from ..operators.report import metric
+from ..session import checkpoint_dir
 
 # Reference budgets (kept as named defaults; tests pass smaller ones).
 PRICE_TREES, PRICE_DEPTH = 1000, 8
@@ -44,7 +45,8 @@ class PriceConfig:
 def _gbt(label: str, pred: str, features: str, trees: int, depth: int, cfg: PriceConfig) -> GBTRegressor:
     return GBTRegressor(featuresCol=features, labelCol=label, predictionCol=pred, maxIter=trees,
                         maxDepth=depth, stepSize=cfg.step_size, subsamplingRate=cfg.subsample,
-                        featureSubsetStrategy=str(cfg.subsample), seed=cfg.seed, maxBins=cfg.max_bins)
+                        featureSubsetStrategy=str(cfg.subsample), seed=cfg.seed, maxBins=cfg.max_bins,
+                        checkpointInterval=10, cacheNodeIds=True)
 
 
 class PriceUnitsModel:
@@ -57,6 +59,7 @@ class PriceUnitsModel:
     def fit(cls, train: DataFrame, luxury: list[str] = FE.LUXURY_BRANDS,
             cfg: PriceConfig | None = None) -> "PriceUnitsModel":
         cfg = cfg or PriceConfig()
+        checkpoint_dir(train.sparkSession)   # GBT checkpoints its lineage every 10 rounds
         data = FE.add_defaults(train, {k: v for k, v in FE.BATCH_DEFAULTS.items()
                                        if k not in ("product_id", "current_price", "units_sold")})
         state = FE.fit_price_features(data, luxury)
