@@ -77,7 +77,7 @@ def _tweets_csv(spark, path):
         w = csv.writer(f)
         for r in rows:
             w.writerow([r["target"], r["doc_id"], "Mon Apr 06 22:19:45 PDT 2009", "NO_QUERY", "u",
-                        r["text"][:2000].replace("\n", " ").encode("latin-1", "replace").decode("latin-1")])
+                        r["text"].replace("\n", " ").encode("latin-1", "replace").decode("latin-1")])
     return len(rows)
 
 
