@@ -37,8 +37,7 @@ def train_price(spark, train_csv: str, model_dir: str, trees: int | None = None)
 def score_price(spark, input_csv: str, model_dir: str, out_dir: str) -> dict:
     model = PriceUnitsModel.load(spark, model_dir)
     df = readers.read_products_csv(spark, input_csv)
-    order = [c for c in df.columns if c != "product_id"][:1] or df.columns[:1]
-    return price_batch.run(spark, df, model, out_dir, order)
+    return price_batch.run(spark, df, model, out_dir)          # ids in file order (P11)
 
 
 def run_daily(spark, input_csv: str, out_dir: str, rounds: int | None = None) -> dict:

@@ -23,14 +23,30 @@ TOP_COLUMNS = ["product_id", "brand", "category", "Recommended_Price", "Predicte
                "Predicted_Revenue"]
 
 
-def prepare_request(df: DataFrame, order: list[str]) -> DataFrame:
-    """V2 -> V3 -> P5 -> P11 -> C9 -> C10."""
+POSITION = "__file_position"
+
+
+def with_file_position(df: DataFrame) -> DataFrame:
+    """Row position in the input files, taken right after the scan.
+
+    Scan partitions follow the files (and byte ranges within them) in order,
+    and ``monotonically_increasing_id`` increases within a partition, so this
+    orders rows as they appear in the file(s) without any shuffle.
+    """
+    return df.withColumn(POSITION, F.monotonically_increasing_id())
+
+
+def prepare_request(df: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """V2 -> V3 -> P5 -> P11 -> C9 -> C10; ids follow file order unless ``order`` is given."""
     missing = Q.missing_required(df)
     if missing:
         raise Q.ValidationError(f"missing required columns: {missing}")
     if Q.is_empty(df):
         raise Q.ValidationError("the uploaded file has no rows")
-    return FE.coerce_batch(FE.batch_ids(FE.add_defaults(df, today=True), order))
+    if order is None:
+        df, order = with_file_position(df), [POSITION]
+    out = FE.coerce_batch(FE.batch_ids(FE.add_defaults(df, today=True), order))
+    return out.drop(POSITION) if POSITION in out.columns else out
 
 
 def summary(scored: DataFrame, request: DataFrame) -> DataFrame:
@@ -67,7 +83,7 @@ def preview(df: DataFrame, n: int, order: list[str]) -> list:
 
 
 def run(spark: SparkSession, request: DataFrame, model: PriceUnitsModel, out_dir: str,
-        order: list[str]) -> dict:
+        order: list[str] | None = None) -> dict:
     req = prepare_request(request, order)
     scored_path = sinks.write_csv(model.predict_batch(req), sinks.timestamped(out_dir, "scored"))  # K1
     from ..sources.readers import read_products_csv

@@ -110,3 +110,17 @@ def test_daily_job_entry(spark, tmp_dir):
     sinks.write_csv(daily_raw(spark, "/root/testdata/sf0.01"), f"{tmp_dir}/raw")
     out = jobs.run_daily(spark, f"{tmp_dir}/raw", f"{tmp_dir}/run", rounds=3)
     assert out["status"] == "PASS" and os.path.exists(f"{tmp_dir}/run/summary")
+
+
+def test_batch_ids_follow_file_order(spark, tmp_dir):
+    path = f"{tmp_dir}/req.csv"
+    with open(path, "w") as f:
+        f.write("brand,category,original_price\n")
+        for i in range(50):
+            f.write(f"B{(i * 7) % 50},C,{900 + i}\n")
+    from shelfwise.sources.readers import read_products_csv
+    out = price_batch.prepare_request(read_products_csv(spark, path))
+    got = {r["product_id"]: r["original_price"] for r in out.collect()}
+    assert got == {f"BATCH_{i + 1:04d}": 900.0 + i for i in range(50)}
+    top = price_batch.preview(out, 3, ["product_id"])
+    assert [r["product_id"] for r in top] == ["BATCH_0001", "BATCH_0002", "BATCH_0003"]
