@@ -40,18 +40,31 @@ def index_by_order(df: DataFrame, order: list[str | Column], name: str = "idx")
     return out.withColumn(name, F.col(_OFF) + F.col(_MID)).drop(_PID, _MID, _OFF)
 
 
-def fit_code(df: DataFrame, key: str, name: str):
-    """E2 fitted with MLlib: code = position of a value among the sorted distinct values.
+# StringIndexer ships its label list to every task (like a broadcast); above this
+# many distinct values (HLL estimate) the code comes from a join instead.
+MAX_IN_TASK_LABELS = 1_000_000
+
 
-    ``StringIndexer(alphabetAsc)`` finds the distinct values in one
-    aggregation job and applies them as an in-memory lookup inside the
-    projection (no join, no shuffle); its label list is the encoder, bounded
-    by the catalog's cardinality. Values it never saw get NULL.
+def fit_code(df: DataFrame, key: str, name: str):
+    """code = position of a value among the sorted distinct values; returns ``apply(target)``.
+
+    Small catalogs: MLlib ``StringIndexer(alphabetAsc)`` finds the distinct
+    values in one aggregation job and applies them as an in-memory lookup
+    inside the projection (no join, no shuffle). Catalogs above
+    ``MAX_IN_TASK_LABELS`` values: the ordered-index dimension, joined by key
+    (AQE broadcasts it only when its measured size allows). Values never seen
+    get NULL.
     """
     from pyspark.ml.feature import StringIndexer
 
+    values = df.select(key).where(F.col(key).isNotNull())
+    estimate = values.agg(F.approx_count_distinct(key).alias("n")).first()["n"]
+    if estimate > MAX_IN_TASK_LABELS:
+        dim = index_by_order(values.distinct(), [key], name).withColumn(name, F.col(name).cast("int"))
+        return lambda target: target.join(dim, key, "left")
+
     model = StringIndexer(inputCol=key, outputCol="__code", stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df.select(key).where(F.col(key).isNotNull()))
+                          handleInvalid="keep").fit(values)
     n = len(model.labels)
 
     def apply(target: DataFrame) -> DataFrame:
