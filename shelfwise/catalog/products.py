@@ -68,8 +68,19 @@ def q_batch_input(spark, sf_dir):
     return FE.coerce_batch(FE.batch_ids(FE.add_defaults(req), ["sku"]))
 
 
+def q_console_records(spark, sf_dir):
+    """Held-out products as hand-entered records (some with a blank subcategory)."""
+    s = products_split(spark, sf_dir).where(F.col("split") == "test")
+    blank = F.substring(F.md5(F.col("product_id")), 1, 1).isin("0", "1", "2", "3")
+    req = s.select(F.col("product_id").alias("sku"), "brand", "category",
+                   F.col("original_price").cast("string").alias("original_price"),
+                   F.when(blank, F.lit("  ")).otherwise(F.col("subcategory")).alias("subcategory"), "date")
+    return FE.console_profile(req, today=False)
+
+
 QUERIES = {
     "retail_products": q_retail_products,
+    "console_records": q_console_records,
     "price_vocabulary": q_price_vocabulary,
     "price_medians": q_price_medians,
     "price_features": q_price_features,
@@ -187,3 +198,21 @@ SQL["batch_input"] = (f"WITH {PRODUCTS}, "
                       "original_price, competitor_price, discount_percentage, date, return_rate "
                       "FROM products WHERE split = 'test') "
                       f"SELECT {', '.join(_cols)} FROM req")
+
+
+def _single_lit(c):
+    return _lit(FE.SINGLE_DEFAULTS[c])
+
+
+_console_cols = ["sku", "brand", "category", "date",
+                 "coalesce(nullif(trim(subcategory), ''), 'General') AS subcategory",
+                 r"CASE WHEN regexp_matches(regexp_replace(original_price, '^\s+|\s+$', '', 'g'), "
+                 r"'^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$') "
+                 r"THEN TRY_CAST(regexp_replace(original_price, '^\s+|\s+$', '', 'g') AS DOUBLE) END AS original_price"]
+_console_cols += [f"{_single_lit(c)} AS {c}" for c in FE.SINGLE_DEFAULTS if c != "subcategory"]
+SQL["console_records"] = (f"WITH {PRODUCTS}, "
+                          "req AS (SELECT product_id AS sku, brand, category, CAST(original_price AS VARCHAR) AS original_price, "
+                          "CASE WHEN substr(md5(product_id), 1, 1) IN ('0', '1', '2', '3') THEN '  ' ELSE subcategory END AS subcategory, "
+                          "date FROM products WHERE split = 'test'), "
+                          f"prof AS (SELECT {', '.join(_console_cols)} FROM req) "
+                          "SELECT *, original_price IS NOT NULL AS price_ok FROM prof")

@@ -287,13 +287,19 @@ def coerce_batch(df: DataFrame) -> DataFrame:
     return out
 
 
-def hand_entered(spark, record: dict) -> DataFrame:
-    """A hand-entered product as a one-row table with the console profile.
+def console_profile(df: DataFrame, today: bool = True) -> DataFrame:
+    """P5b on a table: the hand-entered profile's defaults (days_since_launch 10,
+    not 30), blank subcategory -> 'General', and ``price_ok`` (a non-numeric
+    price is rejected by the caller)."""
+    out = add_defaults(df, SINGLE_DEFAULTS, today=today)
+    sub = F.coalesce(F.nullif(F.trim(F.col("subcategory").cast("string")), F.lit("")), F.lit("General"))
+    price = C.to_number(F.col("original_price").cast("string"))
+    return out.withColumns({"subcategory": sub, "original_price": price,
+                            "price_ok": price.isNotNull()})
 
-    Absent fields take ``SINGLE_DEFAULTS`` (days_since_launch 10, not 30), a
-    blank subcategory becomes 'General', the date defaults to today (B15),
-    and a non-numeric price is rejected.
-    """
+
+def hand_entered(spark, record: dict) -> DataFrame:
+    """A hand-entered product as a one-row table with the console profile."""
     from ..sources.readers import one_record
 
     price = record.get("original_price")
@@ -302,6 +308,4 @@ def hand_entered(spark, record: dict) -> DataFrame:
     except (TypeError, ValueError):
         raise ValueError(f"original_price must be a number, got {price!r}") from None
     rec = {**record, "original_price": float(price)}
-    df = add_defaults(one_record(spark, rec), SINGLE_DEFAULTS, today=True)
-    return df.withColumn("subcategory", F.coalesce(F.nullif(F.trim(F.col("subcategory")), F.lit("")),
-                                                   F.lit("General")))
+    return console_profile(one_record(spark, rec)).drop("price_ok")
