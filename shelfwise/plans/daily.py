@@ -66,7 +66,7 @@ def fit_daily_model(matrix: DataFrame, cfg: DailyConfig) -> PipelineModel:
                        maxIter=cfg.max_iter, maxDepth=cfg.max_depth, stepSize=cfg.step_size,
                        lossType="squared", validationIndicatorCol="is_val",
                        validationTol=cfg.validation_tol, seed=cfg.seed, maxBins=cfg.max_bins,
-                       checkpointInterval=10, cacheNodeIds=True)
+                       checkpointInterval=10)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
     return Pipeline(stages=[assembler, gbt]).fit(data)
 

@@ -46,7 +46,7 @@ def _gbt(label: str, pred: str, features: str, trees: int, depth: int, cfg: Pric
     return GBTRegressor(featuresCol=features, labelCol=label, predictionCol=pred, maxIter=trees,
                         maxDepth=depth, stepSize=cfg.step_size, subsamplingRate=cfg.subsample,
                         featureSubsetStrategy=str(cfg.subsample), seed=cfg.seed, maxBins=cfg.max_bins,
-                        checkpointInterval=10, cacheNodeIds=True)
+                        checkpointInterval=10)
 
 
 class PriceUnitsModel:
