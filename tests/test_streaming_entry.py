@@ -66,3 +66,18 @@ def test_query_matches_sql_oracle(spark, duck, name):
     idx = [rel.columns.index(c) for c in cols]
     d_rows = sorted(repr(tuple(_norm(r[i]) for i in idx)) for r in rel.fetchall())
     assert s_rows == d_rows
+
+
+def test_stream_price_scoring_equals_batch(spark, tmp_dir):
+    from shelfwise.catalog import products as PR
+    from shelfwise.plans.pricing import PriceConfig, PriceUnitsModel
+    model = PriceUnitsModel.fit(PR.products_train(spark, SF_SMALL), PR.LUXURY_TESTDATA,
+                                PriceConfig(price_trees=3, price_depth=3, units_trees=3, units_depth=3))
+    req = PR.batch_request(spark, SF_SMALL)
+    req.repartition(2).write.parquet(f"{tmp_dir}/req")
+    src = stream_source(spark, f"{tmp_dir}/req", req.schema, max_files_per_trigger=1)
+    q = start(src, model.predict_batch, f"{tmp_dir}/scored", "price_stream_test", checkpoint=f"{tmp_dir}/ck2")
+    q.awaitTermination(300)
+    got = spark.read.parquet(f"{tmp_dir}/scored")
+    want = model.predict_batch(req)
+    assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
