@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features as FE
 from ..plans import daily as DJ
 from ..plans import sentiment as SJ
 from ..plans.pricing import PriceConfig, PriceUnitsModel

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import quality as Q
 from ..operators import report as REP
-from ..operators.features import LUXURY_BRANDS  # noqa: F401  (documented default)
 from ..sources.adapters import daily_sales, money_text
 from . import adapter_sql as A
 from .products import LUXURY_TESTDATA, PRODUCTS, _cols as BATCH_COLS, q_batch_input
