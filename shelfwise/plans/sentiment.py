@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as X
 from ..functions.porter import stem_tokens
+from ..session import ship_package
 
 MAX_ITER = 1000           # reference budget
 VOCAB_SIZE = 1 << 18      # bound on the fitted vocabulary (and on the idf vector)
@@ -31,6 +32,8 @@ def prepare_text(df: DataFrame, text_col: str = "text", preprocess: bool = True,
     """X1-X4 (+X6): ``content`` = cleaned, optionally stemmed text."""
     if not preprocess:
         return df.withColumn("content", X.as_text(F.col(text_col)))
+    if stem:
+        ship_package(df.sparkSession)      # the stemmer runs in Python workers
     kept = X.remove_stop_words(df.withColumn("__raw_tokens", X.letter_tokens(F.col(text_col))),
                                "__raw_tokens", "__tokens")
     toks = stem_tokens(F.col("__tokens")) if stem else F.col("__tokens")
