@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -37,9 +38,10 @@ def labelled(spark, sf_dir):
 def q_review_labels(spark, sf_dir):
     """B14 + A1 + A8 + B7: label frequencies and shares."""
     r = labelled(spark, sf_dir)
-    total = r.count()
+    # the total comes from the aggregated rows (one per class): same job, bounded window
+    total = F.sum("count").over(Window.partitionBy())
     return (r.groupBy("target").agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("share_pct", F.col("count") / F.lit(float(total)) * 100)
+            .withColumn("share_pct", F.col("count") / total.cast("double") * 100)
             .withColumn("label", R.sentiment_label(F.col("target"))))
 
 
