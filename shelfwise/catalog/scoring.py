@@ -92,26 +92,15 @@ def q_batch_top_units(spark, sf_dir):
     return REP.top_k(q_batch_scored(spark, sf_dir), "Predicted_Units_Sold", 5, "sku", TOP_COLUMNS)
 
 
-def result_filter(df: DataFrame, premium: bool, high_volume: bool, high_revenue: bool) -> DataFrame:
-    """Independently switchable, combined with AND."""
-    out = df
-    if premium:
-        out = out.where(F.col("Recommended_Price") > R.PREMIUM_PRICE)
-    if high_volume:
-        out = out.where(F.col("Predicted_Units_Sold") > R.HIGH_VOLUME)
-    if high_revenue:
-        out = out.where(F.col("Predicted_Revenue") > R.HIGH_REVENUE)
-    return out
-
 
 def q_batch_filter_premium_revenue(spark, sf_dir):
     """F2 AND F4."""
-    return result_filter(q_batch_scored(spark, sf_dir), True, False, True).select(*TOP_COLUMNS)
+    return REP.result_filter(q_batch_scored(spark, sf_dir), True, False, True).select(*TOP_COLUMNS)
 
 
 def q_batch_filter_volume(spark, sf_dir):
     """F3."""
-    return result_filter(q_batch_scored(spark, sf_dir), False, True, False).select(*TOP_COLUMNS)
+    return REP.result_filter(q_batch_scored(spark, sf_dir), False, True, False).select(*TOP_COLUMNS)
 
 
 def q_price_insights(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as X
 from ..functions.porter import stem_tokens
+from ..operators import report as REP
 from ..operators.split import hash_split, share_threshold, stratified_hash_split
 from ..operators.tfidf import tfidf
 from ..sources.adapters import reviews
@@ -40,7 +41,7 @@ def q_review_labels(spark, sf_dir):
     r = labelled(spark, sf_dir)
     # the total comes from the aggregated rows (one per class): same job, bounded window
     total = F.sum("count").over(Window.partitionBy())
-    return (r.groupBy("target").agg(F.count(F.lit(1)).alias("count"))
+    return (REP.frequency(r, "target", "count")                                   # A1
             .withColumn("share_pct", F.col("count") / total.cast("double") * 100)
             .withColumn("label", R.sentiment_label(F.col("target"))))
 

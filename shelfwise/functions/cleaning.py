@@ -89,8 +89,3 @@ def numeric_or_default(raw: Column, default: float) -> Column:
 def category_or_unknown(c: Column) -> Column:
     """Categorical value as trimmed string, NULL -> 'Unknown'."""
     return strip_all(F.coalesce(c.cast("string"), F.lit("Unknown")))
-
-
-def trunc_to_long(c: Column) -> Column:
-    """``astype(int)``: truncate toward zero."""
-    return c.cast("long")

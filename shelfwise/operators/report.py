@@ -1,4 +1,4 @@
-"""Reporting aggregates, filters and top-k.
+"""Reporting aggregates, filters and top-k (A1, A4, V10, V12, T1, T2, F2-F4) and the metric rounding.
 
 Each report is one aggregation: partial aggregates are combined map-side, so
 even a group holding a third of the rows leaves every task with one partial
@@ -62,32 +62,16 @@ def top_k(df: DataFrame, by: str, k: int, tie: str, columns: list[str]) -> DataF
     return df.orderBy(F.col(by).desc_nulls_last(), F.col(tie).asc()).limit(k).select(*columns)
 
 
-def accuracy(df: DataFrame, label: str, prediction: str) -> Column:
-    """A15 as an aggregate expression."""
-    return F.avg((F.col(label).cast("double") == F.col(prediction).cast("double")).cast("double"))
+def result_filter(df: DataFrame, premium: bool = False, high_volume: bool = False,
+                  high_revenue: bool = False) -> DataFrame:
+    """F2-F4 on scored products: independently switchable, combined with AND."""
+    from ..functions import rules as R
 
-
-def regression_errors(df: DataFrame, label: str, prediction: str, by: str | None = None) -> DataFrame:
-    """MAE and RMSE (per ``by`` group when given)."""
-    err = F.col(label).cast("double") - F.col(prediction).cast("double")
-    aggs = [F.count(F.lit(1)).alias("rows"), F.avg(F.abs(err)).alias("mae"),
-            F.sqrt(F.avg(err * err)).alias("rmse")]
-    return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
-
-
-def r2_rmse(label: Column, prediction: Column, prefix: str) -> list[Column]:
-    """A12 terms: RMSE and R^2 = 1 - SSE / (n * var_pop(y)), NULL when y is constant."""
-    err = label - prediction
-    sse = F.sum(err * err)
-    n = F.count(label)
-    return [F.sqrt(sse / n).alias(f"{prefix}_rmse"),
-            (F.lit(1.0) - F.try_divide(sse, n * F.var_pop(label))).alias(f"{prefix}_r2")]
-
-
-def range_ratio(label: Column, prediction: Column) -> list[Column]:
-    """Spread of predictions relative to the spread of the target."""
-    spread_p = F.max(prediction) - F.min(prediction)
-    spread_y = F.max(label) - F.min(label)
-    ratio = F.when(spread_y == 0, F.lit(0.0)).otherwise(spread_p / spread_y)
-    return [ratio.alias("range_ratio"),
-            F.when(ratio < 0.1, F.lit("WARNING")).otherwise(F.lit("PASS")).alias("range_status")]
+    out = df
+    if premium:
+        out = out.where(F.col("Recommended_Price") > R.PREMIUM_PRICE)
+    if high_volume:
+        out = out.where(F.col("Predicted_Units_Sold") > R.HIGH_VOLUME)
+    if high_revenue:
+        out = out.where(F.col("Predicted_Revenue") > R.HIGH_REVENUE)
+    return out

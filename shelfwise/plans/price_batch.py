@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import features as FE
 from ..operators import quality as Q
-from ..operators.report import money_sum, top_k
+from ..operators.report import money_sum, result_filter, top_k
 from ..sources import sinks
 from .pricing import PriceUnitsModel
 
@@ -64,18 +64,6 @@ def summary(scored: DataFrame, request: DataFrame) -> DataFrame:
                         .otherwise(F.lit(0.0)))
 
 
-def filtered(scored: DataFrame, premium: bool = False, high_volume: bool = False,
-             high_revenue: bool = False) -> DataFrame:
-    """F2-F4, independently switchable, AND-combined."""
-    out = scored
-    if premium:
-        out = out.where(F.col("Recommended_Price") > R.PREMIUM_PRICE)
-    if high_volume:
-        out = out.where(F.col("Predicted_Units_Sold") > R.HIGH_VOLUME)
-    if high_revenue:
-        out = out.where(F.col("Predicted_Revenue") > R.HIGH_REVENUE)
-    return out
-
 
 def preview(df: DataFrame, n: int, order: list[str]) -> list:
     """The first ``n`` rows in an explicit order (a bounded take)."""
@@ -83,7 +71,8 @@ def preview(df: DataFrame, n: int, order: list[str]) -> list:
 
 
 def run(spark: SparkSession, request: DataFrame, model: PriceUnitsModel, out_dir: str,
-        order: list[str] | None = None) -> dict:
+        order: list[str] | None = None, premium: bool = False, high_volume: bool = False,
+        high_revenue: bool = False) -> dict:
     req = prepare_request(request, order)
     scored_path = sinks.write_csv(model.predict_batch(req), sinks.timestamped(out_dir, "scored"))  # K1
     from ..sources.readers import read_products_csv
@@ -93,4 +82,5 @@ def run(spark: SparkSession, request: DataFrame, model: PriceUnitsModel, out_dir
         "scored_path": scored_path, "summary": summ,
         "top_revenue": [r.asDict() for r in top_k(scored, "Predicted_Revenue", 5, "product_id", TOP_COLUMNS).collect()],
         "top_units": [r.asDict() for r in top_k(scored, "Predicted_Units_Sold", 5, "product_id", TOP_COLUMNS).collect()],
+        "filtered_rows": result_filter(scored, premium, high_volume, high_revenue).count(),     # F2-F4
     }

@@ -31,8 +31,9 @@ def model(spark):
 
 def test_batch_page(spark, model, tmp_dir):
     req = PR.batch_request(spark, SF).select("sku", "brand", "category", "original_price", "season")
-    res = price_batch.run(spark, req, model, tmp_dir, ["sku"])
+    res = price_batch.run(spark, req, model, tmp_dir, ["sku"], premium=True)
     n = req.count()
+    assert 0 <= res["filtered_rows"] <= n
     assert res["summary"]["total_products"] == n
     assert len(res["top_revenue"]) == min(5, n) and len(res["top_units"]) == min(5, n)
     ids = spark.read.option("header", True).csv(res["scored_path"]).select("product_id").collect()
