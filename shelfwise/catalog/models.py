@@ -31,6 +31,15 @@ def _memo(spark, key, build):
     return _FITS[k]
 
 
+def release_fits(spark) -> None:
+    """Forget this session's fitted models and unpersist their cached inputs."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _FITS if k[0] == app]:
+        value = _FITS.pop(key)
+        if hasattr(value, "unpersist"):
+            value.unpersist()
+
+
 def daily_matrix(spark, sf_dir):
     """Model matrix, persisted once per session: the fit, its evaluation and the
     prediction report all read it (a lost block is recomputed from lineage)."""

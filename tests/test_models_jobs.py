@@ -122,3 +122,12 @@ def test_tweet_and_encoder_readers(spark, tmp_dir):
         json.dump({"PROD_001": 0, "PROD_002": 1}, f, indent=2)
     got = {r["product_id"]: r["product_id_encoded"] for r in readers.read_encoder_json(spark, e).collect()}
     assert got == {"PROD_001": 0, "PROD_002": 1}
+
+
+def test_release_fits(spark):
+    from shelfwise.catalog import models as M
+    m = M.daily_matrix(spark, SF_SMALL)
+    assert m.storageLevel.useMemory or m.storageLevel.useDisk
+    M.release_fits(spark)
+    assert not any(k[0] == spark.sparkContext.applicationId for k in M._FITS)
+    assert not (m.storageLevel.useMemory or m.storageLevel.useDisk)
