@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..sources.tables import table
-from . import secret_scan, sentencepiece_bpe, token_counts
+from . import quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, token_counts, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +16,23 @@ def op1_secret_scans(spark, sf_dir):
     return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
 
 
+# --- fixed values: the rules of the URL query
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+# --- end of fixed values
+
+
+def op2_url_filters(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
+def op3_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -26,7 +41,7 @@ def op9_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.encoding_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = [op1_secret_scans, op8_token_counts, op9_sentencepiece]
+QUERIES = [op1_secret_scans, op2_url_filters, op3_simhash_dedup, op7_quality_rules, op8_token_counts, op9_sentencepiece]
 
 
 def queries():
