@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, token_counts, url_filter
+from . import lpf_dedup, phrase_automata, quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, token_counts, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,10 @@ def op3_simhash_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return lpf_dedup.dedup_bytes(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,12 @@ def op9_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.encoding_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = [op1_secret_scans, op2_url_filters, op3_simhash_dedup, op7_quality_rules, op8_token_counts, op9_sentencepiece]
+def op10_phrase_dedup(spark, sf_dir):
+    return phrase_automata.dedup_phrases(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+QUERIES = [op1_secret_scans, op2_url_filters, op3_simhash_dedup, op5_suffix_dedup, op7_quality_rules, op8_token_counts, op9_sentencepiece,
+           op10_phrase_dedup]
 
 
 def queries():
