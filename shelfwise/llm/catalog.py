@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import lpf_dedup, phrase_automata, quality_lm, quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, token_counts, url_filter
+from . import lpf_dedup, lsi_decontamination, phrase_automata, quality_lm, quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, token_counts, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -37,6 +37,11 @@ def op5_suffix_dedup(spark, sf_dir):
     return lpf_dedup.dedup_bytes(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op6_decontamination(spark, sf_dir):
+    found = lsi_decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "subsequence", "answer")
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +58,8 @@ def op10_phrase_dedup(spark, sf_dir):
     return phrase_automata.dedup_phrases(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
-QUERIES = [op1_secret_scans, op2_url_filters, op3_simhash_dedup, op4_quality_classifier, op5_suffix_dedup, op7_quality_rules, op8_token_counts, op9_sentencepiece,
+QUERIES = [op1_secret_scans, op2_url_filters, op3_simhash_dedup, op4_quality_classifier, op5_suffix_dedup,
+           op6_decontamination, op7_quality_rules, op8_token_counts, op9_sentencepiece,
            op10_phrase_dedup]
 
 
