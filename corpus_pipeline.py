@@ -1,13 +1,79 @@
-"""The training-data pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""The training-data pipeline over ``documents``: five stages, each written as Parquet and read by the next.
+
+A stage gets the rows that the one before kept and returns the rows that it keeps, with the columns
+of ``documents``; the last returns tokens. Verdicts are joined to rows by the text's MD5 (and the
+language or the id, where the verdict depends on it), so rows without an id are judged like others.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfwise.llm import lsi_decontamination, quality_lm, secret_scan, sentencepiece_bpe, simhash_dedup
+from shelfwise.llm.catalog import vocabulary
+from shelfwise.session import scratch_path
+from shelfwise.sources.tables import table
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model does not reject."""
+    verdicts = quality_lm.classify(docs, table(spark, sf_dir, "labels"))
+    rejected = verdicts.where(~F.col("kept")).select(F.col("key").alias("__key"), F.col("lang").alias("__lang")).distinct()
+    rows = _keyed(docs).withColumn("__lang", F.coalesce("lang", F.lit("")))
+    return rows.join(rejected, ["__key", "__lang"], "left_anti").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates: the one with the least id."""
+    found = simhash_dedup.near_duplicates(docs, words=4, most=4)
+    stay = simhash_dedup.representatives(found).select(F.col("doc_id").alias("__id"), F.col("key").alias("__own"))
+    rows = _keyed(docs)
+    rows = rows.join(stay, (F.col("__key") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that give no benchmark item away."""
+    found = lsi_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    leaks = found.select(F.col("key").alias("__key")).distinct()
+    return _keyed(docs).join(leaks, "__key", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    clean = secret_scan.redact_secrets(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decodes``: the ids of every document, and whether they decode to its text."""
+    found = sentencepiece_bpe.encode_documents(docs, vocabulary("piece_bpe_32k.model"), check=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decodes")
+
+
+STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination),
+          ("secret scans", secrets), ("SentencePiece encoding and decoding", tokens)]
+
+#: SQL can express neither the language model nor the tokens; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between them goes when the application ends."""
+    docs = table(spark, sf_dir, "documents")
+    base = os.path.join(scratch_path(spark, "pipeline"), uuid.uuid4().hex)
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(base)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,11 +26,11 @@ def op2_url_filters(spark, sf_dir):
 
 
 def op3_simhash_dedup(spark, sf_dir):
-    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, most=4).drop("key")
 
 
 def op4_quality_classifier(spark, sf_dir):
-    return quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
 
 
 def op5_suffix_dedup(spark, sf_dir):

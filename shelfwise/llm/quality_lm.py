@@ -17,6 +17,7 @@ So what moves is the packed text, twice, and a few rows for each bucket and dist
 
 from __future__ import annotations
 
+import hashlib
 import io
 
 import numpy as np
@@ -165,7 +166,8 @@ def bucket_scores(left: pa.Table, right: pa.Table) -> pa.Table:
         g = Grams(values[part])
         n.append(g.predicted)
         total.append(-g.sums(gram, value, len(g.predicted)))
-    return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "lang": docs.column("lang").cast(pa.string()),
+    keys = [hashlib.md5(t.encode()).digest() for t in values]
+    return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "key": pa.array(keys, pa.binary()), "lang": docs.column("lang").cast(pa.string()),
                      "n_chars": pa.array(np.concatenate(n) - 1), "nll": pa.array(np.concatenate(total))})
 
 
@@ -215,7 +217,7 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 
 
 def perplexities(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, lang, n_chars, nll`` of every text under the model of the ``trusted`` ids' texts."""
+    """``doc_id, key, lang, n_chars, nll`` of every text under the model of the ``trusted`` ids' texts; ``key`` is the text's MD5."""
     docs = texts(df, doc_id, text, lang=F.coalesce(F.col(lang).cast("string"), F.lit("")))
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(shuffle_parts(df.sparkSession), total // BUCKET + 1)
@@ -226,12 +228,12 @@ def perplexities(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text
     counts = stored(seen.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     back = seen.select("bucket", "gram").join(log_probabilities(counts), "gram")
     return packed(docs, buckets).groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(
-        bucket_scores, "doc_id long, lang string, n_chars long, nll double")
+        bucket_scores, "doc_id long, key binary, lang string, n_chars long, nll double")
 
 
 def classify(df: DataFrame, labels: DataFrame, upper: float = 0.999, lower: float = 0.001, settle: float = 60.0, held_out: int = 5,
              doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", toxic: str = "toxic") -> DataFrame:
-    """``doc_id, lang, n_chars, perplexity, low, high, kept`` for each input row.
+    """``doc_id, key, lang, n_chars, perplexity, low, high, kept`` for each input row; ``key`` is the MD5 of its text.
 
     Kept is a document whose perplexity lies within its language's quantiles ``lower`` and ``upper``
     of the held-out trusted documents: above is noise, below is the same again and again. Each
@@ -249,16 +251,16 @@ def classify(df: DataFrame, labels: DataFrame, upper: float = 0.999, lower: floa
     mine = scores.join(known.where(held), "doc_id", "left_semi")
     mean = mine.agg((F.sum("nll") / F.sum(F.col("n_chars") + 1)).alias("m")).first()["m"]
     if mean is None:
-        return scores.select("doc_id", "lang", "n_chars", F.exp(F.col("nll") / (F.col("n_chars") + 1)).alias("perplexity"),
+        return scores.select("doc_id", "key", "lang", "n_chars", F.exp(F.col("nll") / (F.col("n_chars") + 1)).alias("perplexity"),
                              F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("kept"))
     score = (F.col("nll") + settle * mean) / (F.col("n_chars") + 1 + settle)
     bins = mine.select("lang", F.floor(score * BINS).alias("bin"))
     low, high = (bounds(bins, q, side) for q, side in ((lower, "low"), (upper, "high")))
     of_lang = low[0].join(high[0], "lang")
     return (scores.join(of_lang, "lang", "left")
-            .select("doc_id", "lang", "n_chars", F.exp(F.col("nll") / (F.col("n_chars") + 1)).alias("perplexity"),
+            .select("doc_id", "key", "lang", "n_chars", F.exp(F.col("nll") / (F.col("n_chars") + 1)).alias("perplexity"),
                     (F.coalesce("low", F.lit(low[1])) / BINS).alias("low"), (F.coalesce("high", F.lit(high[1])) / BINS).alias("high"), score.alias("score"))
-            .select("doc_id", "lang", "n_chars", "perplexity", F.exp("low").alias("low"), F.exp("high").alias("high"),
+            .select("doc_id", "key", "lang", "n_chars", "perplexity", F.exp("low").alias("low"), F.exp("high").alias("high"),
                     F.col("score").between(F.col("low"), F.col("high")).alias("kept")))
 
 

@@ -117,25 +117,38 @@ def secret_digests(df: DataFrame, reach: int = REACH, doc_id: str = "doc_id", te
         "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact_secrets(df: DataFrame, reach: int = REACH, mark: str = "[secret]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, n_secrets``: texts with each run of overlapping spans replaced by ``mark``."""
+def redact_secrets(df: DataFrame, reach: int = REACH, mark: str = "[secret]", text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are but ``text``: each run of overlapping spans gives way to ``mark``.
+
+    A null text stays null, other rows without spans stay as they are; an empty table gives an empty one.
+    """
+    from .base import ship_package
+
+    ship_package(df.sparkSession)
+    at = df.columns.index(text)
+
     def run(batches):
         for b in batches:
-            out, n = [], []
-            for t in b.column("text").to_pylist():
-                base = base_spans(t)
-                spans = sorted([*base, *linked_spans(t, base, reach)])
-                kept, at = [], 0
-                for s, e, _ in spans:
-                    if s >= at:
-                        kept += [t[at:s], mark]
-                    at = max(at, e)
-                out.append("".join([*kept, t[at:]]))
-                n.append(len(spans))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string()), pa.array(n, pa.int64())],
-                                             ["doc_id", "text", "n_secrets"])
-
-    return texts(df, doc_id, text).mapInArrow(run, "doc_id long, text string, n_secrets long")
+            out = []
+            for t in b.column(at).to_pylist():
+                if t:
+                    base = base_spans(t)
+                    spans = sorted([*base, *linked_spans(t, base, reach)])
+                    if spans:
+                        t = redacted(t, spans, mark)
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, b.schema.field(at).type), *b.columns[at + 1:]], schema=b.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    kept, at = [], 0
+    for s, e, _ in spans:
+        if s >= at:
+            kept += [text[at:s], mark]
+        at = max(at, e)
+    return "".join([*kept, text[at:]])
 
 
 def _mapped(df, doc_id, text, reach, columns, ddl) -> DataFrame:

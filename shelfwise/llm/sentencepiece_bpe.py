@@ -166,9 +166,10 @@ def encoder(model_file: str) -> MergeEncoder:
     return _encoders[model_file]
 
 
-def encode_documents(df: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(df: DataFrame, model_file: str, check: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of every text: ``doc_id, ids array<int>, decoded string``, a row for each input row.
 
+    With ``check``, instead of ``decoded``, ``decodes``: whether the ids decode to the text.
     A null or empty text has no ids and decodes to the empty text; null ids and repeated rows come
     back as they are; other columns are not read. An empty table gives an empty one. The longest
     text bounds a task's memory.
@@ -179,11 +180,12 @@ def encode_documents(df: DataFrame, model_file: str, doc_id: str = "doc_id", tex
             values = b.column("text").to_pylist()
             for part in sub_batches([len(t) for t in values], 1 << 22):
                 ids = [enc.encode(t) for t in values[part]]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[part.start:part.stop], pa.array(ids, pa.list_(pa.int32())),
-                     pa.array([enc.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                back = [enc.decode(x) for x in ids]
+                last = pa.array([x == t for x, t in zip(back, values[part])], pa.bool_()) if check else pa.array(back, pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[part.start:part.stop], pa.array(ids, pa.list_(pa.int32())), last],
+                                                 ["doc_id", "ids", "decodes" if check else "decoded"])
 
-    return texts(df, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return texts(df, doc_id, text).mapInArrow(run, f"doc_id long, ids array<int>, {'decodes boolean' if check else 'decoded string'}")
 
 
 def encoding_digests(df: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -67,13 +67,14 @@ LOWER = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(
 
 
 def fingerprints(df: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long) of every whole text."""
+    """``doc_id, key, fp`` of every whole text: its MD5, and the 64 bits as a long."""
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t.encode(), words) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return texts(df, doc_id, text).mapInArrow(run, "doc_id long, fp long")
+    docs = texts(df, doc_id, text).select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
+    return docs.mapInArrow(run, "doc_id long, key binary, fp long")
 
 
 # ---- the plan: parts of correlated bits, and their thresholds
@@ -338,7 +339,7 @@ def edges(nodes: DataFrame, most: int, group: int = GROUP) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, words: int = 4, most: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each input row.
+    """``doc_id, key, fingerprint, component_id`` for each input row; ``key`` is the MD5 of its text.
 
     ``component_id`` is the least id that links reach. A null or empty text has the fingerprint zero
     and links like any other. A row without an id keeps its fingerprint and gets the component of
@@ -351,4 +352,15 @@ def near_duplicates(df: DataFrame, words: int = 4, most: int = 4, doc_id: str =
     moved = components(pairs)
     labels = nodes.join(moved, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return docs.join(labels, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """``doc_id, key`` of one row of each component of ``near_duplicates``: the least id.
+
+    Rows without an id stay only if no row with an id has their fingerprint, one for each fingerprint.
+    """
+    least = F.min(F.struct("doc_id", "key")).alias("least")
+    with_id = found.where("doc_id is not null").groupBy("component_id").agg(least)
+    without = found.where("component_id is null").groupBy("fingerprint").agg(least)
+    return with_id.select("least.*").union(without.select("least.*"))
