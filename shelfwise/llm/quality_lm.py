@@ -36,6 +36,9 @@ BUCKET = 16 << 20
 DENSE = 1 << 23
 UNSEEN = 1 << 17  # characters that might be: the order below the first gives each the same share
 BINS = 1000  # of the log-perplexity, for one unit
+#: Of the distance between the quantiles: added on both sides, and times the root of one over the number of documents.
+ALLOWANCE, FEW = 0.1, 2.0
+MOST_BINS = 30 * BINS  # a log-perplexity over 30 is out of any bounds
 
 
 def place(doc_id: Column, text: Column, buckets: int) -> Column:
@@ -254,27 +257,35 @@ def classify(df: DataFrame, labels: DataFrame, upper: float = 0.999, lower: floa
         return scores.select("doc_id", "key", "lang", "n_chars", F.exp(F.col("nll") / (F.col("n_chars") + 1)).alias("perplexity"),
                              F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("kept"))
     score = (F.col("nll") + settle * mean) / (F.col("n_chars") + 1 + settle)
-    bins = mine.select("lang", F.floor(score * BINS).alias("bin"))
-    low, high = (bounds(bins, q, side) for q, side in ((lower, "low"), (upper, "high")))
-    of_lang = low[0].join(high[0], "lang")
+    bins = mine.select("lang", F.least(F.floor(score * BINS), F.lit(MOST_BINS)).alias("bin"))
+    of_lang, (low, high) = bounds(bins, lower, upper)
     return (scores.join(of_lang, "lang", "left")
             .select("doc_id", "key", "lang", "n_chars", F.exp(F.col("nll") / (F.col("n_chars") + 1)).alias("perplexity"),
-                    (F.coalesce("low", F.lit(low[1])) / BINS).alias("low"), (F.coalesce("high", F.lit(high[1])) / BINS).alias("high"), score.alias("score"))
+                    (F.coalesce("low", F.lit(low)) / BINS).alias("low"), (F.coalesce("high", F.lit(high)) / BINS).alias("high"), score.alias("score"))
             .select("doc_id", "key", "lang", "n_chars", "perplexity", F.exp("low").alias("low"), F.exp("high").alias("high"),
                     F.col("score").between(F.col("low"), F.col("high")).alias("kept")))
 
 
-def bounds(bins: DataFrame, quantile: float, name: str) -> tuple[DataFrame, int]:
-    """``lang`` and the edge of the bin that holds the quantile (its upper edge if high); and that of all languages.
+def bounds(bins: DataFrame, lower: float, upper: float) -> tuple[DataFrame, tuple[float, float]]:
+    """``lang, low, high`` in bins: the outer edges of the bins that hold the quantiles, and an allowance; and those of all languages.
 
-    Counted by language and bin first, so a language with a third of the rows is a few thousand counts.
+    The allowance is a tenth of what lies between, and more for few documents, whose quantiles say
+    little about the next one. Counted by language and bin first, so a language with a third of the
+    rows is a few thousand counts.
     """
-    def of(counts: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by)
-        below = F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-        edge = F.min(F.when(F.col("below") >= quantile * F.col("all"), F.col("bin"))) + (1 if quantile > 0.5 else 0)
-        return counts.withColumn("below", below).withColumn("all", F.sum("n").over(w)).groupBy(*by).agg(edge.alias(name))
-
     counts = bins.groupBy("lang", "bin").agg(F.count("*").alias("n"))
-    whole = counts.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("every", F.lit(0))
-    return of(counts, ["lang"]), of(whole, ["every"]).first()[name]
+    w = Window.partitionBy("lang")
+    edges = (counts.withColumn("below", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("all", F.sum("n").over(w)).groupBy("lang", "all")
+             .agg(F.min(F.when(F.col("below") >= lower * F.col("all"), F.col("bin"))).alias("low"),
+                  (F.min(F.when(F.col("below") >= upper * F.col("all"), F.col("bin"))) + 1).alias("high")))
+    more = (F.col("high") - F.col("low")) * (ALLOWANCE + FEW / F.sqrt("all"))
+    table = edges.select("lang", (F.col("low") - more).alias("low"), (F.col("high") + more).alias("high"))
+    whole = sorted((r["bin"], r["n"]) for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect())  # MOST_BINS at most
+    total, at, low, high = sum(n for _, n in whole), 0, None, None
+    for b, n in whole:
+        at += n
+        low = b if low is None and at >= lower * total else low
+        high = b + 1 if high is None and at >= upper * total else high
+    more = (high - low) * (ALLOWANCE + FEW / total ** 0.5)
+    return table, (low - more, high + more)
