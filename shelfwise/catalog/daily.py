@@ -9,6 +9,7 @@ from ..operators import quality as Q
 from ..operators.indexing import dense_code
 from ..operators.report import split_report
 from ..operators.split import apply_time_split, fit_time_split
+from ..plans.daily import model_matrix
 from ..sources.adapters import daily_raw, daily_sales
 from . import adapter_sql as A
 
@@ -62,14 +63,7 @@ def q_daily_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P3 + P7 + P8 keys: model matrix of the daily regressor, typed as the reference."""
-    s = split_daily(spark, sf_dir)
-    return s.select(
-        "date", "product_id", "split",
-        F.col("lag_7").cast("float").alias("lag_7"),
-        F.col("sale_price").cast("float").alias("sale_price"),
-        F.col("is_promo").cast("tinyint").alias("is_promo"),
-        F.col("product_id_encoded").cast("int").alias("product_id_encoded"),
-        F.col("units_sold").cast("float").alias("target"))
+    return model_matrix(split_daily(spark, sf_dir))
 
 
 def q_daily_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,32 +9,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.drift import SERIES_TERMS, SMALL_LAMBDA, ks_two_sample
+from ..plans import daily as DJ
+from ..plans.pricing import regression_report
 from . import daily as D
 from . import products as PR
 from .scoring import SQL_DEMAND, standin_demand
 
-from ..operators.report import metric  # noqa: E402
+
+def standin_predictions(spark, sf_dir, *splits):
+    """The stand-in forecast of some splits in the shape of ``daily.predictions``."""
+    s = D.split_daily(spark, sf_dir).where(F.col("split").isin(*splits))
+    return s.select("split", F.col("units_sold").alias("true_units"), standin_demand().alias("predicted_units"))
 
 
 def q_daily_errors(spark, sf_dir):
     """MAE and RMSE of the (stand-in) demand forecast, per hold-out split."""
-    s = D.split_daily(spark, sf_dir).where(F.col("split").isin("val", "test"))
-    err = F.col("units_sold").cast("double") - standin_demand()
-    n = F.count(F.lit(1))
-    return s.groupBy("split").agg(n.alias("rows"),
-                                  metric(F.avg(F.abs(err))).alias("mae"),
-                                  metric(F.sqrt(F.avg(err * err))).alias("rmse"))
+    return DJ.evaluate(standin_predictions(spark, sf_dir, "val", "test")).select("split", "rows", "mae", "rmse")
 
 
 def q_daily_range_check(spark, sf_dir):
     """Prediction spread vs target spread on the test split."""
-    s = D.split_daily(spark, sf_dir).where(F.col("split") == "test").withColumn("p", standin_demand())
-    y = F.col("units_sold").cast("double")
-    sp, sy = F.max("p") - F.min("p"), F.max(y) - F.min(y)
-    g = s.agg(sp.alias("pred_spread"), sy.alias("target_spread"))
-    ratio = F.when(F.col("target_spread") == 0, F.lit(0.0)).otherwise(F.col("pred_spread") / F.col("target_spread"))
-    return g.withColumn("range_ratio", ratio).withColumn(
-        "range_status", F.when(F.col("range_ratio") < 0.1, F.lit("WARNING")).otherwise(F.lit("PASS")))
+    return DJ.evaluate(standin_predictions(spark, sf_dir, "test")).select("pred_spread", "target_spread", "range_ratio", "range_status")
 
 
 def q_daily_drift_ks(spark, sf_dir):
@@ -51,16 +46,7 @@ def q_price_holdout_eval(spark, sf_dir):
     feat = PR.q_price_features(spark, sf_dir).where(F.col("split") == "test")
     pp = F.greatest(standin_eval_price(), F.lit(0.0))
     up = F.greatest(F.lit(300.0) - pp * F.lit(0.2), F.lit(0.0))
-    t = feat.select(F.col("current_price").alias("y1"), pp.alias("p1"),
-                    F.col("units_sold").alias("y2"), up.alias("p2"))
-    n = F.count(F.lit(1))
-    aggs = [n.alias("rows")]
-    for y, p, name in (("y1", "p1", "price"), ("y2", "p2", "units")):
-        e = F.col(y) - F.col(p)
-        aggs += [metric(F.sqrt(F.avg(e * e))).alias(f"{name}_rmse"),
-                 metric(F.lit(1.0) - F.try_divide(F.sum(e * e), F.count(F.col(y)) * F.var_pop(F.col(y))))
-                 .alias(f"{name}_r2")]
-    return t.agg(*aggs)
+    return regression_report(feat, {"price": (F.col("current_price"), pp), "units": (F.col("units_sold"), up)})
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.split import apply_time_split, fit_time_split
 from ..plans import daily as DJ
 from ..plans import sentiment as SJ
 from ..plans.pricing import PriceConfig, PriceUnitsModel
@@ -70,6 +71,14 @@ def q_daily_model_predictions(spark, sf_dir):
     return DJ.predictions(m, daily_matrix(spark, sf_dir).where(F.col("split") == "test"))
 
 
+def q_daily_raw_scored(spark, sf_dir):
+    """P8 on the dirty fact: every row of the test split has a forecast, missing features or not."""
+    cleaned = D.q_daily_cleaned(spark, sf_dir)
+    matrix = DJ.model_matrix(apply_time_split(cleaned, fit_time_split(cleaned)))
+    pred = DJ.predictions(daily_model(spark, sf_dir), matrix.where(F.col("split") == "test"))
+    return pred.agg(F.count(F.lit(1)).alias("rows"), F.count("predicted_units").alias("predicted"))
+
+
 def q_demand_batch_model(spark, sf_dir):
     """Batch demand scoring with the fitted model; unknown products stay NULL."""
     from ..plans.demand_scoring import score_requests
@@ -111,16 +120,16 @@ def q_sentiment_model_eval(spark, sf_dir):
 
 
 def q_sentiment_scored(spark, sf_dir):
-    """G9 + B7: predicted label of every held-out review."""
-    scored = SJ.score(sentiment_model(spark, sf_dir),
-                      sentiment_data(spark, sf_dir).where(F.col("split") == "test"))
-    return scored.select("doc_id", "target", F.col("prediction").cast("int").alias("prediction"), "sentiment")
+    """G9 + B7: predicted label of every review, of both parts."""
+    scored = SJ.score(sentiment_model(spark, sf_dir), sentiment_data(spark, sf_dir))
+    return scored.select("doc_id", "split", "target", F.col("prediction").cast("int").alias("prediction"), "sentiment")
 
 
 QUERIES = {
     "daily_model_eval": q_daily_model_eval,
     "daily_model_importance": q_daily_model_importance,
     "daily_model_predictions": q_daily_model_predictions,
+    "daily_raw_scored": q_daily_raw_scored,
     "demand_batch_model": q_demand_batch_model,
     "price_model_eval": q_price_model_eval,
     "price_model_scored": q_price_model_scored,
@@ -128,4 +137,12 @@ QUERIES = {
     "sentiment_scored": q_sentiment_scored,
 }
 
-SQL: dict = {}   # model fits have no SQL oracle (rows-only check)
+# Model fits have no SQL oracle (rows-only check); how many rows they must score has.
+SQL = {
+    "daily_raw_scored": f"""WITH {D.PARSED},
+cleaned AS ({D._CLEANED_SELECT}),
+dd AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS n
+       FROM (SELECT DISTINCT date FROM cleaned WHERE date IS NOT NULL)),
+t AS (SELECT c.* FROM cleaned c JOIN dd USING (date) WHERE i >= CAST(FLOOR(n * CAST(0.85 AS DOUBLE)) AS BIGINT))
+SELECT count(*) AS rows, count(*) AS predicted FROM t""",
+}

@@ -55,8 +55,8 @@ def q_price_features(spark, sf_dir):
 
 
 def batch_request(spark, sf_dir) -> DataFrame:
-    """What a caller uploads for bulk scoring: held-out products, no targets, no ids."""
-    s = products_split(spark, sf_dir).where(F.col("split") == "test")
+    """What a caller uploads for bulk scoring: products without targets and ids."""
+    s = retail_products(spark, sf_dir)
     return s.select(F.col("product_id").alias("sku"), "category", "subcategory", "brand", "color",
                     "size", "season", "original_price", "competitor_price",
                     "discount_percentage", "date", "return_rate")
@@ -69,8 +69,8 @@ def q_batch_input(spark, sf_dir):
 
 
 def q_console_records(spark, sf_dir):
-    """Held-out products as hand-entered records (some with a blank subcategory)."""
-    s = products_split(spark, sf_dir).where(F.col("split") == "test")
+    """Products as hand-entered records (some with a blank subcategory)."""
+    s = retail_products(spark, sf_dir)
     blank = F.substring(F.md5(F.col("product_id")), 1, 1).isin("0", "1", "2", "3")
     req = s.select(F.col("product_id").alias("sku"), "brand", "category",
                    F.col("original_price").cast("string").alias("original_price"),
@@ -181,7 +181,7 @@ _added = [c for c in FE.BATCH_DEFAULTS if c not in _present and c != "product_id
 _cols = []
 for c in _present + ["product_id"] + _added:
     if c == "product_id":
-        _cols.append("printf('BATCH_%04d', CAST(row_number() OVER (ORDER BY sku) AS BIGINT)) AS product_id")
+        _cols.append("printf('BATCH_%04d', CAST(row_number() OVER (ORDER BY sku) - 1 AS BIGINT)) AS product_id")
     elif c in FE.BATCH_NUMERIC:
         src = c if c in _present else _lit(FE.BATCH_DEFAULTS[c])
         _cols.append(f"{_num(src, c)} AS {c}")
@@ -196,7 +196,7 @@ for c in _present + ["product_id"] + _added:
 SQL["batch_input"] = (f"WITH {PRODUCTS}, "
                       "req AS (SELECT product_id AS sku, category, subcategory, brand, color, size, season, "
                       "original_price, competitor_price, discount_percentage, date, return_rate "
-                      "FROM products WHERE split = 'test') "
+                      "FROM products) "
                       f"SELECT {', '.join(_cols)} FROM req")
 
 
@@ -213,6 +213,6 @@ _console_cols += [f"{_single_lit(c)} AS {c}" for c in FE.SINGLE_DEFAULTS if c !=
 SQL["console_records"] = (f"WITH {PRODUCTS}, "
                           "req AS (SELECT product_id AS sku, brand, category, CAST(original_price AS VARCHAR) AS original_price, "
                           "CASE WHEN substr(md5(product_id), 1, 1) IN ('0', '1', '2', '3') THEN '  ' ELSE subcategory END AS subcategory, "
-                          "date FROM products WHERE split = 'test'), "
+                          "date FROM products), "
                           f"prof AS (SELECT {', '.join(_console_cols)} FROM req) "
                           "SELECT *, original_price IS NOT NULL AS price_ok FROM prof")

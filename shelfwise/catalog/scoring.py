@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import quality as Q
 from ..operators import report as REP
+from ..plans import demand_scoring, price_batch
+from ..plans.pricing import with_results
 from ..sources.adapters import daily_sales, money_text
 from . import adapter_sql as A
 from .products import LUXURY_TESTDATA, PRODUCTS, _cols as BATCH_COLS, q_batch_input
@@ -50,11 +52,7 @@ SQL_DEMAND = ("(lag_7 * CAST(0.8 AS DOUBLE) + CAST(is_promo AS DOUBLE) * CAST(5.
 def score_batch(inp: DataFrame) -> DataFrame:
     """G4 shape: price -> clamp -> units (fed the clamped price) -> B1 -> P9."""
     price_raw = standin_price(inp)
-    units_raw = standin_units(F.greatest(price_raw, F.lit(0.0)))
-    return inp.withColumns({
-        "Recommended_Price": R.recommended_price(price_raw),
-        "Predicted_Units_Sold": R.rounded_units(units_raw),
-    }).withColumn("Predicted_Revenue", R.revenue(F.col("Recommended_Price"), F.col("Predicted_Units_Sold")))
+    return with_results(inp, price_raw, standin_units(F.greatest(price_raw, F.lit(0.0))))
 
 
 def q_batch_scored(spark, sf_dir):
@@ -64,19 +62,7 @@ def q_batch_scored(spark, sf_dir):
 
 def q_batch_summary(spark, sf_dir):
     """A3 + A4 + A5 + A6: batch totals, price distribution and average margin."""
-    s = q_batch_scored(spark, sf_dir)
-    n = F.count(F.lit(1))
-    g = s.agg(n.alias("total_products"),
-              REP.money_sum(F.col("Predicted_Revenue")).alias("total_revenue"),
-              F.coalesce(F.sum("Predicted_Units_Sold"), F.lit(0)).cast("long").alias("total_units"),
-              (REP.money_sum(F.col("Recommended_Price")) / n).alias("avg_price"),
-              F.min("Recommended_Price").alias("min_price"),
-              F.median("Recommended_Price").alias("median_price"),
-              F.max("Recommended_Price").alias("max_price"),
-              (REP.money_sum(F.col("original_price")) / n).alias("avg_original"))
-    return g.withColumn("avg_margin", F.when(F.col("avg_price") > 0,
-                                             (F.col("avg_price") - F.col("avg_original")) / F.col("avg_price") * 100)
-                        .otherwise(F.lit(0.0)))
+    return price_batch.summary(q_batch_scored(spark, sf_dir))
 
 
 TOP_COLUMNS = ["sku", "brand", "category", "Recommended_Price", "Predicted_Units_Sold", "Predicted_Revenue"]
@@ -121,8 +107,6 @@ def q_price_insights(spark, sf_dir):
 
 # ---------------------------------------------------------------- demand batch
 
-# The caller's column names (P4) for a batch demand request.
-DEMAND_MAPPING = {"units_last_week": "lag_7", "price": "sale_price", "promo": "is_promo", "sku": "product_id"}
 UNKNOWN_EVERY = 11     # every 11th day the request names a product the encoder never saw
 
 
@@ -145,22 +129,8 @@ def demand_encoder(spark, sf_dir) -> DataFrame:
 
 def score_demand(req: DataFrame, encoder: DataFrame) -> DataFrame:
     """G6 (stand-in): map -> coerce -> left lookup -> score known -> round -> rules."""
-    from ..functions.cleaning import to_number
-    mapped = req.select("date", *[F.col(src).alias(dst) for src, dst in DEMAND_MAPPING.items()])   # P4
-    typed = mapped.select("date", "product_id",
-                          to_number(F.col("lag_7")).alias("lag_7"),
-                          to_number(F.col("sale_price")).alias("sale_price"),
-                          to_number(F.col("is_promo")).cast("int").alias("is_promo"))
-    joined = typed.join(encoder, "product_id", "left")                                         # J1
-    pred = F.when(F.col("product_encoded").isNotNull(), standin_demand())                     # F1
-    out = joined.withColumn("predicted_units_sold", pred)
-    out = out.withColumn("predicted_units_sold_rounded", R.rounded_forecast(F.col("predicted_units_sold")))
-    return out.withColumns({
-        "expected_revenue": F.col("predicted_units_sold_rounded") * F.col("sale_price"),        # B3
-        "confidence": R.confidence(F.col("lag_7")),                                             # B4
-        "trend": R.trend(F.col("predicted_units_sold_rounded"), F.col("lag_7")),                # B5
-        "price_text": R.price_text(F.col("sale_price")),                                         # B6
-    })
+    scored = demand_scoring.with_forecast(demand_scoring.prepare_requests(req, encoder, check=False), standin_demand())
+    return scored.withColumn("price_text", R.price_text(F.col("sale_price")))                  # B6
 
 
 def q_demand_batch_check(spark, sf_dir):
@@ -176,14 +146,7 @@ def q_demand_batch(spark, sf_dir):
 
 def q_demand_batch_summary(spark, sf_dir):
     """A7 + A5 + F7: success counts and statistics of the valid forecasts."""
-    s = q_demand_batch(spark, sf_dir)
-    p = F.col("predicted_units_sold")
-    n, ok = F.count(F.lit(1)), F.count(p)
-    return s.agg(n.alias("total_rows"), ok.alias("successful"), (n - ok).alias("failed"),
-                 (ok / n * 100).alias("success_rate"),
-                 REP.metric(F.avg(p)).alias("mean_forecast"),
-                 F.min(p).alias("min_forecast"), F.max(p).alias("max_forecast"),
-                 REP.metric(F.coalesce(F.sum(p), F.lit(0.0))).alias("total_forecast"))
+    return demand_scoring.summary(q_demand_batch(spark, sf_dir))
 
 
 QUERIES = {
@@ -203,7 +166,7 @@ QUERIES = {
 
 BATCH = f"""{PRODUCTS},
 req AS (SELECT product_id AS sku, category, subcategory, brand, color, size, season, original_price,
-               competitor_price, discount_percentage, date, return_rate FROM products WHERE split = 'test'),
+               competitor_price, discount_percentage, date, return_rate FROM products),
 inp AS (SELECT {', '.join(BATCH_COLS)} FROM req),
 raw AS (SELECT *, {SQL_PRICE} AS price_raw FROM inp),
 raw2 AS (SELECT *, {SQL_UNITS} AS units_raw FROM raw),
@@ -274,7 +237,7 @@ ins AS (
 SELECT * EXCLUDE (c), CASE WHEN c = '' THEN 'balanced' ELSE c END AS considerations FROM ins""",
     "demand_batch_check": f"""WITH {DEMAND.split(',' + chr(10) + 'enc AS')[0]},
 chk AS (SELECT count(*) AS rows,
-  {", ".join(f"count(*) FILTER (WHERE {c} IS NOT NULL AND NOT coalesce(regexp_matches(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '^[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?$'), false)) AS {c}_bad" for c in ["units_last_week", "price", "promo"])},
+  {", ".join(f"count(*) FILTER (WHERE NOT coalesce(regexp_matches(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '^[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?$'), false)) AS {c}_bad" for c in ["units_last_week", "price", "promo"])},
 FROM dreq)
 SELECT *, units_last_week_bad + price_bad + promo_bad = 0 AS accepted FROM chk""",
     "demand_batch": f"""WITH {DEMAND}

@@ -64,10 +64,8 @@ def q_review_majority_accuracy(spark, sf_dir):
 
 
 def q_review_stems(spark, sf_dir):
-    """X1 + X2 + X3 + X4: stemmed content per labelled review (rows-only check)."""
-    r = labelled(spark, sf_dir).withColumn("raw_tokens", X.letter_tokens(F.col("text")))
-    kept = X.remove_stop_words(r, "raw_tokens", "tokens")
-    return kept.select("doc_id", "target", "split", X.join_tokens(stem_tokens(F.col("tokens"))).alias("stemmed_content"))
+    """X1 + X2 + X3 + X4: stemmed content of every document (rows-only check)."""
+    return clean_documents(spark, sf_dir).select("doc_id", X.join_tokens(stem_tokens(F.col("tokens"))).alias("stemmed_content"))
 
 
 def q_document_tfidf(spark, sf_dir):

@@ -21,8 +21,11 @@ TWO_SEPARATORS_PATTERN = r"\d+[,.]\d+[,.]\d+"
 # What a plain decimal number looks like; anything else coerces to NULL.
 # (Spark would also accept 5f / 5d suffixes, so the cast is guarded.)
 NUMERIC_PATTERN = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
-# Leading or trailing whitespace of any kind (Spark's trim strips blanks only).
-EDGE_SPACE_PATTERN = r"^\s+|\s+$"
+# Leading or trailing whitespace of any kind, no-break spaces too (Spark's trim strips blanks only).
+EDGE_SPACE_PATTERN = r"(?U)^\s+|\s+$"
+# How a date may be written: ISO, with a time part, or with slashes.
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss",
+                "yyyy/MM/dd", "MM/dd/yyyy"]
 
 
 def strip_all(c: Column) -> Column:
@@ -71,9 +74,10 @@ def clean_number(raw: Column) -> Column:
     return to_number(fix_separators(drop_currency(unbracket(strip_all(raw)))))
 
 
-def to_date_or_null(raw: Column, fmt: str = "yyyy-MM-dd") -> Column:
-    """Date coercion, unparseable -> NULL."""
-    return F.try_to_date(strip_all(raw.cast("string")), fmt)
+def to_date_or_null(raw: Column, formats: list[str] = DATE_FORMATS) -> Column:
+    """Date coercion by the first format that fits, unparseable -> NULL; a time part is cut off."""
+    text = strip_all(raw.cast("string"))
+    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
 
 
 def clip_at_zero(c: Column) -> Column:

@@ -116,8 +116,7 @@ _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "an
           ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
           ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"),
           ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
-          ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"),
-          ("lessli", "less")]
+          ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful")]
 
 
 def _step2(w: str) -> str:

@@ -20,7 +20,8 @@ from ..functions import cleaning as C
 # Luxury brands that are always kept in the brand vocabulary.
 LUXURY_BRANDS = ["Rolex", "Gucci", "Prada", "Louis Vuitton", "Hermes",
                  "Burberry", "Moncler", "Jimmy Choo", "Tiffany", "Cartier"]
-# Categorical columns that are integer-encoded (when present).
+# Categorical columns that are integer-encoded (when present). These lists follow the
+# column order of the product input file.
 CATEGORICAL = ["category", "subcategory", "brand", "color", "size", "material", "season",
                "gender", "day_of_week"]
 # Features of the price model and of the units model (which also gets predicted_price).
@@ -143,34 +144,34 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
 
 
-# Exact median keeps one buffer entry per distinct value and merges them in a
-# single task for a global aggregate; above this many distinct values (HLL
-# estimate) a column switches to ``percentile_approx``.
-MAX_EXACT_MEDIAN_DISTINCT = 2_000_000
-APPROX_ACCURACY = 100_000      # rank error <= 1 / accuracy of the row count
+def fit_medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A3: exact median of every column (NULL skipped), in long form, at any size.
 
-
-def fit_medians(df: DataFrame, columns: list[str], approx: bool | None = None) -> DataFrame:
-    """A3: median of every column (NULL skipped), one aggregate, long form.
-
-    ``approx=None`` decides per column: exact (average of the two middle
-    values) unless the column has more than ``MAX_EXACT_MEDIAN_DISTINCT``
-    distinct values, which costs one extra HLL pass over the input.
+    All columns go into one long table that is counted per value (partial sums
+    on the map side); running counts along (column, value) then tell which
+    values hold the middle positions. No task sees all values of a column.
     """
-    if approx is None:
-        est = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-        use_approx = {c: est[c] > MAX_EXACT_MEDIAN_DISTINCT for c in columns}
-    else:
-        use_approx = {c: approx for c in columns}
+    from .indexing import running_sums
+
+    spark = df.sparkSession
+    names = spark.createDataFrame([(c,) for c in columns], "column string")
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("kv")
+    ).select("kv.column", "kv.value").where(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sums(counts, ["column", "value"], {"upto": F.col("n")})
+    totals = ranked.groupBy("column").agg(F.sum("n").alias("rows"), F.max("upto").alias("last"))
+    # one row per column of the schema: a bounded broadcast
+    placed = ranked.join(F.broadcast(totals), "column")
+    after = F.col("upto") - (F.col("last") - F.col("rows"))
+    before = after - F.col("n")
 
-    def agg(c):
-        x = F.col(c).cast("double")
-        return F.percentile_approx(x, 0.5, APPROX_ACCURACY) if use_approx[c] else F.median(x)
+    def at(position):
+        return F.max(F.when((before <= position) & (after > position), F.col("value")))
 
-    row = df.agg(*[agg(c).alias(c) for c in columns])
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("median")) for c in columns])).alias("m")
-    ).select("m.column", "m.median")
+    middle = placed.groupBy("column").agg(at(F.floor((F.col("rows") - 1) / 2)).alias("lo"), at(F.floor(F.col("rows") / 2)).alias("hi"))
+    median = middle.select("column", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(0.5)).alias("median"))
+    return names.join(median, "column", "left")
 
 
 def impute(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
@@ -214,12 +215,11 @@ def vocabulary_frame(df: DataFrame, luxury: list[str]) -> DataFrame:
     return fit_vocabulary(pre, [c for c in CATEGORICAL if c in pre.columns], luxury)
 
 
-def medians_frame(encoded: DataFrame, approx: bool | None = None) -> DataFrame:
-    return fit_medians(encoded, numeric_columns(encoded), approx)
+def medians_frame(encoded: DataFrame) -> DataFrame:
+    return fit_medians(encoded, numeric_columns(encoded))
 
 
-def fit_price_features(df: DataFrame, luxury: list[str] = LUXURY_BRANDS,
-                       approx_median: bool | None = None) -> PriceFeatureState:
+def fit_price_features(df: DataFrame, luxury: list[str] = LUXURY_BRANDS) -> PriceFeatureState:
     """E9 (fit): vocabularies, then medians of the encoded frame.
 
     Two jobs; what reaches the driver is bounded by (columns x (top + luxury + 2))
@@ -232,7 +232,7 @@ def fit_price_features(df: DataFrame, luxury: list[str] = LUXURY_BRANDS,
         for r in vocabulary_frame(data, luxury).collect():
             state.vocab.setdefault(r["column"], {})[r["value"]] = r["id"]
         encoded = encode(_pre_encode(data, luxury), state.vocab)
-        state.medians = {r["column"]: r["median"] for r in medians_frame(encoded, approx_median).collect()}
+        state.medians = {r["column"]: r["median"] for r in medians_frame(encoded).collect()}
     finally:
         if not cached:
             data.unpersist()
@@ -259,7 +259,7 @@ def add_defaults(df: DataFrame, defaults: dict = BATCH_DEFAULTS, today: bool = F
 
 
 def batch_ids(df: DataFrame, order: list[str], col: str = "product_id") -> DataFrame:
-    """When the whole id column is NULL or '', number rows as BATCH_%04d (1-based).
+    """When the whole id column is NULL or '', number rows as BATCH_%04d, from 0.
 
     The whole-column test is one aggregate; numbering uses ordered indexing
     (partition offsets), never a single-task window.
@@ -271,7 +271,7 @@ def batch_ids(df: DataFrame, order: list[str], col: str = "product_id") -> DataF
     if not all_blank:
         return df
     numbered = index_by_order(df, order, "_row")
-    return numbered.withColumn(col, F.format_string(BATCH_ID_FORMAT, F.col("_row") + 1)).drop("_row")
+    return numbered.withColumn(col, F.format_string(BATCH_ID_FORMAT, F.col("_row"))).drop("_row")
 
 
 def coerce_batch(df: DataFrame) -> DataFrame:

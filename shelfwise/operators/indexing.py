@@ -40,45 +40,22 @@ def index_by_order(df: DataFrame, order: list[str | Column], name: str = "idx")
     return out.withColumn(name, F.col(_OFF) + F.col(_MID)).drop(_PID, _MID, _OFF)
 
 
-# StringIndexer ships its label list to every task (like a broadcast); above this
-# many distinct values (HLL estimate) the code comes from a join instead.
-MAX_IN_TASK_LABELS = 1_000_000
-
-
 def fit_code(df: DataFrame, key: str, name: str):
     """code = position of a value among the sorted distinct values; returns ``apply(target)``.
 
-    Small catalogs: MLlib ``StringIndexer(alphabetAsc)`` finds the distinct
-    values in one aggregation job and applies them as an in-memory lookup
-    inside the projection (no join, no shuffle). Catalogs above
-    ``MAX_IN_TASK_LABELS`` values: the ordered-index dimension, joined by key
-    (AQE broadcasts it only when its measured size allows). Values never seen
-    get NULL.
+    The distinct values are ranked by the ordered index and joined by key (AQE
+    broadcasts them only when their measured size allows). Values never seen
+    get NULL. No list of values reaches the driver.
     """
-    from pyspark.ml.feature import StringIndexer
-
-    values = df.select(key).where(F.col(key).isNotNull())
-    estimate = values.agg(F.approx_count_distinct(key).alias("n")).first()["n"]
-    if estimate > MAX_IN_TASK_LABELS:
-        dim = index_by_order(values.distinct(), [key], name).withColumn(name, F.col(name).cast("int"))
-        return lambda target: target.join(dim, key, "left")
-
-    model = StringIndexer(inputCol=key, outputCol="__code", stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(values)
-    n = len(model.labels)
-
-    def apply(target: DataFrame) -> DataFrame:
-        coded = model.transform(target)
-        code = F.when(F.col("__code") < n, F.col("__code").cast("int"))
-        return coded.withColumn(name, code).drop("__code")
-
-    return apply
+    values = df.select(key).where(F.col(key).isNotNull()).distinct()
+    dim = index_by_order(values, [key], name).withColumn(name, F.col(name).cast("int"))
+    return lambda target: target.join(dim, key, "left")
 
 
 def dense_code(df: DataFrame, key: str, name: str) -> DataFrame:
     """Dimension ``(key, name)``: code = position of ``key`` among its sorted distinct values."""
-    distinct = df.select(key).where(F.col(key).isNotNull()).distinct()
-    return fit_code(df, key, name)(distinct)
+    values = df.select(key).where(F.col(key).isNotNull()).distinct()
+    return index_by_order(values, [key], name).withColumn(name, F.col(name).cast("int"))
 
 
 def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, Column]) -> DataFrame:

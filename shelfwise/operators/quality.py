@@ -175,11 +175,11 @@ def assert_gates(gates_row) -> None:
 
 
 def non_numeric_batch(df: DataFrame, columns: list[str]) -> DataFrame:
-    """V9: per mapped column, how many present values fail numeric coercion.
+    """V9: per mapped column, how many values are no number after coercion; a missing value is none.
 
     One aggregate; any count > 0 rejects the whole batch.
     """
-    aggs = [F.count_if(F.col(c).isNotNull() & C.to_number(F.col(c).cast("string")).isNull()).alias(f"{c}_bad")
+    aggs = [F.count_if(C.to_number(F.col(c).cast("string")).isNull()).alias(f"{c}_bad")
             for c in columns]
     g = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
     bad = sum_expr([F.col(f"{c}_bad") for c in columns])

@@ -31,8 +31,9 @@ def split_report(df: DataFrame, split_col: str = "split", date_col: str = "date"
 
 
 def frequency(df: DataFrame, col: str, name: str = "count") -> DataFrame:
-    """A1: value frequencies, NULL excluded."""
-    return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name))
+    """A1: value frequencies, NULL excluded, the most frequent first (ties by value)."""
+    return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name))
+            .orderBy(F.col(name).desc(), F.col(col).asc()))
 
 
 def money_sum(c: Column) -> Column:

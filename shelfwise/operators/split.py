@@ -41,41 +41,13 @@ class TimeCutoffs:
         return expr.otherwise(F.lit("test" if self.first_test_date is not None else "val"))
 
 
-# The distinct dates of a fact are a calendar (366 per year), so the cut-offs are
-# taken in one aggregate whose final merge holds the sorted date list. The list
-# is bounded by the type: a DATE column has at most 3,652,059 distinct values
-# (years 1-9999), i.e. under 15 MB. Above this many values the cut-offs are
-# taken from the ordered-index ranking instead, keeping the driver side small.
-MAX_DATES_IN_ONE_TASK = 200_000
-
-
 def fit_time_split(df: DataFrame, date_col: str = "date", train_share: float = TRAIN_SHARE,
                    val_share: float = VAL_SHARE) -> TimeCutoffs:
-    """The two cut-off dates among the sorted distinct dates; one job.
+    """The two cut-off dates among the sorted distinct dates.
 
-    Distinct dates come from a partial aggregation; the sorted list of them
-    (a calendar, bounded) yields both cut-offs, and only two dates reach
-    the driver.
+    The dates are ranked by the ordered index; two of them reach the driver.
     """
     dates = df.select(date_col).where(F.col(date_col).isNotNull()).distinct()
-    srt = F.sort_array(F.collect_list(date_col))
-    n = F.size("d")
-    row = (dates.agg(srt.alias("d"))
-           .select(n.alias("n"),
-                   F.try_element_at("d", (F.floor(n * F.lit(train_share)) + 1).cast("int")).alias("c1"),
-                   F.try_element_at("d", (F.floor(n * F.lit(val_share)) + 1).cast("int")).alias("c2"))
-           .first())
-    total = int(row["n"])
-    if total > MAX_DATES_IN_ONE_TASK:          # not a calendar: rank without one task
-        return _fit_time_split_ranked(dates, date_col, train_share, val_share)
-    if int(total * train_share) >= total:
-        return TimeCutoffs(None, None, total)
-    c2 = row["c2"] if int(total * val_share) < total else None
-    return TimeCutoffs(row["c1"], c2, total)
-
-
-def _fit_time_split_ranked(dates: DataFrame, date_col: str, train_share: float,
-                           val_share: float) -> TimeCutoffs:
     ranked = index_by_order(dates, [date_col], "_i")  # materialised by a checkpoint
     n = ranked.count()
     c1, c2 = int(n * train_share), int(n * val_share)

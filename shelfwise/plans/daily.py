@@ -12,9 +12,9 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ class DailyConfig:
     max_iter: int = REFERENCE_ROUNDS
     max_depth: int = REFERENCE_DEPTH
     step_size: float = REFERENCE_STEP
-    validation_tol: float = 0.0     # stop at the first round that does not improve val error
+    patience: int = 50              # rounds without a better validation error before it stops
     seed: int = 42
     max_bins: int = 64
 
@@ -53,22 +53,59 @@ def model_matrix(df: DataFrame) -> DataFrame:
         F.col("units_sold").cast("float").alias("target"))
 
 
+MISSING = -1.0      # below every feature's least value (they are clipped at 0)
+
+
+def filled(df: DataFrame) -> DataFrame:
+    """Features with a missing value as ``MISSING``: MLlib trees take no NULL, but can split it off.
+
+    So a missing value has a branch of its own, as in a booster that learns
+    where to send it, and no row is lost.
+    """
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("float"), F.lit(MISSING)), F.lit(MISSING)) for c in FEATURES})
+
+
 def fit_daily_model(matrix: DataFrame, cfg: DailyConfig) -> PipelineModel:
-    """GBT on train with early stopping measured on val (validation indicator).
+    """GBT on train; the rounds kept are those up to the least validation error.
 
-    Rows with a NULL feature are dropped: MLlib trees reject missing values.
+    Rounds are looked at in order, and the search ends after ``patience``
+    rounds without a better one. Rows without a target can't be fitted.
     """
     checkpoint_dir(matrix.sparkSession)     # GBT checkpoints its lineage every 10 rounds
-    data = (matrix.where(F.col("split").isin("train", "val"))
-            .na.drop(subset=FEATURES + ["target"])
-            .withColumn("is_val", F.col("split") == "val"))
+    data = filled(matrix.where(F.col("target").isNotNull()))
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     gbt = GBTRegressor(featuresCol="features", labelCol="target", predictionCol="prediction",
                        maxIter=cfg.max_iter, maxDepth=cfg.max_depth, stepSize=cfg.step_size,
-                       lossType="squared", validationIndicatorCol="is_val",
-                       validationTol=cfg.validation_tol, seed=cfg.seed, maxBins=cfg.max_bins,
-                       checkpointInterval=10)
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, gbt]).fit(data)
+                       lossType="squared", seed=cfg.seed, maxBins=cfg.max_bins, checkpointInterval=10)
+    model = gbt.fit(assembler.transform(data.where(F.col("split") == "train")))
+    val = assembler.transform(data.where(F.col("split") == "val"))
+    if not val.isEmpty():
+        model = first_rounds(model, best_round(model.evaluateEachIteration(val, "squared"), cfg.patience) + 1)
+    return PipelineModel(stages=[assembler, model])
+
+
+def best_round(errors: list[float], patience: int) -> int:
+    """The round with the least error before ``patience`` rounds in a row are no better."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best
+
+
+def first_rounds(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first ``n`` trees."""
+    if n >= model.getNumTrees:
+        return model
+    sc = SparkSession.getActiveSession().sparkContext
+    java, ml = model._java_obj, sc._jvm.org.apache.spark.ml.regression
+    trees, weights = sc._gateway.new_array(ml.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], float(model.treeWeights[i])
+    cut = GBTRegressionModel(ml.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
+    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
 
 
 def importance(model: PipelineModel) -> list[dict]:
@@ -79,21 +116,22 @@ def importance(model: PipelineModel) -> list[dict]:
 
 def predictions(model: PipelineModel, matrix: DataFrame) -> DataFrame:
     """P8 (+ B2): date, product_id, true and predicted units, rounded forecast."""
-    scored = model.transform(matrix.na.drop(subset=FEATURES))
+    scored = model.transform(filled(matrix))
     return scored.select("date", "product_id", "split", F.col("target").alias("true_units"),
                          F.col("prediction").alias("predicted_units"),
                          R.rounded_forecast(F.col("prediction")).alias("predicted_units_rounded"))
 
 
 def evaluate(pred: DataFrame) -> DataFrame:
-    """A11 + A13 per split, one aggregate."""
-    err = F.col("true_units") - F.col("predicted_units")
-    spread_p = F.max("predicted_units") - F.min("predicted_units")
-    spread_y = F.max("true_units") - F.min("true_units")
-    ratio = F.when(spread_y == 0, F.lit(0.0)).otherwise(spread_p / spread_y)
+    """A11 + A13 per split, one aggregate; rows without a true value count, but have no error."""
+    y, p = F.col("true_units").cast("double"), F.col("predicted_units").cast("double")
+    err = y - p
     return (pred.groupBy("split")
             .agg(F.count(F.lit(1)).alias("rows"), metric(F.avg(F.abs(err))).alias("mae"),
-                 metric(F.sqrt(F.avg(err * err))).alias("rmse"), metric(ratio).alias("range_ratio"))
+                 metric(F.sqrt(F.avg(err * err))).alias("rmse"),
+                 (F.max(p) - F.min(p)).alias("pred_spread"), (F.max(y) - F.min(y)).alias("target_spread"))
+            .withColumn("range_ratio", F.when(F.col("target_spread") == 0, F.lit(0.0))
+                        .otherwise(F.col("pred_spread") / F.col("target_spread")))
             .withColumn("range_status", F.when(F.col("range_ratio") < 0.1, F.lit("WARNING"))
                         .otherwise(F.lit("PASS"))))
 
@@ -150,7 +188,7 @@ def run(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: DailyConfig | No
         summary.update({
             "status": "PASS", "metrics": metrics, "drift_ks": ks, "feature_names": FEATURES,
             "importance": imp,                                                          # G7
-            "n_trees": model.stages[-1].getNumTrees,                                    # G11
+            "n_trees": model.stages[-1].getNumTrees,                                    # G11: the best round
             "split": {"n_dates": cut.n_dates, "first_val_date": str(cut.first_val_date),
                       "first_test_date": str(cut.first_test_date)},
         })

@@ -7,16 +7,17 @@ their prediction is then set to NULL, so no second scan or union is needed.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.cleaning import to_number
 from ..operators import quality as Q
 from ..operators.report import metric
+from .daily import filled
 
-DEFAULT_MAPPING = {"lag_7": "lag_7", "sale_price": "sale_price", "is_promo": "is_promo",
-                   "product_id": "product_id"}
+# The request's columns and what they mean here.
+REQUEST_MAPPING = {"units_last_week": "lag_7", "price": "sale_price", "promo": "is_promo", "sku": "product_id"}
 
 
 def map_columns(req: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -29,40 +30,29 @@ def map_columns(req: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def reject_non_numeric(req: DataFrame, columns: list[str]) -> None:
-    """V9: one aggregate; any non-numeric value rejects the whole batch."""
+    """V9: one aggregate; any non-numeric or missing value rejects the whole batch."""
     row = Q.non_numeric_batch(req, columns).first()
     if not row["accepted"]:
         bad = {c: row[f"{c}_bad"] for c in columns if row[f"{c}_bad"]}
         raise Q.ValidationError(f"non-numeric values in batch: {bad}")
 
 
-def score_requests(model: PipelineModel, req: DataFrame, encoder: DataFrame,
-                   mapping: dict[str, str] | None = None, check: bool = True) -> DataFrame:
-    mapping = mapping or {"units_last_week": "lag_7", "price": "sale_price", "promo": "is_promo",
-                          "sku": "product_id"}
+def prepare_requests(req: DataFrame, encoder: DataFrame, mapping: dict[str, str] | None = None,
+                     check: bool = True) -> DataFrame:
+    """Typed request columns under their canonical names, and the product's code if known."""
+    mapping = mapping or REQUEST_MAPPING
     if check:
         reject_non_numeric(req, [s for s, d in mapping.items() if d != "product_id"])
     m = map_columns(req, mapping)
     typed = m.withColumns({"lag_7": to_number(F.col("lag_7")), "sale_price": to_number(F.col("sale_price")),
                            "is_promo": to_number(F.col("is_promo")).cast("int")})
     enc = encoder.select("product_id", F.col(encoder.columns[1]).alias("product_encoded"))
-    joined = typed.join(enc, "product_id", "left")                                   # J1 / J5
-    feats = joined.select("*",
-                          F.col("lag_7").cast("float").alias("_f_lag"),
-                          F.col("sale_price").cast("float").alias("_f_price"),
-                          F.col("is_promo").cast("tinyint").alias("_f_promo"),
-                          F.coalesce(F.col("product_encoded"), F.lit(0)).alias("_f_code"))
-    renamed = feats.withColumnRenamed("lag_7", "_lag").withColumnRenamed("sale_price", "_price") \
-        .withColumnRenamed("is_promo", "_promo")
-    for a, b in (("_f_lag", "lag_7"), ("_f_price", "sale_price"), ("_f_promo", "is_promo"),
-                 ("_f_code", "product_id_encoded")):
-        renamed = renamed.withColumnRenamed(a, b)
-    scored = model.transform(renamed.na.fill(0, subset=["lag_7", "sale_price", "is_promo"]))
-    pred = F.when(F.col("product_encoded").isNotNull(), F.col("prediction"))          # F1
-    out = scored.select(*[c for c in m.columns if c not in ("lag_7", "sale_price", "is_promo")],
-                        F.col("_lag").alias("lag_7"), F.col("_price").alias("sale_price"),
-                        F.col("_promo").alias("is_promo"), "product_encoded",
-                        pred.alias("predicted_units_sold"))
+    return typed.join(enc, "product_id", "left")                                     # J1 / J5
+
+
+def with_forecast(prepared: DataFrame, prediction: Column) -> DataFrame:
+    """F1, B2-B5 on a prediction column: NULL for unknown products."""
+    out = prepared.withColumn("predicted_units_sold", F.when(F.col("product_encoded").isNotNull(), prediction))
     out = out.withColumn("predicted_units_sold_rounded", R.rounded_forecast(F.col("predicted_units_sold")))  # B2
     return out.withColumns({
         "expected_revenue": F.col("predicted_units_sold_rounded") * F.col("sale_price"),   # B3
@@ -71,6 +61,20 @@ def score_requests(model: PipelineModel, req: DataFrame, encoder: DataFrame,
     })
 
 
+def score_requests(model: PipelineModel, req: DataFrame, encoder: DataFrame,
+                   mapping: dict[str, str] | None = None, check: bool = True) -> DataFrame:
+    """The request's rows with the model's forecast.
+
+    Features go to the model beside the typed columns; a missing one is
+    missing to the model as well (``daily.filled``), not a 0.
+    """
+    prepared = prepare_requests(req, encoder, mapping, check)
+    features = prepared.select(F.struct("*").alias("__row"), "lag_7", "sale_price", "is_promo",
+                               F.col("product_encoded").alias("product_id_encoded"))
+    scored = model.transform(filled(features))
+    return with_forecast(scored.select("__row.*", F.col("prediction").alias("__p")), F.col("__p")).drop("__p")
+
+
 def summary(scored: DataFrame) -> DataFrame:
     """A7 + A5: success counts and forecast statistics (NULLs skipped, F7)."""
     p = F.col("predicted_units_sold")

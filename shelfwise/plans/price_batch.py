@@ -10,6 +10,7 @@ runs once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -23,17 +24,21 @@ TOP_COLUMNS = ["product_id", "brand", "category", "Recommended_Price", "Predicte
                "Predicted_Revenue"]
 
 
-POSITION = "__file_position"
+POSITION = ["__file", "__block", "__row"]
 
 
 def with_file_position(df: DataFrame) -> DataFrame:
-    """Row position in the input files, taken right after the scan.
+    """Row position in the input files, taken right after the scan: file, block of it, row.
 
-    Scan partitions follow the files (and byte ranges within them) in order,
-    and ``monotonically_increasing_id`` increases within a partition, so this
-    orders rows as they appear in the file(s) without any shuffle.
+    Spark deals files to tasks by size, so the file's name and the block's
+    start come first; within a block the ids of one task rise. A DataFrame
+    that doesn't come from files has its rows in the order of its partitions.
     """
-    return df.withColumn(POSITION, F.monotonically_increasing_id())
+    try:
+        file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+        return df.select("*", file.alias(POSITION[0]), block.alias(POSITION[1]), F.monotonically_increasing_id().alias(POSITION[2]))
+    except AnalysisException:
+        return df.select("*", F.lit("").alias(POSITION[0]), F.lit(0).alias(POSITION[1]), F.monotonically_increasing_id().alias(POSITION[2]))
 
 
 def prepare_request(df: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -44,21 +49,22 @@ def prepare_request(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     if Q.is_empty(df):
         raise Q.ValidationError("the uploaded file has no rows")
     if order is None:
-        df, order = with_file_position(df), [POSITION]
+        df, order = with_file_position(df), POSITION
     out = FE.coerce_batch(FE.batch_ids(FE.add_defaults(df, today=True), order))
-    return out.drop(POSITION) if POSITION in out.columns else out
+    return out.drop(*POSITION)
 
 
-def summary(scored: DataFrame, request: DataFrame) -> DataFrame:
-    """Totals, price distribution and the ratio-of-means margin."""
+def summary(scored: DataFrame) -> DataFrame:
+    """Totals, price distribution and the ratio-of-means margin, in one row."""
+    median = FE.fit_medians(scored, ["Recommended_Price"]).first()["median"]       # one number
     n = F.count(F.lit(1))
     g = scored.agg(n.alias("total_products"), money_sum(F.col("Predicted_Revenue")).alias("total_revenue"),
                    F.coalesce(F.sum("Predicted_Units_Sold"), F.lit(0)).cast("long").alias("total_units"),
                    (money_sum(F.col("Recommended_Price")) / n).alias("avg_price"),
                    F.min("Recommended_Price").alias("min_price"),
-                   F.median("Recommended_Price").alias("median_price"),
                    F.max("Recommended_Price").alias("max_price"),
                    (money_sum(F.col("original_price")) / n).alias("avg_original"))
+    g = g.withColumn("median_price", F.lit(median).cast("double"))
     return g.withColumn("avg_margin", F.when(F.col("avg_price") > 0,
                                              (F.col("avg_price") - F.col("avg_original")) / F.col("avg_price") * 100)
                         .otherwise(F.lit(0.0)))
@@ -77,7 +83,7 @@ def run(spark: SparkSession, request: DataFrame, model: PriceUnitsModel, out_dir
     scored_path = sinks.write_csv(model.predict_batch(req), sinks.timestamped(out_dir, "scored"))  # K1
     from ..sources.readers import read_products_csv
     scored = read_products_csv(spark, scored_path)
-    summ = summary(scored, req).first().asDict()
+    summ = summary(scored).first().asDict()
     return {
         "scored_path": scored_path, "summary": summ,
         "top_revenue": [r.asDict() for r in top_k(scored, "Predicted_Revenue", 5, "product_id", TOP_COLUMNS).collect()],

@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -42,13 +42,30 @@ class PriceConfig:
     max_bins: int = 64          # >= largest vocabulary (50 + luxury + 2)
 
 
-def _gbt(label: str, pred: str, features: str, trees: int, depth: int, cfg: PriceConfig) -> GBTRegressor:
+def _gbt(label: str, pred: str, features: str, trees: int, depth: int, cfg: PriceConfig,
+         columns: str = "all") -> GBTRegressor:
     return GBTRegressor(featuresCol=features, labelCol=label, predictionCol=pred, maxIter=trees,
                         maxDepth=depth, stepSize=cfg.step_size, subsamplingRate=cfg.subsample,
-                        featureSubsetStrategy=str(cfg.subsample), seed=cfg.seed, maxBins=cfg.max_bins,
+                        featureSubsetStrategy=columns, seed=cfg.seed, maxBins=cfg.max_bins,
                         checkpointInterval=10)
 
 
+def regression_report(scored: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows, and RMSE and R^2 of each named (truth, prediction); one aggregate."""
+    out = []
+    for name, (y, p) in pairs.items():
+        e = y - p
+        out += [metric(F.sqrt(F.avg(e * e))).alias(f"{name}_rmse"),
+                metric(F.lit(1.0) - F.try_divide(F.sum(e * e), F.count(y) * F.var_pop(y))).alias(f"{name}_r2")]
+    return scored.agg(F.count(F.lit(1)).alias("rows"), *out)
+
+
+def with_results(df: DataFrame, price: Column, units: Column) -> DataFrame:
+    """B1 + P9: rounded price and units of the two predictions, and the revenue."""
+    out = df.withColumns({"Recommended_Price": R.recommended_price(price), "Predicted_Units_Sold": R.rounded_units(units)})
+    return out.withColumn("Predicted_Revenue", R.revenue(F.col("Recommended_Price"), F.col("Predicted_Units_Sold")))
+
+
 class PriceUnitsModel:
     def __init__(self, state: FE.PriceFeatureState, price: PipelineModel, units: PipelineModel,
                  cfg: PriceConfig):
@@ -66,7 +83,8 @@ class PriceUnitsModel:
         prepared = FE.prepare(data, state).cache()   # iterative fits re-read it
         price = Pipeline(stages=[
             VectorAssembler(inputCols=FE.PRICE_FEATURES, outputCol="price_features"),
-            _gbt("current_price", "predicted_price", "price_features", cfg.price_trees, cfg.price_depth, cfg),
+            _gbt("current_price", "predicted_price", "price_features", cfg.price_trees, cfg.price_depth, cfg,
+                 str(cfg.subsample)),     # only the price model samples columns
         ]).fit(prepared)
         chained = price.transform(prepared)          # unclamped at fit time (G2)
         units = Pipeline(stages=[
@@ -79,8 +97,9 @@ class PriceUnitsModel:
     # ------------------------------------------------------------ score
     def _raw_scores(self, df: DataFrame) -> DataFrame:
         kept = df.select(*[F.col(c).alias(_KEEP + c) for c in df.columns], *df.columns)
+        # without a current price the original price is compared (E5); only the batch page adds one
         data = FE.add_defaults(kept, {k: v for k, v in FE.BATCH_DEFAULTS.items()
-                                      if k not in ("product_id", "units_sold")}, today=True)
+                                      if k not in ("product_id", "current_price", "units_sold")}, today=True)
         prepared = FE.prepare(data, self.state)
         p = self.price.transform(prepared)
         p = p.withColumn("predicted_price", F.greatest(F.col("predicted_price"), F.lit(0.0)))   # clamp (G2)
@@ -90,11 +109,8 @@ class PriceUnitsModel:
     def predict_batch(self, df: DataFrame) -> DataFrame:
         """G4 + B1 + P9: caller's columns + Recommended_Price, Predicted_Units_Sold, Predicted_Revenue."""
         u = self._raw_scores(df)
-        out = u.select(*[F.col(_KEEP + c).alias(c) for c in df.columns],
-                       R.recommended_price(F.col("predicted_price")).alias("Recommended_Price"),
-                       R.rounded_units(F.col("predicted_units")).alias("Predicted_Units_Sold"))
-        return out.withColumn("Predicted_Revenue",
-                              R.revenue(F.col("Recommended_Price"), F.col("Predicted_Units_Sold")))
+        out = with_results(u.drop(*RESULT_COLUMNS), F.col("predicted_price"), F.col("predicted_units"))
+        return out.select(*[F.col(_KEEP + c).alias(c) for c in df.columns], *RESULT_COLUMNS)
 
     def predict_single(self, spark: SparkSession, record: dict) -> dict:
         """A batch of one through the same path."""
@@ -104,15 +120,9 @@ class PriceUnitsModel:
 
     def evaluate(self, test: DataFrame) -> DataFrame:
         """G10 + A12: RMSE and R^2 of both models on hold-out (targets imputed as at fit)."""
-        u = self._raw_scores(test)
-        y1, p1 = F.col("current_price"), F.col("predicted_price")
-        y2, p2 = F.col("units_sold").cast("double"), F.greatest(F.col("predicted_units"), F.lit(0.0))
-        out = []
-        for y, p, name in ((y1, p1, "price"), (y2, p2, "units")):
-            e = y - p
-            out += [metric(F.sqrt(F.avg(e * e))).alias(f"{name}_rmse"),
-                    metric(F.lit(1.0) - F.try_divide(F.sum(e * e), F.count(y) * F.var_pop(y))).alias(f"{name}_r2")]
-        return u.agg(F.count(F.lit(1)).alias("rows"), *out)
+        return regression_report(self._raw_scores(test), {
+            "price": (F.col("current_price"), F.col("predicted_price")),
+            "units": (F.col("units_sold").cast("double"), F.greatest(F.col("predicted_units"), F.lit(0.0)))})
 
     # ------------------------------------------------------------ persistence
     def save(self, path: str) -> None:

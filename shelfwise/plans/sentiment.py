@@ -24,7 +24,9 @@ from ..functions.porter import stem_tokens
 from ..session import ship_package
 
 MAX_ITER = 1000           # reference budget
-VOCAB_SIZE = 1 << 18      # bound on the fitted vocabulary (and on the idf vector)
+VOCAB_SIZE = (1 << 31) - 1      # no bound: every term of the training part, as in the relational X5
+# A term is two or more word characters in a row, whatever stands around it.
+TERM_PATTERN = r"(?U)\b\w\w+\b"
 
 
 def prepare_text(df: DataFrame, text_col: str = "text", preprocess: bool = True,
@@ -47,7 +49,7 @@ def fit(train: DataFrame, label: str = "target", max_iter: int = MAX_ITER,
     Rows without a label cannot be fitted and are skipped.
     """
     train = train.where(F.col(label).isNotNull())
-    tok = RegexTokenizer(inputCol="content", outputCol="terms", pattern=r"\s+",
+    tok = RegexTokenizer(inputCol="content", outputCol="terms", pattern=TERM_PATTERN, gaps=False,
                          minTokenLength=X.MIN_TERM_LENGTH, toLowercase=True)
     cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=VOCAB_SIZE, minDF=1.0)
     base = Pipeline(stages=[tok, cv]).fit(train)
@@ -95,7 +97,7 @@ def score_file(spark, path: str, text_column: str, model: PipelineModel, out_dir
     scored = score(model, prepare_text(df, text_column, preprocess=preprocess))
     keep = [c for c in df.columns] + ["sentiment"]
     written = sinks.write_csv(scored.select(*keep), sinks.timestamped(out_dir, "sentiment"))
-    result = spark.read.option("header", True).csv(written)
+    result = readers.read_strings_csv(spark, written)
     counts = {r["sentiment"]: r["count"] for r in result.groupBy("sentiment").count().collect()}   # A1
     total = sum(counts.values())
     return {"path": written, "counts": counts,

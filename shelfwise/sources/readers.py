@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import cleaning as C
 from ..operators.quality import DAILY_COLUMNS
 
 # File contracts.
@@ -38,6 +39,11 @@ TWEET_SCHEMA = T.StructType([
     T.StructField("user", T.StringType()), T.StructField("text", T.StringType()),
 ])
 LATIN1 = "ISO-8859-1"
+# The dialect of the files: a quote inside quotes is doubled, and a quoted text may hold newlines.
+# For the latter a file is read by one task; give large inputs as several files.
+# ``enforceSchema=false`` makes Spark check the header of every file, not of the first only.
+CSV_DIALECT = {"quote": '"', "escape": '"', "multiLine": "true"}
+CHECKED_HEADER = {**CSV_DIALECT, "header": "true", "enforceSchema": "false"}
 
 
 def read_products_csv(spark: SparkSession, path: str, schema: T.StructType = PRODUCT_SCHEMA) -> DataFrame:
@@ -46,10 +52,10 @@ def read_products_csv(spark: SparkSession, path: str, schema: T.StructType = PRO
     Only the columns present in the file are kept, so the default-fill step
     can tell absent columns from empty ones.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.options(**CSV_DIALECT).option("header", True).csv(path).columns
     fields = {f.name: f for f in list(schema.fields) + RESULT_FIELDS}
     present = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in header])
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(present).csv(path)
+    return spark.read.options(**CHECKED_HEADER).option("mode", "PERMISSIVE").schema(present).csv(path)
 
 
 def read_daily_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -57,20 +63,25 @@ def read_daily_raw(spark: SparkSession, path: str) -> DataFrame:
 
     The file's own header order is kept (V1 checks it).
     """
-    header = spark.read.option("header", True).csv(path).columns
+    return read_strings_csv(spark, path)
+
+
+def read_strings_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """A CSV with header, every column as text; all files must have the same header."""
+    header = spark.read.options(**CSV_DIALECT).option("header", True).option("encoding", encoding).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.options(**CHECKED_HEADER).option("encoding", encoding).schema(schema).csv(path)
 
 
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     """S3: headerless tweets, ISO-8859-1, six named columns."""
-    return (spark.read.option("header", False).option("encoding", LATIN1)
+    return (spark.read.options(**CSV_DIALECT).option("header", False).option("encoding", LATIN1)
             .schema(TWEET_SCHEMA).csv(path))
 
 
 def read_text_csv(spark: SparkSession, path: str, text_column: str) -> DataFrame:
     """ISO-8859-1 CSV with header; the caller names the text column."""
-    df = spark.read.option("header", True).option("encoding", LATIN1).csv(path)
+    df = read_strings_csv(spark, path, LATIN1)
     if text_column not in df.columns:
         raise ValueError(f"column {text_column!r} not in {df.columns}")
     return df
@@ -84,6 +95,19 @@ def read_encoder_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def one_record(spark: SparkSession, record: dict, schema: T.StructType = PRODUCT_SCHEMA) -> DataFrame:
-    """One literal record -> one-row table with the fields it names."""
+    """One literal record -> one-row table with the fields it names, each as the field's type.
+
+    Numbers and dates may come as text or as another kind of number; what does not convert is NULL.
+    """
     fields = [f for f in schema.fields if f.name in record]
-    return spark.createDataFrame([tuple(record[f.name] for f in fields)], T.StructType(fields))
+    text = spark.createDataFrame([tuple(None if record[f.name] is None else str(record[f.name]) for f in fields)],
+                                 T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
+
+    def typed(f: T.StructField):
+        if isinstance(f.dataType, T.DateType):
+            return C.to_date_or_null(F.col(f.name))
+        if isinstance(f.dataType, T.StringType):
+            return F.col(f.name)
+        return C.to_number(F.col(f.name)).cast(f.dataType)
+
+    return text.select(*[typed(f).alias(f.name) for f in fields])

@@ -18,8 +18,8 @@ def timestamped(base: str, stem: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """K1: scored batch as CSV with header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """K1: scored batch as CSV with header; a quote inside quotes is doubled."""
+    df.write.mode("overwrite").options(header="true", quote='"', escape='"').csv(path)
     return path
 
 

@@ -65,19 +65,9 @@ def test_stratified_split_has_both_classes(spark):
     assert got == {("train", 0), ("train", 1), ("test", 0), ("test", 1)}
 
 
-def test_time_split_ranked_fallback_agrees(spark):
-    import datetime as dt
-    from shelfwise.operators.split import _fit_time_split_ranked
-    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d),) for d in range(0, 400, 3)]
-    df = spark.createDataFrame(rows, "date date")
-    assert fit_time_split(df) == _fit_time_split_ranked(df.distinct(), "date", 0.70, 0.85)
-
-
-def test_fit_code_join_path_agrees(spark, monkeypatch):
+def test_codes_join_and_unseen_values(spark):
     from shelfwise.operators import indexing
-    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "p string")
-    target = spark.createDataFrame([("a", 1), ("c", 2), ("z", 3)], "p string, x int")
-    small = {r["x"]: r["code"] for r in indexing.fit_code(df, "p", "code")(target).collect()}
-    monkeypatch.setattr(indexing, "MAX_IN_TASK_LABELS", 1)
-    large = {r["x"]: r["code"] for r in indexing.fit_code(df, "p", "code")(target).collect()}
-    assert small == large == {1: 0, 2: 2, 3: None}
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), (None,)], "p string")
+    target = spark.createDataFrame([("a", 1), ("c", 2), ("z", 3), (None, 4)], "p string, x int")
+    got = {r["x"]: r["code"] for r in indexing.fit_code(df, "p", "code")(target).collect()}
+    assert got == {1: 0, 2: 2, 3: None, 4: None}

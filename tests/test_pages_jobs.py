@@ -37,7 +37,7 @@ def test_batch_page(spark, model, tmp_dir):
     assert res["summary"]["total_products"] == n
     assert len(res["top_revenue"]) == min(5, n) and len(res["top_units"]) == min(5, n)
     ids = spark.read.option("header", True).csv(res["scored_path"]).select("product_id").collect()
-    assert sorted(r[0] for r in ids) == [f"BATCH_{i:04d}" for i in range(1, n + 1)]
+    assert sorted(r[0] for r in ids) == [f"BATCH_{i:04d}" for i in range(n)]
     revs = [r["Predicted_Revenue"] for r in res["top_revenue"]]
     assert revs == sorted(revs, reverse=True)
 
@@ -122,6 +122,33 @@ def test_batch_ids_follow_file_order(spark, tmp_dir):
     from shelfwise.sources.readers import read_products_csv
     out = price_batch.prepare_request(read_products_csv(spark, path))
     got = {r["product_id"]: r["original_price"] for r in out.collect()}
-    assert got == {f"BATCH_{i + 1:04d}": 900.0 + i for i in range(50)}
+    assert got == {f"BATCH_{i:04d}": 900.0 + i for i in range(50)}
     top = price_batch.preview(out, 3, ["product_id"])
-    assert [r["product_id"] for r in top] == ["BATCH_0001", "BATCH_0002", "BATCH_0003"]
+    assert [r["product_id"] for r in top] == ["BATCH_0000", "BATCH_0001", "BATCH_0002"]
+
+
+def test_batch_ids_follow_files_and_rows(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/many")
+    n = 0
+    for k, size in enumerate((3, 400, 20)):        # Spark deals the largest file first
+        with open(f"{tmp_dir}/many/{k}.csv", "w") as f:
+            f.write("brand,category,original_price\n")
+            for _ in range(size):
+                f.write(f"B,C,{1000 + n}\n")
+                n += 1
+    from shelfwise.sources.readers import read_products_csv
+    out = price_batch.prepare_request(read_products_csv(spark, f"{tmp_dir}/many"))
+    assert {r["product_id"]: r["original_price"] for r in out.collect()} == {f"BATCH_{i:04d}": 1000.0 + i for i in range(n)}
+
+
+def test_score_demand_and_record_commands(spark, model, tmp_dir):
+    sinks.write_csv(daily_raw(spark, "/root/testdata/sf0.01"), f"{tmp_dir}/raw")
+    jobs.run_daily(spark, f"{tmp_dir}/raw", f"{tmp_dir}/run", rounds=3)
+    pid = spark.read.json(f"{tmp_dir}/run/label_encoder").first()["product_id"]
+    with open(f"{tmp_dir}/req.csv", "w") as f:
+        f.write(f'sku,units_last_week,price,promo,note\n{pid},12,35.5,1,"a ""quoted"" note"\nnope,3,10,0,x\n')
+    res = jobs.score_demand(spark, f"{tmp_dir}/req.csv", f"{tmp_dir}/run", f"{tmp_dir}/out")
+    assert (res["summary"]["successful"], res["summary"]["failed"]) == (1, 1)
+    model.save(f"{tmp_dir}/price")
+    rec = {"brand": "Brand#1", "category": "SMALL", "original_price": "950", "competitor_price": 0, "date": "2024-01-01"}
+    assert jobs.score_record(spark, rec, f"{tmp_dir}/price")["Recommended_Price"] >= 0
