@@ -28,6 +28,7 @@ from .base import stored
 WINDOW, PHRASE = 35, 8
 #: Phrases in one automaton.
 AUTOMATON = 50_000
+BASE = 32
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -104,25 +105,42 @@ def located(pieces: list[Words], known: np.ndarray, window: int, phrase: int):
     if not phrases:
         return
     every = np.stack(list(phrases.values()))
-    letters = np.unique(every)  # the automata's alphabet: the words of the phrases
-    coded = (np.searchsorted(letters, every) + 1).tolist()
-    automata = []
-    for at in range(0, len(coded), AUTOMATON):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for sequence in coded[at:at + AUTOMATON]:
-            automaton.add_word(tuple(sequence))
+    letters = np.unique(every)  # the words of the phrases, numbered
+    digits = 1
+    while BASE ** digits <= len(letters):
+        digits += 1
+    coded = spelled(np.searchsorted(letters, every.ravel()) + 1, digits)
+    size, automata = phrase * digits, []
+    for at in range(0, len(every), AUTOMATON):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for k in range(at, min(at + AUTOMATON, len(every))):
+            automaton.add_word(coded[k * size:(k + 1) * size])
         automaton.make_automaton()
         automata.append(automaton)
     for words, (place, first, last) in zip(pieces, anchored):
         at = np.minimum(np.searchsorted(letters, words.hash), len(letters) - 1)
-        stream = tuple(np.where(letters[at] == words.hash, at + 1, 0).tolist())
-        found = np.zeros(len(stream) + 1, bool)
+        stream = spelled(np.where(letters[at] == words.hash, at + 1, 0), digits)
+        found = np.zeros(len(words.hash) + 1, bool)
         for automaton in automata:
-            found[[end - phrase + 1 for end, _ in automaton.iter(stream)]] = True
+            ends = np.array([end for end, _ in automaton.iter(stream)], np.int64)
+            found[(ends + 1) // digits - phrase] = True
         hit = found[place]
         yield words, first[hit], last[hit]
 
 
+def spelled(numbers: np.ndarray, digits: int) -> str:
+    """Each number as ``digits`` characters; a digit's place is told from its character, so no match begins inside a word.
+
+    An automaton's node looks through its children one by one, so a small base is fast.
+    """
+    out = np.empty((len(numbers), digits), "<u4")
+    rest = numbers.astype(np.int64)
+    for k in range(digits):
+        out[:, k] = rest % BASE + 1 + k * BASE
+        rest = rest // BASE
+    return out.tobytes().decode("utf-32-le")
+
+
 def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All whole numbers from each first to its last."""
     n = last - first + 1
