@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import shuffle_parts, stored, sub_batches, texts
+from .base import stored, sub_batches, texts
 
 #: Marks before the first and after the last character; no text has them.
 BEGIN, END = 0x110000, 0x110001
 BITS = 21
-BUCKET = 16 << 20
+#: Bytes of text in a bucket. Their number follows the input alone: a bucket's grams are joined once for each bucket.
+BUCKET = 8 << 20
 #: Most entries of a table that is indexed by three characters' numbers; with more characters grams are sorted.
 DENSE = 1 << 23
 UNSEEN = 1 << 17  # characters that might be: the order below the first gives each the same share
@@ -223,7 +224,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text
     """``doc_id, key, lang, n_chars, nll`` of every text under the model of the ``trusted`` ids' texts; ``key`` is the text's MD5."""
     docs = texts(df, doc_id, text, lang=F.coalesce(F.col(lang).cast("string"), F.lit("")))
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(shuffle_parts(df.sparkSession), total // BUCKET + 1)
+    buckets = total // BUCKET + 1
     ids = trusted.select("doc_id").where("doc_id is not null").distinct()
     ids = ids.select("doc_id", place(F.col("doc_id"), F.lit(""), buckets).alias("bucket"))
     seen = stored(packed(docs, buckets).groupBy("bucket").cogroup(ids.groupBy("bucket"))
