@@ -10,6 +10,7 @@ from ..operators.indexing import dense_code
 from ..operators.report import split_report
 from ..operators.split import apply_time_split, fit_time_split
 from ..plans.daily import model_matrix
+from ..session import stored
 from ..sources.adapters import daily_raw, daily_sales
 from . import adapter_sql as A
 
@@ -27,7 +28,8 @@ def q_daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily_sales(spark, sf_dir)
+    """The fact with its split; it is computed once and written, for the cut-offs and the result."""
+    d = stored(daily_sales(spark, sf_dir), "daily-sales")
     return apply_time_split(d, fit_time_split(d))
 
 
@@ -53,7 +55,7 @@ def q_daily_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_daily_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2 + A9 + A10 + T6: dense sorted codes vs the codes the fact carries."""
-    d = daily_sales(spark, sf_dir)
+    d = stored(daily_sales(spark, sf_dir), "daily-sales")
     given = d.groupBy("product_id").agg(F.min("product_id_encoded").alias("given_code"),
                                         F.count(F.lit(1)).alias("rows"))
     dense = dense_code(d, "product_id", "dense_code")

@@ -16,6 +16,7 @@ from ..operators import quality as Q
 from ..operators import report as REP
 from ..plans import demand_scoring, price_batch
 from ..plans.pricing import with_results
+from ..session import stored
 from ..sources.adapters import daily_sales, money_text
 from . import adapter_sql as A
 from .products import LUXURY_TESTDATA, PRODUCTS, _cols as BATCH_COLS, q_batch_input
@@ -110,9 +111,9 @@ def q_price_insights(spark, sf_dir):
 UNKNOWN_EVERY = 11     # every 11th day the request names a product the encoder never saw
 
 
-def demand_request(spark, sf_dir) -> DataFrame:
+def demand_request(spark, sf_dir, fact: DataFrame | None = None) -> DataFrame:
     """A caller's CSV-like request: strings under the caller's own names."""
-    d = daily_sales(spark, sf_dir)
+    d = daily_sales(spark, sf_dir) if fact is None else fact
     k = F.pmod(F.datediff("date", F.lit("1995-01-01")), F.lit(UNKNOWN_EVERY))
     pid = F.when(k == 0, F.concat(F.col("product_id"), F.lit("-NEW"))).otherwise(F.col("product_id"))
     return d.select("date", pid.alias("sku"),
@@ -121,10 +122,10 @@ def demand_request(spark, sf_dir) -> DataFrame:
                     F.col("is_promo").cast("string").alias("promo"))
 
 
-def demand_encoder(spark, sf_dir) -> DataFrame:
+def demand_encoder(spark, sf_dir, fact: DataFrame | None = None) -> DataFrame:
     """The product encoder (E2) as a dimension table."""
     from ..operators.indexing import dense_code
-    return dense_code(daily_sales(spark, sf_dir), "product_id", "product_encoded")
+    return dense_code(daily_sales(spark, sf_dir) if fact is None else fact, "product_id", "product_encoded")
 
 
 def score_demand(req: DataFrame, encoder: DataFrame) -> DataFrame:
@@ -140,8 +141,9 @@ def q_demand_batch_check(spark, sf_dir):
 
 
 def q_demand_batch(spark, sf_dir):
-    """G6 (stand-in) + P4 + J1 + J5 + F1 + B2-B6."""
-    return score_demand(demand_request(spark, sf_dir), demand_encoder(spark, sf_dir))
+    """G6 (stand-in) + P4 + J1 + J5 + F1 + B2-B6; request and encoder read one written fact."""
+    fact = stored(daily_sales(spark, sf_dir), "daily-sales")
+    return score_demand(demand_request(spark, sf_dir, fact), demand_encoder(spark, sf_dir, fact))
 
 
 def q_demand_batch_summary(spark, sf_dir):

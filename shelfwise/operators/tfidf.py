@@ -18,20 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .report import metric
 
 
 MIN_TERM_LENGTH = 2
 
 
-def term_counts(docs: DataFrame, doc_key: str, terms: Column, keep: list[str] = (),
-                min_length: int = MIN_TERM_LENGTH) -> DataFrame:
-    """(doc, term, tf) long form; terms shorter than ``min_length`` are skipped."""
-    exploded = docs.select(doc_key, *keep, F.explode(terms).alias("term"))
-    exploded = exploded.where(F.length("term") >= min_length)
-    return exploded.groupBy(doc_key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def fit_idf(tf: DataFrame, doc_key: str, n_docs: int) -> DataFrame:
     """(term, df, idf) from the training documents' term counts."""
     return (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -50,12 +43,16 @@ def tfidf(docs: DataFrame, doc_key: str, terms: Column, split_col: str = "split"
           train_value: str = "train") -> DataFrame:
     """Fit on the training documents and apply to all.
 
-    The token arrays are hash-partitioned by document once; the per-document
-    steps (term counts, norm) then need no further shuffle, and a document is
-    bounded by its own length, so no key is hot.
+    The texts are read once: (doc, term, tf) is written to the shared folder,
+    and document frequencies, the number of training documents and the
+    weights come from that table. A document without terms is a row without a
+    term there, so it counts as a document.
     """
     docs = docs.repartition(doc_key)
-    tf = term_counts(docs, doc_key, terms, keep=[split_col])
-    train = tf.where(F.col(split_col) == train_value)
-    n_docs = docs.where(F.col(split_col) == train_value).count()
-    return apply_idf(tf, fit_idf(train, doc_key, n_docs), doc_key)
+    exploded = docs.select(doc_key, split_col, F.explode_outer(terms).alias("term"))
+    exploded = exploded.withColumn("term", F.when(F.length("term") >= MIN_TERM_LENGTH, F.col("term")))
+    every = stored(exploded.groupBy(doc_key, split_col, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    tf = every.where(F.col("term").isNotNull())
+    train = every.where(F.col(split_col) == train_value)
+    n_docs = train.select(doc_key).distinct().count()
+    return apply_idf(tf, fit_idf(train.where(F.col("term").isNotNull()), doc_key, n_docs), doc_key)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins with runtime sizes (a
 # broadcast only happens when the measured side is under the threshold),
@@ -68,6 +69,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder (``spark.checkpoint.dir``) and read it again.
+
+    This cuts the lineage: a lost executor costs its own tasks, not the steps
+    before, and several readers share one computation. The files go when the
+    application ends.
+    """
+    spark = df.sparkSession
+    path = os.path.join(scratch_path(spark, "tables"), f"{name}-{uuid.uuid4().hex}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.option("compression", "zstd").parquet(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
