@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, ship_package
+from ..session import ship_package, stored  # noqa: F401
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,21 +22,6 @@ def texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) ->
                      *[(c if not isinstance(c, str) else F.col(c)).alias(n) for n, c in more.items()])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder (``spark.checkpoint.dir``) and read it again.
-
-    This cuts the lineage: a lost executor costs its own tasks, not the steps before. The files go
-    when the application ends.
-    """
-    spark = df.sparkSession
-    path = os.path.join(scratch_path(spark, "tables"), f"{name}-{uuid.uuid4().hex}")
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.option("compression", "zstd").parquet(path)
-    target.getFileSystem(conf).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

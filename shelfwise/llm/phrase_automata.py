@@ -41,20 +41,22 @@ class Words:
 
     def __init__(self, raw: list[bytes]):
         buffer = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-        space = SPACES[buffer]
-        inside = np.flatnonzero(~space)
-        begins = np.flatnonzero(np.concatenate([[True], space[:-1]]) & ~space)
-        first = np.searchsorted(inside, begins)
-        length = np.diff(np.append(first, len(inside)))
-        place = np.arange(len(inside)) - np.repeat(first, length)
-        part = (buffer[inside].astype(np.uint64) + np.uint64(1)) * POWERS[place % LONGEST]
-        if len(place) and place.max() >= LONGEST:
-            part = R.mixed(part + (place // LONGEST).astype(np.uint64))
+        inside = ~SPACES[buffer]
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        begins, at = np.flatnonzero(begin), np.flatnonzero(inside)
+        first = np.flatnonzero(begin[at])
+        length = np.diff(np.append(first, len(at)))
+        place = at - np.repeat(begins, length)  # of each byte in its word
+        if len(place) and length.max() > LONGEST:
+            part = R.mixed((buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[place % LONGEST] + (place // LONGEST).astype(np.uint64))
+        else:
+            part = (buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[place]
         h = np.add.reduceat(part, first) if len(first) else np.zeros(0, np.uint64)
         self.hash = R.joined(h, length.astype(np.uint64))
-        ends = np.cumsum([len(t) + 1 for t in raw])
-        self.doc = np.searchsorted(ends, begins, "right")
-        self.first = np.searchsorted(self.doc, np.arange(len(raw)))  # of each text's first word
+        ends = np.cumsum([len(t) + 1 for t in raw], dtype=np.int64)
+        self.first = np.searchsorted(begins, np.append(0, ends[:-1])[:len(raw)])  # of each text's first word
+        self.doc = np.repeat(np.arange(len(raw)), np.diff(np.append(self.first, len(begins))))
 
     def windows(self, width: int) -> np.ndarray:
         """Which windows of ``width`` words lie in one text."""
