@@ -32,6 +32,8 @@ from .base import stored
 WINDOW, GRAM = 50, 16
 #: Suffixes that are put in order at a time.
 SUFFIXES = 1 << 19
+#: Segments that are cut out of the texts at a time.
+SEGMENTS = 1 << 16
 
 
 def loads(buffer: np.ndarray, at: np.ndarray | slice, order: str = "<") -> np.ndarray:
@@ -56,12 +58,31 @@ class Bytes:
             self.valid = self.doc[:n - window + 1] == self.doc[window - 1:]
 
 
+def sliced(raw: list[bytes], window: int):
+    """Groups of slices of the texts, with each slice's text and place: every window lies in one slice.
+
+    So a long text is worked on in pieces like short ones.
+    """
+    slices, of, at = [], [], []
+    for k, t in enumerate(raw):
+        for a in range(0, max(len(t) - window + 1, 0), R.PIECE):
+            slices.append(t[a:a + R.PIECE + window - 1])
+            of.append(k)
+            at.append(a)
+    for part in R.pieces([len(t) for t in slices]):
+        yield slices[part], np.array(of[part]), np.array(at[part])
+
+
 def anchor_hashes(window: int, gram: int):
     def hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        x = Bytes(raw, window, gram)
-        place, _, _ = R.anchors(x.grams, window - gram + 1, x.valid)
-        place = np.unique(place)
-        return x.grams[place], x.doc[place]
+        h, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for slices, of, _ in sliced(raw, window):
+            x = Bytes(slices, window, gram)
+            place, _, _ = R.anchors(x.grams, window - gram + 1, x.valid)
+            place = np.unique(place)
+            h.append(x.grams[place])
+            doc.append(of[x.doc[place]])
+        return np.concatenate(h), np.concatenate(doc)
 
     return hashes
 
@@ -69,65 +90,82 @@ def anchor_hashes(window: int, gram: int):
 def segments(window: int, gram: int, shards: int, buckets: int):
     """Of a bucket: segments by shard; and, under shard numbers from ``shards`` on, spans that are already known to go."""
     width, before = 2 * window - gram, window - gram  # of a segment, and of it before the anchor
+    column = np.arange(width)
+
+    def bodies(padded, place, lo, hi) -> np.ndarray:
+        """Segments: the bytes of the windows from ``lo`` to ``hi``, zeros around them, and the two numbers."""
+        body = np.where((column >= lo[:, None]) & (column < hi[:, None] + window), padded[place[:, None] + column], 0).astype(np.uint8)
+        return np.concatenate([body, lo[:, None].astype(np.uint8), hi[:, None].astype(np.uint8)], 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, ids, raw = R.unique(left)
         tags, (known, crowded) = R.numbers(keys), R.known(right)
         got = []
-        for part in R.pieces([len(t) for t in raw]) if len(known) else ():
-            x = Bytes(raw[part], window, gram)
+        for slices, of, offset in sliced(raw, window) if len(known) else ():
+            x = Bytes(slices, window, gram)
             place, first, last = R.anchors(x.grams, before + 1, x.valid)
             hit = R.among(x.grams[place], known)
             place, first, last = place[hit], first[hit], last[hit]
             split = R.among(x.grams[place], crowded)
+            alone = np.zeros(len(place), bool)
             if split.any():  # their windows become segments of their own
-                from .phrase_automata import ranges
-
                 n = (last - first + 1)[split]
-                each = ranges(first[split], last[split])
+                each = R.ranges(first[split], last[split])
                 place = np.concatenate([place[~split], np.repeat(place[split], n)])
                 first, last = np.concatenate([first[~split], each]), np.concatenate([last[~split], each])
                 alone = np.arange(len(place)) >= (~split).sum()
-            else:
-                alone = np.zeros(len(place), bool)
-            if not len(place):
-                continue
             padded = np.concatenate([np.zeros(before, np.uint8), x.buffer])
-            lo, hi = first - place + before, last - place + before  # of the windows, in the segment
-            column = np.arange(width)
-            body = np.where((column >= lo[:, None]) & (column < hi[:, None] + window), padded[place[:, None] + column], 0).astype(np.uint8)
-            doc = x.doc[place]
-            shard = (x.grams[place] % np.uint64(shards)).astype(np.int64)
-            if alone.any():
-                content = np.zeros(int(alone.sum()), np.uint64)
-                view = np.ascontiguousarray(np.concatenate([body[alone], np.zeros((len(content), -width % 8), np.uint8)], 1)).view("<u8")
-                for k in range(view.shape[1]):
-                    content = R.joined(content, view[:, k])
-                shard[alone] = (content % np.uint64(shards)).astype(np.int64)
-            got.append((np.concatenate([body, lo[:, None].astype(np.uint8), hi[:, None].astype(np.uint8)], 1),
-                        shard, ids[part][doc], tags[part][doc], (first - x.first[doc]).astype("<u4")))
+            for k in range(0, len(place), SEGMENTS):
+                p, f, e, own_shard = (v[k:k + SEGMENTS] for v in (place, first, last, alone))
+                body = bodies(padded, p, f - p + before, e - p + before)
+                shard = (x.grams[p] % np.uint64(shards)).astype(np.int64)
+                if own_shard.any():
+                    shard[own_shard] = (content_hash(body[own_shard]) % np.uint64(shards)).astype(np.int64)
+                local = x.doc[p]
+                got.append(collapsed(body, shard, ids[of[local]], tags[of[local]], (f - x.first[local] + offset[local]).astype("<u4")))
         out_shard, out_blob = [], []
         if got:
-            body, shard, own, tag, start = (np.concatenate([g[i] for g in got]) for i in range(5))
+            body, shard, own, tag, n, start = (np.concatenate([g[i] for g in got]) for i in range(6))
             del got
+            begin = np.cumsum(n) - n
             gone, _, _ = later_copies(body, own)
             if gone.any():
                 at = np.flatnonzero(gone)
                 for bucket, of in R.split(R.bucket_of(tag[at], buckets)):
                     of = at[of]
-                    end = start[of] + body[of, -1] - body[of, -2] + window
+                    from_ = start[R.ranges(begin[of], begin[of] + n[of] - 1)]
+                    length = np.repeat(body[of, -1].astype(np.int64) - body[of, -2] + window, n[of])
                     out_shard.append(shards + bucket)
-                    out_blob.append(R.tagged(tag[of], start=start[of], end=end.astype("<u4")))
+                    out_blob.append(R.tagged(np.repeat(tag[of], n[of]), start=from_, end=(from_ + length).astype("<u4")))
             at = np.flatnonzero(~gone)
             for s, of in R.split(shard[at]):
                 of = at[of]
                 out_shard.append(s)
-                out_blob.append(R.tagged(tag[of], body=body[of].ravel(), own=own[of].astype("<i8"), start=start[of]))
+                out_blob.append(R.tagged(tag[of], body=body[of].ravel(), own=own[of].astype("<i8"), times=n[of].astype("<u4"),
+                                         start=start[R.ranges(begin[of], begin[of] + n[of] - 1)]))
         return pa.table({"shard": pa.array(out_shard, pa.int64()), "blob": pa.array(out_blob, pa.binary())})
 
     return run
 
 
+def content_hash(body: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    view = np.ascontiguousarray(np.concatenate([body, np.zeros((len(body), -body.shape[1] % 8), np.uint8)], 1)).view("<u8")
+    out = np.zeros(len(body), np.uint64)
+    for k in range(view.shape[1]):
+        out = R.joined(out, view[:, k])
+    return out
+
+
+def collapsed(body, shard, own, tag, start) -> tuple[np.ndarray, ...]:
+    """Equal segments of one text as one row: their number, and their places one after another."""
+    text = np.ascontiguousarray(body).view(f"S{body.shape[1]}").ravel()
+    order = np.lexsort((start, text, tag))
+    body, tag = body[order], tag[order]
+    new = np.flatnonzero(np.concatenate([[True], (tag[1:] != tag[:-1]) | (body[1:] != body[:-1]).any(1)]))
+    return body[new], shard[order][new], own[order][new], tag[new], np.diff(np.append(new, len(tag))), start[order]
+
+
 def later_copies(body: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which segments equal one of a smaller id; the order of segments by content and id, and where a content begins in it."""
     text = np.ascontiguousarray(body).view(f"S{body.shape[1]}").ravel()
@@ -171,10 +209,11 @@ def factored(window: int, gram: int, shards: int, buckets: int):
         blobs = table.column("blob").to_pylist()
         if shard >= shards:  # known before
             return pa.table({"bucket": pa.array([shard - shards] * len(blobs), pa.int64()), "spans": pa.array(blobs, pa.binary())})
-        got = [R.opened(b, np.uint8, "<i8", "<u4") for b in blobs]
-        tag, body, own, start = (np.concatenate([x[i] for x in got]) for i in range(4))
+        got = [R.opened(b, np.uint8, "<i8", "<u4", "<u4") for b in blobs]
+        tag, body, own, times, start = (np.concatenate([x[i] for x in got]) for i in range(5))
         del got, blobs
-        body = body.reshape(-1, width + 2)
+        body, times = body.reshape(-1, width + 2), times.astype(np.int64)
+        begin_at = np.cumsum(times) - times
         gone, order, starts = later_copies(body, own)
         # distinct segments, and the occurrences with the least id of each
         content = np.zeros(len(own), np.int64)
@@ -203,16 +242,18 @@ def factored(window: int, gram: int, shards: int, buckets: int):
         begin = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (j[1:] != j[:-1] + 1)])) if len(c) else np.zeros(0, np.int64)
         stop = np.append(begin[1:], len(c)) - 1
         run_c, run_lo, run_hi = c[begin], j[begin], j[stop] + window if len(c) else j
-        # each occurrence with the least id has its content's spans
+        # each row with the least id has its content's spans, at all its places
         keep = np.flatnonzero(~gone)
         keep = keep[np.argsort(content[keep], kind="stable")]
         a, b = np.searchsorted(content[keep], run_c), np.searchsorted(content[keep], run_c, "right")
-        occ = keep[np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())] if len(a) else np.zeros(0, np.int64)
-        shift = start[occ].astype(np.int64) - body[occ, -2]
+        row = keep[R.ranges(a, b - 1)]
+        run = np.repeat(np.arange(len(run_c)), b - a)
         late = np.flatnonzero(gone)
-        tag = np.concatenate([tag[occ], tag[late]])
-        from_ = np.concatenate([shift + np.repeat(run_lo, b - a), start[late].astype(np.int64)])
-        to = np.concatenate([shift + np.repeat(run_hi, b - a), start[late].astype(np.int64) + body[late, -1] - body[late, -2] + window])
+        row, lo_, hi_ = (np.concatenate([x, y]) for x, y in (
+            (row, late), (run_lo[run], body[late, -2].astype(np.int64)), (run_hi[run], body[late, -1].astype(np.int64) + window)))
+        n = times[row]
+        from_ = start[R.ranges(begin_at[row], begin_at[row] + n - 1)].astype(np.int64) - np.repeat(body[row, -2].astype(np.int64), n)
+        tag, from_, to = np.repeat(tag[row], n), from_ + np.repeat(lo_, n), from_ + np.repeat(hi_, n)
         ids, out = [], []
         for bucket, at in R.split(R.bucket_of(tag, buckets)):
             at = at[np.lexsort((from_[at], tag[at]))]

@@ -16,6 +16,7 @@ Texts that are whole copies take part once; with ``window`` words or more all th
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +31,59 @@ WINDOW, PHRASE = 35, 8
 AUTOMATON = 50_000
 BASE = 32
 
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LONGEST = 1 << 12
 POWERS = np.random.default_rng(20).integers(0, 1 << 63, LONGEST, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
+def sliced(raw: list[bytes]):
+    """Groups of slices of the texts, cut at white space, and the number of each slice's text: a long text is worked on in pieces."""
+    slices, of = [], []
+    for k, t in enumerate(raw):
+        at = 0
+        while len(t) - at > R.PIECE and (cut := SPACE.search(t, at + R.PIECE)):
+            slices.append(t[at:cut.start()])
+            of.append(k)
+            at = cut.start()
+        slices.append(t[at:])
+        of.append(k)
+    for part in R.pieces([len(t) for t in slices]):
+        yield slices[part], np.array(of[part])
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, one text after another, and each text's first."""
+    buffer = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    inside = ~SPACES[buffer]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    begins, at = np.flatnonzero(begin), np.flatnonzero(inside)
+    first = np.flatnonzero(begin[at])
+    length = np.diff(np.append(first, len(at)))
+    place = at - np.repeat(begins, length)  # of each byte in its word
+    if len(place) and place.max() >= LONGEST:
+        part = R.mixed((buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[place % LONGEST] + (place // LONGEST).astype(np.uint64))
+    else:
+        part = (buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[place]
+    h = np.add.reduceat(part, first) if len(first) else np.zeros(0, np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in raw], dtype=np.int64)
+    return R.joined(h, length.astype(np.uint64)), np.searchsorted(begins, np.append(0, ends[:-1])[:len(raw)])
+
+
 class Words:
     """Hashes of the words of some texts, one after another, and the number of each word's text."""
 
     def __init__(self, raw: list[bytes]):
-        buffer = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-        inside = ~SPACES[buffer]
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1]
-        begins, at = np.flatnonzero(begin), np.flatnonzero(inside)
-        first = np.flatnonzero(begin[at])
-        length = np.diff(np.append(first, len(at)))
-        place = at - np.repeat(begins, length)  # of each byte in its word
-        if len(place) and length.max() > LONGEST:
-            part = R.mixed((buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[place % LONGEST] + (place // LONGEST).astype(np.uint64))
-        else:
-            part = (buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[place]
-        h = np.add.reduceat(part, first) if len(first) else np.zeros(0, np.uint64)
-        self.hash = R.joined(h, length.astype(np.uint64))
-        ends = np.cumsum([len(t) + 1 for t in raw], dtype=np.int64)
-        self.first = np.searchsorted(begins, np.append(0, ends[:-1])[:len(raw)])  # of each text's first word
-        self.doc = np.repeat(np.arange(len(raw)), np.diff(np.append(self.first, len(begins))))
+        hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(raw), np.int64)
+        for slices, of in sliced(raw):
+            h, first = word_hashes(slices)
+            hashes.append(h)
+            np.add.at(counts, of, np.diff(np.append(first, len(h))))
+        self.hash = np.concatenate(hashes)
+        self.first = np.cumsum(counts) - counts  # of each text's first word
+        self.doc = np.repeat(np.arange(len(raw)), counts)
 
     def windows(self, width: int) -> np.ndarray:
         """Which windows of ``width`` words lie in one text."""
@@ -143,12 +170,6 @@ def spelled(numbers: np.ndarray, digits: int) -> str:
     return out.tobytes().decode("utf-32-le")
 
 
-def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """All whole numbers from each first to its last."""
-    n = last - first + 1
-    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-
-
 def candidates(window: int, phrase: int, shards: int):
     """Of a bucket: its candidate windows' hashes and places, by shard."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -158,7 +179,7 @@ def candidates(window: int, phrase: int, shards: int):
         if len(known):
             parts = list(R.pieces([len(t) for t in raw]))
             for part, (words, first, last) in zip(parts, _aligned(located([Words(raw[p]) for p in parts], known, window, phrase), len(parts))):
-                at = ranges(first, last)
+                at = R.ranges(first, last)
                 if not len(at):
                     continue
                 h = sequences(words.hash, window)[at]

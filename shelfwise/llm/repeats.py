@@ -261,6 +261,12 @@ def spans_of(table: pa.Table, column: str, *types) -> list[np.ndarray]:
     return [x[order] for x in both]
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All whole numbers from each first to its last (none if that is smaller)."""
+    n = last - first + 1
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n places lie in one of the spans."""
     edge = np.zeros(n + 1, np.int64)

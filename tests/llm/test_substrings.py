@@ -40,29 +40,50 @@ def test_empty_tables(spark):
     assert lpf_dedup.dedup_bytes(empty).count() == 0 and phrase_automata.dedup_phrases(empty).count() == 0
 
 
-def test_crowded_anchors_are_split_by_content():
-    """The same spans come out whether an anchor's windows go together or each for itself."""
+def in_one_bucket(rows, window, gram, crowded):
+    """Operator 5 without Spark, one bucket and three shards."""
+    import hashlib
+
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    rows = [(d, t) for d, t in enumerate(t for t in awkward_texts(3) if t)]
-    raw = list(dict.fromkeys(t.encode() for _, t in rows))
-    keys = [bytes([k]) * 16 for k in range(len(raw))]
-    table = pa.table({"key": pa.array(keys, pa.binary()), "doc_id": pa.array(range(len(raw)), pa.int64()), "text": pa.array([t.decode() for t in raw])})
-    h, _ = lpf_dedup.anchor_hashes(50, 16)(raw)
+    keys = [hashlib.md5((t or "").encode()).digest() for _, t in rows]
+    table = pa.table({"key": pa.array(keys, pa.binary()), "doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t or "" for _, t in rows])})
+    h, _ = lpf_dedup.anchor_hashes(window, gram)(repeats.unique(table)[2])
     every = np.unique(h >> np.uint64(24))
-    found = []
-    for crowded in (np.zeros(len(every)), np.arange(len(every)) % 2, np.ones(len(every))):
-        right = pa.table({"hashes": pa.array([repeats.pack(h=every, crowded=crowded.astype(np.uint8))], pa.binary())})
-        sent = lpf_dedup.segments(50, 16, 4, 1)(table, right)
-        spans = set()
-        for s in set(sent.column("shard").to_pylist()):
-            own = sent.filter(pa.compute.equal(sent.column("shard"), s))
-            out = lpf_dedup.factored(50, 16, 4, 1)(own)
-            for b in out.column("spans").to_pylist():
-                for t, a, e in zip(*(x.tolist() for x in repeats.opened(b, "<u4", "<u4"))):
-                    spans |= {(t, x) for x in range(a, e)}
-        found.append(spans)
-    assert found[0] and found[0] == found[1] == found[2]
+    known = pa.table({"hashes": pa.array([repeats.pack(h=every, crowded=crowded(len(every)).astype(np.uint8))], pa.binary())})
+    sent = lpf_dedup.segments(window, gram, 3, 1)(table, known)
+    spans = []
+    for s in set(sent.column("shard").to_pylist()):
+        spans += lpf_dedup.factored(window, gram, 3, 1)(sent.filter(pc.equal(sent.column("shard"), s))).column("spans").to_pylist()
+    out = {o["key"]: o for o in lpf_dedup.removed(window, True)(table, pa.table({"spans": pa.array(spans, pa.binary())})).to_pylist()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    return [(d, o["n_bytes"], o["n_bytes"], 1, nothing) if d > o["least"] and o["n_bytes"] >= window else (d, o["n_bytes"], o["n_removed"], o["n_spans"], o["kept"])
+            for (d, _), o in zip(rows, (out[k] for k in keys))]
+
+
+@pytest.mark.parametrize("window,gram", [(50, 16), (30, 9)])
+def test_slices_and_crowded_anchors_change_nothing(monkeypatch, window, gram):
+    """Whatever the pieces, and whether an anchor's windows go together or each for itself."""
+    texts = [*awkward_texts(5), "a" * 700, "ab" * 300 + "c" + "a" * 200, "For " * 400 + "the end"]
+    rows = [(7 * k % 211, t) for k, t in enumerate(texts)]
+    want = suffix_dedup(rows, window)
+    for piece, cut, suffixes in ((1 << 21, 1 << 16, 1 << 19), (97, 50, 100), (1000, 7, 33)):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        monkeypatch.setattr(lpf_dedup, "SEGMENTS", cut)
+        monkeypatch.setattr(lpf_dedup, "SUFFIXES", suffixes)
+        for crowded in (np.zeros, np.ones, lambda n: np.arange(n) % 2):
+            assert in_one_bucket(rows, window, gram, crowded) == want
+
+
+def test_words_of_slices_are_those_of_the_whole(monkeypatch):
+    raw = [(t or "").encode() for t in awkward_texts(6)]
+    whole = phrase_automata.Words(raw)
+    assert [int(x) for x in np.bincount(whole.doc, minlength=len(raw))] == [len(t.split()) for t in raw]
+    for piece in (13, 100, 1000):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        part = phrase_automata.Words(raw)
+        assert (whole.hash == part.hash).all() and (whole.doc == part.doc).all() and (whole.first == part.first).all()
 
 
 def test_anchors_are_the_least_grams_of_windows():
