@@ -33,6 +33,7 @@ BEGIN, END = 0x110000, 0x110001
 BITS = 21
 #: Bytes of text in a bucket. Their number follows the input alone: a bucket's grams are joined once for each bucket.
 BUCKET = 8 << 20
+SLICE = 1 << 20
 #: Most entries of a table that is indexed by three characters' numbers; with more characters grams are sorted.
 DENSE = 1 << 23
 UNSEEN = 1 << 17  # characters that might be: the order below the first gives each the same share
@@ -84,20 +85,27 @@ def unpacked(table: pa.Table) -> pa.Table:
 
 
 class Grams:
-    """The grams of some texts; equal grams have equal numbers in ``code``."""
+    """The grams of some texts, or slices of texts; equal grams have equal numbers in ``code``.
 
-    def __init__(self, values: list[str]):
+    ``heads``: the two characters before each slice (the begin mark before a text); ``ends``: whether
+    the text ends with it.
+    """
+
+    def __init__(self, values: list[str], heads: list[tuple[int, int]] | None = None, ends: list[bool] | None = None):
         length = np.array([len(t) for t in values], np.int64)
+        heads = np.array([(BEGIN, BEGIN)] * len(values) if heads is None else heads, np.uint32).reshape(-1, 2)
+        ends = np.ones(len(values), bool) if ends is None else np.array(ends, bool)
         c = np.frombuffer("".join(values).encode("utf-32-le"), "<u4")
         first = np.cumsum(length) - length
-        spots = np.repeat(first, 3)
-        spots[2::3] += length
-        c = np.insert(c, spots, np.tile(np.array([BEGIN, BEGIN, END], np.uint32), len(values))) if len(values) else c
-        self.predicted = length + 1  # of each text: its characters and the end mark
-        ends = np.repeat(np.arange(len(values)), length + 3)
-        ok = c[2:] != BEGIN if len(c) > 2 else np.zeros(0, bool)
-        ok &= ends[2:] == ends[:-2] if len(c) > 2 else ok
-        self.doc = ends[2:][ok] if len(c) > 2 else np.zeros(0, np.int64)
+        keep = np.column_stack([np.ones((len(values), 2), bool), ends]).ravel()
+        spots = np.column_stack([first, first, first + length]).ravel()[keep]
+        marks = np.column_stack([heads, np.full(len(values), END, np.uint32)]).ravel()[keep]
+        c = np.insert(c, spots, marks) if len(values) else c
+        total = length + 2 + ends
+        own = np.repeat(np.arange(len(values)), total)
+        ok = np.arange(len(c)) - np.repeat(np.cumsum(total) - total, total) >= 2  # all but the two before a slice are predicted
+        self.slice = own[ok]
+        ok = ok[2:]
         self.alphabet = np.flatnonzero(np.bincount(c, minlength=1)) if len(c) else np.zeros(0, np.int64)
         n = len(self.alphabet)
         if n ** 3 <= DENSE:
@@ -119,8 +127,8 @@ class Grams:
         return (a[code // (n * n)] << 2 * BITS) | (a[code // n % n] << BITS) | a[code % n]
 
     def counts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All grams, and how often each is in chosen texts."""
-        take = chosen[self.doc]
+        """All grams, and how often each is in chosen slices."""
+        take = chosen[self.slice]
         if self.dense:
             size = len(self.alphabet) ** 3
             every = np.flatnonzero(np.bincount(self.code, minlength=size))
@@ -129,17 +137,26 @@ class Grams:
         return every, np.bincount(at[take], minlength=len(every))
 
     def sums(self, gram: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        """Of each of n texts, the sum of its grams' values; ``gram`` is sorted and has them all."""
+        """Of each of n slices, the sum of its grams' values; ``gram`` is sorted and has them all."""
         if self.dense:
             every = np.flatnonzero(np.bincount(self.code, minlength=1))
             table = np.zeros(int(every[-1]) + 1 if len(every) else 1)
             table[every] = value[np.searchsorted(gram, self.grams(every))]
-            return np.bincount(self.doc, table[self.code], n)
-        return np.bincount(self.doc, value[np.searchsorted(gram, self.code)], n)
+            return np.bincount(self.slice, table[self.code], n)
+        return np.bincount(self.slice, value[np.searchsorted(gram, self.code)], n)
 
 
-def pieces(values: list[str]):
-    return sub_batches([len(t) for t in values], 2 << 20)
+def sliced(values: list[str]):
+    """Groups of slices of the texts, with what ``Grams`` wants of them, and each slice's text: a long text is worked on in pieces."""
+    slices, heads, ends, of = [], [], [], []
+    for k, t in enumerate(values):
+        for at in range(0, max(len(t), 1), SLICE):
+            slices.append(t[at:at + SLICE])
+            heads.append((ord(t[at - 2]) if at > 1 else BEGIN, ord(t[at - 1])) if at else (BEGIN, BEGIN))
+            ends.append(at + SLICE >= len(t))
+            of.append(k)
+    for part in sub_batches([len(t) for t in slices], 2 * SLICE):
+        yield Grams(slices[part], heads[part], ends[part]), np.array(of[part])
 
 
 def bucket_counts(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -148,8 +165,9 @@ def bucket_counts(left: pa.Table, right: pa.Table) -> pa.Table:
     trusted = set(right.column("doc_id").to_pylist())
     ids, values = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
     grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for part in pieces(values):
-        g, n = Grams(values[part]).counts(np.array([d in trusted for d in ids[part]], bool))
+    chosen = np.array([d in trusted for d in ids], bool)
+    for found, of in sliced(values):
+        g, n = found.counts(chosen[of])
         grams.append(g)
         counts.append(n)
     every, at = np.unique(np.concatenate(grams), return_inverse=True)
@@ -165,14 +183,12 @@ def bucket_scores(left: pa.Table, right: pa.Table) -> pa.Table:
     order = np.argsort(gram)
     gram, value = gram[order], value[order]
     values = docs.column("text").to_pylist()
-    n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for part in pieces(values):
-        g = Grams(values[part])
-        n.append(g.predicted)
-        total.append(-g.sums(gram, value, len(g.predicted)))
+    n, total = np.array([len(t) for t in values], np.int64), np.zeros(len(values))
+    for found, of in sliced(values):
+        np.add.at(total, of, -found.sums(gram, value, len(of)))
     keys = [hashlib.md5(t.encode()).digest() for t in values]
     return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "key": pa.array(keys, pa.binary()), "lang": docs.column("lang").cast(pa.string()),
-                     "n_chars": pa.array(np.concatenate(n) - 1), "nll": pa.array(np.concatenate(total))})
+                     "n_chars": pa.array(n), "nll": pa.array(total)})
 
 
 def discounts(counts: DataFrame, n: str) -> list[float]:

@@ -71,6 +71,22 @@ def test_wide_alphabets_take_the_sorted_way(monkeypatch):
     assert np.allclose(a.sums(gram, value, len(texts)), b.sums(gram, value, len(texts)))
 
 
+def test_slices_are_the_whole(monkeypatch):
+    texts = [t or "" for t in awkward_texts()]
+    g = Q.Grams(texts)
+    gram, _ = g.counts(np.ones(len(texts), bool))
+    gram = np.sort(gram)
+    value = np.random.default_rng(0).random(len(gram))
+    want = g.sums(gram, value, len(texts))
+    for size in (1, 2, 7, 1000):
+        monkeypatch.setattr(Q, "SLICE", size)
+        got, some = np.zeros(len(texts)), set()
+        for found, of in Q.sliced(texts):
+            np.add.at(got, of, found.sums(gram, value, len(of)))
+            some |= set(found.counts(np.ones(len(of), bool))[0].tolist())
+        assert np.allclose(got, want) and some == set(gram.tolist())
+
+
 def test_noise_goes_and_clean_stays(spark):
     rng = random.Random(6)
     texts, lang, labels = [], [], []
