@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
 from ..operators import features as FE
 from ..operators import quality as Q
 from ..operators.report import money_sum, result_filter, top_k
