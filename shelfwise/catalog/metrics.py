@@ -1,6 +1,6 @@
 """Model-quality metrics on stand-in predictions: A11, A12, A13, A14.
 
-Statistics over doubles are reported to 1e-6 (``report.metric``), so they do
+Statistics over doubles are reported to 1e-6 (``report.rounded``), so they do
 not depend on summation order (and match the oracle).
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.drift import SERIES_TERMS, SMALL_LAMBDA, ks_two_sample
+from ..operators.report import rounded
 from ..plans import daily as DJ
 from ..plans.pricing import regression_report
 from . import daily as D
@@ -24,7 +25,7 @@ def standin_predictions(spark, sf_dir, *splits):
 
 def q_daily_errors(spark, sf_dir):
     """MAE and RMSE of the (stand-in) demand forecast, per hold-out split."""
-    return DJ.evaluate(standin_predictions(spark, sf_dir, "val", "test")).select("split", "rows", "mae", "rmse")
+    return rounded(DJ.evaluate(standin_predictions(spark, sf_dir, "val", "test")).select("split", "rows", "mae", "rmse"), "mae", "rmse")
 
 
 def q_daily_range_check(spark, sf_dir):
@@ -34,7 +35,7 @@ def q_daily_range_check(spark, sf_dir):
 
 def q_daily_drift_ks(spark, sf_dir):
     """Two-sample KS, train target vs validation target."""
-    return ks_two_sample(D.split_daily(spark, sf_dir), "units_sold", "split", "train", "val")
+    return rounded(ks_two_sample(D.split_daily(spark, sf_dir), "units_sold", "split", "train", "val"), "p_value", digits=12)
 
 
 def standin_eval_price():
@@ -46,7 +47,8 @@ def q_price_holdout_eval(spark, sf_dir):
     feat = PR.q_price_features(spark, sf_dir).where(F.col("split") == "test")
     pp = F.greatest(standin_eval_price(), F.lit(0.0))
     up = F.greatest(F.lit(300.0) - pp * F.lit(0.2), F.lit(0.0))
-    return regression_report(feat, {"price": (F.col("current_price"), pp), "units": (F.col("units_sold"), up)})
+    report = regression_report(feat, {"price": (F.col("current_price"), pp), "units": (F.col("units_sold"), up)})
+    return rounded(report, "price_rmse", "price_r2", "units_rmse", "units_r2")
 
 
 QUERIES = {

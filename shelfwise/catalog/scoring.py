@@ -148,7 +148,7 @@ def q_demand_batch(spark, sf_dir):
 
 def q_demand_batch_summary(spark, sf_dir):
     """A7 + A5 + F7: success counts and statistics of the valid forecasts."""
-    return demand_scoring.summary(q_demand_batch(spark, sf_dir))
+    return REP.rounded(demand_scoring.summary(q_demand_batch(spark, sf_dir)), "mean_forecast", "total_forecast")
 
 
 QUERIES = {

@@ -72,7 +72,7 @@ def q_document_tfidf(spark, sf_dir):
     """TF-IDF of every document, idf fitted on the training split (E10 by doc)."""
     t = q_document_tokens(spark, sf_dir)
     s = hash_split(t, "doc_id", TEST_SHARE, SENTIMENT_SEED)
-    return tfidf(s, "doc_id", X.terms(F.col("content"))).select("doc_id", "split", "term", "tf", "weight")
+    return tfidf(s, "doc_id", X.terms(F.col("content"))).select("doc_id", "split", "term", "tf", F.round("weight", REP.METRIC_DIGITS).alias("weight"))
 
 
 QUERIES = {

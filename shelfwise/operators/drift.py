@@ -50,4 +50,4 @@ def ks_two_sample(df: DataFrame, value: str, side: str, first, second) -> DataFr
     d = cum.agg(F.max(gap).alias("statistic"))
     lam = F.sqrt(F.lit(n1 * n2 / (n1 + n2))) * F.col("statistic")
     return d.select(F.lit(n1).cast("long").alias("n1"), F.lit(n2).cast("long").alias("n2"), "statistic",
-                    F.round(kolmogorov_q(lam), 12).alias("p_value"))
+                    kolmogorov_q(lam).alias("p_value"))

@@ -44,14 +44,14 @@ def money_sum(c: Column) -> Column:
 METRIC_DIGITS = 6
 
 
-def metric(c: Column) -> Column:
-    """A reported statistic of doubles, to 1e-6.
+def rounded(df: DataFrame, *columns: str, digits: int = METRIC_DIGITS) -> DataFrame:
+    """Some statistics of a report to ``digits`` (for comparing it; operators return them as they are).
 
     Double sums depend on the summation order (partitioning) in their last
     bits; reporting at 1e-6 makes the figure reproducible across runs and
     engines without changing what is computed.
     """
-    return F.round(c, METRIC_DIGITS)
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def top_k(df: DataFrame, by: str, k: int, tie: str, columns: list[str]) -> DataFrame:

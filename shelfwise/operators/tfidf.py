@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .report import metric
-
 
 MIN_TERM_LENGTH = 2
 
@@ -36,7 +34,7 @@ def apply_idf(tf: DataFrame, idf: DataFrame, doc_key: str) -> DataFrame:
     """(doc, term, tf, weight) with L2-normalised weights; unseen terms dropped."""
     w = tf.join(idf.select("term", "idf"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc_key)))
-    return w.withColumn("weight", metric(F.col("raw") / norm)).drop("raw", "idf")
+    return w.withColumn("weight", F.col("raw") / norm).drop("raw", "idf")
 
 
 def tfidf(docs: DataFrame, doc_key: str, terms: Column, split_col: str = "split",
