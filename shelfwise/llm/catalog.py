@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import lpf_dedup, lsi_decontamination, phrase_automata, quality_lm, quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, token_counts, url_filter
+from . import lpf_dedup, lsi_decontamination, oracle, phrase_automata, quality_lm, quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, token_counts, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -68,4 +68,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(oracle.SQL)
