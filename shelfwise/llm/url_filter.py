@@ -7,8 +7,9 @@ none. A URL's score is the mean over its characters of the log-likelihood differ
 is calibrated on a tenth of the ruled URLs that the models do not see.
 
 Everything that shuffles is counted first: URLs are made distinct, each character with its context
-(a gram) is counted by map-side sums, and the models are computed for distinct grams only. Scores
-are summed as whole numbers, so they do not depend on the order of rows.
+(a gram) is counted by map-side sums, and the models are computed for distinct grams only, one order
+after the other, so that a context or a shorter gram meets at most an alphabet of rows. Scores are
+summed as whole numbers, so they do not depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import shuffle_parts, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CONTEXT = 4
 UNIT = 10**9
@@ -56,37 +59,44 @@ def grams(text: Column, context: int = CONTEXT) -> Column:
 def log_ratios(counts: DataFrame, context: int = CONTEXT) -> DataFrame:
     """``gram, ratio``: of distinct grams with their counts ``good`` and ``bad``, the log-likelihood difference."""
     n = F.length("gram")
-    ends = counts.select("gram", "good", "bad", F.explode(F.sequence(F.lit(1), n)).alias("order"))
-    ends = ends.withColumn("end", F.expr("right(gram, `order`)"))
-    seen = (ends.where("good + bad > 0").groupBy("end").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-            .withColumn("before", F.expr("left(end, length(end) - 1)")))
-    contexts = seen.groupBy("before").agg(
+    ends = counts.select("good", "bad", n.alias("of"), "gram", F.explode(F.sequence(F.lit(1), n)).alias("order"))
+    # all grams and what they end with; ``whole``: it is a gram itself, not only the end of longer ones
+    seen = stored(ends.groupBy("order", F.expr("right(gram, `order`)").alias("gram")).agg(
+        F.sum("good").alias("g"), F.sum("bad").alias("b"), F.max(F.col("of") == F.col("order")).alias("whole"))
+        .withColumn("before", F.expr("left(gram, length(gram) - 1)")), "url-grams")
+    contexts = seen.where("g + b > 0").groupBy("before").agg(
         F.sum("g").alias("gn"), F.sum((F.col("g") > 0).cast("long")).alias("gt"),
         F.sum("b").alias("bn"), F.sum((F.col("b") > 0).cast("long")).alias("bt"))
-    levels = (ends.select("gram", "order", "end").withColumn("before", F.expr("left(end, length(end) - 1)"))
-              .join(seen.select("end", "g", "b"), "end", "left").join(contexts, "before", "left")
-              .groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(
-                  "order", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("g", "gn", "gt", "b", "bn", "bt")]))).alias("levels")))
 
     def finer(p, n, total, kinds):
-        return F.when(total > 0, (n + kinds * p) / (total + kinds)).otherwise(p)
-
-    first = F.struct(F.lit(1.0 / ALPHABET).alias("g"), F.lit(1.0 / ALPHABET).alias("b"))
-    p = F.aggregate("levels", first, lambda a, x: F.struct(
-        finer(a["g"], x["g"], x["gn"], x["gt"]).alias("g"), finer(a["b"], x["b"], x["bn"], x["bt"]).alias("b")))
-    return levels.select("gram", p.alias("p")).select(
-        "gram", F.round((F.log("p.g") - F.log("p.b")) * UNIT).cast("long").alias("ratio"))
+        return F.when(F.col(total) > 0, (F.col(n) + F.col(kinds) * F.col(p)) / (F.col(total) + F.col(kinds))).otherwise(F.col(p))
+
+    below, out = None, None
+    for k in range(1, context + 2):
+        level = seen.where(F.col("order") == k).join(contexts, "before", "left")
+        if below is None:
+            level = level.withColumns({"pg": F.lit(1.0 / ALPHABET), "pb": F.lit(1.0 / ALPHABET)})
+        else:
+            level = level.withColumn("shorter", F.expr("right(gram, length(gram) - 1)")).join(below, "shorter")
+        level = level.select("gram", "whole", finer("pg", "g", "gn", "gt").alias("pg"), finer("pb", "b", "bn", "bt").alias("pb"))
+        if k % 2 == 0:
+            level = stored(level, "url-model")  # else each order would be computed again for all above it
+        own = level.where("whole").select("gram", F.round((F.log("pg") - F.log("pb")) * UNIT).cast("long").alias("ratio"))
+        out = own if out is None else out.union(own)
+        below = level.select(F.col("gram").alias("shorter"), "pg", "pb")
+    return out
 
 
 def scores(urls: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """``text, score`` (in units of 1e-9 a character) of distinct ``text, good, bad, wanted`` rows.
+    """``id, score`` (in units of 1e-9 a character) of distinct ``id, text, good, bad, wanted`` rows.
 
-    ``good`` and ``bad`` say how often a text counts as an example of either kind; ``wanted`` texts are scored.
+    ``good`` and ``bad`` say how often a text counts as an example of either kind; ``wanted`` texts are
+    scored. Only the id goes along with a text's characters, so a long text costs its length once.
     """
-    each = urls.select("text", "good", "bad", "wanted", F.explode(grams(F.col("text"), context)).alias("gram"))
+    each = urls.select("id", "good", "bad", "wanted", F.explode(grams(F.col("text"), context)).alias("gram"))
     counts = each.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    return (each.where("wanted").select("text", "gram").join(log_ratios(counts, context), "gram")
-            .groupBy("text").agg((F.sum("ratio") / F.count("*")).cast("long").alias("score")))
+    return (each.where("wanted").select("id", "gram").join(log_ratios(counts, context), "gram")
+            .groupBy("id").agg((F.sum("ratio") / F.count("*")).cast("long").alias("score")))
 
 
 def calibrated(examples: DataFrame) -> int | None:
@@ -101,13 +111,13 @@ def calibrated(examples: DataFrame) -> int | None:
     good, bad = sum(x["good"] for x in bins), sum(x["bad"] for x in bins)
     if not good or not bad:
         return None
-    best, at, lost, caught = None, None, 0, 0
-    for x in bins:  # a bound at the lower edge of this bin rejects the bins before
+    best, at, lost, caught, before = None, None, 0, 0, None
+    for x in bins:  # a bound below this bin, halfway from the one before, rejects the bins before
         value = caught / bad - lost / good
         if best is None or value > best:
-            best, at = value, x["bin"]
-        lost, caught = lost + x["good"], caught + x["bad"]
-    return at * BIN
+            best, at = value, x["bin"] if before is None else (before + 1 + x["bin"]) / 2
+        lost, caught, before = lost + x["good"], caught + x["bad"], x["bin"]
+    return round(at * BIN)
 
 
 def filter_urls(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", context: int = CONTEXT) -> DataFrame:
@@ -132,9 +142,11 @@ def filter_urls(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url:
     zero = F.lit(0).cast("long")
     kinds = kinds.select("text", "allow", "block", "open", held.alias("held"),
                          F.when(held, zero).otherwise(F.col("allow")).alias("good"), F.when(held, zero).otherwise(F.col("block")).alias("bad"))
-    judged = scores(kinds.withColumn("wanted", F.col("held") | F.col("open")), context)
-    bound = calibrated(judged.join(kinds.where("held").select("text", F.col("allow").alias("good"), F.col("block").alias("bad")), "text"))
+    # few bytes, but much work for each: dealt to all tasks
+    kinds = stored(kinds.repartition(shuffle_parts(df.sparkSession), "text").withColumn("id", F.monotonically_increasing_id()), "urls")
+    judged = stored(scores(kinds.withColumn("wanted", F.col("held") | F.col("open")), context), "url-scores")
+    bound = calibrated(judged.join(kinds.where("held").select("id", F.col("allow").alias("good"), F.col("block").alias("bad")), "id"))
     by_model = F.when((F.col("score") < F.lit(bound)), "block").otherwise("allow") if bound is not None else F.lit("allow")
-    return pages.join(judged, "text", "left").select(
+    return pages.join(judged.join(kinds.select("id", "text"), "id"), "text", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"),
         F.when(F.col("ruled").isNull(), F.col("score") / UNIT).alias("score"))
