@@ -22,7 +22,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op2_url_filters(spark, sf_dir):
-    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).drop("score")
 
 
 def op3_simhash_dedup(spark, sf_dir):
@@ -68,4 +68,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(oracle.SQL)
+    return {**oracle.SQL, "op2_url_filters": oracle.urls(URL_RULES)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import url_filter as U
+
 # Words by their place, windows of 35 by a hash, and every word that a window found twice covers.
 PHRASES = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -33,4 +35,53 @@ SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.n,
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+
+
+def urls(rules: list[tuple[str, str, str]]) -> str:
+    """The URL query: rules, counts of grams, the models' orders one by one, scores and the calibrated bound."""
+    longest = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in longest]
+    name = " ".join(f"WHEN {f} THEN '{n}'" for f, n, _ in fits)
+    verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
+    upper, lower = U.UPPER, U.LOWER
+    finer = "CASE WHEN {t} > 0 THEN (CAST({n} AS DOUBLE) + {k} * {p}) / ({t} + {k}) ELSE {p} END"
+    levels = []
+    for k in range(1, U.CONTEXT + 2):
+        source = (f"(SELECT s.*, CAST({1 / U.ALPHABET!r} AS DOUBLE) AS qg, CAST({1 / U.ALPHABET!r} AS DOUBLE) AS qb FROM seen s WHERE o = 1)" if k == 1 else
+                  f"(SELECT s.*, l.pg AS qg, l.pb AS qb FROM seen s JOIN level{k - 1} l ON l.gram = right(s.gram, {k - 1}) WHERE s.o = {k})")
+        levels.append(f"level{k} AS MATERIALIZED (SELECT s.gram, whole, {finer.format(t='gn', n='g', k='gt', p='qg')} AS pg, "
+                      f"{finer.format(t='bn', n='b', k='bt', p='qb')} AS pb FROM {source} s LEFT JOIN contexts c ON c.before = left(s.gram, {k - 1}))")
+    every = " UNION ALL ".join(f"SELECT gram, pg, pb FROM level{k} WHERE whole" for k in range(1, U.CONTEXT + 2))
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+v AS (SELECT page_id, u, instr(u, '://') AS spot, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+             translate(CASE WHEN spot > 0 THEN rest ELSE u END, '{upper}', '{lower}') AS text FROM v),
+r AS (SELECT *, CASE {name} END AS rule, CASE {verdict} END AS ruled FROM p),
+kinds AS (SELECT text, count(*) FILTER (WHERE ruled = 'allow') AS allow, count(*) FILTER (WHERE ruled = 'block') AS block,
+                 bool_or(ruled IS NULL) AS open, substr(md5(text), 1, 2) < '{U.HELD_OUT}' AS held FROM r GROUP BY text),
+each AS (SELECT text, CASE WHEN held THEN 0 ELSE allow END AS good, CASE WHEN held THEN 0 ELSE block END AS bad, held OR open AS wanted,
+                substr(s, greatest(1, i - {U.CONTEXT}), least({U.CONTEXT + 1}, i)) AS gram
+         FROM (SELECT *, chr(2) || text || chr(3) AS s, unnest(range(2, length(text) + 3)) AS i FROM kinds)),
+counts AS (SELECT gram, sum(good) AS good, sum(bad) AS bad FROM each GROUP BY gram),
+seen AS MATERIALIZED (SELECT o, right(gram, o) AS gram, CAST(sum(good) AS BIGINT) AS g, CAST(sum(bad) AS BIGINT) AS b, bool_or(length(gram) = o) AS whole
+         FROM (SELECT *, CAST(unnest(range(1, length(gram) + 1)) AS INTEGER) AS o FROM counts) GROUP BY ALL),
+contexts AS MATERIALIZED (SELECT left(gram, o - 1) AS before, sum(g) AS gn, count(*) FILTER (WHERE g > 0) AS gt, sum(b) AS bn, count(*) FILTER (WHERE b > 0) AS bt
+             FROM seen WHERE g + b > 0 GROUP BY ALL),
+{", ".join(levels)},
+ratios AS (SELECT gram, CAST(round((ln(pg) - ln(pb)) * {U.UNIT}) AS BIGINT) AS ratio FROM ({every})),
+scores AS (SELECT text, CAST(trunc(CAST(sum(ratio) AS DOUBLE) / count(*)) AS BIGINT) AS score FROM each JOIN ratios USING (gram) WHERE wanted GROUP BY text),
+bins AS (SELECT CAST(greatest(-1000, least(1000, floor(score / CAST({U.BIN} AS DOUBLE)))) AS BIGINT) AS bin, sum(allow) AS good, sum(block) AS bad
+         FROM scores JOIN kinds USING (text) WHERE held GROUP BY ALL),
+cut AS (SELECT CASE WHEN lag(bin) OVER w IS NULL THEN bin ELSE (lag(bin) OVER w + 1 + bin) / 2.0 END * {U.BIN} AS bound, bin,
+               coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / CAST(sum(bad) OVER () AS DOUBLE)
+               - coalesce(sum(good) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / CAST(sum(good) OVER () AS DOUBLE) AS value
+        FROM bins WINDOW w AS (ORDER BY bin)),
+best AS (SELECT bound FROM cut WHERE isfinite(value) ORDER BY value DESC, bin LIMIT 1)
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN score < (SELECT bound FROM best) THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN scores USING (text)
+"""
+
+
 SQL = {"op5_suffix_dedup": SUFFIXES, "op10_phrase_dedup": PHRASES}

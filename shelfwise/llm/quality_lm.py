@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import stored, sub_batches, texts
+from .base import shuffle_parts, stored, sub_batches, texts
 
 #: Marks before the first and after the last character; no text has them.
 BEGIN, END = 0x110000, 0x110001
@@ -39,7 +39,7 @@ DENSE = 1 << 23
 UNSEEN = 1 << 17  # characters that might be: the order below the first gives each the same share
 BINS = 1000  # of the log-perplexity, for one unit
 #: Of the distance between the quantiles: added on both sides, and times the root of one over the number of documents.
-ALLOWANCE, FEW = 0.1, 2.0
+ALLOWANCE, FEW = 0.1, 4.0
 MOST_BINS = 30 * BINS  # a log-perplexity over 30 is out of any bounds
 
 
@@ -276,7 +276,10 @@ def classify(df: DataFrame, labels: DataFrame, upper: float = 0.999, lower: floa
     score = (F.col("nll") + settle * mean) / (F.col("n_chars") + 1 + settle)
     bins = mine.select("lang", F.least(F.floor(score * BINS), F.lit(MOST_BINS)).alias("bin"))
     of_lang, (low, high) = bounds(bins, lower, upper)
-    return (scores.join(of_lang, "lang", "left")
+    # a language may hold most documents: its rows are dealt over all tasks, and its bounds go with each part
+    parts = shuffle_parts(df.sparkSession)
+    of_lang = of_lang.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return (scores.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int")).join(of_lang, ["lang", "part"], "left")
             .select("doc_id", "key", "lang", "n_chars", F.exp(F.col("nll") / (F.col("n_chars") + 1)).alias("perplexity"),
                     (F.coalesce("low", F.lit(low)) / BINS).alias("low"), (F.coalesce("high", F.lit(high)) / BINS).alias("high"), score.alias("score"))
             .select("doc_id", "key", "lang", "n_chars", "perplexity", F.exp("low").alias("low"), F.exp("high").alias("high"),
