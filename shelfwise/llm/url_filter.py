@@ -50,9 +50,16 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def grams(text: Column, context: int = CONTEXT) -> Column:
-    """Each character of the text, and an end mark, with up to ``context`` characters before it."""
-    chars = F.split(F.concat(F.lit("\u0002"), text, F.lit("\u0003")), "")
+def characters(text: Column) -> Column:
+    """The text's characters between a begin and an end mark."""
+    return F.split(F.concat(F.lit("\u0002"), text, F.lit("\u0003")), "")
+
+
+def grams(chars: Column, context: int = CONTEXT) -> Column:
+    """Each character but the begin mark, with up to ``context`` characters before it.
+
+    ``chars`` must be a column of its own: an expression would be evaluated for each character again.
+    """
     return F.transform(F.sequence(F.lit(2), F.size(chars)),
                        lambda i: F.array_join(F.slice(chars, F.greatest(F.lit(1), i - context), F.least(F.lit(context + 1), i)), ""))
 
@@ -94,7 +101,8 @@ def scores(urls: DataFrame, context: int = CONTEXT) -> DataFrame:
     ``good`` and ``bad`` say how often a text counts as an example of either kind; ``wanted`` texts are
     scored. Only the id goes along with a text's characters, so a long text costs its length once.
     """
-    each = urls.select("id", "good", "bad", "wanted", F.explode(grams(F.col("text"), context)).alias("gram"))
+    split = urls.select("id", "good", "bad", "wanted", characters(F.col("text")).alias("chars"))
+    each = split.select("id", "good", "bad", "wanted", F.explode(grams(F.col("chars"), context)).alias("gram"))
     counts = each.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     return (each.where("wanted").select("id", "gram").join(log_ratios(counts, context), "gram")
             .groupBy("id").agg((F.sum("ratio") / F.count("*")).cast("long").alias("score")))
