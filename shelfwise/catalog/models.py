@@ -13,6 +13,7 @@ from ..operators.split import apply_time_split, fit_time_split
 from ..plans import daily as DJ
 from ..plans import sentiment as SJ
 from ..plans.pricing import PriceConfig, PriceUnitsModel
+from ..session import stored
 from . import daily as D
 from . import products as PR
 from .scoring import demand_encoder, demand_request
@@ -33,19 +34,17 @@ def _memo(spark, key, build):
 
 
 def release_fits(spark) -> None:
-    """Forget this session's fitted models and unpersist their cached inputs."""
+    """Forget this session's fitted models and the tables that they were fitted on."""
     app = spark.sparkContext.applicationId
     for key in [k for k in _FITS if k[0] == app]:
-        value = _FITS.pop(key)
-        if hasattr(value, "unpersist"):
-            value.unpersist()
+        del _FITS[key]
 
 
 def daily_matrix(spark, sf_dir):
-    """Model matrix, persisted once per session: the fit, its evaluation and the
-    prediction report all read it (a lost block is recomputed from lineage)."""
+    """Model matrix, written once per session: the fit, its evaluation and the
+    prediction report all read it; no executor holds it in memory."""
     return _memo(spark, ("daily_matrix", sf_dir),
-                 lambda: DJ.model_matrix(D.split_daily(spark, sf_dir)).persist())
+                 lambda: stored(DJ.model_matrix(D.split_daily(spark, sf_dir)), "daily-matrix"))
 
 
 def daily_model(spark, sf_dir):
@@ -103,9 +102,9 @@ def q_price_model_scored(spark, sf_dir):
 
 
 def sentiment_data(spark, sf_dir):
-    """Cleaned and stemmed reviews, persisted once per session (fit + scoring)."""
+    """Cleaned and stemmed reviews, written once per session (fit + scoring)."""
     return _memo(spark, ("sentiment_data", sf_dir),
-                 lambda: SJ.prepare_text(labelled(spark, sf_dir)).persist())
+                 lambda: stored(SJ.prepare_text(labelled(spark, sf_dir)), "reviews"))
 
 
 def sentiment_model(spark, sf_dir):

@@ -127,7 +127,7 @@ def test_tweet_and_encoder_readers(spark, tmp_dir):
 def test_release_fits(spark):
     from shelfwise.catalog import models as M
     m = M.daily_matrix(spark, SF_SMALL)
-    assert m.storageLevel.useMemory or m.storageLevel.useDisk
+    assert m is M.daily_matrix(spark, SF_SMALL)
+    assert not (m.storageLevel.useMemory or m.storageLevel.useDisk)      # a written table, nothing cached
     M.release_fits(spark)
     assert not any(k[0] == spark.sparkContext.applicationId for k in M._FITS)
-    assert not (m.storageLevel.useMemory or m.storageLevel.useDisk)
