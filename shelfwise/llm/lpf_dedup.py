@@ -159,17 +159,19 @@ def content_hash(body: np.ndarray) -> np.ndarray:
 
 def collapsed(body, shard, own, tag, start) -> tuple[np.ndarray, ...]:
     """Equal segments of one text as one row: their number, and their places one after another."""
-    text = np.ascontiguousarray(body).view(f"S{body.shape[1]}").ravel()
-    order = np.lexsort((start, text, tag))
+    order = np.lexsort((start, content_hash(body), tag))
     body, tag = body[order], tag[order]
     new = np.flatnonzero(np.concatenate([[True], (tag[1:] != tag[:-1]) | (body[1:] != body[:-1]).any(1)]))
     return body[new], shard[order][new], own[order][new], tag[new], np.diff(np.append(new, len(tag))), start[order]
 
 
 def later_copies(body: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which segments equal one of a smaller id; the order of segments by content and id, and where a content begins in it."""
-    text = np.ascontiguousarray(body).view(f"S{body.shape[1]}").ravel()
-    order = np.lexsort((own, text))
+    """Which segments equal one of a smaller id; the order of segments by content and id, and where a content begins in it.
+
+    Contents are put in order by their hash and compared byte by byte. Should two have one hash, a content
+    may begin more than once; its windows are then told by the suffix order.
+    """
+    order = np.lexsort((own, content_hash(body)))
     same = np.concatenate([[False], (body[order][1:] == body[order][:-1]).all(1)]) if len(order) else np.zeros(0, bool)
     starts = np.flatnonzero(~same)
     least = np.repeat(own[order][starts], np.diff(np.append(starts, len(order))))
