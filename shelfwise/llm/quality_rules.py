@@ -5,12 +5,16 @@ Three steps, of which only the first reads texts:
 1. Statistics of every whole text in one scan, written to the shared folder (a few numbers a row).
 2. A forest of random trees. Each tree is grown by its own group from about ``tree_rows`` labelled
    rows; random splits isolate unusual rows early, so a short path means an anomaly. The sample of
-   labelled rows is bounded by ``trees * tree_rows`` and drawn by a hash of the id. A share of
-   ``bad_share`` of it are bad rows: as common as they are in the corpus they would hide one another,
-   and without any no split would lie between them and the good ones.
+   labelled rows is bounded by ``trees * tree_rows`` and drawn by a hash of the id; with fewer rows
+   each goes to several trees. A share of ``bad_share`` of it are bad rows, however many there are: as
+   common as they are in the corpus they would hide one another, and without any no split would lie
+   between them and the good ones. Splits choose a feature by how far apart the good and bad rows of
+   the tree lie along it, so that a row that is odd in one feature gets a short path.
 3. Scores of every row, and a threshold from all labelled rows: counts of good and bad rows by score
    go to the driver (``BINS`` of them), and the threshold is the one that rejects most bad rows while
    it rejects at most ``good_loss`` of the good ones.
+
+Rows that fail the base rules are rejected by these; the forest and its threshold are for the others.
 """
 
 from __future__ import annotations
@@ -94,18 +98,34 @@ def features(stats: np.ndarray) -> np.ndarray:
     return np.column_stack([chars / n, symbols / n, dup / lines, repeat / n, upper / chars, marks / n])
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list[tuple[int, float, int, float]]:
-    """A random tree: (feature or -1, split, right child, path length to add at a leaf); the left child follows."""
+def distances(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """The largest distance between the distributions of good and of bad rows along each feature; zeros without both."""
+    out = np.zeros(x.shape[1])
+    if good.all() or not good.any():
+        return out
+    for f in range(x.shape[1]):
+        at = np.unique(x[:, f])
+        share = [np.searchsorted(np.sort(x[rows, f]), at, "right") / rows.sum() for rows in (good, ~good)]
+        out[f] = np.abs(share[0] - share[1]).max()
+    return out
+
+
+def grow(x: np.ndarray, rng: np.random.Generator, depth: int, weight: np.ndarray | None = None) -> list[tuple[int, float, int, float]]:
+    """A random tree: (feature or -1, split, right child, path length to add at a leaf); the left child follows.
+
+    Features are drawn by their weights, those without a weight never; all alike if there are none.
+    """
     nodes: list = []
+    weight = weight if weight is not None and weight.any() else np.ones(x.shape[1])
 
     def node(rows: np.ndarray, left: int) -> None:
         low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(1), np.zeros(1))
-        open_ = np.flatnonzero(high > low)
+        open_ = np.flatnonzero((high > low) & (weight > 0)) if len(rows) else ()
         at = len(nodes)
         if not left or len(rows) <= 1 or not len(open_):
             nodes.append((-1, 0.0, -1, mean_path(len(rows))))
             return
-        f = int(rng.choice(open_))
+        f = int(rng.choice(open_, p=weight[open_] / weight[open_].sum()))
         split = float(rng.uniform(low[f], high[f]))
         nodes.append(None)
         go = rows[:, f] < split
@@ -142,6 +162,24 @@ def path_scores(trees: list, x: np.ndarray, tree_rows: int) -> np.ndarray:
     return 2.0 ** (-total / max(len(trees), 1) / max(mean_path(tree_rows), 1e-9))
 
 
+def drawn(n: dict[bool, int], trees: int, tree_rows: int, bad_share: float) -> dict[bool, tuple[int, float]]:
+    """Of ``n`` good and bad rows: the trees that each may go to, and the share drawn for each of these.
+
+    Bad rows are ``bad_share`` of all that are drawn, whether or not there are enough good ones to fill the trees.
+    """
+    good = min(trees * tree_rows * (1 - bad_share), trees * n.get(True, 0))
+    want = {True: good, False: good * bad_share / (1 - bad_share)}
+    out = {}
+    for k, w in want.items():
+        copies = max(1, min(trees, math.ceil(w / n[k]))) if n.get(k) else 1
+        out[k] = copies, min(1.0, w / (n[k] * copies)) if n.get(k) else 0.0
+    return out
+
+
+def base_failed():
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
 class Forest:
     """The fitted forest and its threshold; plain arrays of a bounded size, sent along with the tasks."""
 
@@ -166,25 +204,30 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = 100, tree_rows: int =
     """Forest and threshold from the statistics of labelled rows (quality 1 or 0).
 
     Labels without an id or a quality are left out; several for one id count as its worst. Without
-    labelled rows of both kinds there is no threshold and nothing is an anomaly.
+    labelled rows of both kinds that pass the base rules there is no threshold and nothing is an anomaly.
     """
     known = (labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).cast("int").alias("quality"))
              .where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    labelled = stored(stats.where("doc_id is not null").join(known, "doc_id"), "labelled-statistics")
+    labelled = stored(stats.where("doc_id is not null").where(~base_failed()).join(known, "doc_id"), "labelled-statistics")
     n = {r.good: r.n for r in labelled.groupBy((F.col("quality") > 0).alias("good")).agg(F.count("*").alias("n")).collect()}
     if not n:
         return Forest([], tree_rows, math.inf)
-    want = {True: trees * tree_rows * (1 - bad_share), False: trees * tree_rows * bad_share}
-    share = {k: min(1.0, want[k] / n[k]) if k in n else 0.0 for k in want}
-    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    sample = labelled.where(place < F.when(F.col("quality") > 0, int(share[True] * (1 << 30))).otherwise(int(share[False] * (1 << 30)))).select(
-        F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(trees)).alias("tree"), "doc_id", *STATS)
+    copies, share = ({k: x[i] for k, x in drawn(n, trees, tree_rows, bad_share).items()} for i in (0, 1))
+    is_good = F.col("quality") > 0
+    of_class = lambda x: F.when(is_good, F.lit(x[True])).otherwise(F.lit(x[False]))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.col("copy")), F.lit(1 << 30))
+    # copies of a row go to different trees
+    sample = (labelled.select("*", F.explode(F.sequence(F.lit(0), of_class(copies) - 1)).alias("copy"))
+              .where(place < of_class({k: int(x * (1 << 30)) for k, x in share.items()}))
+              .select(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)) + F.col("copy") * of_class({k: trees // x for k, x in copies.items()}), F.lit(trees)).alias("tree"),
+                      "doc_id", "quality", *STATS))
     depth = math.ceil(math.log2(max(tree_rows, 2)))
 
     def one(rows):
         rows = rows.sort_values("doc_id")
         tree = int(rows["tree"].iloc[0])
-        nodes = grow(features(rows[list(STATS)].to_numpy()), np.random.default_rng([seed, tree]), depth)
+        x = features(rows[list(STATS)].to_numpy())
+        nodes = grow(x, np.random.default_rng([seed, tree]), depth, distances(x, rows["quality"].to_numpy() > 0) ** 2)
         out = np.array(nodes, float).reshape(-1, 4)
         import pandas as pd
         return pd.DataFrame({"tree": tree, "feature": [out[:, 0].astype(int).tolist()], "split": [out[:, 1].tolist()],
@@ -193,7 +236,7 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = 100, tree_rows: int =
     grown = sample.groupBy("tree").applyInPandas(
         one, "tree long, feature array<int>, split array<double>, right array<int>, extra array<double>").collect()
     forest = Forest([(np.array(r.feature), np.array(r.split), np.array(r.right), np.array(r.extra))
-                     for r in sorted(grown, key=lambda r: r.tree)], max(2, min(tree_rows, round(sum(n[k] * share[k] for k in n) / trees))), math.inf)
+                     for r in sorted(grown, key=lambda r: r.tree)], max(2, min(tree_rows, round(sum(n[k] * copies[k] * share[k] for k in n) / trees))), math.inf)
     counts = (forest.score(labelled).groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"))
               .agg(F.sum((F.col("quality") > 0).cast("long")).alias("good"), F.sum((F.col("quality") <= 0).cast("long")).alias("bad")).collect())
     forest.threshold = threshold({r.bin: (r.good, r.bad) for r in counts}, good_loss)
@@ -223,7 +266,6 @@ def judge(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     stats = stored(rule_statistics(df, doc_id, text), "rule-statistics")
     forest = fit(stats, labels, **parameters)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return (forest.score(stats).withColumn("base_failed", failed)
+    return (forest.score(stats).withColumn("base_failed", base_failed())
             .select("doc_id", *STATS[:5], "base_failed",
                     (~F.col("base_failed") & (F.col("anomaly") < F.lit(forest.threshold))).alias("kept"), "anomaly"))

@@ -189,6 +189,32 @@ def test_forest_finds_the_odd_ones(spark):
     assert sum(not r.kept for r in odd) >= 0.8 * len(odd) and sum(r.kept for r in fine) >= 0.98 * len(fine)
 
 
+def test_bad_rows_have_their_share_at_any_size():
+    for good, bad in ((3409, 571), (24_800, 4000), (100, 100), (10**6, 10**5), (10**6, 50)):
+        got = R.drawn({True: good, False: bad}, 100, 256, 1 / 32)
+        n = {k: c * c2 * s for (k, (c2, s)), c in zip(got.items(), (good, bad))}
+        assert all(1 <= c <= 100 and 0 <= s <= 1 for c, s in got.values())
+        assert abs(n[False] / (n[True] + n[False]) - 1 / 32) < 1e-9 and abs(sum(n.values()) - min(25_600, 100 * good * 32 / 31)) < 1
+    assert R.drawn({True: 5}, 100, 256, 1 / 32)[False] == (1, 0.0) and R.drawn({False: 5}, 100, 256, 1 / 32)[False][1] == 0.0
+
+
+def test_rows_odd_in_one_feature_are_found(spark):
+    rng = random.Random(4)
+    texts, labels = [], []
+    for k in range(800):
+        words = syllables(rng, rng.randint(30, 90)).split()
+        if k % 7 == 0:  # half a symbol a word
+            words = [w + "#" if j % 2 else w for j, w in enumerate(words)]
+        elif k % 5 == 0:  # good ones are odd in other ways
+            words = [w.upper() if rng.random() < 0.3 else w + "!" * (k % 3) for w in words]
+        texts.append(" ".join(words))
+        labels.append((k, int(k % 7 > 0), "x"))
+    got = R.judge(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, text string"), good_loss=0.01).collect()
+    bad = [r for r in got if r.doc_id % 7 == 0]
+    assert sum(not r.kept for r in bad) >= 0.95 * len(bad)
+    assert sum(not r.kept and not r.base_failed for r in got if r.doc_id % 7) <= 0.01 * 685
+
+
 def test_threshold_keeps_to_the_loss():
     counts = {900: (0, 5), 800: (1, 5), 700: (1, 0), 100: (998, 0)}
     assert R.threshold(counts, 0.001) == 800 / R.BINS and R.threshold(counts, 0.002) == 700 / R.BINS
