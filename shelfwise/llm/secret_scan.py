@@ -9,7 +9,7 @@ different roles link if the intervals of the one holds the other's span. A weak
 if the linked parts make a credential: a secret with an identifier or an endpoint. An access key or
 an assignment counts as the identifier or secret of its neighbourhood, so a weak secret beside an
 access key is reported as well. Base spans are always reported, and no weak span that overlaps a base
-one.
+one: of a candidate that does, the parts that no base span covers.
 
 The join runs on the positions of one text, sorted, by binary search for the nearest part on either
 side: a text with many candidates costs n log n, not all pairs. All roles of a text lie in one row,
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +37,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ of 24 characters and
 # A keyword can only begin at these letters; looking for one of these words first is much faster.
 HINT = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 
-IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:name|_id)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?|tenant(?:_id)?)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._-]{3,64}""", re.ASCII | re.IGNORECASE)
-SECRET = re.compile(r"""(?<![A-Za-z0-9_])(?:pwd|pass|key|auth|bearer|credential|signature|private_?key|access_?secret)["']?(?:\x20{0,4}[:=]\x20{0,4}|\x20)["']?(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{8,256}""", re.ASCII | re.IGNORECASE)
-ENDPOINT = re.compile(r"""(?:https?|ftp|s3|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,256}|(?<![A-Za-z0-9_])(?:host|endpoint|server|bucket|region)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.:_-]{3,128}""", re.ASCII | re.IGNORECASE)
+# Values and the blanks around a sign have no longest length: whatever is left out would stay in the redacted text.
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:name|_id)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?|tenant(?:_id)?)["']?[\x20\t]*[:=][\x20\t]*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE)
+SECRET = re.compile(r"""(?<![A-Za-z0-9_])(?:pwd|pass|key|auth|bearer|credential|signature|private_?key|access_?secret)["']?(?:[\x20\t]*[:=][\x20\t]*|[\x20\t]+)["']?([A-Za-z0-9+/_=.~-]{8,})""", re.ASCII | re.IGNORECASE)
+DIGIT = re.compile("[0-9]")
+KEYWORD = 16  # characters that a keyword of SECRET and its sign have at most
+ENDPOINT = re.compile(r"""(?:https?|ftp|s3|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://([^\s"'<>]{4,})|(?<![A-Za-z0-9_])(?:host|endpoint|server|bucket|region)["']?[\x20\t]*[:=][\x20\t]*["']?([A-Za-z0-9.:_-]{3,})""", re.ASCII | re.IGNORECASE)
 # Each needs one of these: texts without are not searched with the long patterns.
 WEAK_HINT = re.compile(r"://|[:=]|bearer|auth", re.ASCII | re.IGNORECASE)
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
@@ -57,22 +60,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """(start, start of the value, end) of the weak secrets: values with a digit.
+
+    Without one, nothing within the value has one; only a keyword at its end may go on behind it.
+    """
+    out, at = [], 0
+    while m := SECRET.search(text, at):
+        if DIGIT.search(text, m.start(1), m.end()):
+            out.append((m.start(), m.start(1), m.end()))
+            at = m.end()
+        else:
+            at = max(m.start() + 1, m.end() - KEYWORD)
+    return out
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
     """The weak candidates whose complement lies in reach and in the same scope."""
     if not WEAK_HINT.search(text):
         return []
-    weak = [(m.start(), m.end(), k) for k, pattern in ((3, IDENTIFIER), (4, SECRET), (5, ENDPOINT)) for m in pattern.finditer(text)]
+    weak = [(m.start(), m.start(m.lastindex), m.end(), k) for k, pattern in ((3, IDENTIFIER), (5, ENDPOINT)) for m in pattern.finditer(text)]
+    weak += [(*x, 4) for x in secrets(text)]
     if not weak:
         return []
     starts, ends = [s for s, _, _ in base], []
     most = 0
     for _, e, _ in base:  # the furthest end so far: base spans of different kinds may overlap
         ends.append(most := max(most, e))
-    free = lambda s, e: not (i := bisect_left(starts, e)) or ends[i - 1] <= s
-    weak = [x for x in weak if free(x[0], x[1])]
-    parts = {3: sorted((s, e) for s, e, k in [*weak, *((s, e, 3) for s, e, k in base if k == 1)] if k == 3),
-             4: sorted((s, e) for s, e, k in [*weak, *((s, e, 4) for s, e, k in base if k != 1)] if k == 4),
-             5: sorted((s, e) for s, e, k in weak if k == 5)}
+    left = {}  # what base spans leave of each, for its value alone
+    for s, value, e, k in weak:
+        pieces, at = [], s
+        for i in range(bisect_right(ends, s), bisect_left(starts, e)):
+            if value < starts[i]:
+                pieces.append((at, starts[i]))
+            at = value = max(at, ends[i])
+        left[s, e, k] = [*pieces, (at, e)] if value < e else pieces
+    parts = {r: sorted([*(x for (_, _, k), v in left.items() if k == r for x in v), *((s, e) for s, e, k in base if r == (3 if k == 1 else 4))]) for r in (3, 4, 5)}
     borders = [m.start() for m in BLANK_LINE.finditer(text)]
     keys = {k: [s for s, _ in v] for k, v in parts.items()}
 
@@ -88,7 +111,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH
         return False
 
     needs = {3: (4,), 4: (3, 5), 5: (4,)}
-    return [x for x in weak if any(met(x[0], x[1], r) for r in needs[x[2]])]
+    return [(s, e, k) for (*whole, k), v in left.items() if any(met(*whole, r) for r in needs[k]) for s, e in v]
 
 
 def joined(spans) -> str:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from llm_helpers import awkward_texts, frame, same, sha
@@ -69,6 +70,27 @@ def test_many_parts_are_found_by_neighbours():
     assert len(kinds(text)) == 6000
 
 
+def test_long_values_are_covered_whole(spark):
+    rng = random.Random(5)
+    long = lambda n: "".join(rng.choice("GHIJKLMNOPqrstuvwxyz0123456789+/") for _ in range(n))
+    jwt = ".".join(("eyJhbGciOiJI1", long(300), long(43)))
+    value, tail = long(1000), "f" * 30
+    texts = [f"user=alice key={value} end", f"login: bob\nprivate_key: '{value}' end", f"user=alice Bearer {jwt} end",
+             f"username      =\t alice\npass\t:      {long(20)}7~x end", f"https://h.example.org/{long(400)}?x={value} key=abc12345defg end",
+             f"user=alice key={value}{tail}GHI{value} end", f"https://u:pw1@h.example.org/{long(400)}?password=abcdefgh end"]
+    for t in texts:
+        spans = sorted([*S.base_spans(t), *S.linked_spans(t, S.base_spans(t))])
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    clean = [r.text for r in S.redact_secrets(frame(spark, texts)).collect()]
+    assert clean[:5] == ["[secret] [secret] end", "[secret]\n[secret]' end", "[secret] [secret] end", "[secret]\n[secret] end", "[secret] [secret] end"]
+    assert clean[5:] == ["[secret] " + "[secret]" * 3 + " end", "[secret][secret] end"]
+
+
+def test_secrets_without_digits_cost_their_length():
+    assert [x[1:] for x in S.secrets("key=abcdefgh-key: hunter22 key=abcdefgh-key=  hunter22")] == [(18, 26), (46, 54)]
+    assert S.secrets("key=" * 200_000) == [] and len(S.secrets("key=" * 200_000 + "1")) == 1
+
+
 def test_redaction_and_other_rows(spark):
     texts = [None, "", "a password=abcdef12 b", "user=alice pass: hunter2hunter2 end"]
     df = frame(spark, texts, [None, 5, 5, 6])
