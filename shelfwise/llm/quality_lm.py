@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ UNSEEN = 1 << 17  # characters that might be: the order below the first gives ea
 BINS = 1000  # of the log-perplexity, for one unit
 #: Of the distance between the quantiles: added on both sides, and times the root of one over the number of documents.
 ALLOWANCE, FEW = 0.1, 4.0
+#: Held-out trusted rows, and labelled bad ones, from which on a language has an upper bound of its own.
+LEAST = 50
 MOST_BINS = 30 * BINS  # a log-perplexity over 30 is out of any bounds
 
 
@@ -255,8 +258,10 @@ def classify(df: DataFrame, labels: DataFrame, upper: float = 0.999, lower: floa
              doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", toxic: str = "toxic") -> DataFrame:
     """``doc_id, key, lang, n_chars, perplexity, low, high, kept`` for each input row; ``key`` is the MD5 of its text.
 
-    Kept is a document whose perplexity lies within its language's quantiles ``lower`` and ``upper``
-    of the held-out trusted documents: above is noise, below is the same again and again. Each
+    Kept is a document whose perplexity lies within its language's bounds: above is noise, below is
+    the same again and again. The upper one tells the held-out trusted documents from those labelled
+    as bad; the lower one, and both without bad ones, are quantiles ``lower`` and ``upper`` of the
+    held-out trusted ones, widened. Languages with few labelled rows take the upper one of all. Each
     log-perplexity is first drawn to the mean of all trusted ones as by ``settle`` characters more,
     so that a few characters say little. Languages without held-out trusted documents take the
     quantiles of all; without any, everything is kept. A null or empty text is scored by its end mark
@@ -276,6 +281,12 @@ def classify(df: DataFrame, labels: DataFrame, upper: float = 0.999, lower: floa
     score = (F.col("nll") + settle * mean) / (F.col("n_chars") + 1 + settle)
     bins = mine.select("lang", F.least(F.floor(score * BINS), F.lit(MOST_BINS)).alias("bin"))
     of_lang, (low, high) = bounds(bins, lower, upper)
+    bad = (labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).alias("quality")).where("doc_id is not null")
+           .groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality < 1").select("doc_id"))
+    bad = scores.join(bad, "doc_id", "left_semi").select("lang", F.least(F.floor(score * BINS), F.lit(MOST_BINS)).alias("bin"))
+    tops, top = upper_bounds(bins, bad)
+    of_lang = of_lang.join(tops, "lang", "left").select("lang", "low", F.coalesce("top", F.lit(top).cast("double"), "high").alias("high"))
+    high = high if top is None else top
     # a language may hold most documents: its rows are dealt over all tasks, and its bounds go with each part
     parts = shuffle_parts(df.sparkSession)
     of_lang = of_lang.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
@@ -286,6 +297,33 @@ def classify(df: DataFrame, labels: DataFrame, upper: float = 0.999, lower: floa
                     F.col("score").between(F.col("low"), F.col("high")).alias("kept")))
 
 
+def upper_bounds(good: DataFrame, bad: DataFrame, least: int = LEAST) -> tuple[DataFrame, float | None]:
+    """``lang, top`` in bins, for languages with ``least`` rows of both kinds; and that of all languages, None without both.
+
+    The bound has the least sum of the share of good rows above and of bad rows below, and lies
+    half-way to the next bin with rows.
+    """
+    counts = (good.select("lang", "bin", F.lit(1).alias("good")).union(bad.select("lang", "bin", F.lit(0)))
+              .groupBy("lang", "bin").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
+    w = Window.partitionBy("lang")
+    upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    table = (counts.select("lang", "bin", F.sum("good").over(w).alias("g"), F.sum("bad").over(w).alias("b"), F.sum("good").over(upto).alias("under"),
+                           F.sum("bad").over(upto).alias("stay"), F.lead("bin").over(w.orderBy("bin")).alias("next"))
+             .where((F.col("g") >= least) & (F.col("b") >= least))
+             .groupBy("lang").agg(F.min_by((F.col("bin") + 1 + F.coalesce("next", F.col("bin") + 1)) / 2,
+                                           F.struct(F.col("stay") / F.col("b") - F.col("under") / F.col("g"), -F.col("bin"))).alias("top")))
+    whole = sorted((r["bin"], r["good"], r["bad"]) for r in counts.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect())
+    g, b = sum(x[1] for x in whole), sum(x[2] for x in whole)
+    if not g or not b:
+        return table, None
+    best, under, stay = None, 0, 0
+    for k, (bin_, n_good, n_bad) in enumerate(whole):
+        under, stay = under + n_good, stay + n_bad
+        after = whole[k + 1][0] if k + 1 < len(whole) else bin_ + 1
+        best = min(best or (math.inf,), (stay / b - under / g, -bin_, (bin_ + 1 + after) / 2))
+    return table, best[2]
+
+
 def bounds(bins: DataFrame, lower: float, upper: float) -> tuple[DataFrame, tuple[float, float]]:
     """``lang, low, high`` in bins: the outer edges of the bins that hold the quantiles, and an allowance; and those of all languages.
 

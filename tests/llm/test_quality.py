@@ -120,6 +120,31 @@ def test_quantile_bounds(spark):
     assert whole[0] < 2 and whole[1] > 95
 
 
+def test_upper_bounds_tell_good_from_bad(spark):
+    make = lambda rows: spark.createDataFrame(rows, "lang string, bin long")
+    good = [("en", 100 + k) for k in range(99)] + [("en", 900)] + [("de", 300 + k) for k in range(9)]  # one outlier
+    bad = [("en", 301 + 10 * k) for k in range(100)] + [("de", 500)]
+    table, whole = Q.upper_bounds(make(good), make(bad), 50)
+    assert [(r.lang, r.top) for r in table.collect()] == [("en", (199 + 301) / 2)]
+    error = lambda x: sum(v >= x for _, v in good) / len(good) + sum(v < x for _, v in bad) / len(bad)
+    assert abs(error(whole) - min(map(error, range(90, 1400)))) < 1e-9
+    assert Q.upper_bounds(make(good), make([]))[1] is None
+
+
+def test_half_noisy_texts_go(spark):
+    rng = random.Random(12)
+    texts, labels = [], []
+    for k in range(700):
+        noise = k % 5 == 0
+        words = syllables(rng, 60).split()
+        if noise:
+            words = ["".join(chr(rng.randint(33, 120)) for _ in w) if j % 2 else w for j, w in enumerate(words)]
+        texts.append(" ".join(words))
+        labels.append((k, 0 if noise else 1, 0))
+    got = Q.classify(frame(spark, texts, lang=["en"] * 700), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert sum(r.kept for r in got if r.doc_id % 5 == 0) <= 2 and sum(r.kept for r in got if r.doc_id % 5) >= 0.98 * 560
+
+
 # ---- rules and the forest
 
 
