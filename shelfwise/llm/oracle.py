@@ -35,6 +35,18 @@ SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.n,
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+# Lines by their place; keys stripped and in lower case; each key once a document.
+LINES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM d),
+keyed AS (SELECT r, p, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+common AS (SELECT key FROM (SELECT DISTINCT r, key FROM keyed WHERE length(key) >= 1) GROUP BY key HAVING count(*) >= 10),
+kept AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS text FROM keyed ANTI JOIN common USING (key) GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(kept.n, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
 
 
 def urls(rules: list[tuple[str, str, str]]) -> str:
@@ -84,4 +96,4 @@ FROM r LEFT JOIN scores USING (text)
 """
 
 
-SQL = {"op5_suffix_dedup": SUFFIXES, "op10_phrase_dedup": PHRASES}
+SQL = {"op5_suffix_dedup": SUFFIXES, "op10_phrase_dedup": PHRASES, "op13_line_dedup": LINES}
