@@ -78,7 +78,8 @@ class LineRuns:
         return f"{self.path}/run-{run[0]}-{run[1]}"
 
     def _write(self, counts: DataFrame, run: tuple[int, int]) -> None:
-        counts.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(self._place(run))
+        # hashes don't compress
+        counts.sortWithinPartitions("h1", "h2").write.mode("overwrite").option("compression", "uncompressed").parquet(self._place(run))
 
     def _merged(self, runs: list[tuple[int, int]]) -> DataFrame:
         out = self.spark.createDataFrame([], self.SCHEMA)
@@ -113,28 +114,30 @@ class LineRuns:
 def without_lines(docs: DataFrame, found: DataFrame, least_chars: int = 1) -> DataFrame:
     """doc_id, text, n_lines, n_dropped: the rows of (doc_id, text) without the lines whose key is in ``found``.
 
-    Lines are joined with the sorted hashes; lines too short for a key get a hash
-    of their place, which matches nothing and spreads them. A row is put together
-    again under its id and 128 bits of its text: rows equal in both have one
-    result, computed once and returned as often as they occur.
+    Only hashes and places of lines go to the join; the places found go back to
+    the rows by id and 128 bits of the text (rows equal in both have the same
+    lines). There a text is put together from the slices between these places,
+    so its work is in proportion to its lines.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2"),
-                       F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    h1, h2 = key_hashes(F.col("key"))
-    keyed = F.char_length("key") >= least_chars
-    lines = rows.withColumn("key", line_key(F.col("line"))).select(
-        "doc_id", "t1", "t2", "place", "line",
-        F.when(keyed, h1).otherwise(F.xxhash64("t1", "doc_id", "place")).alias("h1"), F.when(keyed, h2).alias("h2"))
-    judged = (lines.join(found.withColumn("gone", F.lit(True)), ["h1", "h2"], "left")
-              .select("doc_id", "t1", "t2", F.col("place") == 0, F.struct("place", F.when(F.col("gone").isNull(), F.col("line")).alias("line")).alias("line"))
-              .toDF("doc_id", "t1", "t2", "first", "line"))
-    whole = judged.groupBy("doc_id", "t1", "t2").agg(F.collect_set("line").alias("lines"), F.count_if("first").alias("copies"))
-    kept = F.filter("lines", lambda x: x["line"].isNotNull())
-    out = whole.select("doc_id", "copies", F.size("lines").cast("long").alias("n_lines"),
-                       F.array_join(F.transform(F.array_sort(kept), lambda x: x["line"]), "\n").alias("text"),
-                       (F.size("lines") - F.size(kept)).cast("long").alias("n_dropped"))
-    return (out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-            .select("doc_id", "text", "n_lines", "n_dropped"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2"))
+    lines = docs.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= least_chars)
+    hit = lines.select("doc_id", "t1", "t2", "place", *key_hashes(F.col("key"))).join(found, ["h1", "h2"], "left_semi")
+    places = hit.groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_set("place")).alias("gone"))
+    places = places.select(F.col("doc_id").alias("id"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "gone")
+    whole = docs.join(places, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
+    whole = whole.select("doc_id", "text", "gone", F.size(F.split("text", "\n")).alias("n"))
+
+    def between(x: Column) -> Column:
+        """The lines before, between and behind the places that go."""
+        part = lambda i: F.slice(x["lines"], F.get(x["ends"], i) + 2, F.get(x["ends"], i + 1) - F.get(x["ends"], i) - 1)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["ends"]) - 2), part)), "\n")
+
+    ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array("n"))
+    # as an element of an array the split text is computed once, not again for each slice
+    kept = F.get(F.transform(F.array(F.struct(F.split("text", "\n").alias("lines"), ends.alias("ends"))), between), 0)
+    return whole.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+                        F.col("n").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def drop_common_lines(df: DataFrame, least_docs: int = 10, least_chars: int = 1, batches: int = 6,
