@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import line_runs, lpf_dedup, lsi_decontamination, oracle, phrase_automata, quality_lm, quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, token_counts, url_filter
+from . import line_runs, lpf_dedup, lsi_decontamination, oracle, phrase_automata, quality_lm, quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, spelling, token_counts, url_filter, whitening
 
 
 def vocabulary(name: str) -> str:
@@ -60,6 +60,14 @@ def op10_phrase_dedup(spark, sf_dir):
     return phrase_automata.dedup_phrases(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variant_groups(table(spark, sf_dir, "documents"), least_chars=6, least_count=5, ratio=5)
+
+
 def op13_line_dedup(spark, sf_dir):
     kept = line_runs.drop_common_lines(table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -67,7 +75,7 @@ def op13_line_dedup(spark, sf_dir):
 
 QUERIES = [op1_secret_scans, op2_url_filters, op3_simhash_dedup, op4_quality_classifier, op5_suffix_dedup,
            op6_decontamination, op7_quality_rules, op8_token_counts, op9_sentencepiece,
-           op10_phrase_dedup, op13_line_dedup]
+           op10_phrase_dedup, op11_embedding_whitening, op12_spelling_variants, op13_line_dedup]
 
 
 def queries():
