@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .base import shuffle_parts, texts
+from .base import texts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word whose digest this divides loses a code point.
@@ -201,7 +201,7 @@ def variant_groups(df: DataFrame, least_chars: int = 6, least_count: int = 5, ra
     if ratio < 2:
         raise ValueError("ratio must be at least 2: forms must be more frequent than their variants")
     words = stored(word_counts(texts(df, doc_id, text), least_chars, drop_every).where(F.col("n") >= least_count), "words")
-    near = near_words(words.repartition(shuffle_parts(df.sparkSession)), tile)
+    near = near_words(words, tile)
     whole = words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         *[F.when(F.col("form_n") >= ratio * F.col("n"), F.col(c)).alias(c) for c in ("form", "form_n")])
