@@ -12,7 +12,7 @@ access key is reported as well. Base spans are always reported, and no weak span
 one: of a candidate that does, the parts that no base span covers.
 
 The join runs on the positions of one text, sorted, by binary search for the nearest part on either
-side: a text with many candidates costs n log n, not all pairs. All roles of a text lie in one row,
+side (before it, the one that ends last): a text with many candidates costs n log n, not all pairs. All roles of a text lie in one row,
 so Spark moves nothing between tasks.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,19 +76,19 @@ def secrets(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
-    """The weak candidates whose complement lies in reach and in the same scope."""
-    if not WEAK_HINT.search(text):
-        return []
-    weak = [(m.start(), m.start(m.lastindex), m.end(), k) for k, pattern in ((3, IDENTIFIER), (5, ENDPOINT)) for m in pattern.finditer(text)]
-    weak += [(*x, 4) for x in secrets(text)]
-    if not weak:
-        return []
+def weak_candidates(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, start of the value, end, kind) of identifiers, endpoints and weak secrets."""
+    found = [(m.start(), m.start(m.lastindex), m.end(), k) for k, pattern in ((3, IDENTIFIER), (5, ENDPOINT)) for m in pattern.finditer(text)]
+    return found + [(*x, 4) for x in secrets(text)]
+
+
+def uncovered(weak: list[tuple[int, int, int, int]], base: list[tuple[int, int, int]]) -> dict[tuple[int, int, int], list[tuple[int, int]]]:
+    """What base spans leave of each candidate, for its value alone: (start, end, kind) -> pieces."""
     starts, ends = [s for s, _, _ in base], []
     most = 0
     for _, e, _ in base:  # the furthest end so far: base spans of different kinds may overlap
         ends.append(most := max(most, e))
-    left = {}  # what base spans leave of each, for its value alone
+    left = {}
     for s, value, e, k in weak:
         pieces, at = [], s
         for i in range(bisect_right(ends, s), bisect_left(starts, e)):
@@ -95,23 +96,53 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH
                 pieces.append((at, starts[i]))
             at = value = max(at, ends[i])
         left[s, e, k] = [*pieces, (at, e)] if value < e else pieces
-    parts = {r: sorted([*(x for (_, _, k), v in left.items() if k == r for x in v), *((s, e) for s, e, k in base if r == (3 if k == 1 else 4))]) for r in (3, 4, 5)}
-    borders = [m.start() for m in BLANK_LINE.finditer(text)]
-    keys = {k: [s for s, _ in v] for k, v in parts.items()}
-
-    def met(s: int, e: int, role: int) -> bool:
-        """Is a part of the role within reach, with no border between?"""
-        at = bisect_left(keys[role], s)
-        for i in (at - 1, at, at + 1):  # spans of a role don't overlap but for base ones: the nearest are these
-            if 0 <= i < len(keys[role]):
-                s2, e2 = parts[role][i]
-                lo, hi = min(e, e2), max(s, s2)
-                if (s2, e2) != (s, e) and hi - lo <= reach and bisect_left(borders, lo) == bisect_left(borders, max(hi, lo)):
-                    return True
-        return False
-
-    needs = {3: (4,), 4: (3, 5), 5: (4,)}
-    return [(s, e, k) for (*whole, k), v in left.items() if any(met(*whole, r) for r in needs[k]) for s, e in v]
+    return left
+
+
+def role_parts(left: dict, base: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """The parts of each role by their start: weak pieces, and base spans as identifiers or secrets."""
+    return {r: sorted([*(x for (_, _, k), v in left.items() if k == r for x in v), *((s, e) for s, e, k in base if r == (3 if k == 1 else 4))]) for r in (3, 4, 5)}
+
+
+class Meeting:
+    """Which spans have a part of a role within reach, with no border between.
+
+    Of the parts that begin before a span, the one that ends last is the nearest,
+    whatever lies between: base spans may lie within others. Of those behind, it
+    is the one that begins first.
+    """
+
+    def __init__(self, parts: dict[int, list[tuple[int, int]]], borders: list[int], reach: int):
+        self.parts, self.borders, self.reach = parts, borders, reach
+        self.starts = {r: [s for s, _ in v] for r, v in parts.items()}
+        self.furthest = {r: list(accumulate((e for _, e in v), max)) for r, v in parts.items()}
+
+    def close(self, s: int, e: int, s2: int, e2: int) -> bool:
+        lo, hi = min(e, e2), max(s, s2)
+        return hi - lo <= self.reach and bisect_left(self.borders, lo) == bisect_left(self.borders, max(hi, lo))
+
+    def met(self, s: int, e: int, role: int) -> bool:
+        at = bisect_left(self.starts[role], s)
+        if at and self.close(s, e, self.starts[role][at - 1], self.furthest[role][at - 1]):
+            return True
+        while at < len(self.parts[role]) and self.parts[role][at] == (s, e):  # itself, as another kind
+            at += 1
+        return at < len(self.parts[role]) and self.close(s, e, *self.parts[role][at])
+
+
+NEEDS = {3: (4,), 4: (3, 5), 5: (4,)}
+
+
+def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
+    """The weak candidates whose complement lies in reach and in the same scope."""
+    if not WEAK_HINT.search(text):
+        return []
+    weak = weak_candidates(text)
+    if not weak:
+        return []
+    left = uncovered(weak, base)
+    meeting = Meeting(role_parts(left, base), [m.start() for m in BLANK_LINE.finditer(text)], reach)
+    return [(s, e, k) for (*whole, k), v in left.items() if any(meeting.met(*whole, r) for r in NEEDS[k]) for s, e in v]
 
 
 def joined(spans) -> str:

@@ -100,3 +100,40 @@ def test_redaction_and_other_rows(spark):
     assert S.scan_secrets(frame(spark, [])).count() == 0
     row = S.scan_secrets(frame(spark, [texts[2]])).first()
     assert [tuple(x) for x in row.spans] == [("assign", 2, 19)] == [tuple(x) for x in row.base]
+
+
+def all_pairs(text, reach):
+    """Links by comparing each candidate with every part of a complementary role."""
+    base = S.base_spans(text)
+    left = S.uncovered(S.weak_candidates(text), base)
+    parts = S.role_parts(left, base)
+    borders = [m.start() for m in S.BLANK_LINE.finditer(text)]
+
+    def close(s, e, s2, e2):
+        lo, hi = min(e, e2), max(s, s2)
+        return (s, e) != (s2, e2) and hi - lo <= reach and not any(lo <= b < max(hi, lo) for b in borders)
+
+    return sorted((s, e, k) for (*whole, k), v in left.items() if any(close(*whole, *p) for r in S.NEEDS[k] for p in parts[r]) for s, e in v)
+
+
+def test_links_are_those_of_all_pairs():
+    """Base spans that lie within others hide nothing: assignments with hex runs and access keys inside, gaps, scopes."""
+    rng = random.Random(11)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda n: "".join(rng.choice("ghijkxyzGHZ") for _ in range(n))
+    drawn = [lambda: "token=" + word(rng.randint(6, 200)) + rng.choice(["", hexed(32)]) + word(rng.randint(0, 200)), lambda: "AKIA" + word(3).upper() + "A" * 16,
+             lambda: "user=alice", lambda: "pass: hunter2" + word(5), lambda: "https://db.example.org/" + word(6), lambda: "host=db" + word(3), lambda: hexed(40),
+             lambda: "key=" + word(9) + "1 " + hexed(24), lambda: "secret: AKIA" + "B" * 20 + word(90), lambda: "lorem " * rng.randint(1, 60), lambda: "\n\n", lambda: "user=token=" + hexed(30)]
+    more = 0
+    for k in range(3000):
+        text = " ".join(rng.choice(drawn)() for _ in range(rng.randint(2, 7)))
+        for reach in (60, S.REACH):
+            got = sorted(S.linked_spans(text, S.base_spans(text), reach))
+            assert got == all_pairs(text, reach), text
+            more += bool(got)
+    assert more > 1000
+
+
+def test_a_hex_run_within_an_assignment_hides_no_link():
+    inside = "token=" + "x" * 100 + "0123456789abcdef" * 2 + "x" * 250 + " user=alice"
+    assert kinds(inside) == ["link_identifier"] == kinds(inside.replace("0123456789abcdef" * 2, "x" * 32))
