@@ -1,6 +1,12 @@
 """Operator 8: token counts, with overlap resynchronisation for huge documents.
 
-A text of up to ``chunk_chars`` is encoded whole. A longer one is encoded in chunks that overlap, and
+A text of up to ``chunk_chars`` is cut into segments where the tokenizer's own pre-splitting begins a
+word whatever stands before: in front of a blank that no blank or other space follows. (Its pattern
+leaves the last blank before a word to that word, and no other part of it holds a blank but a run of
+spaces.) Each distinct segment is encoded by the library once and remembered by the worker, up to a
+bound. A tokenizer whose file doesn't say that it splits like this gets its texts whole.
+
+A longer text is encoded in chunks that overlap, and
 spliced where both chunks begin a word of the tokenizer's own pre-splitting. That splitting reads
 from left to right and remembers nothing at the start of a word, so after a start that is right in
 the left chunk, the right chunk's words are the words of the whole text. A start is right in the left
@@ -12,7 +18,9 @@ doubled as well, so that each step gets on.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from bisect import bisect_left
 
 import pyarrow as pa
@@ -81,6 +89,63 @@ def spliced(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHA
     return out
 
 
+#: In front of a blank before anything but a space (the older Mongolian separator counted as one); never within a run of spaces.
+CUT = re.compile(r" (?=[^\s\u180e])")
+#: A text without these can be cut at every blank.
+UNEVEN = re.compile(r" (?:[\s\u180e]|\Z)")
+#: Segments that a worker remembers, and their characters in all.
+REMEMBERED, REMEMBERED_CHARS = 1 << 19, 1 << 24
+
+
+def cuts_at_blanks(tok) -> bool:
+    """Does the tokenizer's file say that a word begins at each single blank?"""
+    told = json.loads(tok.to_str())
+    split = told.get("pre_tokenizer") or {}
+    return (told.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+            and not split.get("add_prefix_space", True)
+            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in told.get("added_tokens", ())))
+
+
+class SegmentCounts:
+    """Token counts of texts from those of their segments, each distinct one encoded once."""
+
+    def __init__(self, tok):
+        self.tok, self.cutting, self.known, self.chars = tok, cuts_at_blanks(tok), {}, 0
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        out = []
+        for part in sub_batches([len(t) for t in texts], 1 << 20):
+            out += [len(e) for e in self.tok.encode_batch_fast(texts[part], add_special_tokens=False)]
+        return out
+
+    def counts(self, texts: list[str]) -> list[int]:
+        if not self.cutting:
+            return self.encoded(texts)
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.known.clear()
+            self.chars = 0
+        known, cut, heads, new = self.known, [], [], {}
+        for t in texts:
+            first, *rest = t.split(" ") if not UNEVEN.search(t) else CUT.split(t)
+            heads.append(first)
+            cut.append(rest)
+            new.update((p, None) for p in rest if p not in known)
+        for p, n in zip(new, self.encoded([" " + p for p in new])):
+            known[p] = n
+            self.chars += len(p)
+        get = known.__getitem__
+        return [n + sum(map(get, rest)) for n, rest in zip(self.encoded(heads), cut)]
+
+
+_counters: dict = {}
+
+
+def segment_counts(path: str) -> SegmentCounts:
+    if path not in _counters:
+        _counters[path] = SegmentCounts(tokenizer(path))
+    return _counters[path]
+
+
 def token_counts(df: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text",
                  chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every text, a row for each input row.
@@ -91,15 +156,14 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_
     empty one. A task holds a few MB of short texts, or one long text and two of its chunks.
     """
     def run(batches):
-        tok = tokenizer(path)
+        tok, segments = tokenizer(path), segment_counts(path)
         for b in batches:
             values = b.column("text").to_pylist()
             n = [0] * len(values)
             short = [i for i, t in enumerate(values) if len(t) <= chunk_chars]
             for part in sub_batches([len(values[i]) for i in short], 1 << 20):
-                found = tok.encode_batch_fast([values[i] for i in short[part]], add_special_tokens=False)
-                for i, e in zip(short[part], found):
-                    n[i] = len(e)
+                for i, found in zip(short[part], segments.counts([values[i] for i in short[part]])):
+                    n[i] = found
             for i, t in enumerate(values):
                 if len(t) > chunk_chars:
                     n[i] = len(spliced(tok, t, chunk_chars, overlap_chars))

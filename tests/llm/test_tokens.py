@@ -69,3 +69,38 @@ def test_counts_of_short_and_long_texts(spark):
         got = token_counts.token_counts(frame(spark, texts), BYTES, limit=100, chunk_chars=chunk, overlap_chars=128).collect()
         same(got, want)
     assert token_counts.token_counts(frame(spark, []), BYTES).count() == 0
+
+
+def test_segments_as_the_library():
+    """Counts from segments are those of whole texts, whatever spaces, specials and cuts there are."""
+    rng, tok = random.Random(9), token_counts.tokenizer(BYTES)
+    counter = token_counts.SegmentCounts(tok)
+    assert counter.cutting
+    spaces = [" ", " ", " ", "  ", "\n", " \n", "\n ", "\t", "\u00a0", "\u2003 ", " \u3000", "\x1c", "\x85 ", "\u180e", " \u180e", "\u200b", "\r\n", "\x00"]
+    texts = ["".join(rng.choice(spaces if rng.random() < 0.5 else SPECIAL) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + [t or "" for t in awkward_texts()]
+    want = [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):                                    # nothing known, then all of it
+        assert counter.counts(texts) == want
+    counter.cutting = False
+    assert counter.counts(texts) == want
+
+
+def test_forgotten_segments_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    tok = token_counts.tokenizer(BYTES)
+    counter, texts = token_counts.SegmentCounts(tok), ["some words here", "and other words there", "here some"]
+    for _ in range(3):
+        assert counter.counts(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_other_tokenizers_are_not_cut():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE())
+    assert not token_counts.cuts_at_blanks(other)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    assert not token_counts.cuts_at_blanks(other)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    assert token_counts.cuts_at_blanks(other)
+    other.add_special_tokens(["a b"])
+    assert not token_counts.cuts_at_blanks(other)
