@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .base import texts
+from .base import shuffle_parts, texts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word whose digest this divides loses a code point.
@@ -182,7 +182,10 @@ def tile_results(table: pa.Table) -> pa.Table:
 
 def near_words(words: DataFrame, tile: int = TILE) -> DataFrame:
     """word, n_near, form, form_n for every row of (word, n) that has a near word."""
-    found = (tiles(words, tile).groupBy("longer", "side", "half", "crowded", "a", "b")
+    keys = ["longer", "side", "half", "crowded", "a", "b"]
+    # few bytes, much work: tasks are not put together by size
+    dealt = tiles(words, tile).repartition(shuffle_parts(words.sparkSession), *keys)
+    found = (dealt.groupBy(*keys)
              .applyInArrow(tile_results, "word string, n_near long, form_n long, form string"))
     best = F.min(F.struct((-F.col("form_n")).alias("less"), F.col("form").alias("form")))
     return (found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
