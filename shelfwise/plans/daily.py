@@ -14,17 +14,19 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import quality as Q
-from ..operators.drift import ks_two_sample
+from ..operators.boosting import Boosted, BoostConfig, best_round, ensemble, fit_boosted, split_gains  # noqa: F401
+from ..operators.drift import EXACT_MOST, ks_two_sample
 from ..operators.indexing import dense_code
 from ..operators.split import apply_time_split, fit_time_split
-from ..session import checkpoint_dir
+from ..session import stored
 from ..sources import sinks
+from .contract import FeatureContract
 
 FEATURES = ["lag_7", "sale_price", "is_promo", "product_id_encoded"]
 # Reference budget: squared error, depth 6, learning rate 0.1, up to 500 rounds.
@@ -37,6 +39,7 @@ class DailyConfig:
     max_depth: int = REFERENCE_DEPTH
     step_size: float = REFERENCE_STEP
     patience: int = 50              # rounds without a better validation error before it stops
+    block: int = 10                 # rounds between two writes of the running prediction
     seed: int = 42
     max_bins: int = 64
 
@@ -64,47 +67,37 @@ def filled(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("float"), F.lit(MISSING)), F.lit(MISSING)) for c in FEATURES})
 
 
-def fit_daily_model(matrix: DataFrame, cfg: DailyConfig) -> PipelineModel:
-    """GBT on train; the rounds kept are those up to the least validation error.
+@dataclass
+class DailyFit:
+    model: PipelineModel
+    boosted: Boosted
+
+
+def fit_daily(matrix: DataFrame, cfg: DailyConfig) -> DailyFit:
+    """G3 + G11: boost on train, judge each round on val, stop after ``patience`` rounds without a better one.
 
-    Rounds are looked at in order, and the search ends after ``patience``
-    rounds without a better one. Rows without a target can't be fitted.
+    Rows without a target can't be fitted.
     """
-    checkpoint_dir(matrix.sparkSession)     # GBT checkpoints its lineage every 10 rounds
     data = filled(matrix.where(F.col("target").isNotNull()))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    gbt = GBTRegressor(featuresCol="features", labelCol="target", predictionCol="prediction",
-                       maxIter=cfg.max_iter, maxDepth=cfg.max_depth, stepSize=cfg.step_size,
-                       lossType="squared", seed=cfg.seed, maxBins=cfg.max_bins, checkpointInterval=10)
-    model = gbt.fit(assembler.transform(data.where(F.col("split") == "train")))
-    val = assembler.transform(data.where(F.col("split") == "val"))
-    if not val.isEmpty():
-        model = first_rounds(model, best_round(model.evaluateEachIteration(val, "squared"), cfg.patience) + 1)
-    return PipelineModel(stages=[assembler, model])
-
-
-def best_round(errors: list[float], patience: int) -> int:
-    """The round with the least error before ``patience`` rounds in a row are no better."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best
+    part = lambda name: assembler.transform(data.where(F.col("split") == name))
+    boosted = fit_boosted(part("train"), part("val"), "features", "target", BoostConfig(
+        rounds=cfg.max_iter, depth=cfg.max_depth, step=cfg.step_size, patience=cfg.patience, block=cfg.block,
+        max_bins=cfg.max_bins, seed=cfg.seed))
+    return DailyFit(PipelineModel(stages=[assembler, boosted.model]), boosted)
+
+
+def fit_daily_model(matrix: DataFrame, cfg: DailyConfig) -> PipelineModel:
+    """The model of ``fit_daily`` alone."""
+    return fit_daily(matrix, cfg).model
 
 
 def first_rounds(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
-    """The model of the first ``n`` trees."""
-    if n >= model.getNumTrees:
+    """The model of the mean and the first ``n`` trees."""
+    if n + 1 >= model.getNumTrees:
         return model
-    sc = SparkSession.getActiveSession().sparkContext
-    java, ml = model._java_obj, sc._jvm.org.apache.spark.ml.regression
-    trees, weights = sc._gateway.new_array(ml.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
-    for i in range(n):
-        trees[i], weights[i] = java.trees()[i], float(model.treeWeights[i])
-    cut = GBTRegressionModel(ml.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
-    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+    trees = list(model._java_obj.trees())[:n + 1]
+    return ensemble(trees, model.treeWeights[:n + 1], model.numFeatures, model.getFeaturesCol(), model.getPredictionCol())
 
 
 def importance(model: PipelineModel) -> list[dict]:
@@ -113,8 +106,13 @@ def importance(model: PipelineModel) -> list[dict]:
     return [{"feature": f, "importance": float(imp[i])} for i, f in enumerate(FEATURES)]
 
 
-def predictions(model: PipelineModel, matrix: DataFrame) -> DataFrame:
-    """P8 (+ B2): date, product_id, true and predicted units, rounded forecast."""
+def predictions(model: PipelineModel, matrix: DataFrame, contract: FeatureContract | None = None) -> DataFrame:
+    """P8 (+ B2): date, product_id, true and predicted units, rounded forecast.
+
+    With the contract that was saved beside the model (K8), a table of other feature types is refused.
+    """
+    if contract is not None:
+        contract.check(matrix)
     scored = model.transform(filled(matrix))
     return scored.select("date", "product_id", "split", F.col("target").alias("true_units"),
                          F.col("prediction").alias("predicted_units"),
@@ -137,14 +135,31 @@ def evaluate(pred: DataFrame) -> DataFrame:
 
 def prepare_fact(raw: DataFrame) -> tuple[DataFrame, dict]:
     """Steps 0-3: V1, C1-C8, V4-V8 (one aggregate), P6. Raises on a failed gate."""
-    check = Q.check_exact_columns(raw)
+    check = Q.check_exact_columns(raw.drop(Q.CORRUPT))
     if not check.ok:
         raise Q.ValidationError(f"column mismatch: missing={sorted(check.missing)} extra={sorted(check.extra)}")
-    parsed = Q.parse_daily(raw)
+    parsed = stored(Q.parse_daily(raw), "parsed")       # the file is parsed once; gates, repairs and fact read this
     gates = Q.daily_gates(parsed).first().asDict()
     Q.assert_gates(gates)
-    cleaned = Q.drop_leakage(Q.cleaned_daily(parsed))
-    return cleaned, {"gates": gates, "repairs": Q.repair_log(parsed)}
+    whole = Q.whole_rows(parsed)
+    return Q.drop_leakage(Q.cleaned_daily(whole)), {"gates": gates, "repairs": Q.repair_log(whole), "quarantine": Q.quarantined(parsed)}
+
+
+def save_model(model: PipelineModel, matrix: DataFrame, out_dir: str) -> None:
+    """K8: the model, and beside it the names and types of the features it was fitted on."""
+    model.write().overwrite().save(f"{out_dir}/model")
+    FeatureContract.of(matrix, FEATURES).save(matrix.sparkSession, f"{out_dir}/features")
+
+
+def load_model(spark: SparkSession, out_dir: str) -> tuple[PipelineModel, FeatureContract]:
+    """S8 + S9: the model of a run and its feature contract; refuses one that doesn't fit the other."""
+    model, contract = PipelineModel.load(f"{out_dir}/model"), FeatureContract.load(spark, f"{out_dir}/features")
+    last = model.stages[-1]
+    if not hasattr(last, "featureImportances"):
+        raise TypeError("loaded model is not a fitted tree-ensemble regressor")
+    if last.numFeatures != len(contract.fields) or model.stages[0].getInputCols() != contract.names:
+        raise TypeError(f"the model reads {model.stages[0].getInputCols()}, its contract names {contract.names}")
+    return model, contract
 
 
 def run(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: DailyConfig | None = None) -> dict:
@@ -155,6 +170,7 @@ def run(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: DailyConfig | No
         cleaned, info = prepare_fact(raw)
         summary["gates"] = info["gates"]
         sinks.write_if_rows(info["repairs"], f"{out_dir}/repairs")                      # K3
+        sinks.write_if_rows(info["quarantine"], f"{out_dir}/quarantine")                # S2: malformed lines, as they are
         sinks.write_parquet(cleaned, f"{out_dir}/cleaned")                              # K2
         fact = spark.read.parquet(f"{out_dir}/cleaned")                                 # lineage cut
         codes = dense_code(fact, "product_id", "dense_code")                            # E2
@@ -175,19 +191,23 @@ def run(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: DailyConfig | No
                       if a in bounds and b in bounds)
         if not ordered:
             raise Q.ValidationError("time split is not chronological")
-        model = fit_daily_model(matrix, cfg)                                            # G3
-        model.write().overwrite().save(f"{out_dir}/model")                             # K8
+        fitted = fit_daily(matrix, cfg)                                                 # G3
+        model, boosted = fitted.model, fitted.boosted
+        save_model(model, matrix, out_dir)                                              # K8
+        sinks.write_json_rows(boosted.history_frame(spark), f"{out_dir}/history")       # G11
         pred = predictions(model, matrix.where(F.col("split").isin("val", "test")))
         sinks.write_parquet(pred.where(F.col("split") == "test"), f"{out_dir}/predictions")  # K5
         metrics = {r["split"]: r.asDict() for r in evaluate(pred).collect()}            # A11, A13
-        ks = ks_two_sample(matrix, "target", "split", "train", "val").first().asDict()  # A14
+        ks = ks_two_sample(matrix, "target", "split", "train", "val", EXACT_MOST).first().asDict()  # A14
         imp = importance(model)
         sinks.write_json_rows(spark.createDataFrame(imp, "feature string, importance double"),
                               f"{out_dir}/importance")                                  # K6
         summary.update({
             "status": "PASS", "metrics": metrics, "drift_ks": ks, "feature_names": FEATURES,
             "importance": imp,                                                          # G7
-            "n_trees": model.stages[-1].getNumTrees,                                    # G11: the best round
+            "gains": [r.asDict() for r in split_gains(spark, model.stages[-1], FEATURES).collect()],
+            "n_trees": boosted.best_round, "best_iteration": boosted.best_round,         # G11
+            "best_score": boosted.best_error, "rounds_fitted": boosted.rounds_fitted,
             "split": {"n_dates": cut.n_dates, "first_val_date": str(cut.first_val_date),
                       "first_test_date": str(cut.first_test_date)},
         })

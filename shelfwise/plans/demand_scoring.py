@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.cleaning import to_number
 from ..operators import quality as Q
+from .contract import FeatureContract
 from .daily import filled
 
 # The request's columns and what they mean here.
@@ -61,15 +62,19 @@ def with_forecast(prepared: DataFrame, prediction: Column) -> DataFrame:
 
 
 def score_requests(model: PipelineModel, req: DataFrame, encoder: DataFrame,
-                   mapping: dict[str, str] | None = None, check: bool = True) -> DataFrame:
+                   mapping: dict[str, str] | None = None, check: bool = True, contract: FeatureContract | None = None) -> DataFrame:
     """The request's rows with the model's forecast.
 
-    Features go to the model beside the typed columns; a missing one is
-    missing to the model as well (``daily.filled``), not a 0.
+    Features go to the model beside the typed columns, in the types of the
+    fit if its contract is given; a missing one is missing to the model as well
+    (``daily.filled``), not a 0.
     """
     prepared = prepare_requests(req, encoder, mapping, check)
     features = prepared.select(F.struct("*").alias("__row"), "lag_7", "sale_price", "is_promo",
                                F.col("product_encoded").alias("product_id_encoded"))
+    if contract is not None:
+        features = contract.cast(features)
+        contract.check(features)
     scored = model.transform(filled(features))
     return with_forecast(scored.select("__row.*", F.col("prediction").alias("__p")), F.col("__p")).drop("__p")
 

@@ -74,14 +74,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs its own tasks, not the steps
     before, and several readers share one computation. The files go when the
-    application ends.
+    application ends, or earlier by ``forget``.
     """
     spark = df.sparkSession
     path = os.path.join(scratch_path(spark, "tables"), f"{name}-{uuid.uuid4().hex}")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.option("compression", "zstd").parquet(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files behind a ``stored`` table that nothing will read any more."""
+    path = getattr(df, "_stored_at", None)
+    if path is not None:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _SHIPPED: set[str] = set()
