@@ -4,13 +4,12 @@ tf = raw count of a term in a document; idf fitted on the training
 documents: ``ln((1 + n) / (1 + df)) + 1``; each document's vector L2-
 normalised; terms unseen at fit are dropped.
 
-Plan: token arrays hash-partitioned by document (one shuffle) -> explode ->
-(doc, term) counts, local to the partition -> document frequency by term
-(partial aggregation, so a term in a third of all documents is still one
+Plan: explode -> (doc, term) counts, made where the document is before the
+shuffle, which carries (doc, term, tf) and never a text -> document frequency by
+term (partial aggregation, so a term in a third of all documents is still one
 partial row per task) -> join on term (AQE broadcasts the vocabulary only when
 its measured size allows, otherwise a shuffle join with skew splitting) ->
-per-document norm by a window on the document key, local again when the
-vocabulary was broadcast.
+per-document norm by a window on the document key.
 """
 
 from __future__ import annotations
@@ -46,7 +45,6 @@ def tfidf(docs: DataFrame, doc_key: str, terms: Column, split_col: str = "split"
     weights come from that table. A document without terms is a row without a
     term there, so it counts as a document.
     """
-    docs = docs.repartition(doc_key)
     exploded = docs.select(doc_key, split_col, F.explode_outer(terms).alias("term"))
     exploded = exploded.withColumn("term", F.when(F.length("term") >= MIN_TERM_LENGTH, F.col("term")))
     every = stored(exploded.groupBy(doc_key, split_col, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")

@@ -4,29 +4,37 @@ Text preparation (X1-X4) is shared by training and scoring, so scoring sees
 the same tokens the model was fitted on; ``preprocess=False`` reproduces the
 reference's serving path, which skips stemming and stop-word removal (X7).
 
-TF-IDF inside the model: CountVectorizer counts, then each count is scaled
-by ``idf + 1`` (MLlib's idf is ``ln((m+1)/(df+1))``, the smoothed form adds
-one), then L2-normalised: the same weights as the relational X5 operator.
+The model is a table: a row for each term with its idf and coefficient. No list
+of terms reaches the driver. Fitting counts terms by document, ranks them by
+the ordered index, and puts each document's entries together in Spark, from the
+same weights as the relational X5 operator; ``operators.logistic`` fits the
+regression on these. Scoring joins a document's terms with the table and sums
+up. What the driver holds is the vector of coefficients, numbers without terms.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+import json
+from dataclasses import asdict, dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..functions.porter import stem_tokens
-from ..session import ship_package
+from ..functions.porter import stem_text
+from ..operators.indexing import index_by_order
+from ..operators.logistic import fit_logistic
+from ..operators.tfidf import fit_idf
+from ..session import forget, ship_package, stored
 
 MAX_ITER = 1000           # reference budget
-VOCAB_SIZE = (1 << 31) - 1      # no bound: every term of the training part, as in the relational X5
+# A fit has converged when no entry of the gradient of the mean loss is larger; the reference's solver stops there.
+GRADIENT_TOLERANCE = 1e-4
 # A term is two or more word characters in a row, whatever stands around it.
 TERM_PATTERN = r"(?U)\b\w\w+\b"
+_ROW = "__row"
 
 
 def prepare_text(df: DataFrame, text_col: str = "text", preprocess: bool = True,
@@ -34,43 +42,132 @@ def prepare_text(df: DataFrame, text_col: str = "text", preprocess: bool = True,
     """X1-X4 (+X6): ``content`` = cleaned, optionally stemmed text."""
     if not preprocess:
         return df.withColumn("content", X.as_text(F.col(text_col)))
-    if stem:
-        ship_package(df.sparkSession)      # the stemmer runs in Python workers
     kept = X.remove_stop_words(df.withColumn("__raw_tokens", X.letter_tokens(F.col(text_col))),
                                "__raw_tokens", "__tokens")
-    toks = stem_tokens(F.col("__tokens")) if stem else F.col("__tokens")
-    return kept.withColumn("content", X.join_tokens(toks)).drop("__raw_tokens", "__tokens")
+    content = X.join_tokens(F.col("__tokens"))
+    if stem:
+        ship_package(df.sparkSession)      # the stemmer runs in Python workers
+        content = stem_text(content)
+    return kept.withColumn("content", content).drop("__raw_tokens", "__tokens")
+
+
+def term_counts(df: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf) of ``content``; ``key`` is unique."""
+    words = F.regexp_extract_all(F.lower("content"), F.lit(TERM_PATTERN), F.lit(0))
+    return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@dataclass(frozen=True)
+class FitReport:
+    """How the fit went: one row of figures, and (iteration, objective, gradient_max, gradient_norm) of each iteration."""
+
+    documents: int
+    vocabulary: int
+    iterations: int
+    max_iter: int
+    objective: float
+    gradient_max: float
+    gradient_norm: float
+    converged: bool
+    history: tuple[tuple[int, float, float, float], ...] = ()
+
+
+class SentimentModel:
+    """terms: (term, idf, coefficient), a written table; and an intercept."""
+
+    def __init__(self, terms: DataFrame, intercept: float, report: FitReport):
+        self.terms, self.intercept, self.report = terms, intercept, report
+
+    def save(self, path: str) -> None:
+        """K8: the table of terms as parquet, the rest as one JSON document."""
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        doc = json.dumps({"intercept": repr(self.intercept), "report": asdict(self.report)})
+        self.terms.sparkSession.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "SentimentModel":
+        """S8 + S9: refuses a folder whose table isn't one of terms and weights."""
+        doc = json.loads(spark.read.text(f"{path}/model").first()["value"])
+        terms = spark.read.parquet(f"{path}/terms")
+        if terms.dtypes != [("term", "string"), ("idf", "double"), ("coefficient", "double")]:
+            raise TypeError(f"not a sentiment model: {terms.dtypes}")
+        report = doc["report"] | {"history": tuple(map(tuple, doc["report"]["history"]))}
+        return cls(terms, float(doc["intercept"]), FitReport(**report))
+
+    def history_frame(self) -> DataFrame:
+        """iteration, objective, gradient_max, gradient_norm: a row for each iteration of the fit (at most its budget)."""
+        return self.terms.sparkSession.createDataFrame(list(self.report.history), "iteration int, objective double, gradient_max double, gradient_norm double")
+
+    def report_frame(self) -> DataFrame:
+        """The fit's figures as one row."""
+        row = asdict(self.report) | {"tolerance": GRADIENT_TOLERANCE}
+        row.pop("history")
+        kinds = "documents long, vocabulary long, iterations int, max_iter int, objective double, gradient_max double, gradient_norm double, converged boolean, tolerance double"
+        return self.terms.sparkSession.createDataFrame([tuple(row.values())], kinds)
+
+
+def weigh(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(row, at, weight): L2-normalised tf * idf under the terms' numbers; terms that the fit didn't see are dropped."""
+    raw = counts.join(vocabulary, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(_ROW)))
+    return raw.select(_ROW, F.col("at").cast("int").alias("at"), (F.col("raw") / norm).alias("weight"))
+
+
+def vectors(rows: DataFrame, weights: DataFrame, label: str) -> DataFrame:
+    """(row, label, indices, values): each row's entries in the order of the terms' numbers; a row without terms has none."""
+    entries = weights.groupBy(_ROW).agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("e"))
+    part = lambda name, kind: F.coalesce(F.transform("e", lambda x: x[name]), F.array().cast(f"array<{kind}>"))
+    return (rows.select(_ROW, F.col(label).cast("double").alias("label")).join(entries, _ROW, "left")
+            .select(_ROW, "label", part("at", "int").alias("indices"), part("weight", "double").alias("values")))
 
 
 def fit(train: DataFrame, label: str = "target", max_iter: int = MAX_ITER,
-        reg_param: float | None = None) -> PipelineModel:
-    """TF-IDF + logistic regression (L2, C = 1 -> regParam = 1 / n).
+        reg_param: float | None = None) -> SentimentModel:
+    """TF-IDF + logistic regression (L2, C = 1 -> regParam = 1 / n), until it has converged or ``max_iter`` is used up.
 
     Rows without a label cannot be fitted and are skipped.
     """
-    train = train.where(F.col(label).isNotNull())
-    tok = RegexTokenizer(inputCol="content", outputCol="terms", pattern=TERM_PATTERN, gaps=False,
-                         minTokenLength=X.MIN_TERM_LENGTH, toLowercase=True)
-    cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=VOCAB_SIZE, minDF=1.0)
-    base = Pipeline(stages=[tok, cv]).fit(train)
-    counted = base.transform(train).cache()
-    n = counted.count()
-    idf = IDF(inputCol="tf", outputCol="_idf").fit(counted).idf
-    scale = ElementwiseProduct(inputCol="tf", outputCol="tfidf",
-                               scalingVec=Vectors.dense([v + 1.0 for v in idf.toArray()]))
-    norm = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter,
-                            regParam=reg_param if reg_param is not None else 1.0 / max(n, 1),
-                            elasticNetParam=0.0, standardization=False)
-    head = Pipeline(stages=[scale, norm, lr]).fit(counted)
-    counted.unpersist()
-    return PipelineModel(stages=base.stages + head.stages)
-
-
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """G9 + B7: predicted class and its label text."""
-    out = model.transform(df)
-    return out.withColumn("sentiment", R.sentiment_label(F.col("prediction")))
+    spark = train.sparkSession
+    rows = stored(train.where(F.col(label).isNotNull()).select(F.monotonically_increasing_id().alias(_ROW), F.col(label).alias(label), "content"), "reviews")
+    n = rows.count()
+    if not n:
+        raise ValueError("no rows with a label")
+    counts = stored(term_counts(rows, _ROW), "term-counts")
+    vocabulary = stored(index_by_order(fit_idf(counts, _ROW, n).select("term", "idf"), ["term"], "at"), "vocabulary")
+    size = vocabulary.count()
+    weights = stored(weigh(counts, vocabulary), "weights")
+    data = stored(vectors(rows, weights, label), "vectors")
+    reg = reg_param if reg_param is not None else 1.0 / n
+    fitted = fit_logistic(data, size, reg, GRADIENT_TOLERANCE, max_iter)
+    iteration, objective, largest, norm = fitted.history[-1]
+    report = FitReport(n, size, iteration, max_iter, objective, largest, norm, fitted.converged, tuple(fitted.history))
+    terms = with_coefficients(spark, vocabulary, fitted.coefficients)
+    kept = stored(terms.select("term", "idf", "coefficient"), "terms")
+    for table in (rows, counts, vocabulary, weights, data):
+        forget(table)
+    return SentimentModel(kept, fitted.intercept, report)
+
+
+def with_coefficients(spark: SparkSession, vocabulary: DataFrame, coefficients) -> DataFrame:
+    """(term, idf, at, coefficient): the fitted coefficients, numbers by place, joined with the terms."""
+    numbers = spark.createDataFrame(pd.DataFrame({"at": range(len(coefficients)), "coefficient": coefficients}), "at long, coefficient double")
+    return vocabulary.withColumn("at", F.col("at").cast("long")).join(numbers, "at")
+
+
+def score(model: SentimentModel, df: DataFrame, key: str | None = None) -> DataFrame:
+    """G9 + B7: the rows with margin, probability, predicted class and its label text.
+
+    Rows are told apart by ``key``, which must be unique, or else by a number
+    that is written down with them.
+    """
+    rows = df if key is not None else stored(df.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    own = key or _ROW
+    raw = term_counts(rows, own).join(model.terms, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    sums = raw.groupBy(own).agg((F.sum(F.col("raw") * F.col("coefficient")) / F.sqrt(F.sum(F.col("raw") * F.col("raw")))).alias("margin"))
+    out = rows.join(sums, own, "left").withColumn("margin", F.coalesce("margin", F.lit(0.0)) + F.lit(model.intercept))
+    out = out.withColumns({"probability": F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin"))), "prediction": (F.col("margin") > 0).cast("double")})
+    out = out.withColumn("sentiment", R.sentiment_label(F.col("prediction")))
+    return out if key is not None else out.drop(_ROW)
 
 
 def accuracy(scored: DataFrame, label: str = "target", by: str | None = None) -> DataFrame:
@@ -81,12 +178,13 @@ def accuracy(scored: DataFrame, label: str = "target", by: str | None = None) ->
     return scored.groupBy(by).agg(n, acc, pos) if by else scored.agg(n, acc, pos)
 
 
-def score_file(spark, path: str, text_column: str, model: PipelineModel, out_dir: str,
+def score_file(spark, path: str, text_column: str, model: SentimentModel, out_dir: str,
                preprocess: bool = False) -> dict:
     """The review-scoring page: S4 -> V3 -> X6/X7 -> G9 -> B7 -> A1/A8 -> K1.
 
     ``preprocess=False`` is the reference's serving path (no stemming or
     stop-word removal); ``True`` scores the same tokens the model was fitted on.
+    The scored rows are written once; the CSV and the reports read that table.
     """
     from ..operators import quality as Q
     from ..sources import readers, sinks
@@ -94,11 +192,9 @@ def score_file(spark, path: str, text_column: str, model: PipelineModel, out_dir
     df = readers.read_text_csv(spark, path, text_column)
     if Q.is_empty(df):
         raise Q.ValidationError("the uploaded file has no rows")
-    scored = score(model, prepare_text(df, text_column, preprocess=preprocess))
-    keep = [c for c in df.columns] + ["sentiment"]
-    written = sinks.write_csv(scored.select(*keep), sinks.timestamped(out_dir, "sentiment"))
-    result = readers.read_strings_csv(spark, written)
-    counts = {r["sentiment"]: r["count"] for r in result.groupBy("sentiment").count().collect()}   # A1
+    scored = stored(score(model, prepare_text(df, text_column, preprocess=preprocess)).select(*df.columns, "sentiment"), "scored")
+    written = sinks.write_csv(scored, sinks.timestamped(out_dir, "sentiment"))
+    counts = {r["sentiment"]: r["count"] for r in scored.groupBy("sentiment").count().collect()}   # A1
     total = sum(counts.values())
     return {"path": written, "counts": counts,
             "positive_pct": (100.0 * counts.get("Positive", 0) / total) if total else 0.0}      # A8

@@ -103,9 +103,8 @@ def test_sentiment_model_beats_nothing_and_roundtrips(spark, tmp_dir):
     model = SJ.fit(data.where("split = 'train'"), max_iter=20)
     acc = {r["split"]: r["accuracy"] for r in SJ.accuracy(SJ.score(model, data), by="split").collect()}
     assert 0.0 <= acc["test"] <= 1.0 and acc["train"] >= 0.5
-    model.write().overwrite().save(f"{tmp_dir}/senti")
-    from pyspark.ml import PipelineModel
-    again = PipelineModel.load(f"{tmp_dir}/senti")
+    model.save(f"{tmp_dir}/senti")
+    again = SJ.SentimentModel.load(spark, f"{tmp_dir}/senti")
     a = SJ.score(model, data).select("doc_id", "prediction").orderBy("doc_id").collect()
     b = SJ.score(again, data).select("doc_id", "prediction").orderBy("doc_id").collect()
     assert a == b

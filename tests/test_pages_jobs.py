@@ -86,8 +86,7 @@ def test_sentiment_job_and_review_page(spark, tmp_dir):
     n = _tweets_csv(spark, f"{tmp_dir}/tweets.csv")
     acc = jobs.train_sentiment(spark, f"{tmp_dir}/tweets.csv", f"{tmp_dir}/senti", max_iter=10)
     assert set(acc) == {"train", "test"}
-    from pyspark.ml import PipelineModel
-    model = PipelineModel.load(f"{tmp_dir}/senti")
+    model = SJ.SentimentModel.load(spark, f"{tmp_dir}/senti")
     with open(f"{tmp_dir}/reviews.csv", "w", encoding="latin-1", newline="") as f:
         w = csv.writer(f)
         w.writerow(["id", "review"])
