@@ -20,6 +20,9 @@ DAILY_COLUMNS = ["date", "product_id", "units_sold", "sale_price", "is_promo", "
 DAILY_NUMERIC = ["units_sold", "sale_price", "lag_7", "product_id_encoded", "is_promo"]
 MIN_DAILY_ROWS = 500
 NEGATIVE_SHARE_LIMIT = 0.001
+# A line that has too few or too many fields, as the reader keeps it (S2); up to this share of them a run goes on.
+CORRUPT = "_corrupt_record"
+CORRUPT_SHARE_LIMIT = 0.01
 # Leakage rule: these column names are kept whatever they look like.
 LEAKAGE_KEEP = ["units_sold", "sale_price", "date", "product_id"]
 # Leakage pattern (prefix-anchored match, case-insensitive).
@@ -82,8 +85,9 @@ def parse_daily(raw: DataFrame) -> DataFrame:
     than repeating the expression.
     """
     n = DAILY_NUMERIC
+    corrupt = [CORRUPT] if CORRUPT in raw.columns else []       # only what the file reader gave
     df = raw.select(F.col("date").alias("date_raw"), C.to_date_or_null(F.col("date")).alias("date"),
-                    F.col("product_id"), *[F.col(c).alias(f"{c}__raw") for c in n])
+                    F.col("product_id"), *corrupt, *[F.col(c).alias(f"{c}__raw") for c in n])
     df = df.select("*", *[C.strip_all(F.col(f"{c}__raw")).alias(f"{c}__trim") for c in n])
     df = df.select("*", *[C.bracket_number(F.col(f"{c}__trim")).alias(f"{c}__num") for c in n])
     df = df.select("*", *[(C.is_bracketed(F.col(f"{c}__trim")) & (F.col(f"{c}__num") != ""))
@@ -94,7 +98,21 @@ def parse_daily(raw: DataFrame) -> DataFrame:
     parsed = [F.when(F.col(f"{c}__sep").rlike(C.NUMERIC_PATTERN), F.col(f"{c}__sep").try_cast("double"))
               .alias(c) for c in n]
     keep = [x for c in n for x in (f"{c}__raw", f"{c}__trim", f"{c}__rep")]
-    return df.select("date_raw", "date", "product_id", *keep, *parsed)
+    return df.select("date_raw", "date", "product_id", *corrupt, *keep, *parsed)
+
+
+def whole_rows(parsed: DataFrame) -> DataFrame:
+    """The rows whose line had the right number of fields."""
+    return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if CORRUPT in parsed.columns else parsed
+
+
+def quarantined(parsed: DataFrame) -> DataFrame:
+    """The malformed lines as they stand in the file, and whether they have too few or too many fields."""
+    if CORRUPT not in parsed.columns:
+        return parsed.limit(0).select(F.lit("").alias("line"), F.lit("").alias("problem"))
+    few = F.col(f"{DAILY_COLUMNS[-1]}__raw").isNull()
+    return (parsed.where(F.col(CORRUPT).isNotNull())
+            .select(F.col(CORRUPT).alias("line"), F.when(few, F.lit("too_few")).otherwise(F.lit("too_many")).alias("problem")))
 
 
 def cleaned_daily(parsed: DataFrame) -> DataFrame:
@@ -133,23 +151,35 @@ def daily_gates(parsed: DataFrame) -> DataFrame:
 
     ``*_null`` counts every NULL after coercion (what the reference reports),
     ``*_lost`` only values that were present (not NULL, not blank) but did not parse.
+    Malformed lines (S2) are in ``corrupt_rows`` and in no other count; a fact that
+    didn't come from a file has no such column.
     """
-    aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("date").isNull()).alias("bad_dates")]
+    malformed = CORRUPT in parsed.columns
+    whole = F.col(CORRUPT).isNull() if malformed else F.lit(True)
+
+    def of_whole(condition):
+        return F.count_if(whole & condition)
+
+    aggs = [of_whole(F.lit(True)).alias("rows"), of_whole(F.col("date").isNull()).alias("bad_dates")]
     for c in DAILY_NUMERIC:
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}_null"))
+        aggs.append(of_whole(F.col(c).isNull()).alias(f"{c}_null"))
         present = F.col(f"{c}__raw").isNotNull() & (F.col(f"{c}__trim") != "")
-        aggs.append(F.count_if(present & F.col(c).isNull()).alias(f"{c}_lost"))
+        aggs.append(of_whole(present & F.col(c).isNull()).alias(f"{c}_lost"))
     aggs += [
-        sum_expr([F.count_if(F.col(f"{c}__rep")) for c in DAILY_NUMERIC]).alias("repairs"),
-        F.count_if(F.col("units_sold") < 0).alias("neg_units"),
-        F.count_if(F.col("sale_price") < 0).alias("neg_price"),
-        F.count_if(F.col("is_promo").isNull() | ~F.col("is_promo").isin(0.0, 1.0)).alias("promo_bad"),
+        sum_expr([of_whole(F.col(f"{c}__rep")) for c in DAILY_NUMERIC]).alias("repairs"),
+        of_whole(F.col("units_sold") < 0).alias("neg_units"),
+        of_whole(F.col("sale_price") < 0).alias("neg_price"),
+        of_whole(F.col("is_promo").isNull() | ~F.col("is_promo").isin(0.0, 1.0)).alias("promo_bad"),
     ]
+    if malformed:
+        aggs.append(F.count_if(~whole).alias("corrupt_rows"))
     g = parsed.agg(*aggs)
+    share_c = F.try_divide(F.col("corrupt_rows").cast("double"), F.col("rows") + F.col("corrupt_rows")) if malformed else F.lit(0.0)
     share_u = F.try_divide(F.col("neg_units").cast("double"), F.col("rows"))
     share_p = F.try_divide(F.col("neg_price").cast("double"), F.col("rows"))
     reasons = F.concat_ws(",",
                           F.when(F.col("rows") < MIN_DAILY_ROWS, F.lit("too_few_rows")),
+                          F.when(share_c >= CORRUPT_SHARE_LIMIT, F.lit("corrupt_rows")),
                           F.when(F.col("bad_dates") > 0, F.lit("bad_dates")),
                           F.when(share_u >= NEGATIVE_SHARE_LIMIT, F.lit("negative_units")),
                           F.when(share_p >= NEGATIVE_SHARE_LIMIT, F.lit("negative_price")),

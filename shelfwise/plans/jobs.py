@@ -17,12 +17,11 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators.split import hash_split, stratified_hash_split
+from ..operators.split import exact_split
 from ..sources import readers, sinks
 from . import daily, demand_scoring, price_batch, sentiment
 from .pricing import PriceConfig, PriceUnitsModel
@@ -31,7 +30,7 @@ from .pricing import PriceConfig, PriceUnitsModel
 def train_price(spark, train_csv: str, model_dir: str, trees: int | None = None) -> dict:
     df = readers.read_products_csv(spark, train_csv)
     key = "product_id" if "product_id" in df.columns else df.columns[0]
-    split = hash_split(df, key, 0.2, 42)                                                   # E10
+    split = exact_split(df, key, 0.2, 42)                                                 # E10
     cfg = PriceConfig() if trees is None else PriceConfig(price_trees=trees, units_trees=trees)
     model = PriceUnitsModel.fit(split.where("split = 'train'").drop("split"), cfg=cfg)
     model.save(model_dir)
@@ -51,18 +50,19 @@ def run_daily(spark, input_csv: str, out_dir: str, rounds: int | None = None) ->
 
 def train_sentiment(spark, tweets_csv: str, model_dir: str, max_iter: int = sentiment.MAX_ITER) -> dict:
     df = readers.read_tweets(spark, tweets_csv).withColumn("target", R.relabel(F.col("target")))   # S3, B14
-    data = sentiment.prepare_text(stratified_hash_split(df, "id", "target", 0.2, 2))              # E11
+    data = sentiment.prepare_text(exact_split(df, "id", 0.2, 2, "target"))                        # E11
     model = sentiment.fit(data.where("split = 'train'"), max_iter=max_iter)
-    model.write().overwrite().save(model_dir)                                                     # K8
+    model.save(model_dir)                                                                         # K8
     acc = sentiment.accuracy(sentiment.score(model, data), by="split").collect()                  # A15
     return {r["split"]: r["accuracy"] for r in acc}
 
 
 def score_demand(spark, input_csv: str, run_dir: str, out_dir: str, mapping: dict[str, str] | None = None) -> dict:
     """A request file scored with the model and encoder of a daily run."""
-    model = PipelineModel.load(f"{run_dir}/model")
+    model, contract = daily.load_model(spark, run_dir)                                            # S8, S9
     encoder = spark.read.schema("product_id string, dense_code int").json(f"{run_dir}/label_encoder")
-    scored = demand_scoring.score_requests(model, readers.read_strings_csv(spark, input_csv), encoder, mapping)
+    scored = demand_scoring.score_requests(model, readers.read_strings_csv(spark, input_csv, multi_line=False), encoder, mapping,
+                                            contract=contract)
     sinks.write_parquet(scored, f"{out_dir}/rows")
     rows = spark.read.parquet(f"{out_dir}/rows")
     path = sinks.write_csv(rows, sinks.timestamped(out_dir, "demand"))
@@ -70,7 +70,7 @@ def score_demand(spark, input_csv: str, run_dir: str, out_dir: str, mapping: dic
 
 
 def score_reviews(spark, input_csv: str, column: str, model_dir: str, out_dir: str) -> dict:
-    return sentiment.score_file(spark, input_csv, column, PipelineModel.load(model_dir), out_dir)
+    return sentiment.score_file(spark, input_csv, column, sentiment.SentimentModel.load(spark, model_dir), out_dir)
 
 
 def score_record(spark, record: dict, model_dir: str) -> dict:

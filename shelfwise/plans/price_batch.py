@@ -2,9 +2,8 @@
 
 Input: any CSV of products (only ``brand, category, original_price`` are
 required). Output: the scored rows as CSV, plus a one-row summary and the two
-top-5 tables, all computed from the same lazily scored DataFrame; the scored
-rows are written once and the reports read that written table, so scoring
-runs once.
+top-5 tables; the scored rows are written once as a table, which the CSV and
+the reports read, so scoring runs once and no CSV is parsed again.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import features as FE
 from ..operators import quality as Q
 from ..operators.report import money_sum, result_filter, top_k
+from ..session import stored
 from ..sources import sinks
 from .pricing import PriceUnitsModel
 
@@ -79,9 +79,8 @@ def run(spark: SparkSession, request: DataFrame, model: PriceUnitsModel, out_dir
         order: list[str] | None = None, premium: bool = False, high_volume: bool = False,
         high_revenue: bool = False) -> dict:
     req = prepare_request(request, order)
-    scored_path = sinks.write_csv(model.predict_batch(req), sinks.timestamped(out_dir, "scored"))  # K1
-    from ..sources.readers import read_products_csv
-    scored = read_products_csv(spark, scored_path)
+    scored = stored(model.predict_batch(req), "scored")       # scored once; the CSV and the reports read this
+    scored_path = sinks.write_csv(scored, sinks.timestamped(out_dir, "scored"))                    # K1
     summ = summary(scored).first().asDict()
     return {
         "scored_path": scored_path, "summary": summ,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cleaning as C
-from ..operators.quality import DAILY_COLUMNS
+from ..operators.quality import CORRUPT, DAILY_COLUMNS
 
 # File contracts.
 RESULT_FIELDS = [T.StructField("Recommended_Price", T.DoubleType()),
@@ -39,11 +39,15 @@ TWEET_SCHEMA = T.StructType([
     T.StructField("user", T.StringType()), T.StructField("text", T.StringType()),
 ])
 LATIN1 = "ISO-8859-1"
-# The dialect of the files: a quote inside quotes is doubled, and a quoted text may hold newlines.
-# For the latter a file is read by one task; give large inputs as several files.
+# The dialect of the files: a quote inside quotes is doubled. A quoted text may hold newlines; to read these
+# a file is one task, so only files with a text column are read that way, and large ones of those should
+# come as several files. All others are split by Spark.
 # ``enforceSchema=false`` makes Spark check the header of every file, not of the first only.
-CSV_DIALECT = {"quote": '"', "escape": '"', "multiLine": "true"}
-CHECKED_HEADER = {**CSV_DIALECT, "header": "true", "enforceSchema": "false"}
+CSV_DIALECT = {"quote": '"', "escape": '"'}
+
+
+def dialect(multi_line: bool, **more) -> dict:
+    return {**CSV_DIALECT, "multiLine": str(multi_line).lower(), **more}
 
 
 def read_products_csv(spark: SparkSession, path: str, schema: T.StructType = PRODUCT_SCHEMA) -> DataFrame:
@@ -52,36 +56,46 @@ def read_products_csv(spark: SparkSession, path: str, schema: T.StructType = PRO
     Only the columns present in the file are kept, so the default-fill step
     can tell absent columns from empty ones.
     """
-    header = spark.read.options(**CSV_DIALECT).option("header", True).csv(path).columns
+    header = header_of(spark, path)
     fields = {f.name: f for f in list(schema.fields) + RESULT_FIELDS}
     present = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in header])
-    return spark.read.options(**CHECKED_HEADER).option("mode", "PERMISSIVE").schema(present).csv(path)
+    return spark.read.options(**dialect(False, header="true", enforceSchema="false", mode="PERMISSIVE")).schema(present).csv(path)
+
+
+def header_of(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> list[str]:
+    """The column names of a CSV's first line, as Spark's reader takes them."""
+    return spark.read.options(**dialect(multi_line, header="true", encoding=encoding)).csv(path).columns
 
 
 def read_daily_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text so the dirt survives to the cleaner.
+    """Every column as text so the dirt survives to the cleaner, and ``quality.CORRUPT`` for malformed lines.
 
-    The file's own header order is kept (V1 checks it).
+    The file's own header order is kept (V1 checks it). A line with too few or
+    too many fields keeps its text in the last column; what could be read of it
+    is in the others, and the daily job sets it aside.
     """
-    return read_strings_csv(spark, path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header_of(spark, path), CORRUPT]])
+    options = dialect(False, header="true", enforceSchema="false", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    return spark.read.options(**options).schema(schema).csv(path)
+
 
+def read_strings_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """A CSV with header, every column as text; all files must have the same header.
 
-def read_strings_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV with header, every column as text; all files must have the same header."""
-    header = spark.read.options(**CSV_DIALECT).option("header", True).option("encoding", encoding).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    return spark.read.options(**CHECKED_HEADER).option("encoding", encoding).schema(schema).csv(path)
+    Without ``multi_line`` a value can't hold a newline, and Spark splits the files.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header_of(spark, path, encoding, multi_line)])
+    return spark.read.options(**dialect(multi_line, header="true", enforceSchema="false", encoding=encoding)).schema(schema).csv(path)
 
 
-def read_tweets(spark: SparkSession, path: str) -> DataFrame:
-    """S3: headerless tweets, ISO-8859-1, six named columns."""
-    return (spark.read.options(**CSV_DIALECT).option("header", False).option("encoding", LATIN1)
-            .schema(TWEET_SCHEMA).csv(path))
+def read_tweets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """S3: headerless tweets, ISO-8859-1, six named columns; ``multi_line=False`` for files whose texts hold no newline."""
+    return spark.read.options(**dialect(multi_line, header="false", encoding=LATIN1)).schema(TWEET_SCHEMA).csv(path)
 
 
-def read_text_csv(spark: SparkSession, path: str, text_column: str) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, text_column: str, multi_line: bool = True) -> DataFrame:
     """ISO-8859-1 CSV with header; the caller names the text column."""
-    df = read_strings_csv(spark, path, LATIN1)
+    df = read_strings_csv(spark, path, LATIN1, multi_line)
     if text_column not in df.columns:
         raise ValueError(f"column {text_column!r} not in {df.columns}")
     return df
