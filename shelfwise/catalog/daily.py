@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from ..operators.indexing import dense_code
 from ..operators.report import split_report
 from ..operators.split import apply_time_split, fit_time_split
 from ..plans.daily import model_matrix
-from ..session import stored
+from ..session import scratch_path, stored
 from ..sources.adapters import daily_raw, daily_sales
+from ..sources.readers import read_daily_raw
 from . import adapter_sql as A
 
 # ---------------------------------------------------------------- Spark side
@@ -73,6 +76,34 @@ def q_daily_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.null_counts(q_daily_cleaned(spark, sf_dir))
 
 
+# Of the lines of the generated file, those whose hash begins below the first lose their last field, those below the second get one more.
+FEW_BELOW, MANY_BELOW = "08", "10"
+
+
+def daily_file(spark: SparkSession, sf_dir: str) -> str:
+    """The dirty fact as a CSV of which some lines are malformed; returns its folder."""
+    raw = daily_raw(spark, sf_dir)
+    quoted = [F.when(F.col(c).rlike('[,"]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+              for c in Q.DAILY_COLUMNS]
+    kind = F.substring(F.md5(F.concat_ws("|", F.coalesce("product_id", F.lit("")), F.coalesce("date", F.lit("")))), 1, 2)
+    line = (F.when(kind < FEW_BELOW, F.concat_ws(",", *quoted[:-1])).when(kind < MANY_BELOW, F.concat_ws(",", *quoted, F.lit("more")))
+            .otherwise(F.concat_ws(",", *quoted)))
+    path = f"{scratch_path(spark, 'tables')}/daily-file-{uuid.uuid4().hex}"
+    # a line is one value under the whole header, so every file begins with it; nothing is quoted again
+    raw.select(line.alias(",".join(Q.DAILY_COLUMNS))).write.options(
+        header="true", sep="\x01", quote="", escapeQuotes="false", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    return path
+
+
+def q_daily_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a generated file by what is wrong with their number of fields; whole ones go on to the gates."""
+    parsed = stored(Q.parse_daily(read_daily_raw(spark, daily_file(spark, sf_dir))), "parsed")
+    gates = Q.daily_gates(parsed)
+    bad = Q.quarantined(parsed).groupBy("problem").agg(F.count(F.lit(1)).alias("lines"))
+    return bad.unionByName(gates.select(F.lit("none").alias("problem"), F.col("rows").alias("lines"))).unionByName(
+        gates.select(F.lit("any").alias("problem"), F.col("corrupt_rows").alias("lines")))
+
+
 QUERIES = {
     "daily_sales": q_daily_sales,
     "daily_raw": q_daily_raw,
@@ -83,6 +114,7 @@ QUERIES = {
     "daily_product_codes": q_daily_product_codes,
     "daily_features": q_daily_features,
     "daily_null_counts": q_daily_null_counts,
+    "daily_quarantine": q_daily_quarantine,
 }
 
 # ---------------------------------------------------------------- SQL oracle
@@ -203,5 +235,9 @@ SELECT date, product_id, split, CAST(lag_7 AS FLOAT) AS lag_7, CAST(sale_price A
        CAST(is_promo AS TINYINT) AS is_promo, CAST(product_id_encoded AS INTEGER) AS product_id_encoded,
        CAST(units_sold AS FLOAT) AS target
 FROM split""",
+    "daily_quarantine": f"""WITH {A.DAILY_RAW},
+kinds AS (SELECT CASE WHEN h < '{FEW_BELOW}' THEN 'too_few' WHEN h < '{MANY_BELOW}' THEN 'too_many' ELSE 'none' END AS problem
+          FROM (SELECT substr(md5(coalesce(product_id, '') || '|' || coalesce(date, '')), 1, 2) AS h FROM daily_raw))
+SELECT problem, count(*) AS lines FROM kinds GROUP BY problem UNION ALL SELECT 'any', count(*) FILTER (WHERE problem <> 'none') FROM kinds""",
     "daily_null_counts": f"WITH {PARSED}, cleaned AS ({_CLEANED_SELECT}) SELECT {_NULLS} FROM cleaned",
 }

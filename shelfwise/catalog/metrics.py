@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.drift import SERIES_TERMS, SMALL_LAMBDA, ks_two_sample
+from ..operators.drift import EXACT_MOST, SERIES_TERMS, SMALL_LAMBDA, ks_two_sample
 from ..operators.report import rounded
 from ..plans import daily as DJ
 from ..plans.pricing import regression_report
@@ -17,6 +17,9 @@ from . import products as PR
 from .scoring import SQL_DEMAND, standin_demand
 
 
+DRIFT_CATEGORY = "SMALL"
+
+
 def standin_predictions(spark, sf_dir, *splits):
     """The stand-in forecast of some splits in the shape of ``daily.predictions``."""
     s = D.split_daily(spark, sf_dir).where(F.col("split").isin(*splits))
@@ -38,6 +41,12 @@ def q_daily_drift_ks(spark, sf_dir):
     return rounded(ks_two_sample(D.split_daily(spark, sf_dir), "units_sold", "split", "train", "val"), "p_value", digits=12)
 
 
+def q_price_drift_ks(spark, sf_dir):
+    """A14 with the exact p-value: original prices of training and test products of one material class."""
+    p = PR.products_split(spark, sf_dir).where(F.col("category") == DRIFT_CATEGORY)
+    return rounded(ks_two_sample(p, "original_price", "split", "train", "test", EXACT_MOST), "statistic", "p_value", digits=9)
+
+
 def standin_eval_price():
     return F.col("original_price") * F.lit(0.93) + F.col("price_vs_competitor") * F.lit(10.0)
 
@@ -55,6 +64,7 @@ QUERIES = {
     "daily_errors": q_daily_errors,
     "daily_range_check": q_daily_range_check,
     "daily_drift_ks": q_daily_drift_ks,
+    "price_drift_ks": q_price_drift_ks,
     "price_holdout_eval": q_price_holdout_eval,
 }
 
@@ -81,6 +91,22 @@ SELECT n1, n2, statistic,
                lambda a, b: a + b), 0.0), 1.0) END, 12) AS p_value
 FROM lam"""
 
+# The paths are followed diagonal by diagonal, as rows (s, i, share).
+_KS_EXACT = f"""WITH RECURSIVE {PR.PRODUCTS},
+pv AS (SELECT original_price AS v, count(*) FILTER (WHERE split = 'train') AS c1, count(*) FILTER (WHERE split = 'test') AS c2
+       FROM products WHERE category = '{DRIFT_CATEGORY}' AND original_price IS NOT NULL GROUP BY v),
+cum AS (SELECT sum(c1) OVER (ORDER BY v) AS cum1, sum(c2) OVER (ORDER BY v) AS cum2, sum(c1) OVER () AS n1, sum(c2) OVER () AS n2 FROM pv),
+st AS MATERIALIZED (SELECT CAST(max(n1) AS BIGINT) AS n1, CAST(max(n2) AS BIGINT) AS n2, CAST(max(abs(cum1 * n2 - cum2 * n1)) AS BIGINT) AS gap FROM cum),
+path AS (
+  SELECT CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS i, CAST(CASE WHEN gap <= 0 THEN 1 ELSE 0 END AS DOUBLE) AS share FROM st
+  UNION ALL
+  SELECT s, i, CASE WHEN abs(i * n2 - (s - i) * n1) >= gap THEN 1.0 ELSE total / s END
+  FROM (SELECT s, k AS i, sum(w * share) AS total
+        FROM (SELECT s + 1 AS s, share, unnest([i, i + 1]) AS k, unnest([s + 1 - i, i + 1]) AS w FROM path) GROUP BY s, k) t, st
+  WHERE i <= n1 AND s - i <= n2)
+SELECT n1, n2, round(gap / CAST(n1 * n2 AS DOUBLE), 9) AS statistic, round(share, 9) AS p_value
+FROM path, st WHERE i = n1 AND s = n1 + n2"""
+
 _PRICE_FEAT = PR.SQL["price_features"]
 
 SQL = {
@@ -94,6 +120,7 @@ g AS (SELECT max(p) - min(p) AS pred_spread, max(y) - min(y) AS target_spread FR
 r AS (SELECT *, CASE WHEN target_spread = 0 THEN 0.0 ELSE pred_spread / target_spread END AS range_ratio FROM g)
 SELECT *, CASE WHEN range_ratio < 0.1 THEN 'WARNING' ELSE 'PASS' END AS range_status FROM r""",
     "daily_drift_ks": _KS,
+    "price_drift_ks": _KS_EXACT,
     "price_holdout_eval": f"""WITH feat AS ({_PRICE_FEAT}),
 t AS (SELECT current_price AS y1, p1, units_sold AS y2,
              greatest(CAST(300.0 AS DOUBLE) - p1 * CAST(0.2 AS DOUBLE), CAST(0.0 AS DOUBLE)) AS p2

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
-from ..operators.split import hash_split, share_threshold
+from ..operators.split import exact_split, hash_split, share_threshold
+from ..session import stored
 from ..sources.adapters import retail_products
 from . import adapter_sql as A
 
@@ -26,14 +27,15 @@ def products_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products_split(spark, sf_dir).where(F.col("split") == "train").drop("split")
 
 
-def fitted_state(spark: SparkSession, sf_dir: str) -> FE.PriceFeatureState:
-    return FE.fit_price_features(products_train(spark, sf_dir), LUXURY_TESTDATA)
-
-
 def q_retail_products(spark, sf_dir):
     return products_split(spark, sf_dir)
 
 
+def q_retail_split_exact(spark, sf_dir):
+    """E10 with the exact size: the fifth of the products with the smallest hashes."""
+    return exact_split(retail_products(spark, sf_dir), "product_id", TEST_SHARE, SPLIT_SEED).select("product_id", "split")
+
+
 def q_price_vocabulary(spark, sf_dir):
     """A2 + U1 + E6 (fit): vocabulary with ids, all columns in one job."""
     return FE.vocabulary_frame(products_train(spark, sf_dir), LUXURY_TESTDATA)
@@ -41,7 +43,7 @@ def q_price_vocabulary(spark, sf_dir):
 
 def q_price_medians(spark, sf_dir):
     """A3: exact medians of the encoded training frame."""
-    train = products_train(spark, sf_dir)
+    train = stored(products_train(spark, sf_dir), "products")      # the vocabulary and the medians read it
     state = FE.PriceFeatureState(LUXURY_TESTDATA)
     for r in FE.vocabulary_frame(train, LUXURY_TESTDATA).collect():
         state.vocab.setdefault(r["column"], {})[r["value"]] = r["id"]
@@ -50,8 +52,9 @@ def q_price_medians(spark, sf_dir):
 
 def q_price_features(spark, sf_dir):
     """E1 + E3 + E5 + E6 + E8 = E9: prepared features of every product (fit on train)."""
-    state = fitted_state(spark, sf_dir)
-    return FE.prepare(products_split(spark, sf_dir), state)
+    products = stored(products_split(spark, sf_dir), "products")   # fit and result read it
+    state = FE.fit_price_features(products.where(F.col("split") == "train").drop("split"), LUXURY_TESTDATA)
+    return FE.prepare(products, state)
 
 
 def batch_request(spark, sf_dir) -> DataFrame:
@@ -80,6 +83,7 @@ def q_console_records(spark, sf_dir):
 
 QUERIES = {
     "retail_products": q_retail_products,
+    "retail_split_exact": q_retail_split_exact,
     "console_records": q_console_records,
     "price_vocabulary": q_price_vocabulary,
     "price_medians": q_price_medians,
@@ -143,6 +147,9 @@ med AS (
 
 SQL = {
     "retail_products": f"WITH {PRODUCTS} SELECT * FROM products",
+    "retail_split_exact": f"""WITH {A.RETAIL_PRODUCTS}
+SELECT product_id, CASE WHEN row_number() OVER (ORDER BY md5(product_id || '|{SPLIT_SEED}')) <= ceil(count(*) OVER () / 5.0) THEN 'test' ELSE 'train' END AS split
+FROM retail_products""",
     "price_vocabulary": f"WITH {VOCAB} SELECT col AS \"column\", value, id FROM vocab",
     "price_medians": f"WITH {ENCODED} " + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", {c} AS median FROM med" for c in _NUMERIC),

@@ -146,6 +146,14 @@ def q_demand_batch(spark, sf_dir):
     return score_demand(demand_request(spark, sf_dir, fact), demand_encoder(spark, sf_dir, fact))
 
 
+def q_demand_texts(spark, sf_dir):
+    """The three texts beside each forecast, counted."""
+    fact = stored(daily_sales(spark, sf_dir), "daily-sales")
+    scored = score_demand(demand_request(spark, sf_dir, fact), demand_encoder(spark, sf_dir, fact))
+    texts = scored.select("price_text", R.promo_text(F.col("is_promo")).alias("promo_text"), R.confidence_text(F.col("confidence")).alias("confidence_text"))
+    return texts.groupBy("price_text", "promo_text", "confidence_text").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def q_demand_batch_summary(spark, sf_dir):
     """A7 + A5 + F7: success counts and statistics of the valid forecasts."""
     return REP.rounded(demand_scoring.summary(q_demand_batch(spark, sf_dir)), "mean_forecast", "total_forecast")
@@ -161,6 +169,7 @@ QUERIES = {
     "price_insights": q_price_insights,
     "demand_batch_check": q_demand_batch_check,
     "demand_batch": q_demand_batch,
+    "demand_texts": q_demand_texts,
     "demand_batch_summary": q_demand_batch_summary,
 }
 
@@ -249,6 +258,12 @@ SELECT *, predicted_units_sold_rounded * sale_price AS expected_revenue,
        WHEN predicted_units_sold_rounded > lag_7 * CAST({R.INCREASE_FACTOR} AS DOUBLE) THEN 'increase' ELSE 'none' END AS trend,
   CASE WHEN sale_price > {R.TYPICAL_PRICE} THEN 'higher' ELSE 'lower' END AS price_text
 FROM rounded""",
+    "demand_texts": f"""WITH {DEMAND}
+SELECT CASE WHEN sale_price > {R.TYPICAL_PRICE} THEN 'higher' ELSE 'lower' END AS price_text,
+       CASE WHEN is_promo = 1 THEN '{R.PROMO_TEXT[1]}' ELSE '{R.PROMO_TEXT[0]}' END AS promo_text,
+       CASE WHEN lag_7 > {R.HIGH_CONFIDENCE_LAG} THEN '{R.CONFIDENCE_TEXT["High"]}' WHEN lag_7 > 0 THEN '{R.CONFIDENCE_TEXT["Medium"]}'
+            ELSE '{R.CONFIDENCE_TEXT["Low"]}' END AS confidence_text, count(*) AS rows
+FROM rounded GROUP BY ALL""",
     "demand_batch_summary": f"""WITH {DEMAND}
 SELECT count(*) AS total_rows, count(predicted_units_sold) AS successful,
        count(*) - count(predicted_units_sold) AS failed,

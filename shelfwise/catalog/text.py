@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..functions.porter import stem_tokens
+from ..functions.porter import stem_text
 from ..operators import report as REP
-from ..operators.split import hash_split, share_threshold, stratified_hash_split
+from ..operators.split import exact_split, hash_split, share_threshold, stratified_hash_split
+from ..operators.stemming import stemmed_content, vocabulary
 from ..operators.tfidf import tfidf
 from ..sources.adapters import reviews
 from ..sources.tables import table
@@ -65,7 +66,23 @@ def q_review_majority_accuracy(spark, sf_dir):
 
 def q_review_stems(spark, sf_dir):
     """X1 + X2 + X3 + X4: stemmed content of every document (rows-only check)."""
-    return clean_documents(spark, sf_dir).select("doc_id", X.join_tokens(stem_tokens(F.col("tokens"))).alias("stemmed_content"))
+    return clean_documents(spark, sf_dir).select("doc_id", stem_text(X.join_tokens(F.col("tokens"))).alias("stemmed_content"))
+
+
+def q_review_vocabulary(spark, sf_dir):
+    """How often each distinct token stands in the cleaned documents: what the stemmer sees, once each."""
+    return vocabulary(clean_documents(spark, sf_dir), "tokens")
+
+
+def q_review_stems_by_vocabulary(spark, sf_dir):
+    """X3 by the dictionary of distinct tokens, joined back: the rows of ``review_stems``."""
+    return stemmed_content(clean_documents(spark, sf_dir), "doc_id", "tokens", "stemmed_content")
+
+
+def q_review_split_exact(spark, sf_dir):
+    """E11 with exact sizes: a fifth of each class, the largest remainders first."""
+    r = reviews(spark, sf_dir).withColumn("target", R.relabel(F.col("target")))
+    return exact_split(r, "doc_id", TEST_SHARE, SENTIMENT_SEED, "target").select("doc_id", "target", "split")
 
 
 def q_document_tfidf(spark, sf_dir):
@@ -81,6 +98,9 @@ QUERIES = {
     "review_split": q_review_split,
     "review_majority_accuracy": q_review_majority_accuracy,
     "review_stems": q_review_stems,
+    "review_vocabulary": q_review_vocabulary,
+    "review_stems_by_vocabulary": q_review_stems_by_vocabulary,
+    "review_split_exact": q_review_split_exact,
     "document_tfidf": q_document_tfidf,
 }
 
@@ -116,6 +136,14 @@ SELECT target, count(*) AS count, count(*) / CAST((SELECT count(*) FROM labelled
        CASE WHEN target = 1 THEN 'Positive' ELSE 'Negative' END AS label
 FROM labelled GROUP BY target""",
     "review_split": f"WITH {LABELLED} SELECT split, target, count(*) AS rows FROM labelled GROUP BY split, target",
+    "review_vocabulary": f"WITH {TOKENS} SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM toks) GROUP BY token",
+    "review_split_exact": f"""WITH {LABELLED},
+share AS (SELECT target, n, wanted * n // sum(n) OVER () AS least, wanted * n % sum(n) OVER () AS rest, wanted
+          FROM (SELECT target, count(*) AS n, CAST(ceil(sum(count(*)) OVER () / 5) AS BIGINT) AS wanted FROM lab GROUP BY target)),
+quota AS (SELECT target, least + CASE WHEN row_number() OVER (ORDER BY rest DESC, target) <= wanted - sum(least) OVER () THEN 1 ELSE 0 END AS quota FROM share)
+SELECT doc_id, target, CASE WHEN row_number() OVER (PARTITION BY target ORDER BY md5(CAST(target AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR) || '|{SENTIMENT_SEED}')) <= quota
+                            THEN 'test' ELSE 'train' END AS split
+FROM lab JOIN quota USING (target)""",
     "review_majority_accuracy": f"""WITH {LABELLED},
 maj AS (SELECT target FROM labelled WHERE split = 'train' GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)
 SELECT split, count(*) AS rows, avg(CAST(target = (SELECT target FROM maj) AS DOUBLE)) AS accuracy,
