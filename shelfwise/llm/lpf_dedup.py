@@ -6,11 +6,11 @@ occurrence becomes a segment: the bytes of the windows that it is the anchor of.
 same anchor meet in one shard, which is then complete for these windows.
 
 In a shard, equal segments are told first: all but those of the least id go whole. Of the distinct
-segments that share an anchor, the suffixes that begin a window are put in order (by their first
-``window`` bytes, so the order is that of a suffix array up to there). A suffix's longest previous
-factor reaches ``window`` exactly if the nearest suffix before or after it in that order that
-belongs to a smaller id has the same ``window`` bytes; these neighbours are the previous and next
-smaller values of the ids along the order. Windows so found give the spans to remove.
+segments that share an anchor, the suffixes that begin a window are put in order, with the prefix that
+each shares with the one before (order and prefixes up to ``window`` bytes: longer ones count the
+same). The previous and the next smaller value of the ids along that order give each suffix its
+longest previous factor: the longest string that it shares with one of an earlier document. Where that
+reaches ``window`` bytes, the window goes.
 
 An anchor with very many occurrences (``repeats.CROWDED``) is split: its windows become segments of
 their own, dealt by their content, so that a passage in a third of all documents is spread, and what
@@ -99,7 +99,7 @@ def segments(window: int, gram: int, shards: int, buckets: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, ids, raw = R.unique(left)
-        tags, (known, crowded) = R.numbers(keys), R.known(right)
+        tags, (known, crowded) = R.tags(left, len(keys), buckets), R.known(right)
         got = []
         for slices, of, offset in sliced(raw, window) if len(known) else ():
             x = Bytes(slices, window, gram)
@@ -180,24 +180,67 @@ def later_copies(body: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndar
     return gone, order, starts
 
 
-def longest_before(suffix: list[np.ndarray], own: np.ndarray) -> np.ndarray:
-    """Whether each suffix's longest previous factor has the whole window, from its neighbours in suffix order.
+def common_prefixes(chunks: list[np.ndarray], offsets: list[int]) -> np.ndarray:
+    """How many leading bytes each suffix has in common with the one before it; 0 for the first.
 
-    ``suffix`` has the window's bytes as numbers, the first bytes first. Along the order, the nearest
-    smaller id before (after) a suffix has the same window exactly if the least id so far (from there
-    on) among the suffixes with that window is smaller.
+    ``chunks`` has eight bytes of each suffix from each offset on, as big-endian numbers.
     """
+    n = len(chunks[0])
+    out, open_ = np.zeros(n, np.uint8), np.ones(max(n - 1, 0), bool)
+    for x, at in zip(chunks, offsets):
+        other = x[1:] ^ x[:-1]
+        same = np.full(len(other), 8, np.uint8)
+        for k in range(8):  # a number below 256 ** k has 8 - k leading zero bytes
+            same -= other >= np.uint64(1 << 8 * k)
+        out[1:][open_] = at + same[open_]
+        open_ &= other == 0
+    return out
+
+
+def smaller_before(rank: np.ndarray, prefix: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each asked place, the common prefix with the nearest place before it that has a smaller rank; 0 without one.
+
+    Least ranks and prefixes of stretches of 1, 2, 4 ... places are tables; a place steps back over
+    stretches without a smaller rank, the long ones first, and keeps the least prefix on its way.
+    """
+    n = len(rank)
+    ranks, prefixes = [rank], [prefix]
+    while 2 << (len(ranks) - 1) <= n:
+        have = 1 << (len(ranks) - 1)
+        ranks.append(np.minimum(ranks[-1][:-have], ranks[-1][have:]))
+        prefixes.append(np.minimum(prefixes[-1][:-have], prefixes[-1][have:]))
+    own, at, low = rank[asked], asked.copy(), np.full(len(asked), 255, np.uint8)
+    for k in range(len(ranks) - 1, -1, -1):
+        to = at - (1 << k)
+        over = to >= 0
+        over[over] = ranks[k][to[over]] >= own[over]
+        low[over] = np.minimum(low[over], prefixes[k][to[over] + 1])
+        at[over] = to[over]
+    return np.where(at > 0, np.minimum(low, prefix[at]), 0).astype(np.uint8)
+
+
+def previous_factors(suffix: list[np.ndarray], offsets: list[int], own: np.ndarray, least: int = 0) -> np.ndarray:
+    """The longest previous factor of each suffix, up to the window: from its neighbours of smaller id in suffix order.
+
+    The order is that of the window's bytes. The longest prefix that a suffix shares with one of a
+    smaller id is the one it shares with the nearest such suffix before or after it, the previous or
+    next smaller value of the ids along the order; in between, prefixes only get shorter. No factor is
+    longer than the prefix that a suffix shares with its direct neighbours, so one of less than
+    ``least`` is not asked for, and counts as 0.
+    """
+    n = len(own)
+    if not n:
+        return np.zeros(0, np.uint8)
     order = np.lexsort(suffix[::-1])
-    same = np.ones(len(own) - 1, bool) if len(own) else np.zeros(0, bool)
-    for x in suffix:
-        same &= x[order][1:] == x[order][:-1]
-    rank = np.unique(own, return_inverse=True)[1].astype(np.int64)[order]
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(own) else np.zeros(0, np.int64)
-    n = len(own) + 1
-    previous = np.minimum.accumulate(rank - group * n) + group * n  # later groups lie lower: each begins anew
-    following = (np.minimum.accumulate((rank + group * n)[::-1]) - (group * n)[::-1])[::-1]
-    out = np.zeros(len(own), bool)
-    out[order] = (previous < rank) | (following < rank)
+    prefix = common_prefixes([x[order] for x in suffix], offsets)
+    rank = np.unique(own, return_inverse=True)[1].astype(np.int32)[order]
+    after = np.append(prefix[1:], np.uint8(0))
+    asked = np.flatnonzero(np.maximum(prefix, after) >= least)
+    before = smaller_before(rank, prefix, asked)
+    backward = np.append(np.uint8(0), prefix[1:][::-1])  # the same order from its end
+    behind = smaller_before(rank[::-1].copy(), backward, n - 1 - asked)
+    out = np.zeros(n, np.uint8)
+    out[order[asked]] = np.maximum(before, behind)
     return out
 
 
@@ -234,7 +277,7 @@ def factored(window: int, gram: int, shards: int, buckets: int):
             c = np.repeat(open_[piece], n[piece])
             j = np.repeat(lo[open_[piece]], n[piece]) + np.arange(n[piece].sum()) - np.repeat(np.cumsum(n[piece]) - n[piece], n[piece])
             at = c * width + j
-            hit = longest_before([loads(flat, at + o, ">") for o in offsets], least[c])
+            hit = previous_factors([loads(flat, at + o, ">") for o in offsets], offsets, least[c], window) >= window
             found_c.append(c[hit])
             found_j.append(j[hit])
         c, j = np.concatenate(found_c), np.concatenate(found_j)
@@ -281,11 +324,11 @@ def whole_groups(group: np.ndarray, n: np.ndarray, limit: int):
     yield slice(starts[at], len(group))
 
 
-def removed(window: int, digest: bool):
+def removed(window: int, digest: bool, buckets: int = 1):
     """Of a bucket: what is kept of each distinct text."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, ids, raw = R.unique(left)
-        tags = R.numbers(keys)
+        tags = R.tags(left, len(keys), buckets)
         tag, start, end = R.spans_of(right, "spans", "<u4", "<u4")
         lo, hi = np.searchsorted(tag, tags), np.searchsorted(tag, tags, "right")
         n_removed, n_spans, kept = [], [], []
@@ -321,12 +364,13 @@ def dedup_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: b
     docs = R.keyed(df, doc_id, text)
     ids = stored(docs.select("doc_id", "key", F.octet_length("text").alias("n")), "keys")
     buckets = R.buckets(ids)
-    known = R.recurring(docs, buckets, buckets, anchor_hashes(window, gram), within=False)
-    found = (R.distinct_texts(docs, buckets).groupBy("bucket").cogroup(known.groupBy("bucket"))
+    texts = R.distinct_texts(docs, buckets)         # one exchange for the three that read it
+    known = R.recurring(texts, buckets, anchor_hashes(window, gram), within=False)
+    found = (texts.groupBy("bucket").cogroup(known.groupBy("bucket"))
              .applyInArrow(segments(window, gram, buckets, buckets), "shard long, blob binary"))
     spans = found.groupBy("shard").applyInArrow(factored(window, gram, buckets, buckets), "bucket long, spans binary")
-    results = (R.distinct_texts(docs, buckets).groupBy("bucket").cogroup(spans.groupBy("bucket"))
-               .applyInArrow(removed(window, digest), f"key binary, least long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"))
+    results = (texts.groupBy("bucket").cogroup(spans.groupBy("bucket"))
+               .applyInArrow(removed(window, digest, buckets), f"key binary, least long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"))
     later = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= window)
     nothing = F.lit(hashlib.sha256(b"").hexdigest()) if digest else F.lit(bytearray())
     return ids.select("doc_id", "key").join(results, "key").select(

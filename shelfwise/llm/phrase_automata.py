@@ -7,8 +7,9 @@ short word sequences (``phrase`` words), the anchors of windows (see ``repeats``
 2. Each bucket of texts compiles the phrases that recur and that it has into Aho-Corasick automata of
    a bounded size (its shard of the dictionary), and streams all its texts through them to locate
    every occurrence. Windows whose anchor was located are candidates; their hashes (96 bits) are dealt
-   to shards and counted, which confirms the windows themselves.
-3. The places of confirmed windows go back to the buckets, where words are removed.
+   to shards, each once a bucket with its count, and added up there, which confirms the windows
+   themselves. Where they are stays with the bucket.
+3. Which of its windows are confirmed goes back to each bucket, where words are removed.
 
 Texts that are whole copies take part once; with ``window`` words or more all their words go.
 """
@@ -170,26 +171,46 @@ def spelled(numbers: np.ndarray, digits: int) -> str:
     return out.tobytes().decode("utf-32-le")
 
 
-def candidates(window: int, phrase: int, shards: int):
-    """Of a bucket: its candidate windows' hashes and places, by shard."""
+SENT = "kind int, to long, bucket long, blob binary"
+WINDOWS, PLACES = 0, 1
+
+
+def candidates(window: int, phrase: int, shards: int, buckets: int):
+    """Of a bucket: its distinct candidate windows by shard, each once with its count; and where they are, for the bucket itself."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, _, raw = R.unique(left)
-        tags, (known, _) = R.numbers(keys), R.known(right)
-        ids, blobs = [], []
+        tags, (known, _) = R.tags(left, len(keys), buckets), R.known(right)
+        bucket = left.column("bucket")[0].as_py() if len(left) else 0
+        got = []
         if len(known):
             parts = list(R.pieces([len(t) for t in raw]))
             for part, (words, first, last) in zip(parts, _aligned(located([Words(raw[p]) for p in parts], known, window, phrase), len(parts))):
                 at = R.ranges(first, last)
                 if not len(at):
                     continue
-                h = sequences(words.hash, window)[at]
-                more = (sequences(R.mixed(words.hash ^ R.MIX1), window)[at] >> np.uint64(32)).astype("<u4")
                 doc = words.doc[at]
-                tag, place = tags[part][doc], (at - words.first[doc]).astype("<u4")
-                for s, of in R.split((more % np.uint32(shards)).astype(np.int64)):
-                    ids.append(s)
-                    blobs.append(R.tagged(tag[of], h=h[of].astype("<u8"), more=more[of], place=place[of]))
-        return pa.table({"shard": pa.array(ids, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+                got.append((sequences(words.hash, window)[at], (sequences(R.mixed(words.hash ^ R.MIX1), window)[at] >> np.uint64(32)).astype("<u4"),
+                            tags[part][doc], (at - words.first[doc]).astype("<u4")))
+        kind, to, blobs = [], [], []
+        if got:
+            h, more, tag, place = (np.concatenate([g[i] for g in got]) for i in range(4))
+            del got
+            shard = (more % np.uint32(shards)).astype(np.int64)
+            order = np.lexsort((more, h, shard))
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (more[order][1:] != more[order][:-1]) | (shard[order][1:] != shard[order][:-1])])
+            number = np.empty(len(h), np.int64)
+            number[order] = np.cumsum(new) - 1      # of each place's window, in the order of shards
+            first = order[new]
+            n = np.diff(np.append(np.flatnonzero(new), len(order)))
+            for s, of in R.split(shard[first]):
+                kind.append(WINDOWS)
+                to.append(s)
+                blobs.append(R.pack(h=h[first[of]].astype("<u8"), more=more[first[of]], n=n[of].astype("<u4")))
+            by = np.lexsort((place, tag))
+            kind.append(PLACES)
+            to.append(-1)
+            blobs.append(R.tagged(tag[by], place=place[by], number=number[by].astype("<u4")))
+        return pa.table({"kind": pa.array(kind, pa.int32()), "to": pa.array(to, pa.int64()), "bucket": pa.array([bucket] * len(to), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -199,44 +220,47 @@ def _aligned(found, n: int):
     return got or [(None, np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
 
 
-def confirmed(buckets: int):
-    """Of a shard: the places of windows that occur twice or more, by bucket."""
-    def run(table: pa.Table) -> pa.Table:
-        got = [R.opened(x, "<u8", "<u4", "<u4") for x in table.column("blob").to_pylist()]
-        tag, h, more, place = (np.concatenate([x[i] for x in got]) for i in range(4))
-        del got
-        order = np.lexsort((more, h))
-        h, more = h[order], more[order]
-        same = (h[1:] == h[:-1]) & (more[1:] == more[:-1])
-        twice = np.zeros(len(h), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        of = order[twice]
-        tag, place = tag[of], place[of]
-        ids, blobs = [], []
-        for bucket, at in R.split(R.bucket_of(tag, buckets)):
-            at = at[np.lexsort((place[at], tag[at]))]
-            ids.append(bucket)
-            blobs.append(R.tagged(tag[at], place=place[at]))
-        return pa.table({"bucket": pa.array(ids, pa.int64()), "places": pa.array(blobs, pa.binary())})
-
-    return run
-
-
-def removed(window: int, digest: bool):
+def confirmed(table: pa.Table) -> pa.Table:
+    """Of a shard: for each bucket, which of the windows it sent occur twice or more anywhere, in the order sent."""
+    got = [R.unpack(x, "<u8", "<u4", "<u4") for x in table.column("blob").to_pylist()]
+    h, more, n = (np.concatenate([x[i] for x in got]) for i in range(3))
+    ends = np.cumsum([len(x[0]) for x in got])
+    del got
+    order = np.lexsort((more, h))
+    h, more = h[order], more[order]
+    group = np.cumsum(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])])) - 1
+    often = np.empty(len(order), bool)
+    often[order] = (np.bincount(group, weights=n[order]) > 1)[group]
+    return pa.table({"kind": pa.array([WINDOWS] * len(ends), pa.int32()), "to": table.column("to"), "bucket": table.column("bucket"),
+                     "blob": pa.array([R.pack(often=x.astype(np.uint8)) for x in np.split(often, ends[:-1])], pa.binary())})
+
+
+def confirmed_places(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of texts and first words of the confirmed windows of a bucket, in order."""
+    kind, to, blobs = (table.column(c).to_pylist() for c in ("kind", "to", "blob"))
+    masks = {t: R.unpack(x, np.uint8)[0] for k, t, x in zip(kind, to, blobs) if k == WINDOWS}
+    own = [R.opened(x, "<u4", "<u4") for k, x in zip(kind, blobs) if k == PLACES]
+    if not own or not masks:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    tag, place, number = own[0]
+    often = np.concatenate([masks[t] for t in sorted(masks)]) > 0     # windows are numbered in the order of shards
+    hit = often[number]
+    return tag[hit], place[hit].astype(np.int64)
+
+
+def removed(window: int, digest: bool, buckets: int):
     """Of a bucket: each distinct text's counts and what is kept of it."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, ids, raw = R.unique(left)
-        tags = R.numbers(keys)
-        tag, place = R.spans_of(right, "places", "<u4")
+        tags = R.tags(left, len(keys), buckets)
+        tag, place = confirmed_places(right)
         lo, hi = np.searchsorted(tag, tags), np.searchsorted(tag, tags, "right")
         n_words, n_removed, kept = [], [], []
         for t, a, b in zip(raw, lo.tolist(), hi.tolist()):
             words = t.split()
             n_words.append(len(words))
             if a < b:
-                start = place[a:b].astype(np.int64)
-                gone = R.covered(len(words), start, start + window)
+                gone = R.covered(len(words), place[a:b], place[a:b] + window)
                 n_removed.append(int(gone.sum()))
                 words = [words[i] for i in np.flatnonzero(~gone)]
             else:
@@ -261,12 +285,14 @@ def dedup_phrases(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, dig
     docs = R.keyed(df, doc_id, text)
     ids = stored(docs.select(F.when(F.col("doc_id") != int(R.NO_ID), F.col("doc_id")).alias("doc_id"), "key", F.octet_length("text").alias("n")), "keys")
     buckets = R.buckets(ids)
-    known = R.recurring(docs, buckets, buckets, anchor_hashes(window, phrase), within=True)
-    found = (R.distinct_texts(docs, buckets).groupBy("bucket").cogroup(known.groupBy("bucket"))
-             .applyInArrow(candidates(window, phrase, buckets), "shard long, blob binary"))
-    places = found.groupBy("shard").applyInArrow(confirmed(buckets), "bucket long, places binary")
-    results = (R.distinct_texts(docs, buckets).groupBy("bucket").cogroup(places.groupBy("bucket"))
-               .applyInArrow(removed(window, digest), "key binary, n_words long, n_removed long, kept string"))
+    texts = R.distinct_texts(docs, buckets)         # one exchange for the three that read it
+    known = R.recurring(texts, buckets, anchor_hashes(window, phrase), within=True)
+    found = stored(texts.groupBy("bucket").cogroup(known.groupBy("bucket"))
+                   .applyInArrow(candidates(window, phrase, buckets, buckets), SENT), "candidates")
+    masks = found.where(F.col("kind") == WINDOWS).groupBy("to").applyInArrow(confirmed, SENT)
+    back = masks.union(found.where(F.col("kind") == PLACES))
+    results = (texts.groupBy("bucket").cogroup(back.groupBy("bucket"))
+               .applyInArrow(removed(window, digest, buckets), "key binary, n_words long, n_removed long, kept string"))
     results = results.join(ids.groupBy("key").agg(F.count("*").alias("copies")), "key")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest() if digest else ""

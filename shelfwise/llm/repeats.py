@@ -6,11 +6,13 @@ equal places, and neighbouring windows mostly share one, so anchors are about ``
 of all places. Three exchanges follow, each of small packed arrays or of texts:
 
 * ``distinct_texts`` deals the texts, equal ones once, to buckets of a bounded size;
-* ``recurring`` deals the anchors' hashes to shards, keeps those that occur in two different texts,
-  or twice in one if asked for, and sends them back to the buckets that have them;
+* ``recurring`` deals the hashes of each bucket's anchors to shards, a hash once a bucket with its
+  count, keeps those that occur in two different texts, or twice in one if asked for, and sends them
+  back to the buckets that have them. So an anchor in a third of all texts is a row for each bucket;
 * the operator compares what surrounds the recurring anchors, exactly.
 
-Texts are told apart by their MD5, so whole copies meet in one bucket and take part once.
+Texts are told apart by their MD5, so whole copies meet in one bucket and take part once. Within a
+bucket a text's number is its place in the order of these.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    """``key``: the first 8 bytes of the texts' keys as numbers."""
+    """``key``: the first 8 bytes of the texts' keys as numbers, or ``tags``."""
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
@@ -104,7 +106,14 @@ def unique(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[bytes]]:
         if t is not None:
             text[k] = t
         least[k] = min(d, least.get(k, d))
-    return list(text), np.array([least[k] for k in text], np.int64), list(text.values())
+    keys = sorted(text)
+    return keys, np.array([least[k] for k in keys], np.int64), [text[k] for k in keys]
+
+
+def tags(table: pa.Table, n: int, buckets: int) -> np.ndarray:
+    """A number for each of a bucket's n distinct texts, in the order of ``unique``; ``bucket_of`` tells the bucket from it."""
+    bucket = table.column("bucket")[0].as_py() if "bucket" in table.column_names and len(table) else 0
+    return np.arange(n, dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
 
 
 def pieces(lengths: list[int]):
@@ -174,51 +183,54 @@ def long(h: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel() >> np.uint64(24)
 
 
-def recurring(docs: DataFrame, shards: int, buckets: int, hashes, within: bool) -> DataFrame:
+def recurring(texts: DataFrame, shards: int, hashes, within: bool) -> DataFrame:
     """``bucket, hashes``: packed hashes (40 bits) that occur in two different texts, or twice if ``within``.
 
-    ``hashes(texts)`` gives the anchors' hashes of a list of texts, and for each the number of its text.
+    ``texts`` are ``distinct_texts``; ``hashes(texts)`` gives the anchors' hashes of a list of texts,
+    and for each the number of its text.
     """
-    def send(batches):
-        for b in batches:
-            raw = b.column("text").cast(pa.binary()).to_pylist()
-            key = numbers(b.column("key").to_pylist())
-            for part in pieces([len(t) for t in raw]):
-                h, doc = hashes(raw[part])
-                if not len(h):
-                    continue
-                tag = key[part][doc]
-                ids, blobs = [], []
-                for s, at in split((h % np.uint64(shards)).astype(np.int64)):
-                    ids.append(s)
-                    blobs.append(tagged(tag[at], h=short(h[at]).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+    def send(table: pa.Table) -> pa.Table:
+        _, _, raw = unique(table)
+        h, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for part in pieces([len(t) for t in raw]):
+            own, of = hashes(raw[part])
+            h.append(own)
+            doc.append(of + part.start)
+        h, doc = np.concatenate(h), np.concatenate(doc)
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(h)) - 1
+        n = last - first + 1
+        twice = (n > 1) if within else doc[first] != doc[last]
+        h = h[first]
+        ids, blobs = [], []
+        for s, at in split((h % np.uint64(shards)).astype(np.int64)):
+            ids.append(s)
+            blobs.append(pack(h=short(h[at]).ravel(), n=n[at].astype("<u4"), twice=twice[at].astype(np.uint8)))
+        return pa.table({"shard": pa.array(ids, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(ids), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def find(table: pa.Table) -> pa.Table:
-        got = [opened(x, np.uint8) for x in table.column("blob").to_pylist()]
-        tag = np.concatenate([x[0] for x in got])
-        h = np.concatenate([long(x[1]) for x in got])
+        got = [unpack(x, np.uint8, "<u4", np.uint8) for x in table.column("blob").to_pylist()]
+        h = np.concatenate([long(x[0]) for x in got])
+        n, twice = (np.concatenate([x[i] for x in got]) for i in (1, 2))
+        bucket = np.repeat(table.column("bucket").to_numpy(), [len(x[1]) for x in got])
         del got
-        order = np.lexsort((tag, h))
-        h, tag = h[order], tag[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        group = np.cumsum(new) - 1
-        if within:
-            often = np.bincount(group) > 1
-        else:
-            often = np.zeros(group[-1] + 1, bool)
-            often[group[1:][~new[1:] & (tag[1:] != tag[:-1])]] = True
-        crowded = (np.bincount(group) > CROWDED)[group]
-        take = often[group] & np.concatenate([[True], new[1:] | (tag[1:] != tag[:-1])])
-        h, crowded, to = h[take], crowded[take], bucket_of(tag[take], buckets)
+        order = np.argsort(h, kind="stable")
+        h, n, twice, bucket = h[order], n[order], twice[order], bucket[order]
+        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+        often = (np.bincount(group) > 1) | (np.bincount(group, weights=twice) > 0)
+        crowded = (np.bincount(group, weights=n) > CROWDED)[group]
+        take = often[group]
+        h, crowded, bucket = h[take], crowded[take], bucket[take]
         ids, blobs = [], []
-        for bucket, at in split(to):
+        for to, at in split(bucket):
             own, first = np.unique(h[at], return_index=True)
-            ids.append(bucket)
+            ids.append(to)
             blobs.append(pack(h=own, crowded=crowded[at][first].astype(np.uint8)))
         return pa.table({"bucket": pa.array(ids, pa.int64()), "hashes": pa.array(blobs, pa.binary())})
 
-    sent = docs.select("key", "text").mapInArrow(send, "shard long, blob binary")
+    sent = texts.groupBy("bucket").applyInArrow(send, "shard long, bucket long, blob binary")
     return sent.groupBy("shard").applyInArrow(find, "bucket long, hashes binary")
 
 

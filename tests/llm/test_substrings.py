@@ -62,6 +62,25 @@ def in_one_bucket(rows, window, gram, crowded):
             for (d, _), o in zip(rows, (out[k] for k in keys))]
 
 
+@pytest.mark.parametrize("letters,window", [(1, 16), (2, 16), (3, 21), (2, 50)])
+def test_previous_factors_by_comparing_all_suffixes(letters, window):
+    """Lengths from previous and next smaller ids, against the longest common prefix with every suffix of a smaller id."""
+    rng = np.random.default_rng(letters * window)
+    offsets = [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])]
+    for n in (0, 1, 2, 3, 40, 300):
+        text = rng.integers(97, 97 + letters, n + window + 8).astype(np.uint8)
+        at = rng.permutation(n + 8)[:n]
+        text[at[: n // 3, None] + np.arange(window)] = text[:window] if n > 9 else text[at[: n // 3, None] + np.arange(window)]   # many equal windows
+        own = rng.integers(0, max(1, n // 4) + 1, n)
+        words = [text[p:p + window].tobytes() for p in at]
+        common = lambda a, b: next((k for k in range(window) if a[k] != b[k]), window)
+        want = [max((common(words[i], words[j]) for j in range(n) if own[j] < own[i]), default=0) for i in range(n)]
+        suffix = [lpf_dedup.loads(text, at + o, ">") for o in offsets]
+        assert lpf_dedup.previous_factors(suffix, offsets, own).tolist() == want
+        for least in (5, window):
+            assert (lpf_dedup.previous_factors(suffix, offsets, own, least) >= least).tolist() == [x >= least for x in want]
+
+
 @pytest.mark.parametrize("window,gram", [(50, 16), (30, 9)])
 def test_slices_and_crowded_anchors_change_nothing(monkeypatch, window, gram):
     """Whatever the pieces, and whether an anchor's windows go together or each for itself."""
