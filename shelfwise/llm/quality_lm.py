@@ -39,10 +39,12 @@ SLICE = 1 << 20
 DENSE = 1 << 23
 UNSEEN = 1 << 17  # characters that might be: the order below the first gives each the same share
 BINS = 1000  # of the log-perplexity, for one unit
-#: Of the distance between the quantiles: added on both sides, and times the root of one over the number of documents.
+#: Without bad labels, of the distance between the quantiles: added on both sides, and times the root of one over the number of documents.
 ALLOWANCE, FEW = 0.1, 4.0
-#: Held-out trusted rows, and labelled bad ones, from which on a language has an upper bound of its own.
-LEAST = 50
+#: Shares of the held-out trusted rows that a bound may cut off; which one, for all languages, the labels say. 0 is no bound.
+LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.15, 0.2)
+#: A language's quantile is drawn to that of all languages as if by so many more rows.
+PRIOR = 20
 MOST_BINS = 30 * BINS  # a log-perplexity over 30 is out of any bounds
 
 
@@ -259,9 +261,12 @@ def classify(df: DataFrame, labels: DataFrame, upper: float = 0.999, lower: floa
     """``doc_id, key, lang, n_chars, perplexity, low, high, kept`` for each input row; ``key`` is the MD5 of its text.
 
     Kept is a document whose perplexity lies within its language's bounds: above is noise, below is
-    the same again and again. The upper one tells the held-out trusted documents from those labelled
-    as bad; the lower one, and both without bad ones, are quantiles ``lower`` and ``upper`` of the
-    held-out trusted ones, widened. Languages with few labelled rows take the upper one of all. Each
+    the same again and again. Bounds are quantiles of the language's held-out trusted documents. Which
+    quantiles, the same for all languages, the labels say: those with the least share of held-out
+    trusted documents outside and of bad ones inside (``LEVELS``; a side on which no quantile tells
+    them apart has no bound). Few documents say little about a quantile, so a language's is drawn to
+    that of all languages, as if by ``PRIOR`` more. Without bad labels the quantiles are ``lower`` and
+    ``upper``, widened. Each
     log-perplexity is first drawn to the mean of all trusted ones as by ``settle`` characters more,
     so that a few characters say little. Languages without held-out trusted documents take the
     quantiles of all; without any, everything is kept. A null or empty text is scored by its end mark
@@ -280,48 +285,69 @@ def classify(df: DataFrame, labels: DataFrame, upper: float = 0.999, lower: floa
                              F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("kept"))
     score = (F.col("nll") + settle * mean) / (F.col("n_chars") + 1 + settle)
     bins = mine.select("lang", F.least(F.floor(score * BINS), F.lit(MOST_BINS)).alias("bin"))
-    of_lang, (low, high) = bounds(bins, lower, upper)
     bad = (labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).alias("quality")).where("doc_id is not null")
            .groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality < 1").select("doc_id"))
     bad = scores.join(bad, "doc_id", "left_semi").select("lang", F.least(F.floor(score * BINS), F.lit(MOST_BINS)).alias("bin"))
-    tops, top = upper_bounds(bins, bad)
-    of_lang = of_lang.join(tops, "lang", "left").select("lang", "low", F.coalesce("top", F.lit(top).cast("double"), "high").alias("high"))
-    high = high if top is None else top
+    counts = stored(counted(bins, bad), "bins")
+    if counts.where("bad > 0").isEmpty():
+        of_lang, (low, high) = bounds(bins, lower, upper)
+    else:
+        (highs, high), (lows, low) = calibrated(counts, below=False), calibrated(counts, below=True)
+        of_lang = highs.withColumnRenamed("bound", "high").join(lows.withColumnRenamed("bound", "low"), "lang")
     # a language may hold most documents: its rows are dealt over all tasks, and its bounds go with each part
     parts = shuffle_parts(df.sparkSession)
     of_lang = of_lang.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     return (scores.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int")).join(of_lang, ["lang", "part"], "left")
             .select("doc_id", "key", "lang", "n_chars", F.exp(F.col("nll") / (F.col("n_chars") + 1)).alias("perplexity"),
-                    (F.coalesce("low", F.lit(low)) / BINS).alias("low"), (F.coalesce("high", F.lit(high)) / BINS).alias("high"), score.alias("score"))
+                    (F.coalesce("low", F.lit(low).cast("double")) / BINS).alias("low"), (F.coalesce("high", F.lit(high).cast("double")) / BINS).alias("high"), score.alias("score"))
             .select("doc_id", "key", "lang", "n_chars", "perplexity", F.exp("low").alias("low"), F.exp("high").alias("high"),
                     F.col("score").between(F.col("low"), F.col("high")).alias("kept")))
 
 
-def upper_bounds(good: DataFrame, bad: DataFrame, least: int = LEAST) -> tuple[DataFrame, float | None]:
-    """``lang, top`` in bins, for languages with ``least`` rows of both kinds; and that of all languages, None without both.
+def counted(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """``lang, bin, good, bad``: how many held-out trusted and bad rows. A language is ``MOST_BINS`` rows at most, whatever it holds."""
+    return (good.select("lang", "bin", F.lit(1).alias("good")).union(bad.select("lang", "bin", F.lit(0)))
+            .groupBy("lang", "bin").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
 
-    The bound has the least sum of the share of good rows above and of bad rows below, and lies
-    half-way to the next bin with rows.
+
+def quantile(counts: list[tuple[int, int]], share: float) -> int:
+    """The first bin up to which at least ``share`` of the rows lie; ``counts`` are bins and rows, in order."""
+    total, under = sum(n for _, n in counts), 0
+    for bin_, n in counts:
+        under += n
+        if n and under >= share * total:
+            return bin_
+    return counts[-1][0]
+
+
+def calibrated(counts: DataFrame, below: bool) -> tuple[DataFrame, float]:
+    """``lang, bound`` in bins, and the bound of all languages: quantiles at the level that tells good rows from bad ones best.
+
+    ``counts`` are those of ``counted``, with good and bad rows. A level is the share of good rows that
+    it cuts off below (or above) its bound. What counts is the share of bad rows beyond the bound less
+    that of good ones; of equal levels the least cuts.
     """
-    counts = (good.select("lang", "bin", F.lit(1).alias("good")).union(bad.select("lang", "bin", F.lit(0)))
-              .groupBy("lang", "bin").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
-    w = Window.partitionBy("lang")
-    upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    table = (counts.select("lang", "bin", F.sum("good").over(w).alias("g"), F.sum("bad").over(w).alias("b"), F.sum("good").over(upto).alias("under"),
-                           F.sum("bad").over(upto).alias("stay"), F.lead("bin").over(w.orderBy("bin")).alias("next"))
-             .where((F.col("g") >= least) & (F.col("b") >= least))
-             .groupBy("lang").agg(F.min_by((F.col("bin") + 1 + F.coalesce("next", F.col("bin") + 1)) / 2,
-                                           F.struct(F.col("stay") / F.col("b") - F.col("under") / F.col("g"), -F.col("bin"))).alias("top")))
     whole = sorted((r["bin"], r["good"], r["bad"]) for r in counts.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect())
-    g, b = sum(x[1] for x in whole), sum(x[2] for x in whole)
-    if not g or not b:
-        return table, None
-    best, under, stay = None, 0, 0
-    for k, (bin_, n_good, n_bad) in enumerate(whole):
-        under, stay = under + n_good, stay + n_bad
-        after = whole[k + 1][0] if k + 1 < len(whole) else bin_ + 1
-        best = min(best or (math.inf,), (stay / b - under / g, -bin_, (bin_ + 1 + after) / 2))
-    return table, best[2]
+    n_good, n_bad = sum(x[1] for x in whole), sum(x[2] for x in whole)
+    none = -math.inf if below else math.inf
+    # an upper bound is the upper edge of its bin
+    edge = 0 if below else 1
+    shares = [level if below else 1 - level for level in LEVELS]
+    of_all = [float(quantile([(b, g) for b, g, _ in whole], s) + edge) if level else none for level, s in zip(LEVELS, shares)]
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(level > 0).alias("cuts"), F.lit(s).alias("share"), F.lit(q).alias("all"))
+                                for k, (level, s, q) in enumerate(zip(LEVELS, shares, of_all))]))
+    w = Window.partitionBy("lang")
+    under = counts.where("good > 0").select("lang", "bin", F.sum("good").over(w.orderBy("bin")).alias("under"), F.sum("good").over(w).alias("n"))
+    own = (under.withColumn("step", steps).select("lang", "bin", "under", "n", "step.*").where(F.col("under") >= F.col("share") * F.col("n"))
+           .groupBy("lang", "level", "cuts", "all").agg(F.min("bin").alias("q"), F.first("n").alias("n"))
+           .select("lang", "level", F.when(F.col("cuts"), (F.col("n") * (F.col("q") + edge) + PRIOR * F.col("all")) / (F.col("n") + PRIOR)).otherwise(none).alias("bound")))
+    own = stored(own, "bounds")
+    each = counts.withColumn("step", steps).select("lang", "bin", "good", "bad", "step.level", "step.all").join(own, ["lang", "level"], "left")
+    middle, bound = F.col("bin") + 0.5, F.coalesce("bound", "all")
+    out = middle < bound if below else middle > bound
+    gain = {r["level"]: r["gain"] for r in each.where(out).groupBy("level").agg((F.sum("bad") / n_bad - F.sum("good") / n_good).alias("gain")).collect()}
+    best = max(range(len(LEVELS)), key=lambda k: (round(gain.get(k, 0.0), 12), -LEVELS[k]))
+    return own.where(F.col("level") == best).select("lang", "bound"), of_all[best]
 
 
 def bounds(bins: DataFrame, lower: float, upper: float) -> tuple[DataFrame, tuple[float, float]]:

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from llm_helpers import WORD, awkward_texts, frame, same, syllables
 
 from shelfwise.llm import quality_lm as Q, quality_rules as R
@@ -120,15 +121,46 @@ def test_quantile_bounds(spark):
     assert whole[0] < 2 and whole[1] > 95
 
 
-def test_upper_bounds_tell_good_from_bad(spark):
-    make = lambda rows: spark.createDataFrame(rows, "lang string, bin long")
-    good = [("en", 100 + k) for k in range(99)] + [("en", 900)] + [("de", 300 + k) for k in range(9)]  # one outlier
-    bad = [("en", 301 + 10 * k) for k in range(100)] + [("de", 500)]
-    table, whole = Q.upper_bounds(make(good), make(bad), 50)
-    assert [(r.lang, r.top) for r in table.collect()] == [("en", (199 + 301) / 2)]
-    error = lambda x: sum(v >= x for _, v in good) / len(good) + sum(v < x for _, v in bad) / len(bad)
-    assert abs(error(whole) - min(map(error, range(90, 1400)))) < 1e-9
-    assert Q.upper_bounds(make(good), make([]))[1] is None
+def plain_bounds(rows, below):
+    """The level and the bounds by trying all levels on plain lists of (lang, bin, good)."""
+    good = [(lang, b) for lang, b, g in rows if g]
+    bad = [(lang, b) for lang, b, g in rows if not g]
+    none = -np.inf if below else np.inf
+
+    def quantile(values, level):
+        values, share = sorted(values), level if below else 1 - level
+        return next(v for k, v in enumerate(values) if k + 1 >= share * len(values)) + (0 if below else 1)
+
+    def at(level):
+        if not level:
+            return {lang: none for lang, _, _ in rows}, none
+        whole = quantile([b for _, b in good], level)
+        out = {}
+        for lang in {lang for lang, _, _ in rows}:
+            own = [b for x, b in good if x == lang]
+            out[lang] = (len(own) * quantile(own, level) + Q.PRIOR * whole) / (len(own) + Q.PRIOR) if own else whole
+        return out, whole
+
+    def gain(level):
+        bound, _ = at(level)
+        share = lambda part: sum((b + 0.5 < bound[lang]) if below else (b + 0.5 > bound[lang]) for lang, b in part) / len(part)
+        return share(bad) - share(good)
+
+    level = max(Q.LEVELS, key=lambda x: (round(gain(x), 12), -x))
+    return level, at(level)
+
+
+@pytest.mark.parametrize("below", [False, True])
+@pytest.mark.parametrize("shift", [0, 60, 400])
+def test_bounds_are_quantiles_at_the_level_that_the_labels_say(spark, below, shift):
+    rng = np.random.default_rng(shift)
+    rows = [(str(lang), int(b), True) for lang, n, mean in (("en", 300, 2000), ("de", 12, 2100), ("fr", 1, 1900)) for b in rng.normal(mean, 50, n)]
+    rows += [(str(lang), int(b), False) for lang, n in (("en", 40), ("fr", 9), ("xx", 5)) for b in rng.normal(2000 + (-shift if below else shift), 60, n)]
+    make = lambda kind: spark.createDataFrame([(lang, b) for lang, b, g in rows if g == kind], "lang string, bin long")
+    level, (want, whole) = plain_bounds(rows, below)
+    table, got = Q.calibrated(Q.counted(make(True), make(False)), below)
+    assert got == whole and {r.lang: r.bound for r in table.collect()} == pytest.approx({k: v for k, v in want.items() if k != "xx"})
+    assert (level > 0) == (shift > 0) or shift == 0
 
 
 def test_half_noisy_texts_go(spark):
