@@ -75,3 +75,23 @@ def test_stages_against_their_operators_and_brute_force(spark, tmp_dir):
 def test_empty_tables_go_through(spark, tmp_dir):
     tables(spark, tmp_dir, [], [], [])
     assert corpus_pipeline.run(spark, tmp_dir).count() == 0
+
+
+def test_rows_of_one_id_and_text_and_clashing_columns(spark, tmp_dir):
+    """Of rows that differ in other columns only the least stays, however they are dealt; columns named like the stages' own come back."""
+    rng = random.Random(2)
+    text = syllables(rng, 60)
+    rows = [(1, text, lang, source, 7, f"own {lang}", "mine", {"a": lang}) for lang, source in (("en", "z"), ("de", "b"), ("de", "a"), (None, "q"))]
+    rows += [(5, syllables(rng, 50), "en", "s", 7, "x", "y", {"b": "c"}), (None, syllables(rng, 40), "en", "s", 7, "x", "y", None)]
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
+    spark.createDataFrame([(1, syllables(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __key string, __lang string, more map<string,string>")
+    for parts in (1, 5):
+        out = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), tmp_dir)
+        assert out.columns == docs.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(got) == {1, 5, None} and (got[1].lang, got[1].source, got[1]["__key"], got[1].more) == (None, "q", "own None", {"a": None})
+    for stage in (corpus_pipeline.quality, corpus_pipeline.decontamination, corpus_pipeline.secrets):
+        out = stage(spark, docs, tmp_dir)
+        assert out.columns == docs.columns and {r["__key"] for r in out.collect()} <= {r[5] for r in rows}
+    assert corpus_pipeline.secrets(spark, docs.drop("n_chars"), tmp_dir).count() == 6
