@@ -10,46 +10,68 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import lsi_decontamination, quality_lm, secret_scan, sentencepiece_bpe, simhash_dedup
 from shelfwise.llm.catalog import vocabulary
-from shelfwise.session import scratch_path
+from shelfwise.session import scratch_path, stored
 from shelfwise.sources.tables import table
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or as much longer that no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _key() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model does not reject."""
+    key, lang = _free(docs, "__key"), _free(docs, "__lang")
     verdicts = quality_lm.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = verdicts.where(~F.col("kept")).select(F.col("key").alias("__key"), F.col("lang").alias("__lang")).distinct()
-    rows = _keyed(docs).withColumn("__lang", F.coalesce("lang", F.lit("")))
-    return rows.join(rejected, ["__key", "__lang"], "left_anti").select(*docs.columns)
+    rejected = verdicts.where(~F.col("kept")).select(F.col("key").alias(key), F.col("lang").alias(lang)).distinct()
+    # a written table beside the rows, so Spark can split the rows of a text with very many copies
+    rejected = stored(rejected, "rejected")
+    rows = docs.withColumn(key, _key()).withColumn(lang, F.coalesce("lang", F.lit("")))
+    return rows.join(rejected, [key, lang], "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: the one with the least id."""
+    """One document of each group of SimHash near-duplicates: the one with the least id.
+
+    Of several rows with this id and text, the least by their other columns in
+    their order (a map column by its JSON) stays.
+    """
     found = simhash_dedup.near_duplicates(docs, words=4, most=4)
-    stay = simhash_dedup.representatives(found).select(F.col("doc_id").alias("__id"), F.col("key").alias("__own"))
-    rows = _keyed(docs)
-    rows = rows.join(stay, (F.col("__key") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    own, at = _free(docs, "__own"), _free(docs, "__id")
+    stay = stored(simhash_dedup.representatives(found).select(F.col("doc_id").alias(at), F.col("key").alias(own)), "representatives")
+    key, row = _free(docs, "__key"), _free(docs, "__row")
+    rows = docs.withColumn(key, _key())
+    rows = rows.join(stay, (F.col(key) == F.col(own)) & F.col("doc_id").eqNullSafe(F.col(at)), "left_semi")
+    order = F.struct(*[F.to_json(c.name) if "map" in c.dataType.simpleString() else F.col(c.name) for c in docs.schema if c.name not in ("doc_id", "text")], F.lit(0))
+    first = rows.groupBy("doc_id", key).agg(F.min_by(F.struct(*docs.columns), order).alias(row))
+    return first.select(f"{row}.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that give no benchmark item away."""
+    key = _free(docs, "__key")
     found = lsi_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.select(F.col("key").alias("__key")).distinct()
-    return _keyed(docs).join(leaks, "__key", "left_anti").select(*docs.columns)
+    leaks = stored(found.select(F.col("key").alias(key)).distinct(), "leaks")
+    return docs.withColumn(key, _key()).join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
+    """All documents, with a mark in place of each secret; ``n_chars``, if there is such a column, counts the new text."""
     clean = secret_scan.redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
 
 
