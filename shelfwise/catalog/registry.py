@@ -5,9 +5,9 @@ from __future__ import annotations
 import functools
 
 from ..session import ship_package
-from . import daily, metrics, models, products, scoring, text
+from . import daily, files, metrics, models, products, scoring, text
 
-_MODULES = [daily, products, scoring, metrics, text, models]
+_MODULES = [daily, products, scoring, metrics, text, files, models]
 
 
 def _shipped(fn):
