@@ -39,20 +39,10 @@ def is_bracketed(c: Column) -> Column:
 
 
 def bracket_number(c: Column) -> Column:
-    """The first number inside a bracketed value, '' when there is none."""
+    """The first number inside a bracketed value, '' when there is none (then the value stays)."""
     return F.regexp_extract(c, NUMBER_PATTERN, 0)
 
 
-def is_repaired(trimmed: Column) -> Column:
-    """C3 predicate: a bracketed value that a number could be pulled out of."""
-    return is_bracketed(trimmed) & (bracket_number(trimmed) != F.lit(""))
-
-
-def unbracket(trimmed: Column) -> Column:
-    """Bracketed value -> first number inside; unchanged when no number."""
-    return F.when(is_repaired(trimmed), bracket_number(trimmed)).otherwise(trimmed)
-
-
 def drop_currency(c: Column) -> Column:
     """C4: remove currency symbols."""
     return F.regexp_replace(c, CURRENCY_PATTERN, "")
@@ -69,11 +59,6 @@ def to_number(c: Column) -> Column:
     return F.when(t.rlike(NUMERIC_PATTERN), t.try_cast("double"))
 
 
-def clean_number(raw: Column) -> Column:
-    """C1 -> C2 -> C4 -> C5 -> C6 in the order the cleaner applies them."""
-    return to_number(fix_separators(drop_currency(unbracket(strip_all(raw)))))
-
-
 def to_date_or_null(raw: Column, formats: list[str] = DATE_FORMATS) -> Column:
     """Date coercion by the first format that fits, unparseable -> NULL; a time part is cut off."""
     text = strip_all(raw.cast("string"))

@@ -70,13 +70,6 @@ def remove_stop_words(df: DataFrame, input_col: str, output_col: str,
                             caseSensitive=True).transform(df)
 
 
-def drop_stop_words(tokens: Column, stop_words: list[str] | None = None) -> Column:
-    """X2 as a column expression (for small inputs; ``remove_stop_words`` is faster)."""
-    words = sentiment_stop_words() if stop_words is None else stop_words
-    lookup = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(True))])
-    return F.filter(tokens, lambda x: ~F.map_contains_key(lookup, x))
-
-
 def join_tokens(tokens: Column) -> Column:
     """Re-join with single spaces."""
     return F.array_join(tokens, " ")

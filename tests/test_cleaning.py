@@ -25,10 +25,15 @@ CASES = [
 ]
 
 
+def parsed(spark, values):
+    """The daily cleaner's columns for texts in ``units_sold``."""
+    rows = [(f"P{i}", raw) for i, raw in enumerate(values)]
+    raw = spark.createDataFrame(rows, "product_id string, units_sold string")
+    return Q.parse_daily(raw.select(*[c if c in raw.columns else F.lit(None).cast("string").alias(c) for c in Q.DAILY_COLUMNS]))
+
+
 def test_clean_number_cases(spark):
-    df = spark.createDataFrame([(i, raw) for i, (raw, _, _) in enumerate(CASES)], "i int, raw string")
-    got = {r["i"]: (r["v"], r["rep"]) for r in df.select(
-        "i", C.clean_number(F.col("raw")).alias("v"), C.is_repaired(C.strip_all(F.col("raw"))).alias("rep")).collect()}
+    got = {int(r["product_id"][1:]): (r["units_sold"], r["units_sold__rep"]) for r in parsed(spark, [raw for raw, _, _ in CASES]).collect()}
     for i, (raw, want, rep) in enumerate(CASES):
         v, r = got[i]
         assert (v is None and want is None) or v == pytest.approx(want), (raw, v, want)

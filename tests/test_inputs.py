@@ -56,7 +56,7 @@ def test_records_of_ints_and_texts(spark):
 def test_dates_with_a_time_part_and_unicode_spaces(spark):
     df = spark.createDataFrame([("2024-01-05 00:00:00",), ("2024-01-05T10:00:00",), ("2024/01/05",), (" 2024-01-05 ",), ("junk",), (None,)], "d string")
     assert [r[0] for r in df.select(C.to_date_or_null(F.col("d"))).collect()] == [dt.date(2024, 1, 5)] * 4 + [None, None]
-    assert spark.createDataFrame([("\u00a012.5\u00a0",)], "x string").select(C.clean_number(F.col("x"))).first()[0] == 12.5
+    assert spark.createDataFrame([("\u00a012.5\u00a0",)], "x string").select(C.to_number(F.col("x"))).first()[0] == 12.5
 
 
 def test_a_missing_value_rejects_the_batch(spark):

@@ -44,7 +44,7 @@ def test_stem_batch_keeps_shape():
 
 def test_tokens_stop_words_keep_negations(spark):
     df = spark.createDataFrame([("I am NOT happy, it's the café!!",), (None,)], "text string")
-    got = [r["t"] for r in df.select(X.drop_stop_words(X.letter_tokens(F.col("text"))).alias("t")).collect()]
+    got = [r["t"] for r in X.remove_stop_words(df.select(X.letter_tokens(F.col("text")).alias("raw")), "raw", "t").collect()]
     assert got[0] == ["not", "happy", "caf"] and got[1] == []
 
 
