@@ -115,6 +115,15 @@ def test_a_model_with_the_contract_of_another_is_refused(spark, tmp_dir):
         DJ.load_model(spark, tmp_dir)
 
 
+def test_running_predictions_are_deleted(spark):
+    from shelfwise.session import scratch_path
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "tables"))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    train, val = parts(noisy(spark, 60))
+    B.fit_boosted(train, val, "x", "y", B.BoostConfig(rounds=5, depth=2, block=2, patience=50))
+    assert not [s for s in files.listStatus(folder) if s.getPath().getName().startswith("margins-")]
+
+
 def test_errors_of_a_block_are_finite(spark):
     train, val = parts(noisy(spark, 60))
     found = B.fit_boosted(train, val, "x", "y", B.BoostConfig(rounds=4, depth=2, block=2, patience=50))
