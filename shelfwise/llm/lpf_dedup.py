@@ -355,14 +355,14 @@ def dedup_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: b
 
     With ``digest``, ``kept`` is the SHA-256 of the remaining bytes (which need not be whole
     characters), else the bytes. ``n_spans`` counts maximal removed runs. A null or empty text has no
-    bytes. A row without an id comes after all others, and such rows are not earlier than one another.
+    bytes. A row without an id comes after all others (but for the largest long), and such rows are not earlier than one another.
     Repeated rows with one id are not earlier than one another either. Other columns are not read; an
     empty table gives an empty one. A bucket's texts and a shard's segments bound a task's memory.
     """
     if gram < 8 or window < gram + 1 or 2 * window - gram > 255:
         raise ValueError("grams have 8 bytes or more, windows more than a gram, segments 255 at most")
     docs = R.keyed(df, doc_id, text)
-    ids = stored(docs.select("doc_id", "key", F.octet_length("text").alias("n")), "keys")
+    ids = stored(docs.select("id", "doc_id", "key", F.octet_length("text").alias("n")), "keys")
     buckets = R.buckets(ids)
     texts = R.distinct_texts(docs, buckets)         # one exchange for the three that read it
     known = R.recurring(texts, buckets, anchor_hashes(window, gram), within=False)
@@ -373,8 +373,8 @@ def dedup_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: b
                .applyInArrow(removed(window, digest, buckets), f"key binary, least long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"))
     later = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= window)
     nothing = F.lit(hashlib.sha256(b"").hexdigest()) if digest else F.lit(bytearray())
-    return ids.select("doc_id", "key").join(results, "key").select(
-        F.when(F.col("doc_id") != int(R.NO_ID), F.col("doc_id")).alias("doc_id"), "n_bytes",
+    return ids.select("id", "doc_id", "key").join(results, "key").select(
+        F.col("id").alias("doc_id"), "n_bytes",
         F.when(later, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(later, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(later, nothing).otherwise(F.col("kept")).alias("kept"))

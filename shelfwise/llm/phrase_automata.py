@@ -283,7 +283,7 @@ def dedup_phrases(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, dig
     empty one. Texts of any length are read whole: a bucket's texts bound a task's memory.
     """
     docs = R.keyed(df, doc_id, text)
-    ids = stored(docs.select(F.when(F.col("doc_id") != int(R.NO_ID), F.col("doc_id")).alias("doc_id"), "key", F.octet_length("text").alias("n")), "keys")
+    ids = stored(docs.select(F.col("id").alias("doc_id"), "key", F.octet_length("text").alias("n")), "keys")
     buckets = R.buckets(ids)
     texts = R.distinct_texts(docs, buckets)         # one exchange for the three that read it
     known = R.recurring(texts, buckets, anchor_hashes(window, phrase), within=True)

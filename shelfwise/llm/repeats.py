@@ -50,9 +50,9 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, key``; a null id counts as the largest number."""
+    """``id, doc_id, text, key``: the id as it is, and one to compare by, where a null id counts as the largest number."""
     docs = texts(df, doc_id, text)
-    return docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text", F.unhex(F.md5("text")).alias("key"))
+    return docs.select(F.col("doc_id").alias("id"), F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text", F.unhex(F.md5("text")).alias("key"))
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -200,7 +200,7 @@ def recurring(texts: DataFrame, shards: int, hashes, within: bool) -> DataFrame:
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(h)) - 1
+        last = np.append(first[1:], len(h))[:len(first)] - 1
         n = last - first + 1
         twice = (n > 1) if within else doc[first] != doc[last]
         h = h[first]

@@ -35,6 +35,21 @@ def test_words_match_brute_force(spark, window, phrase):
     same(got, phrase_dedup(rows, window))
 
 
+def test_the_largest_id_comes_back(spark):
+    docs = frame(spark, ["some text of its own", "another text"], [2 ** 63 - 1, None])
+    for out in (lpf_dedup.dedup_bytes(docs), phrase_automata.dedup_phrases(docs)):
+        assert {r.doc_id for r in out.collect()} == {2 ** 63 - 1, None}
+
+
+def test_tables_of_short_texts(spark):
+    """No text has a window, so no bucket has an anchor."""
+    for texts in (["a", "a", "", None], ["b" * 49, "c " * 34], [None] * 3):
+        rows = list(enumerate(texts))
+        docs = frame(spark, texts).repartition(3)
+        same(lpf_dedup.dedup_bytes(docs, digest=True).collect(), suffix_dedup(rows))
+        same(phrase_automata.dedup_phrases(docs, digest=True).collect(), phrase_dedup(rows))
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert lpf_dedup.dedup_bytes(empty).count() == 0 and phrase_automata.dedup_phrases(empty).count() == 0
