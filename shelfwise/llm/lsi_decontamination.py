@@ -1,9 +1,9 @@
 """Operator 6: benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words over all passages (blocks of ``BLOCK`` words), in one scan,
-   which also draws a bounded sample of passages.
-2. A randomised SVD of the sample's TF-IDF rows and the benchmark's: Spark sums the products with the
-   sample (feature by sketch, then sketch by sketch), the driver only factors matrices of a fixed size.
+1. Document frequencies of hashed words over all passages (blocks of ``BLOCK`` words), in one scan.
+2. A randomised SVD of the TF-IDF rows of every passage of every document and of the benchmark, written
+   once as lists of features: Spark sums the products (feature by sketch, then sketch by sketch), the
+   driver only factors matrices of a fixed size.
 3. The benchmark is the query set, in blocks of a bounded size, many of them in a scan. A scan projects
    every passage (two neighbouring blocks) of every document into the latent space once and takes the
    benchmark passages of all blocks within a cosine as candidates. Those that share too little weight with the item in the full
@@ -29,15 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import forget, stored
 from . import repeats as R
-from .base import shuffle_parts, texts
+from .base import texts
 from .phrase_automata import Words
 
 BLOCK = 16
 FEATURES = 1 << 14
 RANK, OVERSAMPLING = 96, 16
-#: Passages that the factors are fitted on, of the documents and of the benchmark each.
-SAMPLE = 5_000
 #: Words of benchmark text in a block and in all blocks of one scan; a shorter item counts as ``ITEM_WORDS``, so their number is bounded too.
 QUERY_WORDS, SCAN_WORDS, ITEM_WORDS = 25_000, 250_000, 40
 ANSWER = 6
@@ -124,67 +123,91 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return (out[:-1], int(out[-1])) if len(out) else (np.zeros(FEATURES), 0)
 
 
-def passages(docs: DataFrame, share: float, seed: int) -> DataFrame:
-    """``f``: the features of one passage of a share of the documents, drawn by a hash of the text."""
-    place = F.xxhash64("text", F.lit(seed))
-    drawn = docs.where(F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30))).select("text", F.shiftright(place, 34).alias("spot"))
-
+def passages(docs: DataFrame) -> DataFrame:
+    """``f``: the features of each passage of every document: pairs of rows one after another, at last the last two; every word is in one."""
     def run(batches):
         for b in batches:
-            x = Blocks(b.column("text").to_pylist())
-            spot = b.column("spot").to_numpy()
-            out = []
-            for k in np.flatnonzero(x.rows):
-                at = x.row0[k] + int(spot[k]) % max(x.rows[k] - 1, 1)
-                f = x.feature[at:min(at + 2, x.row0[k] + x.rows[k])].ravel()
-                out.append(f[f < FEATURES])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["f"])
-
-    return drawn.mapInArrow(run, "f array<int>")
+            values = b.column("text").to_pylist()
+            for part in pieces(values):
+                x = Blocks(values[part])
+                rows, place = x.rows[x.doc], np.arange(len(x.doc)) - x.row0[x.doc]
+                head = np.flatnonzero((place % 2 == 0) & (place + 1 < rows) | (rows % 2 == 1) & (place == np.maximum(rows - 2, 0)))
+                after = np.where((rows[head] > 1)[:, None], x.feature[np.minimum(head + 1, len(x.feature) - 1)], FEATURES)
+                both = np.concatenate([x.feature[head], after], 1)
+                own = both < FEATURES
+                first = np.append(0, np.cumsum(own.sum(1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first), pa.array(both[own]))], ["f"])
+
+    return docs.select("text").mapInArrow(run, "f array<int>")
+
+
+def add_rows(z: np.ndarray, at: np.ndarray, row: np.ndarray, y: np.ndarray, often: int = 32) -> None:
+    """Add ``y[row]`` to ``z[at]``: by a product for the places that are there more than ``often`` times, else all first ones, all second ones and so on."""
+    n = np.bincount(at, minlength=len(z))
+    dense = np.flatnonzero(n > often)
+    code = np.full(len(z), -1)
+    code[dense] = np.arange(len(dense))
+    code = code[at]
+    if len(dense):
+        has = np.bincount((row * len(dense) + code)[code >= 0], minlength=len(y) * len(dense)).reshape(len(y), -1)
+        z[dense] += has.T.astype(y.dtype) @ y
+    at, row = at[code < 0], row[code < 0]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[:len(at)])
+    n = np.diff(np.append(first, len(at)))
+    for k in range(n.max(initial=0)):
+        some = first[n > k] + k
+        z[at[some]] += y[row[some]]
 
 
 def randomised_svd(rows: DataFrame, weight: np.ndarray, rank: int, seed: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Right singular vectors (features by ``rank``) of the normalised TF-IDF rows ``f``, the root mean square along each, and the mean row.
 
-    Two distributed passes over the bounded sample; the sums have a fixed size.
+    Two distributed passes over the rows; the sums have a fixed size, a task each.
     """
     width = rank + OVERSAMPLING
+    weight = np.append(weight[:FEATURES], 0.0)     # what fills up a row has none
 
     def product(batches, other):
-        """Sparse rows times a matrix, by batch: (places, values, the product)."""
-        for lists in (x[at:at + 1000] for b in batches for x in [[f for f in b.column("f").to_pylist() if f]] for at in range(0, len(x), 1000)):
-            n = np.array([len(f) for f in lists])
-            f = np.concatenate([np.array(x) for x in lists])
-            v = weight[f]
-            first = np.cumsum(n) - n
-            v = v / np.repeat(np.maximum(np.sqrt(np.add.reduceat(v * v, first)), 1e-9), n)
-            yield f, v, n, np.add.reduceat(other[f] * v[:, None], first)
+        """Sparse rows times a matrix, some rows at a time: (places, each one's row, the rows' norms, the product)."""
+        other = (np.append(other, np.zeros((1, width)), 0) * weight[:, None]).astype(np.float32)
+        for b in batches:
+            every, n = b.column("f").flatten().to_numpy(), np.diff(b.column("f").offsets.to_numpy())
+            n = n[n > 0]
+            begin = np.append(0, np.cumsum(n))
+            for at in range(0, len(n), 2000):
+                own = n[at:at + 2000]
+                f, row = every[begin[at]:begin[at + len(own)]], np.repeat(np.arange(len(own)), own)
+                wide = np.full((len(own), own.max()), FEATURES)
+                wide[row, np.arange(len(f)) - np.repeat(np.cumsum(own) - own, own)] = f
+                norm = np.maximum(np.sqrt((weight ** 2)[wide].sum(1)), 1e-9)
+                y = np.zeros((len(own), width), np.float32)
+                for j in range(wide.shape[1]):
+                    y += other[wide[:, j]]
+                yield f, row, norm, y / norm.astype(np.float32)[:, None]
 
     def sketch(batches):
-        start = np.random.default_rng(seed).standard_normal((FEATURES, width))
         z, mean, count = np.zeros((FEATURES, width)), np.zeros(FEATURES), 0
-        for f, v, n, y in product(batches, start):
-            np.add.at(z, f, np.repeat(y, n, 0) * v[:, None])
-            np.add.at(mean, f, v)
-            count += len(n)
-        yield parted(np.concatenate([z.ravel(), mean, [count]]))
+        for f, row, norm, y in product(batches, np.random.default_rng(seed).standard_normal((FEATURES, width))):
+            add_rows(z, f, row, y / norm.astype(np.float32)[:, None])
+            mean += np.bincount(f, 1 / norm[row], FEATURES)
+            count += len(y)
+        yield parted(np.concatenate([(z * weight[:-1, None]).ravel(), mean * weight[:-1], [count]]))
 
     # few tasks: each one's sum has FEATURES x width numbers
-    rows = rows.repartition(min(8, shuffle_parts(rows.sparkSession))).persist()
-    try:
-        first = totals(rows.mapInArrow(sketch, "part long, blob binary"))
-        basis, _ = np.linalg.qr(first[:FEATURES * width].reshape(FEATURES, width))
-        mean = first[FEATURES * width:-1] / max(first[-1], 1)
-
-        def turn(batches):
-            c = np.zeros((width, width))
-            for _, _, _, y in product(batches, basis):
-                c += y.T @ y
-            yield parted(c)
-
-        c = totals(rows.mapInArrow(turn, "part long, blob binary")).reshape(width, width)
-    finally:
-        rows.unpersist()
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    first = totals(rows.mapInArrow(sketch, "part long, blob binary"))
+    basis, _ = np.linalg.qr(first[:FEATURES * width].reshape(FEATURES, width))
+    mean = first[FEATURES * width:-1] / max(first[-1], 1)
+
+    def turn(batches):
+        c = np.zeros((width, width))
+        for _, _, _, y in product(batches, basis):
+            c += y.T @ y
+        yield parted(c)
+
+    c = totals(rows.mapInArrow(turn, "part long, blob binary")).reshape(width, width)
     value, vector = np.linalg.eigh(c)
     first_ = np.argsort(-value)[:rank]
     return basis @ vector[:, first_], np.sqrt(np.maximum(value[first_], 1e-9) / max(first[-1], 1)), mean
@@ -203,12 +226,13 @@ class Latent:
         return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
 
 
-def fitted(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, sample: int = SAMPLE) -> tuple[Latent, np.ndarray]:
-    """The latent space, and the features' weights (squared inverse document frequencies)."""
+def fitted(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> tuple[Latent, np.ndarray]:
+    """The latent space of all passages of the documents and the benchmark, and the features' weights (squared inverse document frequencies)."""
     count, n = document_frequencies(docs)
     weight = np.append((np.log((n + 1) / (count + 1)) + 0.1) ** 2, 0.0)
-    rows = [passages(x, min(1.0, sample / max(x.count(), 1)), seed) for seed, x in enumerate((docs, benchmark))]
-    factors, spread, mean = randomised_svd(rows[0].union(rows[1]), weight, rank)
+    rows = stored(passages(docs.select("text").union(benchmark.select("text"))), "passages")
+    factors, spread, mean = randomised_svd(rows, weight, rank)
+    forget(rows)
     factors /= spread
     return Latent(factors * weight[:-1, None], mean @ factors), weight
 

@@ -168,3 +168,38 @@ def test_latent_space_keeps_neighbours(spark):
     exact = np.linalg.svd(a, full_matrices=False)[2][:5]
     assert np.allclose(np.linalg.svd(exact @ factors)[1], 1, atol=0.02)
     assert np.allclose(mean, a.mean(0)) and np.allclose(spread, np.linalg.svd(a)[1][:5] / np.sqrt(200), rtol=0.02)
+
+
+def test_the_space_is_fitted_on_every_passage(spark):
+    """Each word of each text is in a passage, and the mean row is that of all passages: more than any bounded sample."""
+    rng = random.Random(4)
+    words = vocabulary(rng)
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 15, 16, 17, 32, 33, 48, 64, 65, 200)] + ["one two three"] * 6000
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.f for r in L.passages(docs).collect()]
+    sizes = [len(t.split()) for t in texts]
+    rows = [-(-n // L.BLOCK) for n in sizes]
+    assert len(got) == sum(-(-r // 2) for r in rows) and all(0 < len(f) <= 2 * L.BLOCK for f in got)
+    feature = lambda t: ((L.Words([L.plain(t)]).hash >> np.uint64(11)) % np.uint64(L.FEATURES)).tolist()
+    want = []
+    for t, n, r in zip(texts, sizes, rows):
+        starts = [2 * k for k in range(r // 2)] + ([max(r - 2, 0)] if r % 2 else [])
+        want += [feature(t)[k * L.BLOCK:(k + 2) * L.BLOCK] for k in starts]
+    assert sorted(got) == sorted(want)
+    mean = np.zeros(L.FEATURES)
+    for f in want:
+        np.add.at(mean, f, 1 / np.sqrt(len(f)))
+    _, _, found = L.randomised_svd(L.passages(docs), np.ones(L.FEATURES + 1), 5)
+    assert np.allclose(found, mean / len(want))
+
+
+def test_sums_by_place():
+    rng = np.random.default_rng(5)
+    for often in (0, 3, 99):
+        at, row, y = rng.integers(0, 9, 60) ** 2 % 11, rng.integers(0, 20, 60), rng.standard_normal((20, 4))
+        got, want = np.zeros((11, 4)), np.zeros((11, 4))
+        L.add_rows(got, at, row, y, often)
+        np.add.at(want, at, y[row])
+        assert np.allclose(got, want)
+    L.add_rows(got, at[:0], row[:0], y)
+    assert np.allclose(got, want)
