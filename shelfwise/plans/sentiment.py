@@ -9,7 +9,7 @@ of terms reaches the driver. Fitting counts terms by document, ranks them by
 the ordered index, and puts each document's entries together in Spark, from the
 same weights as the relational X5 operator; ``operators.logistic`` fits the
 regression on these. Scoring joins a document's terms with the table and sums
-up. What the driver holds is the vector of coefficients, numbers without terms.
+up. No vector of the model's size reaches the driver either.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,7 +126,6 @@ def fit(train: DataFrame, label: str = "target", max_iter: int = MAX_ITER,
 
     Rows without a label cannot be fitted and are skipped.
     """
-    spark = train.sparkSession
     rows = stored(train.where(F.col(label).isNotNull()).select(F.monotonically_increasing_id().alias(_ROW), F.col(label).alias(label), "content"), "reviews")
     n = rows.count()
     if not n:
@@ -141,17 +139,16 @@ def fit(train: DataFrame, label: str = "target", max_iter: int = MAX_ITER,
     fitted = fit_logistic(data, size, reg, GRADIENT_TOLERANCE, max_iter)
     iteration, objective, largest, norm = fitted.history[-1]
     report = FitReport(n, size, iteration, max_iter, objective, largest, norm, fitted.converged, tuple(fitted.history))
-    terms = with_coefficients(spark, vocabulary, fitted.coefficients)
+    terms = with_coefficients(vocabulary, fitted.weights)
     kept = stored(terms.select("term", "idf", "coefficient"), "terms")
     for table in (rows, counts, vocabulary, weights, data):
         forget(table)
     return SentimentModel(kept, fitted.intercept, report)
 
 
-def with_coefficients(spark: SparkSession, vocabulary: DataFrame, coefficients) -> DataFrame:
+def with_coefficients(vocabulary: DataFrame, weights: DataFrame) -> DataFrame:
     """(term, idf, at, coefficient): the fitted coefficients, numbers by place, joined with the terms."""
-    numbers = spark.createDataFrame(pd.DataFrame({"at": range(len(coefficients)), "coefficient": coefficients}), "at long, coefficient double")
-    return vocabulary.withColumn("at", F.col("at").cast("long")).join(numbers, "at")
+    return vocabulary.withColumn("at", F.col("at").cast("long")).join(weights, "at")
 
 
 def score(model: SentimentModel, df: DataFrame, key: str | None = None) -> DataFrame:

@@ -69,7 +69,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder (``spark.checkpoint.dir``) and read it again.
 
     This cuts the lineage: a lost executor costs its own tasks, not the steps
@@ -79,7 +79,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(scratch_path(spark, "tables"), f"{name}-{uuid.uuid4().hex}")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
