@@ -128,3 +128,54 @@ def test_errors_of_a_block_are_finite(spark):
     train, val = parts(noisy(spark, 60))
     found = B.fit_boosted(train, val, "x", "y", B.BoostConfig(rounds=4, depth=2, block=2, patience=50))
     assert all(math.isfinite(e) for _, e in found.history) and len(found.history) == 5
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_round_is_one_job_for_each_level(spark):
+    train, val = parts(noisy(spark))
+    jobs = [jobs_of(spark, f"rounds-{k}", lambda k=k: B.fit_boosted(train, val, "x", "y", B.BoostConfig(rounds=k, depth=2, block=9, patience=50))) for k in (2, 7)]
+    assert jobs[1] - jobs[0] <= 5 * 2
+
+
+def test_copies_of_rows_are_the_same_cells_and_trees(spark):
+    train, val = parts(noisy(spark))
+    copies = train.crossJoin(spark.range(20)).drop("id")
+    cfg = B.BoostConfig(rounds=4, depth=3, patience=50)
+    cuts = B.cut_points(train, "x", 2, 64)
+    assert B.cells_of(copies, None, "x", "y", cuts).count() == B.cells_of(train, None, "x", "y", cuts).count() <= 80
+    a, b = B.fit_boosted(train, val, "x", "y", cfg), B.fit_boosted(copies, val, "x", "y", cfg)
+    assert [e for _, e in a.history] == pytest.approx([e for _, e in b.history], abs=1e-9)
+
+
+def test_trees_are_those_of_mllib(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    train, _ = parts(noisy(spark, 300))
+    base = train.agg(F.avg("y")).first()[0]
+    found = B.fit_boosted(train, None, "x", "y", B.BoostConfig(rounds=2, depth=4, max_bins=6)).model.trees
+    first = DecisionTreeRegressor(featuresCol="x", labelCol="r", maxDepth=4, maxBins=6).fit(train.withColumn("r", F.col("y") - base))
+    second = DecisionTreeRegressor(featuresCol="x", labelCol="r", maxDepth=4, maxBins=6).fit(
+        first.transform(train).withColumn("r", F.col("y") - base - 0.1 * F.col("prediction")).drop("prediction"))
+
+    def shape(tree):
+        return [x for x in tree.toDebugString.split("\n")[1:] if "If" in x]
+
+    assert [shape(t) for t in found[1:]] == [shape(first), shape(second)]
+    for t, m in zip(found[1:], (first, second)):
+        row = m.transform(train.select("x")).withColumnRenamed("prediction", "a")
+        assert t.transform(row).agg(F.max(F.abs(F.col("a") - F.col("prediction")))).first()[0] < 1e-9
+
+
+def test_bounds_of_many_values_come_from_all_of_them(spark, monkeypatch):
+    monkeypatch.setattr(B, "PIECES", 400)
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(spark.range(3000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b")))
+    many, few = B.cut_points(df, "x", 2, 16)
+    assert few == [0.5, 1.5] and len(many) == 15
+    assert all(abs(c - 3000 / 16 * (k + 1)) <= 3000 / 100 for k, c in enumerate(many))
