@@ -97,3 +97,26 @@ def test_ks_matches_brute_force(spark):
     assert r["n1"] == 200 and r["n2"] == 150
     assert r["statistic"] == pytest.approx(d, abs=1e-12)
     assert r["p_value"] == pytest.approx(p, abs=1e-9)
+
+
+def test_tfidf_of_repeated_and_null_keys_over_several_units(spark, monkeypatch):
+    from shelfwise.operators import tfidf as W
+    monkeypatch.setattr(W, "UNIT", 2)
+    rows = [(1, "train", "good good movie"), (2, "train", "bad movie plot a"), (2, "train", "bad bad twist"), (None, "test", "good plot"),
+            (None, "test", "plot unseen"), (3, "train", ""), (4, "test", "unseen word good"), (5, "train", "plot good a b"), (6, "test", "")]
+    df = spark.createDataFrame(rows, "doc_id int, split string, content string").repartition(3)
+    got = {(r["doc_id"], r["term"]): (r["split"], r["tf"], r["weight"]) for r in tfidf(df, "doc_id", X.terms(F.col("content"))).collect()}
+    texts = {}
+    for i, _, t in rows:
+        texts.setdefault(i, []).extend(x for x in t.split() if len(x) > 1)
+    want = _brute_tfidf(texts, [1, 2, 3, 5])
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k][2] == pytest.approx(v, abs=1e-9) and got[k][1] == texts[k[0]].count(k[1])
+        assert got[k][0] == ("train" if k[0] in (1, 2, 3, 5) else "test")
+
+
+def test_tfidf_needs_no_window_over_the_rows_of_all_documents(spark):
+    df = spark.createDataFrame([(i, "train" if i % 3 else "test", f"common word{i % 4}") for i in range(30)], "doc_id int, split string, content string")
+    plan = tfidf(df, "doc_id", X.terms(F.col("content")))._jdf.queryExecution().toString()
+    assert "Window" not in plan and "CoGroupInArrow" in plan
