@@ -119,4 +119,4 @@ def test_tfidf_of_repeated_and_null_keys_over_several_units(spark, monkeypatch):
 def test_tfidf_needs_no_window_over_the_rows_of_all_documents(spark):
     df = spark.createDataFrame([(i, "train" if i % 3 else "test", f"common word{i % 4}") for i in range(30)], "doc_id int, split string, content string")
     plan = tfidf(df, "doc_id", X.terms(F.col("content")))._jdf.queryExecution().toString()
-    assert "Window" not in plan and "CoGroupInArrow" in plan
+    assert "Window" not in plan and "FlatMapCoGroup" in plan
