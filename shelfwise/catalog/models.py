@@ -116,20 +116,25 @@ def q_demand_batch_model(spark, sf_dir):
                           demand_encoder(spark, sf_dir))
 
 
+def price_products(spark, sf_dir):
+    """Products with their part, written once per session: the fit, its evaluation and the batch request read them."""
+    return _memo(spark, ("price_products", sf_dir), lambda: stored(PR.products_split(spark, sf_dir), "products"))
+
+
 def price_model(spark, sf_dir):
-    return _memo(spark, ("price", sf_dir),
-                 lambda: PriceUnitsModel.fit(PR.products_train(spark, sf_dir), PR.LUXURY_TESTDATA, PRICE_CFG))
+    train = price_products(spark, sf_dir).where(F.col("split") == "train").drop("split")
+    return _memo(spark, ("price", sf_dir), lambda: PriceUnitsModel.fit(train, PR.LUXURY_TESTDATA, PRICE_CFG))
 
 
 def q_price_model_eval(spark, sf_dir):
     """G1 + G2 + G10 + A12: hold-out RMSE / R^2 of the chained models."""
-    test = PR.products_split(spark, sf_dir).where(F.col("split") == "test").drop("split")
+    test = price_products(spark, sf_dir).where(F.col("split") == "test").drop("split")
     return price_model(spark, sf_dir).evaluate(test)
 
 
 def q_price_model_scored(spark, sf_dir):
     """G4 + B1 + P9: the batch request scored by the chained models."""
-    return price_model(spark, sf_dir).predict_batch(PR.batch_request(spark, sf_dir))
+    return price_model(spark, sf_dir).predict_batch(PR.as_request(price_products(spark, sf_dir)))
 
 
 def sentiment_data(spark, sf_dir):

@@ -59,10 +59,13 @@ def q_price_features(spark, sf_dir):
 
 def batch_request(spark, sf_dir) -> DataFrame:
     """What a caller uploads for bulk scoring: products without targets and ids."""
-    s = retail_products(spark, sf_dir)
-    return s.select(F.col("product_id").alias("sku"), "category", "subcategory", "brand", "color",
-                    "size", "season", "original_price", "competitor_price",
-                    "discount_percentage", "date", "return_rate")
+    return as_request(retail_products(spark, sf_dir))
+
+
+def as_request(products: DataFrame) -> DataFrame:
+    return products.select(F.col("product_id").alias("sku"), "category", "subcategory", "brand", "color",
+                           "size", "season", "original_price", "competitor_price",
+                           "discount_percentage", "date", "return_rate")
 
 
 def q_batch_input(spark, sf_dir):

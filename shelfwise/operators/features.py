@@ -219,14 +219,14 @@ def medians_frame(encoded: DataFrame) -> DataFrame:
     return fit_medians(encoded, numeric_columns(encoded))
 
 
-def fit_price_features(df: DataFrame, luxury: list[str] = LUXURY_BRANDS) -> PriceFeatureState:
+def fit_price_features(df: DataFrame, luxury: list[str] = LUXURY_BRANDS, keep: bool = True) -> PriceFeatureState:
     """E9 (fit): vocabularies, then medians of the encoded frame.
 
     Two jobs; what reaches the driver is bounded by (columns x (top + luxury + 2))
-    and one number per numeric column.
+    and one number per numeric column. ``keep=False``: ``df`` is a written table, read twice.
     """
     state = PriceFeatureState(list(luxury))
-    cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+    cached = not keep or df.storageLevel.useMemory or df.storageLevel.useDisk
     data = df if cached else df.persist()      # two passes over the same input
     try:
         for r in vocabulary_frame(data, luxury).collect():

@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 _PURE = float(np.finfo(float).eps)
+#: Trees whose draws of a row share one word.
+WORD = 62
 
 
 @dataclass
@@ -33,6 +35,15 @@ class Cells:
     margin: np.ndarray
 
 
+@dataclass
+class Rows:
+    """Some of the training rows: bins (a row each), label, trees that draw the row (bits of 62 trees a word) and the prediction so far."""
+    bins: np.ndarray
+    label: np.ndarray
+    drawn: np.ndarray
+    margin: np.ndarray
+
+
 @dataclass
 class Tree:
     """Nodes as lists; a leaf has the left child -1. ``bin``: cells up to it go to the left."""
@@ -83,7 +94,7 @@ def reached(bins: np.ndarray, routes: tuple) -> np.ndarray:
         node = np.where(inner, np.where(to_left, left[node], right[node]), node)
 
 
-def margins(cells: Cells, block: list[tuple], step: float) -> np.ndarray:
+def margins(cells: Cells | Rows, block: list[tuple], step: float) -> np.ndarray:
     margin = cells.margin
     for routes in block:
         margin = margin + step * routes[4][reached(cells.bins, routes)]
@@ -110,6 +121,31 @@ def sums(cells: Cells, block: list[tuple], step: float, routes: tuple | None, op
     return out
 
 
+def drawn_sums(rows: Rows, at_tree: int, before: list[tuple], step: float, routes: tuple | None, open_nodes: list[int], most_bins: int) -> np.ndarray:
+    """[feature, open node, bin, (rows, sum, sum of squares)] of what the tree is fitted to, of the rows that it draws.
+
+    The first tree is fitted to the labels, the others to the gradient of the squared error, twice the residuals.
+    """
+    here = np.flatnonzero((rows.drawn[:, at_tree // WORD] >> (at_tree % WORD)) & 1)
+    bins, label = rows.bins[here], rows.label[here]
+    if at_tree:
+        label = 2.0 * (label - margins(Rows(bins, label, rows.drawn[:0], rows.margin[here]), before, step))
+    place = np.zeros(len(here), dtype=np.int64)
+    if routes is not None:
+        places = np.full(len(routes[0]), -1, dtype=np.int64)
+        places[open_nodes] = np.arange(len(open_nodes))
+        place = places[reached(bins, routes)]
+        bins, label, place = bins[place >= 0], label[place >= 0], place[place >= 0]
+    squares = label * label
+    size = len(open_nodes) * most_bins
+    out = np.empty((bins.shape[1], len(open_nodes), most_bins, 3))
+    for f in range(bins.shape[1]):
+        at = place * most_bins + bins[:, f]
+        for k, v in enumerate((None, label, squares)):
+            out[f, :, :, k] = np.bincount(at, weights=v, minlength=size).reshape(len(open_nodes), most_bins)
+    return out
+
+
 def judged(cells: Cells, block: list[tuple], step: float) -> np.ndarray:
     """Validation rows, and the sum of their squared errors after each tree of the block."""
     out, margin = [float(cells.judged_n.sum())], cells.margin
@@ -137,8 +173,11 @@ def best_split(node_sums: np.ndarray, n_splits: np.ndarray) -> tuple[float, int,
     return float(gain[f, b]), int(f), int(b), left[f, b], right[f, b]
 
 
-def grow(make_sums, n_splits: np.ndarray, depth: int) -> Tree:
-    """A tree; ``make_sums(routes, open nodes)`` adds up the tasks' ``sums`` for one level."""
+def grow(make_sums, n_splits: np.ndarray, depth: int, pick=None) -> Tree:
+    """A tree; ``make_sums(routes, open nodes)`` adds up the tasks' ``sums`` for one level.
+
+    ``pick()`` draws the features among which the next node may choose, in the order in which they are tried; all without it.
+    """
     tree, open_nodes = Tree(), [0]
     for level in range(max(depth, 1)):
         found = make_sums(tree.routes() if level else None, open_nodes)
@@ -148,13 +187,14 @@ def grow(make_sums, n_splits: np.ndarray, depth: int) -> Tree:
             break
         following = []
         for i, node in enumerate(open_nodes):
-            split = best_split(found[:, i], n_splits)
+            features = np.arange(len(n_splits)) if pick is None else np.array(pick())
+            split = best_split(found[features, i], n_splits[features])
             if split is None:
                 continue
-            tree.gain[node], tree.feature[node], tree.bin[node] = split[:3]
+            tree.gain[node], tree.feature[node], tree.bin[node] = split[0], int(features[split[1]]), split[2]
             tree.left[node], tree.right[node] = tree.add(split[3]), tree.add(split[4])
             following += [c for c in (tree.left[node], tree.right[node]) if abs(tree.impurity(c)) >= _PURE]
-        open_nodes = following
+        open_nodes = following[::-1]       # MLlib draws for the last child first
         if not open_nodes:
             break
     for node in reversed(range(len(tree.left))):       # children come after their parents

@@ -1,7 +1,7 @@
 """Chained price -> units models (entries 1 and 2): G1, G2, G4, G5, G10, K8, S8, S9.
 
 Fit: prepare (E9 fit) -> price GBT -> its *unclamped* prediction becomes a
-feature -> units GBT. Score: prepare (E9 apply) -> price -> clamp -> units ->
+feature -> units GBT; the trees are those of MLlib's GBTRegressor (``fit_sampled``). Score: prepare (E9 apply) -> price -> clamp -> units ->
 clamp -> B1 rounding -> revenue, appended to the caller's own columns (P9).
 Everything after the fit is one lazy projection chain: no shuffle.
 """
@@ -13,13 +13,13 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import features as FE
-from ..session import checkpoint_dir
+from ..operators.boosting import SampledConfig, fit_sampled
+from ..session import forget, stored
 
 # Reference budgets (kept as named defaults; tests pass smaller ones).
 PRICE_TREES, PRICE_DEPTH = 1000, 8
@@ -41,14 +41,6 @@ class PriceConfig:
     max_bins: int = 64          # >= largest vocabulary (50 + luxury + 2)
 
 
-def _gbt(label: str, pred: str, features: str, trees: int, depth: int, cfg: PriceConfig,
-         columns: str = "all") -> GBTRegressor:
-    return GBTRegressor(featuresCol=features, labelCol=label, predictionCol=pred, maxIter=trees,
-                        maxDepth=depth, stepSize=cfg.step_size, subsamplingRate=cfg.subsample,
-                        featureSubsetStrategy=columns, seed=cfg.seed, maxBins=cfg.max_bins,
-                        checkpointInterval=10)
-
-
 def regression_report(scored: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Rows, and RMSE and R^2 of each named (truth, prediction); one aggregate."""
     out = []
@@ -65,6 +57,15 @@ def with_results(df: DataFrame, price: Column, units: Column) -> DataFrame:
     return out.withColumn("Predicted_Revenue", R.revenue(F.col("Recommended_Price"), F.col("Predicted_Units_Sold")))
 
 
+def _fitted(df: DataFrame, inputs: list[str], features: str, label: str, prediction: str, cfg: SampledConfig) -> PipelineModel:
+    """Assembler and boosted trees fitted on ``df``, of which only the features and the label are written."""
+    assembler = VectorAssembler(inputCols=inputs, outputCol=features)
+    rows = stored(assembler.transform(df).select(features, label), "features")
+    trees = fit_sampled(rows, features, label, cfg).setPredictionCol(prediction)
+    forget(rows)
+    return PipelineModel([assembler, trees])
+
+
 class PriceUnitsModel:
     def __init__(self, state: FE.PriceFeatureState, price: PipelineModel, units: PipelineModel,
                  cfg: PriceConfig):
@@ -75,22 +76,19 @@ class PriceUnitsModel:
     def fit(cls, train: DataFrame, luxury: list[str] = FE.LUXURY_BRANDS,
             cfg: PriceConfig | None = None) -> "PriceUnitsModel":
         cfg = cfg or PriceConfig()
-        checkpoint_dir(train.sparkSession)   # GBT checkpoints its lineage every 10 rounds
-        data = FE.add_defaults(train, {k: v for k, v in FE.BATCH_DEFAULTS.items()
-                                       if k not in ("product_id", "current_price", "units_sold")})
-        state = FE.fit_price_features(data, luxury)
-        prepared = FE.prepare(data, state).cache()   # iterative fits re-read it
-        price = Pipeline(stages=[
-            VectorAssembler(inputCols=FE.PRICE_FEATURES, outputCol="price_features"),
-            _gbt("current_price", "predicted_price", "price_features", cfg.price_trees, cfg.price_depth, cfg,
-                 str(cfg.subsample)),     # only the price model samples columns
-        ]).fit(prepared)
+        data = stored(FE.add_defaults(train, {k: v for k, v in FE.BATCH_DEFAULTS.items()
+                                              if k not in ("product_id", "current_price", "units_sold")}), "products")
+        state = FE.fit_price_features(data, luxury, keep=False)
+        needed = dict.fromkeys(FE.PRICE_FEATURES + FE.UNITS_FEATURES + ["current_price", "units_sold"])
+        prepared = stored(FE.prepare(data, state).select(*needed), "products")
+        share = cfg.subsample      # of the rows for both models, of the columns for the price model only
+        price = _fitted(prepared, FE.PRICE_FEATURES, "price_features", "current_price", "predicted_price",
+                        SampledConfig(cfg.price_trees, cfg.price_depth, cfg.step_size, share, share, cfg.max_bins, cfg.seed))
         chained = price.transform(prepared)          # unclamped at fit time (G2)
-        units = Pipeline(stages=[
-            VectorAssembler(inputCols=["predicted_price"] + FE.UNITS_FEATURES, outputCol="units_features"),
-            _gbt("units_sold", "predicted_units", "units_features", cfg.units_trees, cfg.units_depth, cfg),
-        ]).fit(chained)
-        prepared.unpersist()
+        units = _fitted(chained, ["predicted_price"] + FE.UNITS_FEATURES, "units_features", "units_sold", "predicted_units",
+                        SampledConfig(cfg.units_trees, cfg.units_depth, cfg.step_size, share, 1.0, cfg.max_bins, cfg.seed))
+        forget(data)
+        forget(prepared)
         return cls(state, price, units, cfg)
 
     # ------------------------------------------------------------ score
