@@ -379,7 +379,7 @@ def _sampled_trees(table: DataFrame, cuts: list[list[float]], cfg: SampledConfig
         block: list[T.Tree] = []
         for k in range(len(fitted), min(len(fitted) + (cfg.block if fitted else 1), cfg.trees)):       # the first tree weighs 1, not ``step``
             before, now, at_tree = [t.routes() for t in block], current, k
-            pick = None if cfg.columns >= 1 else NodeFeatures(spark, width, cfg.columns, cfg.seed + k)
+            pick = NodeFeatures(spark, width, cfg.columns, cfg.seed + k)
             block.append(T.grow(lambda routes, nodes: _added(now.map(lambda c: T.drawn_sums(c, at_tree, before, step, routes, nodes, most))), n_splits, cfg.depth, pick))
         weight = step if fitted else 1.0
         fitted += block

@@ -155,8 +155,11 @@ def judged(cells: Cells, block: list[tuple], step: float) -> np.ndarray:
     return np.array(out)
 
 
-def best_split(node_sums: np.ndarray, n_splits: np.ndarray) -> tuple[float, int, int, np.ndarray, np.ndarray] | None:
-    """(gain, feature, bin, left sums, right sums) of the best split of one node: [feature, bin, 3]."""
+def best_split(node_sums: np.ndarray, n_splits: np.ndarray, impurity: float | None = None) -> tuple[float, int, int, np.ndarray, np.ndarray] | None:
+    """(gain, feature, bin, left sums, right sums) of the best split of one node: [feature, bin, 3].
+
+    With the node's ``impurity`` given, splits of two features into the same rows differ only as their own sums round.
+    """
     if node_sums.shape[1] < 2:
         return None
     upto = np.cumsum(node_sums, axis=1)
@@ -164,7 +167,7 @@ def best_split(node_sums: np.ndarray, n_splits: np.ndarray) -> tuple[float, int,
     right = upto[:, -1:] - left
     n = upto[:, -1:, 0]
     some = np.maximum(n, 1.0)
-    gain = variance(upto[:, -1:]) - left[..., 0] / some * variance(left) - right[..., 0] / some * variance(right)
+    gain = (variance(upto[:, -1:]) if impurity is None else impurity) - left[..., 0] / some * variance(left) - right[..., 0] / some * variance(right)
     allowed = (left[..., 0] >= 1) & (right[..., 0] >= 1) & (np.arange(left.shape[1])[None, :] < n_splits[:, None])
     gain = np.where(allowed, gain, -np.inf)
     f, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
@@ -176,7 +179,8 @@ def best_split(node_sums: np.ndarray, n_splits: np.ndarray) -> tuple[float, int,
 def grow(make_sums, n_splits: np.ndarray, depth: int, pick=None) -> Tree:
     """A tree; ``make_sums(routes, open nodes)`` adds up the tasks' ``sums`` for one level.
 
-    ``pick()`` draws the features among which the next node may choose, in the order in which they are tried; all without it.
+    ``pick()`` draws the features among which the next node may choose, in the order in which they are tried,
+    and compares all by the node's impurity as its parent's split left it, as MLlib does; without it all features are tried.
     """
     tree, open_nodes = Tree(), [0]
     for level in range(max(depth, 1)):
@@ -188,7 +192,7 @@ def grow(make_sums, n_splits: np.ndarray, depth: int, pick=None) -> Tree:
         following = []
         for i, node in enumerate(open_nodes):
             features = np.arange(len(n_splits)) if pick is None else np.array(pick())
-            split = best_split(found[features, i], n_splits[features])
+            split = best_split(found[features, i], n_splits[features], None if pick is None else tree.impurity(node))
             if split is None:
                 continue
             tree.gain[node], tree.feature[node], tree.bin[node] = split[0], int(features[split[1]]), split[2]
