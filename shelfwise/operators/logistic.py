@@ -6,8 +6,10 @@ ill-conditioned one: a thousand of its iterations don't get near the minimum.
 Here the columns stay as they are.
 
 Nothing of the model's size reaches the driver. Coordinates (the coefficients,
-and the intercept as the last one) are cut into blocks, and the optimiser's point,
-gradient and last steps are a table with a row for each block. The rows are dealt
+and the intercept as the last one) are cut into blocks, and a state of the optimiser
+is a table with a row for each block: its point and gradient, and how they changed in
+the last step. A step writes these four vectors only; the changes of the steps before
+stay in their states' tables, held by block, and meet in a union that moves nothing. The rows are dealt
 to parts; a part numbers the coordinates that its rows use. An evaluation of loss
 and gradient is one Spark job: each block sends each part the coordinates that it
 uses, each part sends their sums back, and each block adds them up, so what is sent
@@ -19,8 +21,9 @@ vectors. After a lost executor its tasks run again; the steps so far are written
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,9 @@ from ..session import forget, ship_package, stored
 #: Coordinates of a block; pairs of steps that the optimiser remembers; halvings of a step.
 BLOCK, MEMORY, HALVINGS = 1 << 14, 10, 30
 #: Entries of a part, at most and (while there are fewer parts than tasks at once) at least.
-PART_MOST, PART_LEAST = 1 << 23, 1 << 16
+PART_MOST, PART_LEAST = 1 << 22, 1 << 16
 
-_STATE = "block int, point binary, gradient binary, s array<binary>, y array<binary>, dots binary, largest double, loss double"
+_STATE = "block int, point binary, gradient binary, s binary, y binary, dots binary, largest double, loss double"
 
 
 @dataclass
@@ -67,6 +70,11 @@ class Dealt:
         forget(self.table)
 
 
+def held(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """The rows by ``key``, kept by the executors; ``df`` is read again after a loss."""
+    return df.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def deal(data: DataFrame, size: int) -> Dealt:
     """Deal the rows to parts; every row gets the intercept's coordinate, ``size``, with a 1.
 
@@ -101,9 +109,8 @@ def deal(data: DataFrame, size: int) -> Dealt:
     # by place, not by value: copies of a row go to different parts
     keyed = data.select(F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int").alias("part"), "label", "indices", "values")
     table = stored(keyed.groupBy("part").applyInArrow(numbered, "part int, block int, label double, at binary, x binary"), "dealt")
-    kept = lambda df, key: df.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
-    return Dealt(table, kept(table.where("block is null").select("part", "label", "at", "x"), "part"),
-                 kept(table.where("block is not null").select("block", "part", "at"), "block"), parts)
+    return Dealt(table, held(table.where("block is null").select("part", "label", "at", "x"), parts, "part"),
+                 held(table.where("block is not null").select("block", "part", "at"), parts, "block"), parts)
 
 
 def _whole(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -111,15 +118,19 @@ def _whole(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in column if v.is_valid] or [np.zeros(0, kind)])
 
 
-def sums_by_part(dealt: Dealt, points: DataFrame) -> DataFrame:
+def _its_point(block: pa.Table) -> np.ndarray:
+    return np.frombuffer(block.column("point")[0].as_buffer())
+
+
+def sums_by_part(dealt: Dealt, blocks: DataFrame, point: Callable[[pa.Table], np.ndarray] = _its_point) -> DataFrame:
     """(block, part, at, sums): each part's gradient of the summed log loss, by block; block -1: summed loss and rows.
 
-    ``points`` has a row (block, point) for each block.
+    ``blocks`` has rows for each block, from which ``point`` gets the block's point.
     """
-    def send(point: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not len(point) or not len(wanted):
+    def send(block: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not len(block) or not len(wanted):
             return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "at": pa.array([], pa.binary()), "point": pa.array([], pa.binary())})
-        x, at = np.frombuffer(point.column("point")[0].as_buffer()), wanted.column("at").to_pylist()
+        x, at = point(block), wanted.column("at").to_pylist()
         return pa.table({"part": wanted.column("part"), "block": wanted.column("block"), "at": pa.array(at, pa.binary()),
                          "point": pa.array([x[np.frombuffer(v, np.int32)].tobytes() for v in at], pa.binary())})
 
@@ -139,7 +150,7 @@ def sums_by_part(dealt: Dealt, points: DataFrame) -> DataFrame:
                          "at": pa.array([None, *wanted], pa.binary()),
                          "sums": pa.array([totals.tobytes(), *(gradient[a:b].tobytes() for a, b in zip(cuts, cuts[1:]))], pa.binary())})
 
-    sent = points.groupBy("block").cogroup(dealt.wanted.groupBy("block")).applyInArrow(send, "part int, block int, at binary, point binary")
+    sent = blocks.groupBy("block").cogroup(dealt.wanted.groupBy("block")).applyInArrow(send, "part int, block int, at binary, point binary")
     return dealt.rows.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(partial, "block int, part int, at binary, sums binary")
 
 
@@ -207,23 +218,26 @@ class _Step:
         return self.dots[np.ix_(chosen, chosen)]
 
 
-def _evaluated(dealt: Dealt, state: DataFrame, pairs: list[int], weights: np.ndarray | None, n: int, size: int, reg: float) -> _Step:
-    """The state after a move by ``weights`` of the vectors in use; without weights at the state's own point."""
+def _evaluated(dealt: Dealt, at: DataFrame, changes: list[DataFrame], weights: np.ndarray | None, n: int, size: int, reg: float) -> _Step:
+    """The state after a move by ``weights`` of the vectors in use; without weights at the state's own point.
+
+    ``at`` has the point and gradient of each block, ``changes`` those of the pairs in use, all by ``by_block``.
+    """
+    width = BLOCK
+    blocks = reduce(DataFrame.unionAll, [frame.withColumn("nth", F.lit(k)) for k, frame in enumerate([*changes, at])])
+
+    def vectors_of(block: pa.Table) -> tuple[list, list]:
+        """The changes of point and the point; the changes of gradient and the gradient (None at first)."""
+        block = block.sort_by("nth")
+        return tuple([None if v.as_buffer() is None else np.frombuffer(v.as_buffer()) for v in block.column(c)] for c in ("of_point", "of_gradient"))
+
     def moved(block: pa.Table) -> np.ndarray:
-        x = np.frombuffer(block.column("point")[0].as_buffer())
-        if weights is None:
-            return x
-        s, y = (block.column(c)[0].as_py() for c in "sy")
-        for w, v in zip(weights, [*(s[p] for p in pairs), *(y[p] for p in pairs), block.column("gradient")[0].as_py()]):
-            x = x + w * np.frombuffer(v)
+        (*s, x), (*y, g) = vectors_of(block)
+        if weights is not None:
+            for w, v in zip(weights, [*s, *y, g]):
+                x = x + w * v
         return x
 
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(len(b)):
-                one = pa.Table.from_batches([b.slice(k, 1)])
-                yield pa.RecordBatch.from_pydict({"block": one.column("block").combine_chunks(), "point": pa.array([moved(one).tobytes()], pa.binary())})
-
     def updated(block: pa.Table, sums: pa.Table) -> pa.Table:
         k = (block if len(block) else sums).column("block")[0].as_py()
         row = dict.fromkeys(["point", "gradient", "s", "y", "dots", "largest", "loss"])
@@ -235,21 +249,17 @@ def _evaluated(dealt: Dealt, state: DataFrame, pairs: list[int], weights: np.nda
             if k == size // width:
                 penalty[-1] = 0.0           # the intercept
             g = _added(sums, len(x)) / n + penalty
-            s, y = (block.column(c)[0].as_py() or [] for c in "sy")
-            s, y = [s[p] for p in pairs], [y[p] for p in pairs]
+            (*s, before), (*y, gradient) = vectors_of(block)
             if weights is not None:
-                s = [*s, (x - np.frombuffer(block.column("point")[0].as_buffer())).tobytes()]
-                y = [*y, (g - np.frombuffer(block.column("gradient")[0].as_buffer())).tobytes()]
-            vectors = np.stack([*map(np.frombuffer, s), *map(np.frombuffer, y), g])
+                s, y = [*s, x - before], [*y, g - gradient]
+                row |= {"s": s[-1].tobytes(), "y": y[-1].tobytes()}
+            vectors = np.stack([*s, *y, g])
             squares = float(x @ x - (x[-1] ** 2 if k == size // width else 0.0))
-            row |= {"point": x.tobytes(), "gradient": g.tobytes(), "s": s, "y": y, "dots": (vectors @ vectors.T).tobytes(),
-                    "largest": float(np.abs(g).max()), "loss": squares}
-        kinds = {"s": pa.list_(pa.binary()), "y": pa.list_(pa.binary()), "point": pa.binary(), "gradient": pa.binary(), "dots": pa.binary()}
+            row |= {"point": x.tobytes(), "gradient": g.tobytes(), "dots": (vectors @ vectors.T).tobytes(), "largest": float(np.abs(g).max()), "loss": squares}
+        kinds = dict.fromkeys(["point", "gradient", "s", "y", "dots"], pa.binary())
         return pa.table({"block": pa.array([k], pa.int32()), **{c: pa.array([v], kinds.get(c, pa.float64())) for c, v in row.items()}})
 
-    width = BLOCK
-    blocks = state.where("block >= 0").select("block", "point", "gradient", "s", "y")
-    sums = sums_by_part(dealt, blocks.mapInArrow(points, "block int, point binary"))
+    sums = sums_by_part(dealt, blocks, moved)
     new = stored(blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(updated, _STATE), "optimiser", "none")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,9 +295,15 @@ def fit_logistic(data: DataFrame, size: int, reg: float, tolerance: float, max_i
             for k in b.column("id").to_pylist():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "point": pa.array([bytes(8 * min(width, size + 1 - k * width))], pa.binary())})
 
-    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("gradient", "binary"), ("s", "array<binary>"), ("y", "array<binary>"))]
-    start = spark.range(size // width + 1).mapInArrow(zeros, "block int, point binary").select("*", *nothing)
-    now = _evaluated(dealt, start, [], None, n, size, reg)
+    def by_block(state: DataFrame, of_point: str, of_gradient: str) -> DataFrame:
+        vectors = state.where("block >= 0").select("block", F.col(of_point).alias("of_point"), F.col(of_gradient).alias("of_gradient"))
+        return held(vectors, dealt.parts, "block")
+
+    start = spark.range(size // width + 1).mapInArrow(zeros, "block int, point binary").withColumn("gradient", F.lit(None).cast("binary"))
+    at, changes, written = by_block(start, "point", "gradient"), [], []
+    now = _evaluated(dealt, at, [], None, n, size, reg)
+    at.unpersist()
+    at = by_block(now.state, "point", "gradient")
     history = [(0, now.value, now.largest, now.norm)]
     for iteration in range(1, max_iter + 1):
         if now.largest <= tolerance:
@@ -296,11 +312,13 @@ def fit_logistic(data: DataFrame, size: int, reg: float, tolerance: float, max_i
         d = direction(dots, len(now.pairs))
         slope = float(d @ dots[-1])
         if slope >= 0:
-            now.pairs, d = [], np.array([-1.0])
+            for _, change in changes:
+                change.unpersist()
+            changes, now.pairs, d = [], [], np.array([-1.0])
             slope = -float(dots[-1, -1])
         step = 1.0 if now.pairs else min(1.0, 1.0 / now.norm) if now.norm > 1 else 1.0
         for _ in range(HALVINGS):
-            new = _evaluated(dealt, now.state, now.pairs, step * d, n, size, reg)
+            new = _evaluated(dealt, at, [change for _, change in changes], step * d, n, size, reg)
             if new.value <= now.value + 1e-4 * step * slope:
                 break
             forget(new.state)
@@ -310,12 +328,23 @@ def fit_logistic(data: DataFrame, size: int, reg: float, tolerance: float, max_i
         last, m = len(new.pairs) - 1, len(new.pairs)
         if new.dots[last, m + last] > 1e-12 * new.dots[m + last, m + last]:
             new.pairs = new.pairs[-MEMORY:]
+            changes.append((new.state, by_block(new.state, "s", "y")))
         else:
             new.pairs = new.pairs[:-1]
-        forget(now.state)
-        now = new
+        at.unpersist()
+        for _, change in changes[:-MEMORY]:
+            change.unpersist()
+        changes, written = changes[-MEMORY:], [*written, now.state]
+        now, at = new, by_block(new.state, "point", "gradient")
+        in_use = [state for state, _ in changes]
+        for state in written:
+            if not any(state is other for other in in_use):
+                forget(state)
+        written = [state for state in written if any(state is other for other in in_use)]
         history.append((iteration, now.value, now.largest, now.norm))
     dealt.forget()
+    for frame in [at, *(change for _, change in changes)]:
+        frame.unpersist()
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,6 +354,7 @@ def fit_logistic(data: DataFrame, size: int, reg: float, tolerance: float, max_i
 
     points = now.state.where("block >= 0").select("block", "point").mapInArrow(entries, "at long, coefficient double")
     kept = stored(points, "coefficients")
-    forget(now.state)
+    for state in [*written, now.state]:
+        forget(state)
     intercept = kept.where(F.col("at") == size).first()["coefficient"]
     return LogisticFit(kept.where(F.col("at") < size), float(intercept), history[-1][2] <= tolerance, history)
