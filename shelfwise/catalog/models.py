@@ -140,7 +140,7 @@ def q_price_model_scored(spark, sf_dir):
 def sentiment_data(spark, sf_dir):
     """Cleaned and stemmed reviews, written once per session (fit + scoring)."""
     return _memo(spark, ("sentiment_data", sf_dir),
-                 lambda: stored(SJ.prepare_text(labelled(spark, sf_dir)), "reviews"))
+                 lambda: stored(SJ.prepare_text(labelled(spark, sf_dir)).drop("text"), "reviews"))
 
 
 def sentiment_model(spark, sf_dir):

@@ -15,7 +15,7 @@ made. Only rows whose key comes again are counted, joined and normalised as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +80,22 @@ def counted(docs: DataFrame, doc_key: str, terms: Column, split_col: str, train_
     return stored(rows.mapInArrow(numbered, f"unit long, key {kind}, split string, codes array<int>, tfs array<long>, words array<string>, seen array<long>"), "term-counts")
 
 
-def weighed(table: DataFrame, idf: DataFrame, doc_key: str, split_col: str) -> DataFrame:
-    """(term, doc, split, tf, weight) of the rows of ``counted``, each a document of its own."""
-    kind = table.schema["key"].dataType.simpleString()
+def seen_in_training(table: DataFrame) -> DataFrame:
+    """(term, seen): the training rows with the term, a row for each term and unit of ``counted``."""
+    zipped = table.where(F.col("words").isNotNull()).select(F.explode(F.arrays_zip("words", "seen")).alias("w"))
+    return zipped.select(F.col("w.words").alias("term"), F.col("w.seen").alias("seen")).where(F.col("seen") > 0)
+
+
+def by_unit(table: DataFrame, terms: DataFrame, make: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """What ``make`` makes of a unit's rows and of the rows of ``terms`` (term, idf and more) for the terms in them.
+
+    ``make`` gets the unit's rows of ``counted``, the rows of ``terms`` that it needs, and arrays with an entry for each
+    row's distinct term that ``terms`` has: the place in the latter, the row, its tf, tf * idf; and the norm of each row.
+    """
     lists = table.where(F.col("words").isNotNull())
-    found = lists.select("unit", F.posexplode("words").alias("code", "term")).join(idf.select("term", "idf"), "term").select("unit", "code", "term", "idf")
+    found = lists.select("unit", F.posexplode("words").alias("code", "term")).join(terms, "term").select("unit", "code", *terms.columns)
 
-    def weights(rows: pa.Table, words: pa.Table) -> pa.Table:
+    def made(rows: pa.Table, words: pa.Table) -> pa.Table:
         codes, tfs = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("codes", "tfs"))
         at = np.repeat(np.arange(len(rows)), pc.list_value_length(rows.column("codes")).to_numpy())
         code = words.column("code").to_numpy()
@@ -97,11 +106,21 @@ def weighed(table: DataFrame, idf: DataFrame, doc_key: str, split_col: str) -> D
         place, at, tf = place[known], at[known], tfs[known]
         raw = tf * words.column("idf").to_numpy()[place]
         norm = np.sqrt(np.bincount(at, weights=raw * raw, minlength=len(rows)))
+        return make(rows, words, place, at, tf, raw, norm)
+
+    rows = table.where(F.col("words").isNull()).select(F.col("unit").alias("of"), "key", "split", "codes", "tfs")
+    return rows.groupBy("of").cogroup(found.groupBy("unit")).applyInArrow(made, schema)
+
+
+def weighed(table: DataFrame, idf: DataFrame, doc_key: str, split_col: str) -> DataFrame:
+    """(term, doc, split, tf, weight) of the rows of ``counted``, each a document of its own."""
+    kind = table.schema["key"].dataType.simpleString()
+
+    def weights(rows: pa.Table, words: pa.Table, place, at, tf, raw, norm) -> pa.Table:
         return pa.table({"term": words.column("term").take(pa.array(place)), "key": rows.column("key").take(pa.array(at)), "split": rows.column("split").take(pa.array(at)),
                          "tf": pa.array(tf, pa.int64()), "weight": pa.array(raw / norm[at], pa.float64())})
 
-    rows = table.where(F.col("words").isNull()).select(F.col("unit").alias("of"), "key", "split", "codes", "tfs")
-    out = rows.groupBy("of").cogroup(found.groupBy("unit")).applyInArrow(weights, f"term string, key {kind}, split string, tf long, weight double")
+    out = by_unit(table, idf.select("term", "idf"), weights, f"term string, key {kind}, split string, tf long, weight double")
     return out.select("term", F.col("key").alias(doc_key), F.col("split").alias(split_col), "tf", "weight")
 
 
@@ -117,9 +136,8 @@ def tfidf(docs: DataFrame, doc_key: str, terms: Column, split_col: str = "split"
     repeated = None if again.isEmpty() else stored(again, "repeated-keys")
     same = None if repeated is None else docs[doc_key].eqNullSafe(repeated["__again"])
     table = counted(docs if repeated is None else docs.join(repeated, same, "left_anti"), doc_key, terms, split_col, train_value)
-    rows, lists = table.where(F.col("words").isNull()), table.where(F.col("words").isNotNull())
-    n_docs = rows.where(F.col("split") == train_value).count()
-    df = lists.select(F.explode(F.arrays_zip("words", "seen")).alias("w")).select(F.col("w.words").alias("term"), F.col("w.seen").alias("seen"))
+    n_docs = table.where(F.col("words").isNull()).where(F.col("split") == train_value).count()
+    df = seen_in_training(table)
     if repeated is not None:
         exploded = docs.join(repeated, same, "left_semi").select(doc_key, split_col, F.explode_outer(terms).alias("term"))
         exploded = exploded.withColumn("term", F.when(F.length("term") >= MIN_TERM_LENGTH, F.col("term")))
@@ -127,7 +145,7 @@ def tfidf(docs: DataFrame, doc_key: str, terms: Column, split_col: str = "split"
         train = every.where(F.col(split_col) == train_value)
         n_docs += train.select(doc_key).distinct().count()
         df = df.unionByName(train.where(F.col("term").isNotNull()).select("term", F.lit(1).cast("long").alias("seen")))
-    idf = with_idf(df.where(F.col("seen") > 0).groupBy("term").agg(F.sum("seen").alias("df")), n_docs)
+    idf = with_idf(df.groupBy("term").agg(F.sum("seen").alias("df")), n_docs)
     out = weighed(table, idf, doc_key, split_col)
     if repeated is None:
         return out

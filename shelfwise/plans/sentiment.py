@@ -5,11 +5,12 @@ the same tokens the model was fitted on; ``preprocess=False`` reproduces the
 reference's serving path, which skips stemming and stop-word removal (X7).
 
 The model is a table: a row for each term with its idf and coefficient. No list
-of terms reaches the driver. Fitting counts terms by document, ranks them by
-the ordered index, and puts each document's entries together in Spark, from the
-same weights as the relational X5 operator; ``operators.logistic`` fits the
-regression on these. Scoring joins a document's terms with the table and sums
-up. No vector of the model's size reaches the driver either.
+of terms reaches the driver. Fitting counts terms within their row, ranks them by
+the ordered index, and makes each document's entries in its unit of rows (see
+``operators.tfidf``): a term is shuffled once a unit, not once a document. The
+weights are those of the relational X5 operator; ``operators.logistic`` fits the
+regression on these. Scoring joins a unit's terms with the table and sums up.
+No vector of the model's size reaches the driver either.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -25,7 +28,7 @@ from ..functions import text as X
 from ..functions.porter import stem_text
 from ..operators.indexing import index_by_order
 from ..operators.logistic import fit_logistic
-from ..operators.tfidf import fit_idf
+from ..operators.tfidf import by_unit, counted, fit_idf, seen_in_training, with_idf  # noqa: F401
 from ..session import forget, ship_package, stored
 
 MAX_ITER = 1000           # reference budget
@@ -50,10 +53,14 @@ def prepare_text(df: DataFrame, text_col: str = "text", preprocess: bool = True,
     return kept.withColumn("content", content).drop("__raw_tokens", "__tokens")
 
 
+def raw_terms() -> Column:
+    """The terms of ``content``."""
+    return F.regexp_extract_all(F.lower("content"), F.lit(TERM_PATTERN), F.lit(0))
+
+
 def term_counts(df: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf) of ``content``; ``key`` is unique."""
-    words = F.regexp_extract_all(F.lower("content"), F.lit(TERM_PATTERN), F.lit(0))
-    return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf) of ``content``; rows of one key are one text."""
+    return df.select(key, F.explode(raw_terms()).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 @dataclass(frozen=True)
@@ -120,28 +127,41 @@ def vectors(rows: DataFrame, weights: DataFrame, label: str) -> DataFrame:
             .select(_ROW, "label", part("at", "int").alias("indices"), part("weight", "double").alias("values")))
 
 
+def unit_vectors(table: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(label, indices, values) of the rows of ``tfidf.counted``, whose key is the label: the entries of ``weigh`` and ``vectors``."""
+    def entries(rows: pa.Table, words: pa.Table, place, at, tf, raw, norm) -> pa.Table:
+        number = words.column("at").to_numpy()[place]
+        order = np.lexsort((number, at))
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(at, minlength=len(rows)))), pa.int32())
+        return pa.table({"label": rows.column("key"), "indices": pa.ListArray.from_arrays(ends, pa.array(number[order], pa.int32())),
+                         "values": pa.ListArray.from_arrays(ends, pa.array((raw / norm[at])[order], pa.float64()))})
+
+    numbered = vocabulary.select("term", "idf", F.col("at").cast("int").alias("at"))
+    return by_unit(table, numbered, entries, "label double, indices array<int>, values array<double>")
+
+
 def fit(train: DataFrame, label: str = "target", max_iter: int = MAX_ITER,
         reg_param: float | None = None) -> SentimentModel:
     """TF-IDF + logistic regression (L2, C = 1 -> regParam = 1 / n), until it has converged or ``max_iter`` is used up.
 
     Rows without a label cannot be fitted and are skipped.
     """
-    rows = stored(train.where(F.col(label).isNotNull()).select(F.monotonically_increasing_id().alias(_ROW), F.col(label).alias(label), "content"), "reviews")
-    n = rows.count()
+    rows = train.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), F.lit("train").alias("split"), "content")
+    counts = counted(rows, "label", raw_terms(), "split", "train")
+    n = counts.where(F.col("words").isNull()).count()
     if not n:
         raise ValueError("no rows with a label")
-    counts = stored(term_counts(rows, _ROW), "term-counts")
-    vocabulary = stored(index_by_order(fit_idf(counts, _ROW, n).select("term", "idf"), ["term"], "at"), "vocabulary")
+    seen = stored(seen_in_training(counts).groupBy("term").agg(F.sum("seen").alias("df")), "document-frequencies")
+    vocabulary = stored(index_by_order(with_idf(seen, n).select("term", "idf"), ["term"], "at"), "vocabulary")
     size = vocabulary.count()
-    weights = stored(weigh(counts, vocabulary), "weights")
-    data = stored(vectors(rows, weights, label), "vectors")
+    data = stored(unit_vectors(counts, vocabulary), "vectors")
     reg = reg_param if reg_param is not None else 1.0 / n
     fitted = fit_logistic(data, size, reg, GRADIENT_TOLERANCE, max_iter)
     iteration, objective, largest, norm = fitted.history[-1]
     report = FitReport(n, size, iteration, max_iter, objective, largest, norm, fitted.converged, tuple(fitted.history))
     terms = with_coefficients(vocabulary, fitted.weights)
     kept = stored(terms.select("term", "idf", "coefficient"), "terms")
-    for table in (rows, counts, vocabulary, weights, data):
+    for table in (counts, seen, vocabulary, data):
         forget(table)
     return SentimentModel(kept, fitted.intercept, report)
 
@@ -151,6 +171,30 @@ def with_coefficients(vocabulary: DataFrame, weights: DataFrame) -> DataFrame:
     return vocabulary.withColumn("at", F.col("at").cast("long")).join(weights, "at")
 
 
+def margins(model: SentimentModel, rows: DataFrame, key: str, may_repeat: bool) -> DataFrame:
+    """(key, margin) without the intercept, of the keys with a known term; rows of one key are one text.
+
+    Terms are joined with the model once a unit of rows; only rows whose key comes again are counted as (key, term) rows.
+    """
+    weights = model.terms.select("term", "idf", "coefficient")
+    rows = rows.where(F.col(key).isNotNull()).select(key, F.lit("train").alias("split"), "content")
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key) if may_repeat else None
+    repeated = None if again is None or again.isEmpty() else stored(again, "repeated-keys")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def summed(rows: pa.Table, words: pa.Table, place, at, tf, raw, norm) -> pa.Table:
+        known = np.flatnonzero(norm > 0)
+        margin = np.bincount(at, weights=raw * words.column("coefficient").to_numpy()[place], minlength=len(rows))[known] / norm[known]
+        return pa.table({"key": rows.column("key").take(pa.array(known)), "margin": pa.array(margin, pa.float64())})
+
+    once = rows if repeated is None else rows.join(repeated, key, "left_anti")
+    sums = by_unit(counted(once, key, raw_terms(), "split", "train"), weights, summed, f"key {kind}, margin double").withColumnRenamed("key", key)
+    if repeated is None:
+        return sums
+    raw = term_counts(rows.join(repeated, key, "left_semi"), key).join(weights, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    return sums.unionByName(raw.groupBy(key).agg((F.sum(F.col("raw") * F.col("coefficient")) / F.sqrt(F.sum(F.col("raw") * F.col("raw")))).alias("margin")))
+
+
 def score(model: SentimentModel, df: DataFrame, key: str | None = None) -> DataFrame:
     """G9 + B7: the rows with margin, probability, predicted class and its label text.
 
@@ -159,8 +203,7 @@ def score(model: SentimentModel, df: DataFrame, key: str | None = None) -> DataF
     """
     rows = df if key is not None else stored(df.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
     own = key or _ROW
-    raw = term_counts(rows, own).join(model.terms, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    sums = raw.groupBy(own).agg((F.sum(F.col("raw") * F.col("coefficient")) / F.sqrt(F.sum(F.col("raw") * F.col("raw")))).alias("margin"))
+    sums = margins(model, rows, own, key is not None)
     out = rows.join(sums, own, "left").withColumn("margin", F.coalesce("margin", F.lit(0.0)) + F.lit(model.intercept))
     out = out.withColumns({"probability": F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin"))), "prediction": (F.col("margin") > 0).cast("double")})
     out = out.withColumn("sentiment", R.sentiment_label(F.col("prediction")))
