@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -115,7 +116,13 @@ def deal(data: DataFrame, size: int) -> Dealt:
 
 def _whole(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     """The numbers of a binary column's rows, one after the other."""
-    return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in column if v.is_valid] or [np.zeros(0, kind)])
+    found = [np.zeros(0, kind)]
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        if len(chunk) and data is not None:
+            ends = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+            found.append(np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(kind))
+    return np.concatenate(found)
 
 
 def _its_point(block: pa.Table) -> np.ndarray:
@@ -138,7 +145,7 @@ def sums_by_part(dealt: Dealt, blocks: DataFrame, point: Callable[[pa.Table], np
         sent = sent.sort_by("block")
         beta, y = _whole(sent.column("point"), float), rows.column("label").to_numpy()
         at, x = _whole(rows.column("at"), np.int32), _whole(rows.column("x"), float)
-        row = np.repeat(np.arange(len(y)), [len(v.as_buffer()) // 4 for v in rows.column("at")])
+        row = np.repeat(np.arange(len(y)), pc.binary_length(rows.column("at")).to_numpy() // 4)
         z = np.bincount(row, weights=x * beta[at], minlength=len(y))
         with np.errstate(over="ignore"):
             missed = 1.0 / (1.0 + np.exp(-z)) - y
